@@ -26,6 +26,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def record(**fields: Column) -> Column:
+    """A struct with explicit names, which survive inside nested lambdas."""
+    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+
+
 def words_array(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -211,9 +216,8 @@ def parse_decision(text: Column) -> Column:
     anything else is malformed and UNDECIDABLE.
     """
     def fields(candidate: Column) -> Column:
-        return F.struct(
-            F.trim(F.get_json_object(candidate, "$.answer")).alias("answer"),
-            F.upper(F.trim(F.get_json_object(candidate, "$.decision"))).alias("decision"))
+        return record(answer=F.trim(F.get_json_object(candidate, "$.answer")),
+                      decision=F.upper(F.trim(F.get_json_object(candidate, "$.decision"))))
 
     known = F.filter(
         F.transform(json_candidates(text), fields),
@@ -254,8 +258,8 @@ def numbers_with_units(col: Column) -> Column:
                         & ~F.array_contains(words_array(fixed.UNIT_STOPWORDS), w))
         return F.array_join(kept, " ")
 
-    pairs = F.zip_with(values, units, lambda v, u: F.struct(
-        F.regexp_replace(v, "[.,]", "").alias("value"), clean(u).alias("unit")))
+    pairs = F.zip_with(values, units, lambda v, u: record(
+        value=F.regexp_replace(v, "[.,]", ""), unit=clean(u)))
     return F.filter(pairs, lambda p: p["unit"] != "")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustframe.functions.session import read_table
+from trustframe.functions.session import cut_lineage, read_table
 from trustframe.operators import rag
 from trustframe.plans.registry import query
 
@@ -42,7 +42,8 @@ def case_frame(spark: SparkSession, sf: str, scored: DataFrame) -> DataFrame:
 
 
 def results(spark: SparkSession, sf: str, policy: str) -> DataFrame:
-    scored = scored_pairs(spark, sf)
+    # scored once, then read by the ranking, the first relevant rank and the gold lists
+    scored = cut_lineage(scored_pairs(spark, sf))
     return rag.case_results(case_frame(spark, sf, scored), scored, TOP_K, policy, 0.10, RELATIVE)
 
 
