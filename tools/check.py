@@ -26,7 +26,7 @@ def session() -> SparkSession:
              .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
              .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
              .getOrCreate())
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
@@ -63,7 +63,7 @@ def main() -> int:
             continue
         took = time.time() - start
         if name not in catalogue.CHECK_SQL:
-            print(f"rows {name}: {len(rows)} rows {took:.1f}s  e.g. {rows[:opt.show]}", flush=True)
+            print(f"rows {name}: {len(rows)} rows {took:.1f}s  e.g. {rows[:opt.show]}"[:600], flush=True)
             continue
         start = time.time()
         try:

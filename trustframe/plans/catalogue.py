@@ -2,7 +2,9 @@
 
 from trustframe.plans import (  # noqa: F401
     ground_queries,
+    guard_queries,
     rag_queries,
+    review_queries,
 )
 from trustframe.plans.registry import CHECK_SQL, QUERIES
 
