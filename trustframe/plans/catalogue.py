@@ -3,6 +3,7 @@
 from trustframe.plans import (  # noqa: F401
     ground_queries,
     guard_queries,
+    knowledge_queries,
     rag_queries,
     review_queries,
 )

@@ -5,7 +5,79 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustframe.operators import guard, quality
+from trustframe.functions import fixed, text, truth
+from trustframe.operators import ground, guard, knowledge, quality
+
+
+def claim_check(claims: DataFrame, rules: list[guard.Rule], facts: DataFrame | None = None,
+                entries: DataFrame | None = None, searched: DataFrame | None = None,
+                evidence: str | None = None) -> DataFrame:
+    """Decide claims; the first source with a verdict wins.
+
+    The order is compliance, search, facts, ontology entries, given evidence, none. ``claims`` has
+    claim and claim_key (the same for equal texts). ``searched`` is the best (claim_key, score) of a
+    search; with a search every claim gets its verdict. ``evidence`` names a column with the mean
+    score of evidence given with the claim. Each source is asked about distinct claims only, and
+    only about those that the sources before it left open.
+    """
+    distinct = claims.select("claim_key", "claim").dropDuplicates(["claim_key"])
+    scanned = guard.scan(distinct, "claim", rules)
+    blocked = guard.blocking(F.col("violations"))
+    verdicts = scanned.filter(blocked).select(
+        "claim_key", F.lit("compliance").alias("source"), F.lit("FALSE").alias("decision"), F.lit(1.0).alias("confidence"))
+    still_open = scanned.filter(~blocked).select("claim_key", "claim")
+    if searched is not None:
+        v = truth.search_verdict(F.col("score"))
+        found = still_open.join(searched, "claim_key", "left").withColumn("v", v).select(
+            "claim_key", F.lit("search").alias("source"),
+            F.when(F.col("v.status") == "verified", F.lit("TRUE")).when(F.col("v.status") == "contradicted", F.lit("FALSE"))
+            .otherwise(F.lit("UNDECIDABLE")).alias("decision"), F.col("v.confidence").alias("confidence"))
+        return _finish(claims, verdicts.unionByName(found), evidence)
+    if facts is not None:
+        words = still_open.select("claim_key", text.token_set(F.col("claim"), fixed.OVERLAP_STOPWORDS).alias("words"))
+        met = knowledge.relevant_facts(words, facts).filter("decision <> 'UNDECIDABLE'")
+        verdicts = verdicts.unionByName(met.select("claim_key", F.lit("ontology").alias("source"), "decision", "confidence"))
+        if entries is not None:
+            still_open = still_open.join(met, "claim_key", "left_anti")
+    if entries is not None:
+        met = knowledge.ontology_check(still_open, entries)
+        verdicts = verdicts.unionByName(met.select("claim_key", F.lit("entries").alias("source"), "decision", "confidence"))
+    return _finish(claims, verdicts, evidence)
+
+
+def _finish(claims: DataFrame, verdicts: DataFrame, evidence: str | None) -> DataFrame:
+    out = claims.join(verdicts, "claim_key", "left")
+    given = F.col(evidence).isNotNull() if evidence else F.lit(False)
+    score = F.col(evidence) if evidence else F.lit(None).cast("double")
+    missing = F.col("source").isNull()
+    decision = F.when(missing & given, F.lit("TRUE")).otherwise(F.coalesce("decision", F.lit("UNDECIDABLE")))
+    return (out.withColumn("decision", decision)
+            .withColumn("confidence", F.when(missing & given, score).otherwise(F.coalesce("confidence", F.lit(0.0))))
+            .withColumn("source", F.when(missing & given, F.lit("evidence")).otherwise(F.coalesce("source", F.lit("none"))))
+            .withColumn("recommended_action", F.when(F.col("decision") == "TRUE", F.lit("allow"))
+                        .when(F.col("decision") == "FALSE", F.lit("block")).otherwise(F.lit("abstain"))))
+
+
+def answer_check(answers: DataFrame, checked: DataFrame, keys: list[str]) -> DataFrame:
+    """Fold checked claims (keys, pos, claim, decision, confidence) into one decision per answer."""
+    labelled = checked.select(
+        *keys, "pos", "claim", truth.decision_label(F.col("decision")).alias("label"), "confidence",
+        ((F.col("pos") > 0) & text.depends_on_previous(F.col("claim"))).alias("depends"))
+    per = ground.propagate_chain(labelled, keys).groupBy(*keys).agg(
+        F.count("*").alias("claims"), F.bool_or(F.col("label") == "contradicted").alias("contradicted"),
+        F.bool_or(F.col("label") == "unsupported").alias("unsupported"), F.min("confidence").alias("confidence"))
+    out = answers.join(per, keys, "left")
+
+    def pick(none: str, false: str, partly: str, true: str):
+        return (F.when(F.col("claims").isNull(), F.lit(none)).when(F.col("contradicted"), F.lit(false))
+                .when(F.col("unsupported"), F.lit(partly)).otherwise(F.lit(true)))
+
+    return out.select(
+        *answers.columns, F.coalesce("claims", F.lit(0)).alias("claims"),
+        pick("UNDECIDABLE", "FALSE", "UNDECIDABLE", "TRUE").alias("decision"),
+        pick("abstain", "block", "retry", "allow").alias("recommended_action"),
+        pick("unsupported", "contradicted", "partially_unsupported", "supported").alias("status"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
 def full_cycle(pairs: DataFrame, rules: list[guard.Rule], topics: list[str] | None = None) -> DataFrame:
