@@ -11,6 +11,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row.
+
+    A few files cannot keep all cores busy, so then the rows are spread first. A table with as many
+    files as cores is read as it is, without a shuffle.
+    """
+    df = read_table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 

@@ -333,7 +333,8 @@ def default_constraints(protected_system: str = "protected_system") -> list[Cons
         "sensitive_data_protection": "contains(lower(object), 'sensitive')",
         "controlled_self_modification": f"object = '{protected_system}'",
         "misinformation_prevention": "contains(lower(object), 'false') or contains(lower(object), 'misinformation')",
-        "personal_data_protection": r"object rlike '\\d{3}\\.?\\d{3}\\.?\\d{3}-?\\d{2}|(?i)\\b(cpf|rg)\\b'",
+        "personal_data_protection":
+            f"rlike(object, r'{fixed.PERSONAL_NUMBERS}') or rlike(lower(object), '{'|'.join(fixed.PERSONAL_TERMS)}')",
     }
     return [Constraint(*row, conditions.get(row[0])) for row in fixed.CONSTRAINTS]
 

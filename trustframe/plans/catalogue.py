@@ -1,6 +1,7 @@
 """Loads every query module, so that the registry is complete."""
 
 from trustframe.plans import (  # noqa: F401
+    audit_queries,
     ground_queries,
     guard_queries,
     knowledge_queries,

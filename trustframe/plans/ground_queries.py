@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustframe.functions import costs, text
-from trustframe.functions.session import read_table
+from trustframe.functions.session import read_texts
 from trustframe.operators import generate, ground
 from trustframe.plans import sqltext as S
 from trustframe.plans.registry import query
@@ -18,7 +18,7 @@ OUTPUT_CHARS = 47
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """Answers with their contexts. The contexts come by an equi-join on (conv_id, turn)."""
-    turns = read_table(spark, sf, "conversations")
+    turns = read_texts(spark, sf, "conversations")
     context = (turns.select("conv_id", F.explode(F.array(F.col("turn") + 1, F.col("turn") + 2)).alias("turn"),
                             F.struct(F.col("turn").alias("doc_id"), "text").alias("context"))
                .groupBy(*KEYS).agg(F.array_sort(F.collect_list("context")).alias("contexts")))
@@ -74,7 +74,7 @@ scored AS (
 WITH {CLAIMS_SQL} last AS (SELECT 1)
 SELECT conv_id, turn, pos, claim, len(claim) AS n_chars FROM claims""")
 def claims_split(spark: SparkSession, sf: str) -> DataFrame:
-    turns = read_table(spark, sf, "conversations").filter("role = 'assistant'")
+    turns = read_texts(spark, sf, "conversations").filter("role = 'assistant'")
     rows = turns.select(*KEYS, F.posexplode(text.claims(F.col("text"))).alias("pos", "claim"))
     return rows.withColumn("n_chars", F.length("claim").cast("bigint"))
 
@@ -88,7 +88,7 @@ FROM lists GROUP BY lang"""
 
 @query("document_claims", DOC_CLAIMS_SQL)
 def document_claims(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents").select("lang", text.claims(F.col("text")).alias("cs"))
+    docs = read_texts(spark, sf, "documents").select("lang", text.claims(F.col("text")).alias("cs"))
     chars = F.aggregate("cs", F.lit(0).cast("bigint"), lambda a, c: a + F.length(c))
     return docs.groupBy("lang").agg(
         F.count("*").alias("documents"), F.sum(F.size("cs")).alias("claims"), F.sum(chars).alias("claim_chars"))
@@ -98,7 +98,7 @@ def document_claims(spark: SparkSession, sf: str) -> DataFrame:
 WITH {CLAIMS_SQL} last AS (SELECT 1)
 SELECT conv_id, turn, pos AS child, pos - 1 AS parent FROM claims WHERE pos > 0 AND {S.depends('claim')}""")
 def claim_dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    turns = read_table(spark, sf, "conversations").filter("role = 'assistant'")
+    turns = read_texts(spark, sf, "conversations").filter("role = 'assistant'")
     rows = turns.select(*KEYS, F.posexplode(text.claims(F.col("text"))).alias("child", "claim"))
     rows = rows.filter((F.col("child") > 0) & text.depends_on_previous(F.col("claim")))
     return rows.select(*KEYS, "child", (F.col("child") - 1).alias("parent"))
@@ -130,7 +130,7 @@ FROM pairs WHERE len(an) > 0 AND len(bn) > 0"""
 
 @query("numeric_contradiction", NUMBERS_SQL)
 def numeric_contradiction(spark: SparkSession, sf: str) -> DataFrame:
-    docs = (read_table(spark, sf, "documents")
+    docs = (read_texts(spark, sf, "documents")
             .select("doc_id", text.numbers_with_units(F.col("text")).alias("numbers")).filter(F.size("numbers") > 0))
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("next_id"),
                         F.col("numbers").alias("next"))
@@ -184,7 +184,7 @@ QUALIFY row_number() OVER (PARTITION BY conv_id, turn, child ORDER BY similarity
 
 @query("orphan_links", ORPHAN_SQL)
 def orphan_links(spark: SparkSession, sf: str) -> DataFrame:
-    turns = read_table(spark, sf, "conversations").filter("role = 'assistant'")
+    turns = read_texts(spark, sf, "conversations").filter("role = 'assistant'")
     rows = turns.select(*KEYS, F.posexplode(text.claims(F.col("text"))).alias("pos", "claim"))
     rows = rows.withColumn("depends", (F.col("pos") > 0) & text.depends_on_previous(F.col("claim")))
     return ground.link_orphans(rows, KEYS)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustframe.functions import fixed, text
-from trustframe.functions.session import read_table
+from trustframe.functions.session import read_texts
 from trustframe.operators import guard, quality
 from trustframe.plans import checks
 from trustframe.plans import sqltext as S
@@ -20,7 +20,7 @@ ACTIVE = [(r, p) for r in RULES if not r.context_required for p in r.patterns]
     f"CAST(len(regexp_extract_all(text, {S.q('(?i)' + p)})) AS INTEGER) AS n_{k}"
     for k, p, _ in fixed.PII_PATTERNS) + " FROM documents")
 def pii_scan(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = read_texts(spark, sf, "documents").select("doc_id", "text")
     return guard.pii_counts(docs, "text").drop("text")
 
 
@@ -42,13 +42,13 @@ def mask_sql(e: str) -> str:
 @query("pii_mask", f"SELECT doc_id, md5({mask_sql('text')}) AS masked_md5, "
                    f"CAST(len({mask_sql('text')}) AS INTEGER) AS n_chars FROM documents")
 def pii_mask(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents").select("doc_id", text.mask_pii(F.col("text")).alias("masked"))
+    docs = read_texts(spark, sf, "documents").select("doc_id", text.mask_pii(F.col("text")).alias("masked"))
     return docs.select("doc_id", F.md5("masked").alias("masked_md5"), F.length("masked").alias("n_chars"))
 
 
 @query("page_mask", f"SELECT page_id, md5({mask_sql('html')}) AS masked_md5 FROM pages")
 def page_mask(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "pages").select(
+    return read_texts(spark, sf, "pages").select(
         "page_id", F.md5(text.mask_pii(F.col("html"))).alias("masked_md5"))
 
 
@@ -75,7 +75,7 @@ VIOLATIONS = f"WITH v AS ({violations_sql('documents', 'doc_id, source')})"
 
 
 def scanned_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return guard.scan(read_table(spark, sf, "documents").select("doc_id", "source", "text"), "text", RULES)
+    return guard.scan(read_texts(spark, sf, "documents").select("doc_id", "source", "text"), "text", RULES)
 
 
 @query("compliance_scan", VIOLATIONS + """
@@ -169,7 +169,7 @@ shielded AS (SELECT *, CASE WHEN risk >= 0.7 THEN 'FALSE' WHEN risk >= 0.35 THEN
 SELECT conv_id, turn, CAST(threats AS INTEGER) AS threats, threat_types, risk, decision,
   decision <> 'FALSE' AS allowed, decision = 'UNDECIDABLE' AS flagged FROM shielded""")
 def shield_risk(spark: SparkSession, sf: str) -> DataFrame:
-    out = guard.shield(read_table(spark, sf, "conversations"), "text")
+    out = guard.shield(read_texts(spark, sf, "conversations"), "text")
     return out.select("conv_id", "turn", "threats", F.array_join("threat_types", ",").alias("threat_types"),
                       "risk", "decision", "allowed", "flagged")
 
@@ -178,7 +178,7 @@ def shield_risk(spark: SparkSession, sf: str) -> DataFrame:
 SELECT lang, decision, CAST(count(*) AS BIGINT) AS documents, CAST(sum(threats) AS BIGINT) AS threats,
   round(avg(risk), 6) AS mean_risk, max(risk) AS max_risk FROM shielded GROUP BY 1, 2""")
 def shield_documents(spark: SparkSession, sf: str) -> DataFrame:
-    out = guard.shield(read_table(spark, sf, "documents"), "text")
+    out = guard.shield(read_texts(spark, sf, "documents"), "text")
     return out.groupBy("lang", "decision").agg(
         F.count("*").alias("documents"), F.sum("threats").alias("threats"),
         F.round(F.avg("risk"), 6).alias("mean_risk"), F.max("risk").alias("max_risk"))
@@ -188,7 +188,7 @@ def shield_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """A user turn and the assistant turn after it, by an equi-join on (conv_id, turn)."""
-    turns = read_table(spark, sf, "conversations")
+    turns = read_texts(spark, sf, "conversations")
     asked = turns.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"),
                                                  F.col("text").alias("question"))
     answered = turns.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))

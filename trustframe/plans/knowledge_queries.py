@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustframe.functions import fixed, text, truth
-from trustframe.functions.session import read_table
+from trustframe.functions.session import read_table, read_texts
 from trustframe.operators import guard, infer, knowledge, matching, versions
 from trustframe.plans import checks
 from trustframe.plans import sqltext as S
@@ -20,7 +20,7 @@ MIN_SENTENCE = 10
 
 
 def document_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents").select(
+    docs = read_texts(spark, sf, "documents").select(
         "doc_id", F.posexplode(text.sentences_at_points(F.col("text"), MIN_SENTENCE)).alias("pos", "claim"))
     return docs.withColumn("claim_key", F.md5("claim"))
 
@@ -319,7 +319,7 @@ SELECT h.doc_id, CASE WHEN denied OR coalesce(blocks, false) THEN 'FALSE' WHEN b
   CASE WHEN denied OR coalesce(blocks, false) THEN 1.0 WHEN blocks IS NOT NULL THEN 0.5 WHEN allowed THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence
 FROM h LEFT JOIN b USING (doc_id)""")
 def policy_scan(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = read_texts(spark, sf, "documents").select("doc_id", "text")
     return knowledge.policy_check(docs, "text", TEXT_POLICIES, RULES).select(
         "doc_id", "decision", "recommended_action", "confidence")
 
@@ -357,7 +357,7 @@ WITH h AS (SELECT l_partkey::VARCHAR AS subject, CASE l_returnflag WHEN 'A' THEN
 false_facts AS (SELECT subject, relation, object, min(l_orderkey * 100 + l_linenumber) AS fact_id FROM h WHERE l_quantity < 3 GROUP BY 1, 2, 3),
 true_facts AS (SELECT DISTINCT object AS subject, relation, subject AS object FROM h WHERE l_discount > 0.07),
 contradictions AS (SELECT h.subject, h.relation, h.object, h.l_orderkey, h.l_linenumber, f.fact_id FROM h JOIN false_facts f USING (subject, relation, object)),
-steps AS (SELECT subject, relation, t, lag(t) OVER (PARTITION BY subject, relation ORDER BY l_orderkey, l_linenumber) AS earlier FROM h),
+steps AS (SELECT subject, relation, t, lag(t) OVER (PARTITION BY subject, relation ORDER BY l_orderkey, l_linenumber, t) AS earlier FROM h),
 time_issues AS (SELECT subject, relation, count(*) FILTER (WHERE earlier > t) AS back_steps, count(*) AS points FROM steps GROUP BY 1, 2 HAVING count(*) FILTER (WHERE earlier > t) > 0),
 sym AS (SELECT DISTINCT subject, relation, object FROM h WHERE relation IN ('same_as', 'equals', 'equivalent')),
 inverse_issues AS (SELECT s.* FROM sym s WHERE NOT EXISTS (SELECT 1 FROM sym i WHERE i.subject = s.object AND i.relation = s.relation AND i.object = s.subject)
@@ -373,7 +373,7 @@ def symbolic_contradictions(spark: SparkSession, sf: str) -> DataFrame:
 @query("temporal_consistency", HYPOTHESES_SQL + """
 SELECT subject, relation, CAST(back_steps AS BIGINT) AS back_steps, CAST(points AS BIGINT) AS points FROM time_issues""")
 def temporal_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    return knowledge.non_monotonic(hypotheses(spark, sf), ["l_orderkey", "l_linenumber"], "t")
+    return knowledge.non_monotonic(hypotheses(spark, sf), ["l_orderkey", "l_linenumber", "t"], "t")
 
 
 @query("missing_inverse", HYPOTHESES_SQL + "SELECT * FROM inverse_issues")
@@ -386,7 +386,7 @@ SELECT CAST((SELECT count(*) FROM contradictions) AS BIGINT) AS contradictions,
   CAST((SELECT count(*) FROM inverse_issues) AS BIGINT) AS inverse_issues,
   CASE WHEN (SELECT count(*) FROM contradictions) > 0 THEN 'blocked' ELSE 'warn' END AS verdict""")
 def validation_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    return knowledge.cascade_verdict(hypotheses(spark, sf), stored_facts(spark, sf), ["l_orderkey", "l_linenumber"], "t")
+    return knowledge.cascade_verdict(hypotheses(spark, sf), stored_facts(spark, sf), ["l_orderkey", "l_linenumber", "t"], "t")
 
 
 EVENT_RELATIONS = [("click", "accesses"), ("view", "spreads"), ("error", "causes_harm"), ("signup", "modifies"),
@@ -436,10 +436,10 @@ def constraint_stats(spark: SparkSession, sf: str) -> DataFrame:
 WITH s AS (SELECT event_type, user_id, least(1.0, value / 60.0)::DOUBLE AS p FROM events),
 n AS (SELECT event_type, user_id, p AS t, round((1 - p) * 0.25, 9) AS f, round((1 - p) * 0.75, 9) AS u FROM s),
 m AS (SELECT event_type, user_id, t / (t + f + u) AS t, f / (t + f + u) AS f, u / (t + f + u) AS u FROM n),
-g AS (SELECT event_type, user_id, product(t) AS at, 1 - product(1 - f) AS af, 1 - product(1 - t) AS ot, product(f) AS orf FROM m GROUP BY 1, 2)
-SELECT event_type, user_id, round(at, 6) AS and_true, round(af, 6) AS and_false, round(ot, 6) AS or_true, round(orf, 6) AS or_false,
-  CASE WHEN round(at, 9) >= 0.6 AND round(at, 9) - greatest(round(af, 9), round(greatest(0, 1 - at - af), 9)) >= 0.05 THEN 'TRUE'
-       WHEN round(af, 9) >= 0.6 AND round(af, 9) - greatest(round(at, 9), round(greatest(0, 1 - at - af), 9)) >= 0.05 THEN 'FALSE' ELSE 'UNDECIDABLE' END AS and_decision
+g AS (SELECT event_type, user_id, product(t) AS a_t, 1 - product(1 - f) AS a_f, 1 - product(1 - t) AS o_t, product(f) AS o_f FROM m GROUP BY 1, 2)
+SELECT event_type, user_id, round(a_t, 6) AS and_true, round(a_f, 6) AS and_false, round(o_t, 6) AS or_true, round(o_f, 6) AS or_false,
+  CASE WHEN round(a_t, 9) >= 0.6 AND round(a_t, 9) - greatest(round(a_f, 9), round(greatest(0, 1 - a_t - a_f), 9)) >= 0.05 THEN 'TRUE'
+       WHEN round(a_f, 9) >= 0.6 AND round(a_f, 9) - greatest(round(a_t, 9), round(greatest(0, 1 - a_t - a_f), 9)) >= 0.05 THEN 'FALSE' ELSE 'UNDECIDABLE' END AS and_decision
 FROM g""")
 def state_algebra(spark: SparkSession, sf: str) -> DataFrame:
     p = F.least(F.lit(1.0), F.col("value") / 60.0)
@@ -733,8 +733,7 @@ UPSERT_SQL = """
 WITH c AS (SELECT p_partkey AS rule_id, CASE WHEN p_size > 25 THEN 'high' ELSE 'low' END AS severity, p_brand AS standard FROM part),
 ch AS (SELECT l_partkey AS rule_id, CASE WHEN l_quantity > 40 THEN 'critical' WHEN l_quantity > 20 THEN 'medium' ELSE 'low' END AS severity,
     l_linestatus AS standard, CASE WHEN l_returnflag = 'R' THEN 'delete' ELSE 'upsert' END AS op, l_orderkey, l_linenumber,
-    row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC) AS rn,
-    count(*) OVER (PARTITION BY l_partkey, l_orderkey, l_linenumber) AS ties FROM lineitem)
+    row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC) AS rn FROM lineitem)
 SELECT coalesce(n.rule_id, c.rule_id) AS rule_id, CASE WHEN n.rule_id IS NULL THEN c.severity ELSE n.severity END AS severity,
   CASE WHEN n.rule_id IS NULL THEN c.standard ELSE n.standard END AS standard
 FROM c FULL JOIN (SELECT * FROM ch WHERE rn = 1) n ON n.rule_id = c.rule_id WHERE coalesce(n.op, 'keep') <> 'delete'"""
@@ -751,8 +750,8 @@ def rule_upsert(spark: SparkSession, sf: str) -> DataFrame:
         F.when(q > 40, F.lit("critical")).when(q > 20, F.lit("medium")).otherwise(F.lit("low")).alias("severity"),
         F.col("l_linestatus").alias("standard"),
         F.when(F.col("l_returnflag") == "R", F.lit("delete")).otherwise(F.lit("upsert")).alias("op"),
-        "l_orderkey", "l_linenumber")
-    return versions.upsert(current, changes, ["rule_id"], ["l_orderkey", "l_linenumber"])
+        "l_orderkey", "l_linenumber", "l_extendedprice")
+    return versions.upsert(current, changes, ["rule_id"], ["l_orderkey", "l_linenumber", "l_extendedprice"])
 
 
 @query("entry_upsert", """
