@@ -40,9 +40,13 @@ SEGMENT = 256
 
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
+    return decision_frame(read_table(spark, sf, "events"))
+
+
+def decision_frame(events: DataFrame) -> DataFrame:
     """Events as decisions: the event type is the tenant."""
     v, u = F.col("value"), F.col("user_id")
-    return read_table(spark, sf, "events").select(
+    return events.select(
         F.col("event_type").alias("tenant_id"), F.format_string("P%010d", "event_id").alias("proof_id"),
         F.when(u < 50, F.lit("input_shield")).when(u < 100, F.lit("claim_check")).otherwise(F.lit("policy_check")).alias("proof_type"),
         "ts", F.substring(F.sha2("props", 256), 1, 32).alias("input_hash"),
@@ -154,7 +158,11 @@ def decision_ids(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------- traces
 
 def trace_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as trace events: a user's events of a day form a trace."""
+    return trace_frame(read_table(spark, sf, "events"))
+
+
+def trace_frame(events: DataFrame) -> DataFrame:
+    """Events as trace events: the events of a user form a trace."""
     v = F.col("value")
     decision = F.when(v < 10, F.lit("TRUE")).when(v < 30, F.lit("UNDECIDABLE"))
     attributes = F.create_map(
@@ -162,7 +170,7 @@ def trace_events(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("total_tokens"), F.get_json_object("props", "$.k"), F.lit("estimated_cost_usd"), F.round(v / 1000, 6).cast("string"),
         F.lit("api_key"), F.sha2("props", 256), F.lit("case_id"), F.concat(F.lit("case"), F.col("user_id")),
         F.lit("authorization"), F.lit("Bearer x"))
-    return read_table(spark, sf, "events").select(
+    return events.select(
         F.concat(F.lit("user"), "user_id").alias("trace_id"), F.col("event_id").cast("string").alias("span_id"),
         F.lit(None).cast("string").alias("parent_span_id"),
         F.when(v < 20, F.lit("pre_rag")).when(v < 40, F.lit("during_rag")).otherwise(F.lit("post_rag")).alias("stage"),

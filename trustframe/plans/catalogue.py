@@ -7,6 +7,7 @@ from trustframe.plans import (  # noqa: F401
     knowledge_queries,
     rag_queries,
     review_queries,
+    stream_queries,
 )
 from trustframe.plans.registry import CHECK_SQL, QUERIES
 
