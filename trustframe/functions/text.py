@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustframe.functions import fixed
@@ -18,6 +18,8 @@ WORD_CLASS = r"\p{L}\p{N}_"
 WORD = f"[{WORD_CLASS}]+"
 SPACE = (r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+                           0x202F, 0x205F, 0x3000]))
 MARK = chr(0xE0FF)
 
 
@@ -26,6 +28,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def each(frame: DataFrame, keep: list[str], array: Column, value: str, pos: str | None = None) -> DataFrame:
+    """One row per array element. Elements must not be null.
+
+    Unlike a plain explode this does not make the optimizer add a filter that computes the array a
+    second time, below every exchange.
+    """
+    if pos is None:
+        return frame.select(*keep, F.explode_outer(array).alias(value)).filter(F.col(value).isNotNull())
+    return frame.select(*keep, F.posexplode_outer(array).alias(pos, value)).filter(F.col(pos).isNotNull())
+
+
 def record(**fields: Column) -> Column:
     """A struct with explicit names, which survive inside nested lambdas."""
     return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
@@ -124,7 +137,7 @@ def sentences_at_stops(col: Column, shortest: int = 10) -> Column:
 
 
 def squeeze_ends(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def sentences_at_points(col: Column, shortest: int = 1) -> Column:

@@ -53,7 +53,7 @@ def hash_embedding(col: Column, dimensions: int = 128) -> Column:
 
 def hash_embedding_entries(df: DataFrame, key: str, col: str, dimensions: int = 128) -> DataFrame:
     """The same embedding in sparse form, one row per (key, dim), for long texts."""
-    hits = (df.select(key, F.explode(text.space_words(F.col(col))).alias("word"))
+    hits = (text.each(df, [key], text.space_words(F.col(col)), "word")
             .select(key, token_dimension(F.col("word"), dimensions).alias("dim"))
             .groupBy(key, "dim").agg(F.count("*").alias("n")))
     length = hits.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))

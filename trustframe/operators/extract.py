@@ -102,7 +102,7 @@ def pattern_facts(documents: DataFrame, keys: list[str], column: str = "text",
     firsts = F.filter("scored", lambda f, i: F.array_position("names", f["key"]) == i + 1)
     ordered = F.slice(F.array_sort(F.transform(firsts, lambda f: text.record(
         rank=-f["confidence"], place=f["place"], content=f["content"], kind=f["kind"], confidence=f["confidence"]))), 1, most)
-    return frame.select(*keys, F.posexplode(ordered).alias("pos", "f")).select(
+    return text.each(frame, keys, ordered, "f", "pos").select(
         *keys, "pos", F.col("f.content").alias("content"), F.col("f.kind").alias("fact_type"),
         F.round("f.confidence", 6).alias("confidence"))
 
@@ -154,7 +154,7 @@ def concepts(documents: DataFrame, keys: list[str], column: str = "text") -> Dat
             framework=F.lit(framework), concept=F.lit(concept), source=F.lit(source),
             facts=keep(F.filter(n, lambda s: ~forbids(s))), constraints=keep(F.filter(n, forbids))))
 
-    rows = frame.select(*keys, F.explode(F.array(*[entry(*row) for row in fixed.CONCEPT_TERMS])).alias("e"))
+    rows = text.each(frame, keys, F.array(*[entry(*row) for row in fixed.CONCEPT_TERMS]), "e")
     return rows.filter((F.size("e.facts") > 0) | (F.size("e.constraints") > 0)).select(*keys, "e.*")
 
 

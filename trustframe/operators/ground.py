@@ -37,9 +37,8 @@ def claim_rows(samples: DataFrame, keys: list[str]) -> DataFrame:
     prepared = F.transform("contexts", lambda c: text.let(text.tokens(c["text"]), lambda w: text.record(
         doc_id=c["doc_id"], body=F.lower(c["text"]), runs=word_runs(w), words=F.array_distinct(w),
         numbers=text.numbers_with_units(c["text"]))))
-    return samples.select(
-        *keys, "answer", prepared.alias("prepared"),
-        F.posexplode(text.claims(F.col("answer"))).alias("pos", "claim"))
+    frame = samples.select(*keys, "answer", prepared.alias("prepared"))
+    return text.each(frame, [*keys, "answer", "prepared"], text.claims(F.col("answer")), "claim", "pos")
 
 
 def _scored_contexts(claim: Column, words: Column, runs: Column, prepared: Column) -> Column:

@@ -106,14 +106,14 @@ def scan(frame: DataFrame, column: str, rules: list[Rule], context_keys: str | N
 
 
 def violation_rows(scanned: DataFrame, keys: list[str], column: str = "violations") -> DataFrame:
-    return scanned.select(*keys, F.explode(column).alias("v")).select(*keys, "v.*")
+    return text.each(scanned, keys, F.col(column), "v").select(*keys, "v.*")
 
 
 def ranked_violations(scanned: DataFrame, keys: list[str]) -> DataFrame:
     """Violations of each text, most severe first, then by rule and position."""
     ordered = F.array_sort(F.transform("violations", lambda v: text.record(
         severity_rank=v["severity_rank"], rule_id=v["rule_id"], position=v["position"])))
-    return scanned.select(*keys, F.posexplode(ordered).alias("place", "v")).select(*keys, "place", "v.*")
+    return text.each(scanned, keys, ordered, "v", "place").select(*keys, "place", "v.*")
 
 
 def status(violations: Column) -> Column:

@@ -361,7 +361,7 @@ def constraint_violations(facts: DataFrame, constraints: list[Constraint]) -> Da
     found = F.filter(F.array(*[F.when(violates(c), text.record(
         constraint=F.lit(c.name), kind=F.lit(c.kind), severity=F.lit(c.severity), action=F.lit(c.action)))
         for c in constraints]), lambda v: v.isNotNull())
-    return facts.select("*", F.explode(found).alias("v")).select(*facts.columns, "v.*")
+    return text.each(facts, facts.columns, found, "v").select(*facts.columns, "v.*")
 
 
 def blocked(constraints: list[Constraint]) -> Column:

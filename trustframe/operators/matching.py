@@ -18,6 +18,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trustframe.functions import text
+from trustframe.functions.session import cut_lineage
+
 GRAM = 4
 
 
@@ -31,18 +34,24 @@ def match_sets(left: DataFrame, right: DataFrame, need: Callable[[Column], Colum
 
     Both sides have ``key`` and ``words`` (distinct words); ``need`` gives at least one.
     """
-    lefts = left.select(F.col("key").alias("left_key"), "words").filter(F.size("words") > 0).dropDuplicates(["left_key"])
-    rights = right.select(F.col("key").alias("right_key"), "words").filter(F.size("words") > 0).dropDuplicates(["right_key"])
-    right_words = rights.select("right_key", F.size("words").alias("n_right"), F.explode("words").alias("word"))
+    def distinct_sets(frame: DataFrame, name: str) -> DataFrame:
+        # sorted words, so that equal sets are equal rows and a hash aggregate removes the copies
+        return (frame.select(F.col("key").alias(name), F.array_sort("words").alias("words"))
+                .filter(F.size("words") > 0).distinct())
+
+    lefts, rights = distinct_sets(left, "left_key"), cut_lineage(distinct_sets(right, "right_key"))
+    right_words = text.each(rights, ["right_key"], F.col("words"), "word")
     frequency = right_words.groupBy("word").agg(F.count("*").alias("frequency"))
-    known = (lefts.select("left_key", F.size("words").alias("n_left"), F.explode("words").alias("word"))
+    sized = lefts.select("left_key", "words", F.size("words").alias("n_left"))
+    known = (text.each(sized, ["left_key", "n_left"], F.col("words"), "word")
              .join(frequency, "word").groupBy("left_key", "n_left")
              .agg(F.array_sort(F.collect_list(F.struct("frequency", "word"))).alias("known")))
     needed = F.greatest(F.lit(1), need(F.col("n_left")).cast("int"))
-    possible = known.withColumn("needed", needed).filter(F.size("known") >= F.col("needed"))
-    prefix = possible.select("left_key", F.explode(F.slice(
-        "known", 1, F.size("known") - F.col("needed") + 1)).alias("k")).select("left_key", "k.word")
-    candidates = prefix.join(right_words.select("right_key", "word"), "word").select("left_key", "right_key").distinct()
+    # read twice below, for the join and for the check
+    possible = cut_lineage(known.withColumn("needed", needed).filter(F.size("known") >= F.col("needed")))
+    prefix = text.each(possible, ["left_key"], F.slice("known", 1, F.size("known") - F.col("needed") + 1), "k").select(
+        "left_key", "k.word")
+    candidates = prefix.join(right_words, "word").select("left_key", "right_key").distinct()
     checked = (candidates
                .join(possible.select("left_key", "n_left", "needed", F.transform("known", lambda k: k["word"]).alias("lw")), "left_key")
                .join(rights.select("right_key", F.size("words").alias("n_right"), F.col("words").alias("rw")), "right_key")
@@ -76,15 +85,17 @@ def contained_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     for n in sorted(sizes):
         here = F.when(F.length("body") >= n, _runs("body", n))
         runs = F.concat(runs, F.coalesce(here, F.array().cast("array<string>")))
-    bodies = texts.select("text_key", "body").dropDuplicates(["text_key"])
-    body_runs = bodies.select("text_key", F.explode(F.array_distinct(runs)).alias("run"))
+    bodies = texts.select("text_key", "body").distinct()
+    body_runs = text.each(bodies, ["text_key"], F.array_distinct(runs), "run")
     wanted = term_runs.select("run").distinct()
-    frequency = body_runs.join(wanted, "run").groupBy("run").agg(F.count("*").alias("frequency"))
+    # only runs that some term has; read twice below
+    hits = cut_lineage(body_runs.join(wanted, "run"))
+    frequency = hits.groupBy("run").agg(F.count("*").alias("frequency"))
     chosen = (term_runs.join(frequency, "run", "left")
               .groupBy("term").agg(F.min_by(F.struct("run", "frequency"), F.struct(
                   F.coalesce("frequency", F.lit(0)).alias("f"), "run")).alias("c"))
               .filter(F.col("c.frequency").isNotNull()).select("term", F.col("c.run").alias("run")))
-    pairs = body_runs.join(chosen, "run").select("text_key", "term")
+    pairs = hits.join(chosen, "run").select("text_key", "term")
     return pairs.join(bodies, "text_key").filter(F.contains("body", F.col("term"))).select("text_key", "term")
 
 

@@ -326,7 +326,7 @@ c AS (SELECT doc_id, CASE WHEN len(text) <= {4 * CHUNK_TOKENS} THEN [text] WHEN
 SELECT doc_id, CAST(generate_subscripts(chunks, 1) - 1 AS INTEGER) AS pos, md5(unnest(chunks)) AS chunk_md5 FROM c""")
 def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_texts(spark, sf, "documents")
-    return docs.select("doc_id", F.posexplode(extract.chunks(F.col("text"), CHUNK_TOKENS)).alias("pos", "chunk")).select(
+    return text.each(docs, ["doc_id"], extract.chunks(F.col("text"), CHUNK_TOKENS), "chunk", "pos").select(
         "doc_id", "pos", F.md5("chunk").alias("chunk_md5"))
 
 
@@ -334,7 +334,7 @@ def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, md5(array_to_string(chunks, ' ')) AS content_md5, CAST(len(chunks) AS BIGINT) AS chunks FROM c""")
 def chunk_regroup(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_texts(spark, sf, "documents")
-    rows = docs.select("doc_id", F.posexplode(extract.chunks(F.col("text"), CHUNK_TOKENS)).alias("pos", "content"))
+    rows = text.each(docs, ["doc_id"], extract.chunks(F.col("text"), CHUNK_TOKENS), "content", "pos")
     return extract.regroup(rows, "doc_id", "pos", "content").select("doc_id", F.md5("content").alias("content_md5"), "chunks")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustframe.functions import fixed, text, truth
+from trustframe.functions.session import cut_lineage
 from trustframe.operators import ground, guard, knowledge, quality
 
 
@@ -20,9 +21,11 @@ def claim_check(claims: DataFrame, rules: list[guard.Rule], facts: DataFrame | N
     score of evidence given with the claim. Each source is asked about distinct claims only, and
     only about those that the sources before it left open.
     """
-    distinct = claims.select("claim_key", "claim").dropDuplicates(["claim_key"])
-    scanned = guard.scan(distinct, "claim", rules)
-    blocked = guard.blocking(F.col("violations"))
+    distinct = claims.select("claim_key", "claim").distinct()
+    scanned = guard.scan(distinct, "claim", rules).select(
+        "claim_key", "claim", guard.blocking(F.col("violations")).alias("blocked"))
+    scanned = cut_lineage(scanned)  # scanned once, read by every source below
+    blocked = F.col("blocked")
     verdicts = scanned.filter(blocked).select(
         "claim_key", F.lit("compliance").alias("source"), F.lit("FALSE").alias("decision"), F.lit(1.0).alias("confidence"))
     still_open = scanned.filter(~blocked).select("claim_key", "claim")

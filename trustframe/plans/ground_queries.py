@@ -75,7 +75,7 @@ WITH {CLAIMS_SQL} last AS (SELECT 1)
 SELECT conv_id, turn, pos, claim, len(claim) AS n_chars FROM claims""")
 def claims_split(spark: SparkSession, sf: str) -> DataFrame:
     turns = read_texts(spark, sf, "conversations").filter("role = 'assistant'")
-    rows = turns.select(*KEYS, F.posexplode(text.claims(F.col("text"))).alias("pos", "claim"))
+    rows = text.each(turns, KEYS, text.claims(F.col("text")), "claim", "pos")
     return rows.withColumn("n_chars", F.length("claim").cast("bigint"))
 
 
@@ -99,7 +99,7 @@ WITH {CLAIMS_SQL} last AS (SELECT 1)
 SELECT conv_id, turn, pos AS child, pos - 1 AS parent FROM claims WHERE pos > 0 AND {S.depends('claim')}""")
 def claim_dependencies(spark: SparkSession, sf: str) -> DataFrame:
     turns = read_texts(spark, sf, "conversations").filter("role = 'assistant'")
-    rows = turns.select(*KEYS, F.posexplode(text.claims(F.col("text"))).alias("child", "claim"))
+    rows = text.each(turns, KEYS, text.claims(F.col("text")), "claim", "child")
     rows = rows.filter((F.col("child") > 0) & text.depends_on_previous(F.col("claim")))
     return rows.select(*KEYS, "child", (F.col("child") - 1).alias("parent"))
 
@@ -185,7 +185,7 @@ QUALIFY row_number() OVER (PARTITION BY conv_id, turn, child ORDER BY similarity
 @query("orphan_links", ORPHAN_SQL)
 def orphan_links(spark: SparkSession, sf: str) -> DataFrame:
     turns = read_texts(spark, sf, "conversations").filter("role = 'assistant'")
-    rows = turns.select(*KEYS, F.posexplode(text.claims(F.col("text"))).alias("pos", "claim"))
+    rows = text.each(turns, KEYS, text.claims(F.col("text")), "claim", "pos")
     rows = rows.withColumn("depends", (F.col("pos") > 0) & text.depends_on_previous(F.col("claim")))
     return ground.link_orphans(rows, KEYS)
 

@@ -252,11 +252,11 @@ def assessed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("output_quality", QUALITY_SQL + """
 SELECT conv_id, turn, relevance, relevance_score, completeness_score, clarity_score, factuality_score,
-  consistency_score, overall, CAST(n_issues AS INTEGER) AS n_issues, is_valid, decision FROM judged""")
+  consistency_score, round(overall, 6) AS overall, CAST(n_issues AS INTEGER) AS n_issues, is_valid, decision FROM judged""")
 def output_quality(spark: SparkSession, sf: str) -> DataFrame:
     return assessed(spark, sf).select(
         "conv_id", "turn", "relevance", "relevance_score", "completeness_score", "clarity_score",
-        "factuality_score", "consistency_score", "overall", F.size("issues").alias("n_issues"), "is_valid", "decision")
+        "factuality_score", "consistency_score", F.round("overall", 6).alias("overall"), F.size("issues").alias("n_issues"), "is_valid", "decision")
 
 
 @query("retry_guidance", QUALITY_SQL + """,

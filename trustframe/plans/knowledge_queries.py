@@ -20,14 +20,14 @@ MIN_SENTENCE = 10
 
 
 def document_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_texts(spark, sf, "documents").select(
-        "doc_id", F.posexplode(text.sentences_at_points(F.col("text"), MIN_SENTENCE)).alias("pos", "claim"))
+    docs = text.each(read_texts(spark, sf, "documents"), ["doc_id"],
+                     text.sentences_at_points(F.col("text"), MIN_SENTENCE), "claim", "pos")
     return docs.withColumn("claim_key", F.md5("claim"))
 
 
 def passage_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "benchmark").select(
-        "item_id", F.posexplode(text.sentences_at_points(F.col("text"), MIN_SENTENCE)).alias("pos", "sentence"))
+    return text.each(read_table(spark, sf, "benchmark"), ["item_id"],
+                     text.sentences_at_points(F.col("text"), MIN_SENTENCE), "sentence", "pos")
 
 
 def passage_facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +65,7 @@ SELECT s.doc_id, s.pos, r.decision, r.confidence FROM sents s JOIN relevant r US
 def fact_relevance(spark: SparkSession, sf: str) -> DataFrame:
     sentences = document_sentences(spark, sf)
     claims = sentences.select("claim_key", text.token_set(F.col("claim"), fixed.OVERLAP_STOPWORDS).alias("words"))
-    verdict = knowledge.relevant_facts(claims.dropDuplicates(["claim_key"]), passage_facts(spark, sf))
+    verdict = knowledge.relevant_facts(claims.distinct(), passage_facts(spark, sf))
     return sentences.join(verdict, "claim_key").select("doc_id", "pos", "decision", "confidence")
 
 
@@ -111,7 +111,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY claim ORDER BY score D
 
 def search(spark: SparkSession, sf: str, k: int) -> DataFrame:
     """Top passages for every distinct document sentence."""
-    sentences = document_sentences(spark, sf).dropDuplicates(["claim_key"])
+    sentences = document_sentences(spark, sf).select("claim_key", "claim").distinct()
     queries = sentences.select(F.col("claim_key").alias("query_id"), F.lower("claim").alias("body"),
                                text.space_word_set(F.col("claim")).alias("words"))
     facts = passage_sentences(spark, sf).select(
@@ -171,7 +171,7 @@ verdicts AS (SELECT s.claim, concepts, coalesce(supporting, 0) AS supporting, co
 
 
 def ontology_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    claims = document_sentences(spark, sf).select("claim_key", "claim").dropDuplicates(["claim_key"])
+    claims = document_sentences(spark, sf).select("claim_key", "claim").distinct()
     return knowledge.ontology_check(claims, ontology_entries(spark, sf))
 
 
