@@ -3,7 +3,8 @@
 Evidence score of a claim in a context, 0 to 100: 100 when the context contains the claim; else the
 share of the claim's distinct three-word runs (single words for claims under three words) that the
 context has. It is a word-run score, not an edit alignment, so paraphrases may be labelled
-differently than by an alignment score.
+differently than by an alignment score. Numbers are compared when the context has enough of the
+claim's single words, because the number itself breaks the runs around it.
 """
 
 from __future__ import annotations
@@ -44,6 +45,11 @@ def claim_rows(samples: DataFrame, keys: list[str]) -> DataFrame:
 def _scored_contexts(claim: Column, words: Column, runs: Column, prepared: Column) -> Column:
     body = F.lower(claim)
 
+    def word_share(c: Column) -> Column:
+        distinct = F.array_distinct(words)
+        return F.when(F.size(distinct) > 0, F.round(
+            100.0 * F.size(F.array_intersect(distinct, c["words"])) / F.size(distinct), 6)).otherwise(F.lit(0.0))
+
     def score(c: Column) -> Column:
         known = F.when(F.size(words) >= 3, c["runs"]).otherwise(c["words"])
         share = F.when(F.size(runs) > 0, 100.0 * F.size(F.array_intersect(runs, known)) / F.size(runs)
@@ -51,12 +57,12 @@ def _scored_contexts(claim: Column, words: Column, runs: Column, prepared: Colum
         return F.when(F.contains(c["body"], body), F.lit(100.0)).otherwise(F.round(share, 6))
 
     return F.transform(prepared, lambda c, i: text.record(
-        score=score(c), order=-i, doc_id=c["doc_id"], body=c["body"], words=c["words"],
+        score=score(c), order=-i, word_share=word_share(c), doc_id=c["doc_id"], body=c["body"], words=c["words"],
         numbers=c["numbers"]))
 
 
-def _label(score: Column, claim_numbers: Column, context_numbers: Column) -> Column:
-    conflict = (score >= NUMERIC_AT) & text.numeric_conflict(claim_numbers, context_numbers)
+def _label(score: Column, word_share: Column, claim_numbers: Column, context_numbers: Column) -> Column:
+    conflict = (word_share >= NUMERIC_AT) & text.numeric_conflict(claim_numbers, context_numbers)
     return (F.when(conflict, F.lit("contradicted")).when(score >= SUPPORT_AT, F.lit("supported"))
             .otherwise(F.lit("unsupported")))
 
@@ -70,16 +76,17 @@ def evidence(claims: DataFrame) -> DataFrame:
         F.col("claim"), F.col("claim_words"), F.col("claim_runs"), F.col("prepared")))
     best = F.array_max("scored")
     labels = F.transform("scored", lambda c: text.record(
-        doc_id=c["doc_id"], label=_label(c["score"], F.col("claim_numbers"), c["numbers"])))
+        doc_id=c["doc_id"], label=_label(c["score"], c["word_share"], F.col("claim_numbers"), c["numbers"])))
     frame = frame.withColumn("best", best).withColumn("context_labels", labels)
     score = F.coalesce(F.col("best.score"), F.lit(0.0))
-    label = F.coalesce(_label(score, F.col("claim_numbers"), F.col("best.numbers")), F.lit("unsupported"))
+    label = F.coalesce(_label(score, F.col("best.word_share"), F.col("claim_numbers"), F.col("best.numbers")), F.lit("unsupported"))
     exact = F.position(F.lower("claim"), F.col("best.body"))
     met = F.array_intersect("claim_words", F.col("best.words"))
     starts = F.transform(met, lambda w: F.position(w, F.col("best.body")) - 1)
     ends = F.transform(met, lambda w: F.position(w, F.col("best.body")) - 1 + F.length(w))
     return (frame
-            .withColumn("label", label).withColumn("confidence", score / 100.0)
+            .withColumn("label", label)
+            .withColumn("confidence", F.when(F.col("label") == "contradicted", F.col("best.word_share")).otherwise(score) / 100.0)
             .withColumn("evidence_doc", F.col("best.doc_id"))
             .withColumn("evidence_start", F.when(exact > 0, exact - 1).otherwise(F.array_min(starts)))
             .withColumn("evidence_end", F.when(exact > 0, exact - 1 + F.length("claim"))

@@ -12,6 +12,8 @@ from trustframe.functions import fixed, text, truth
 SNIPPET = 50
 RISK_LIMIT = 0.7
 MOST_RULES = 5000
+VIOLATION = ("struct<rule_id:string,standard:string,severity:string,severity_rank:int,description:string,"
+             "remediation:string,matched:string,position:int,snippet:string>")
 
 
 @dataclass
@@ -102,7 +104,8 @@ def scan(frame: DataFrame, column: str, rules: list[Rule], context_keys: str | N
         hits = F.filter(F.transform("_matches", lambda p, i: text.record(p=p, i=i)), lambda h: h["p"] != "")
         found.append(F.transform(hits, lambda h: violation(
             F.get(meta(regexes), h["i"]), h["p"], F.position(h["p"], body) - 1)))
-    return frame.withColumn(out, F.concat(*found) if found else F.array()).drop("_positions", "_matches", lower)
+    none = F.array().cast(f"array<{VIOLATION}>")
+    return frame.withColumn(out, F.concat(*found) if found else none).drop("_positions", "_matches", lower)
 
 
 def violation_rows(scanned: DataFrame, keys: list[str], column: str = "violations") -> DataFrame:

@@ -53,10 +53,11 @@ pairs AS (
     CASE WHEN contains(r.body, lower(c.claim)) THEN 100.0
          WHEN len(c.cr) = 0 THEN 0.0
          ELSE round(100.0::DOUBLE * {S.common('c.cr', 'CASE WHEN len(c.cw) >= 3 THEN r.runs ELSE r.words END')} / len(c.cr), 6)
-    END::DOUBLE AS score
+    END::DOUBLE AS score,
+    CASE WHEN len(c.cw) = 0 THEN 0.0 ELSE round(100.0::DOUBLE * {S.common('list_distinct(c.cw)', 'r.words')} / len(list_distinct(c.cw)), 6) END::DOUBLE AS ws
   FROM claim_runs c JOIN runs r ON r.conv_id = c.conv_id AND r.doc_id BETWEEN c.turn - 2 AND c.turn - 1),
 labelled AS (
-  SELECT *, CASE WHEN score >= 40 AND {S.numeric_conflict('cn', 'tn')} THEN 'contradicted'
+  SELECT *, CASE WHEN ws >= 40 AND {S.numeric_conflict('cn', 'tn')} THEN 'contradicted'
                  WHEN score >= 75 THEN 'supported' ELSE 'unsupported' END AS label
   FROM pairs),
 best AS (
@@ -64,7 +65,7 @@ best AS (
   QUALIFY row_number() OVER (PARTITION BY conv_id, turn, pos ORDER BY score DESC, doc_id) = 1),
 scored AS (
   SELECT c.conv_id, c.turn, c.pos, c.claim, c.answer, coalesce(b.label, 'unsupported') AS own_label,
-         coalesce(b.score, 0) / 100.0 AS own_conf, b.doc_id, b.body, b.cw, b.words,
+         coalesce(CASE WHEN b.label = 'contradicted' THEN b.ws ELSE b.score END, 0) / 100.0 AS own_conf, b.doc_id, b.body, b.cw, b.words,
          c.pos > 0 AND {S.depends('c.claim')} AS depends
   FROM claims c LEFT JOIN best b USING (conv_id, turn, pos)),
 """
