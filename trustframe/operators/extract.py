@@ -133,17 +133,20 @@ def relation_of(fact_type: Column) -> Column:
 def concepts(documents: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
     """Regulation concepts named in each document with up to ten fact and constraint sentences.
 
-    A text that holds none of a concept's terms is never split for it.
+    The sentences are searched only for concepts that a cheap test of the whole text leaves possible.
     """
     frame = documents.select(*keys, F.col(column).alias("body"), F.lower(F.col(column)).alias("lower_body"))
     sentences = text.sentences_loose(F.col("body"))
-    any_term = [t for *_, terms in fixed.CONCEPT_TERMS for t in terms]
-    frame = frame.filter(text.contains_any(F.col("lower_body"), sorted({w for t in any_term for w in [t.split()[0]]})))
+
+    def named_in(terms: list[str]) -> Column:
+        # a text that holds a term, with any spacing, holds the term's longest word
+        return text.contains_any(F.col("lower_body"), sorted({max(t.split(), key=len) for t in terms}))
+
     frame = frame.withColumn("sentences", F.transform(sentences, lambda s: text.record(
         raw=s, plain=text.squeeze(F.lower(s)))))
 
     def entry(framework: str, concept: str, articles: list[str], terms: list[str]) -> Column:
-        named = F.filter("sentences", lambda s: text.contains_any(s["plain"], terms))
+        named = F.when(named_in(terms), F.filter("sentences", lambda s: text.contains_any(s["plain"], terms)))
         forbids = lambda s: text.contains_any(s["plain"], fixed.CONCEPT_CONSTRAINT_MARKS)
 
         def keep(items: Column) -> Column:

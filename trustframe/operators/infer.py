@@ -123,7 +123,7 @@ def forward_chain(facts: DataFrame, rules: list[Rule], max_rounds: int = 100, le
         if fresh.isEmpty():
             every = known
             break
-        every = cut_lineage(known.unionByName(added))
+        every = known.unionByName(added)  # both read the rows just written
     empty = every.sparkSession.createDataFrame(
         [], "subject string, relation string, object string, rule string, premises array<struct<subject:string,"
         "relation:string,object:string>>, steps bigint, state struct<p_true:double,p_false:double,p_und:double>, round int")

@@ -151,11 +151,9 @@ def relevant_facts(claims: DataFrame, facts: DataFrame, share: float = 0.35) ->
         F.coalesce("against", "supports", F.lit(0.0)).alias("confidence"))
 
 
-def contradicts(claim: Column, constraint: Column, claim_words: Column, constraint_words: Column) -> Column:
+def contradicts(claim_negated: Column, constraint_negated: Column, claim_words: Column, constraint_words: Column) -> Column:
     """Two shared words and opposite polarity."""
-    shared = F.size(F.array_intersect(claim_words, constraint_words)) >= 2
-    return shared & (text.contains_any(claim, fixed.CONSTRAINT_NEGATIONS)
-                     != text.contains_any(constraint, fixed.CONSTRAINT_NEGATIONS))
+    return (F.size(F.array_intersect(claim_words, constraint_words)) >= 2) & (claim_negated != constraint_negated)
 
 
 def ontology_check(claims: DataFrame, entries: DataFrame) -> DataFrame:
@@ -170,13 +168,18 @@ def ontology_check(claims: DataFrame, entries: DataFrame) -> DataFrame:
         lambda t: F.lower(t)))).alias("term"))
     named = (matching.contained_terms(texts, terms).join(terms, "term")
              .select("text_key", "concept").distinct())
-    pairs = (named.join(texts, "text_key").join(entries.select("concept", "facts", "constraints"), "concept")
+    # the word sets of an entry are made once, not once per pair
+    prepared = entries.select(
+        "concept", F.transform("facts", lambda f: text.space_word_set(f, fixed.SIMILARITY_STOPWORDS)).alias("fact_words"),
+        F.transform("constraints", lambda c: text.record(
+            negated=text.contains_any(F.lower(c), fixed.CONSTRAINT_NEGATIONS),
+            words=text.space_word_set(c, fixed.CONSTRAINT_NEGATIONS))).alias("rules"))
+    pairs = (named.join(texts, "text_key").join(prepared, "concept")
+             .withColumn("negated", text.contains_any(F.col("body"), fixed.CONSTRAINT_NEGATIONS))
              .withColumn("words", text.space_word_set(F.col("body"), fixed.SIMILARITY_STOPWORDS))
              .withColumn("plain", text.space_word_set(F.col("body"), fixed.CONSTRAINT_NEGATIONS)))
-    similar = F.filter(F.transform("facts", lambda f: text.jaccard(
-        F.col("words"), text.space_word_set(f, fixed.SIMILARITY_STOPWORDS))), lambda s: s > 0.5)
-    against = F.filter("constraints", lambda c: contradicts(
-        F.col("body"), F.lower(c), F.col("plain"), text.space_word_set(c, fixed.CONSTRAINT_NEGATIONS)))
+    similar = F.filter(F.transform("fact_words", lambda w: text.jaccard(F.col("words"), w)), lambda s: s > 0.5)
+    against = F.filter("rules", lambda r: contradicts(F.col("negated"), r["negated"], F.col("plain"), r["words"]))
     sums = pairs.select("text_key", "concept", similar.alias("similar"), F.size(against).alias("against"))
     per = sums.groupBy(F.col("text_key").alias("claim_key")).agg(
         F.count("*").alias("concepts"), F.sum(F.size("similar")).alias("supporting"),

@@ -83,8 +83,7 @@ def contained_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
         lambda i: F.substring(F.col("term"), i, size)))).alias("run"))
     runs = F.array().cast("array<string>")
     for n in sorted(sizes):
-        here = F.when(F.length("body") >= n, _runs("body", n))
-        runs = F.concat(runs, F.coalesce(here, F.array().cast("array<string>")))
+        runs = F.concat(runs, _runs("body", n))
     bodies = texts.select("text_key", "body").distinct()
     body_runs = text.each(bodies, ["text_key"], F.array_distinct(runs), "run")
     wanted = term_runs.select("run").distinct()
@@ -100,8 +99,8 @@ def contained_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def _runs(column: str, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(column) - size + 1),
-                       lambda i: F.substring(F.col(column), i, F.lit(size)))
+    """All runs of that many characters; a look-ahead lets them overlap."""
+    return F.regexp_extract_all(F.col(column), F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
 def keyword_search(queries: DataFrame, facts: DataFrame, k: int = 5, min_score: float = 0.3) -> DataFrame:

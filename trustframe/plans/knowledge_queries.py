@@ -63,10 +63,10 @@ relevant AS (SELECT claim, CASE WHEN against IS NOT NULL THEN 'FALSE' ELSE 'TRUE
 @query("fact_relevance", RELEVANT_SQL + """
 SELECT s.doc_id, s.pos, r.decision, r.confidence FROM sents s JOIN relevant r USING (claim)""")
 def fact_relevance(spark: SparkSession, sf: str) -> DataFrame:
-    sentences = document_sentences(spark, sf)
-    claims = sentences.select("claim_key", text.token_set(F.col("claim"), fixed.OVERLAP_STOPWORDS).alias("words"))
-    verdict = knowledge.relevant_facts(claims.distinct(), passage_facts(spark, sf))
-    return sentences.join(verdict, "claim_key").select("doc_id", "pos", "decision", "confidence")
+    claims = document_sentences(spark, sf).select(
+        F.struct("doc_id", "pos").alias("claim_key"), text.token_set(F.col("claim"), fixed.OVERLAP_STOPWORDS).alias("words"))
+    verdict = knowledge.relevant_facts(claims, passage_facts(spark, sf))
+    return verdict.select("claim_key.doc_id", "claim_key.pos", "decision", "confidence")
 
 
 SIMILAR_SQL = f"""WITH {SENTENCES_SQL}
