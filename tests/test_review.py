@@ -117,3 +117,18 @@ def test_perturb(spark):
     assert len(got["conflicting_context"]["contexts"]) == 2
     with pytest.raises(ValueError):
         generate.perturb(df, "sid", ["nope"])
+
+
+def test_seed_judges_and_parsers(spark):
+    from trustframe.functions import fixed, text
+    answers = ["Contractors may export data to external analytics.", "Refunds are available within 30 days.",
+               "Premium refunds are available within 30 days.", ""]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, a string")
+    got = [r["d"] for r in df.orderBy("i").select(review.judge_by_rules(F.col("a"), fixed.SEED_ANSWER_RULES).alias("d")).collect()]
+    assert got == ["FALSE", "TRUE", "UNDECIDABLE", "UNDECIDABLE"]
+    row = spark.range(1).select(
+        text.parse_label(F.lit('{"label":"maybe","confidence":"x","evidence_doc_idx":"2"}')).alias("l"),
+        text.parse_fact_list(F.lit('x [{"content":"c","type":"RULE","entities":["e"]}] y')).alias("f"),
+        text.parse_fact_list(F.lit("nothing")).alias("n")).first()
+    assert tuple(row["l"]) == ("unsupported", 0.0, 2)
+    assert tuple(row["f"][0]) == ("c", "rule", 0.7, ["e"]) and row["n"] == []

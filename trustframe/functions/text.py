@@ -242,6 +242,34 @@ def parse_decision(text: Column) -> Column:
         F.when(first.isNull(), F.lit("malformed")).otherwise(F.lit("valid")).alias("parse_status"))
 
 
+FACT_LIST = "array<struct<content:string,type:string,confidence:double,entities:array<string>>>"
+
+
+def parse_fact_list(text: Column) -> Column:
+    """Facts from a model's text: the outermost JSON list; unknown types count as definitions."""
+    listed = F.from_json(F.regexp_extract(text, r"(?s)\[.*\]", 0), FACT_LIST)
+    kinds = words_array(fixed.FACT_TYPES)
+
+    def fact(f: Column) -> Column:
+        kind = F.lower(F.coalesce(f["type"], F.lit("definition")))
+        return record(content=F.coalesce(f["content"], F.lit("")),
+                      fact_type=F.when(F.array_contains(kinds, kind), kind).otherwise(F.lit("definition")),
+                      confidence=F.coalesce(f["confidence"], F.lit(0.7)),
+                      entities=F.coalesce(f["entities"], F.array().cast("array<string>")))
+
+    return F.coalesce(F.transform(listed, fact), F.array().cast(
+        "array<struct<content:string,fact_type:string,confidence:double,entities:array<string>>>"))
+
+
+def parse_label(text: Column) -> Column:
+    """Struct (label, confidence, evidence_doc_idx) of a judge's JSON; unknown labels are unsupported."""
+    label = F.get_json_object(text, "$.label")
+    return record(
+        label=F.when(label.isin("supported", "unsupported", "contradicted"), label).otherwise(F.lit("unsupported")),
+        confidence=F.coalesce(F.get_json_object(text, "$.confidence").try_cast("double"), F.lit(0.0)),
+        evidence_doc_idx=F.get_json_object(text, "$.evidence_doc_idx").try_cast("int"))
+
+
 def guarded_decision(decision: Column, parse_status: Column, query: Column, evidence: Column) -> Column:
     """Correct a TRUE decision that its evidence forbids or does not cover."""
     seen, asked = F.lower(evidence), F.lower(query)

@@ -11,10 +11,15 @@ SCORE_DIGITS = 9
 
 
 def score_pairs(case_documents: DataFrame) -> DataFrame:
-    """Cosine per (case, document) of a frame with ``query_vector`` and ``document_vector``."""
+    """Cosine per (case, document) of a frame with ``query_vector`` and ``document_vector``.
+
+    Norms that the frame brings as ``query_norm`` and ``document_norm`` are not computed again; that
+    saves work when a vector takes part in many pairs.
+    """
+    for side in ("query", "document"):
+        if f"{side}_norm" not in case_documents.columns:
+            case_documents = case_documents.withColumn(f"{side}_norm", vectors.norm(F.col(f"{side}_vector")))
     return (case_documents
-            .withColumn("query_norm", vectors.norm(F.col("query_vector")))
-            .withColumn("document_norm", vectors.norm(F.col("document_vector")))
             .withColumn("score", F.round(vectors.cosine(
                 F.col("query_vector"), F.col("document_vector"),
                 F.col("query_norm"), F.col("document_norm")), SCORE_DIGITS))
@@ -62,7 +67,8 @@ def case_results(cases: DataFrame, scored: DataFrame, k: int = 3, policy: str =
     """One row per case with pre-, during- and post-retrieval values.
 
     ``cases`` has case_id, relevant (ids), retrieved (declared ids, may be null) and may have
-    expected_decision and observed_decision. ``scored`` has case_id, document_id, score, relevant.
+    expected_decision and observed_decision; the latter may come from any column or Arrow function
+    that judges the answer. ``scored`` has case_id, document_id, score, relevant.
     """
     if policy not in ("declared", "adaptive"):
         raise ValueError("policy must be 'declared' or 'adaptive'")

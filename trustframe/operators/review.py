@@ -23,6 +23,19 @@ def expected_from_label(label: Column) -> Column:
             .otherwise(F.lit("TRUE")))
 
 
+def judge_by_rules(answer: Column, rules: list[tuple[str, list[str], list[str]]]) -> Column:
+    """Decision of the first rule whose texts all stand in the answer and whose others do not."""
+    lower, out = F.lower(answer), None
+    for decision, needed, barred in rules:
+        fits = F.lit(True)
+        for words, wanted in ((needed, True), (barred, False)):
+            for w in words:
+                found = F.contains(lower, F.lit(w))
+                fits = fits & (found if wanted else ~found)
+        out = F.when(fits, F.lit(decision)) if out is None else out.when(fits, F.lit(decision))
+    return out.otherwise(F.lit("UNDECIDABLE"))
+
+
 def decision_metrics(frame: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Accuracy, false allow/block and abstention rates of (expected, observed) decisions."""
     e, o = F.col("expected"), F.col("observed")

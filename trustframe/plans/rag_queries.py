@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustframe.functions.session import cut_lineage, read_table
+from trustframe.functions.vectors import norm
 from trustframe.operators import rag
 from trustframe.plans.registry import query
 
@@ -16,13 +17,13 @@ RELATIVE = 0.85
 
 def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """(case, document) pairs with their cosine and whether the labels agree."""
-    vectors = read_table(spark, sf, "embeddings")
+    vectors = read_table(spark, sf, "embeddings").withColumn("norm", norm(F.col("embedding")))
     documents = vectors.select(
         F.col("vec_id").alias("document_id"), F.col("embedding").alias("document_vector"),
-        F.col("label").alias("document_label"),
+        F.col("norm").alias("document_norm"), F.col("label").alias("document_label"),
         F.explode(F.sequence(F.col("vec_id") - NEIGHBOURS, F.col("vec_id") - 1)).alias("case_id"))
     cases = vectors.select(F.col("vec_id").alias("case_id"), F.col("embedding").alias("query_vector"),
-                           F.col("label").alias("case_label"))
+                           F.col("norm").alias("query_norm"), F.col("label").alias("case_label"))
     pairs = cases.join(documents, "case_id")
     return rag.score_pairs(pairs).select(
         "case_id", "document_id", "score", (F.col("case_label") == F.col("document_label")).alias("relevant"))

@@ -405,6 +405,34 @@ def model_run_report(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(review.run_report(outputs))
 
 
+@query("model_fact_parse", """
+WITH w AS (SELECT conv_id, turn, regexp_extract(text, '[\\p{L}]+') AS a, len(text) AS n FROM conversations)
+SELECT conv_id, turn, a AS content, CASE WHEN n % 3 = 0 THEN 'rule' WHEN n % 3 = 1 THEN 'numeric' ELSE 'definition' END AS fact_type,
+  CASE WHEN n % 2 = 0 THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM w WHERE n % 5 <> 0""")
+def model_fact_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Fact lists in model texts, some of them not JSON, parsed back into facts."""
+    n, word = F.length("text"), F.regexp_extract("text", r"[\p{L}]+", 0)
+    kind = F.when(n % 3 == 0, F.lit("RULE")).when(n % 3 == 1, F.lit("Numeric")).otherwise(F.lit("OTHER"))
+    item = F.concat(F.lit('Facts: [{"content":"'), word, F.lit('","type":"'), kind, F.lit('"'),
+                    F.when(n % 2 == 0, F.lit(',"confidence":0.9')).otherwise(F.lit("")), F.lit("}] end"))
+    output = F.when(n % 5 == 0, F.concat(F.lit("no list, "), word)).otherwise(item)
+    rows = read_table(spark, sf, "conversations").select("conv_id", "turn", F.explode(text.parse_fact_list(output)).alias("f"))
+    return rows.select("conv_id", "turn", "f.content", "f.fact_type", "f.confidence")
+
+
+JUDGE_RULES = [("FALSE", ["token", "="], []), ("TRUE", ["that", "with"], ["token", "@"])]
+
+
+@query("rule_judged_answers", """
+WITH j AS (SELECT lang, CASE WHEN contains(lower(text), 'token') AND contains(lower(text), '=') THEN 'FALSE'
+  WHEN contains(lower(text), 'that') AND contains(lower(text), 'with') AND NOT contains(lower(text), 'token') AND NOT contains(lower(text), '@') THEN 'TRUE'
+  ELSE 'UNDECIDABLE' END AS decision FROM documents)
+SELECT lang, decision, CAST(count(*) AS BIGINT) AS answers FROM j GROUP BY 1, 2""")
+def rule_judged_answers(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("lang", review.judge_by_rules(F.col("text"), JUDGE_RULES).alias("decision"))
+    return docs.groupBy("lang", "decision").agg(F.count("*").alias("answers"))
+
+
 PERTURB_SQL = f"""
 WITH src AS (SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS sid, text AS answer FROM conversations WHERE role = 'assistant'),
 swapped AS (SELECT sid, regexp_split_to_array(answer, '\\b\\d+\\b') AS gaps, regexp_extract_all(answer, '\\b\\d+\\b') AS nums, answer FROM src),
