@@ -25,6 +25,21 @@ def test_rate_stream_equals_brute_force(spark, tmp_path):
     assert {k: v for k, v in got.items() if k in want} == want
 
 
+def test_rate_job_over_batches(spark, tmp_path):
+    rows = sorted(event_rows()[:-1], key=lambda r: r[2])
+    src = str(tmp_path / "in")
+    ddl = "id bigint, user string, s int"
+    for k in range(0, len(rows), 30):
+        part = spark.createDataFrame(rows[k:k + 30], ddl).withColumn("ts", F.timestamp_seconds("s"))
+        part.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    jobs.rate_job(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "user", "id", "ts", 60, "string").awaitTermination()
+    got = {r["id"]: r["in_window"] for r in spark.read.parquet(str(tmp_path / "out" / "counts")).collect()}
+    place = {r[0]: i // 30 for i, r in enumerate(rows)}
+    # a request sees everything of its own batch and the batches before it
+    assert got == {i: sum(1 for j, v, t in rows if v == u and s - 60 < t <= s and place[j] <= place[i]) for i, u, s in rows}
+
+
 def decision_files(spark, path, parts):
     rows = [(i, "big" if i % 4 else "small", f"P{i:04d}") for i in range(40)]
     df = spark.createDataFrame(rows, "s int, tenant_id string, proof_id string").withColumn("ts", F.timestamp_seconds("s")).withColumn(

@@ -132,18 +132,20 @@ def ledger_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("proof_id", "decision", F.col("date").cast("string").alias("date"))
 
 
-@query("ledger_counts", """
-WITH q AS (SELECT user_id AS query_id, count(*) FILTER (WHERE value < 10) AS proved, count(*) FILTER (WHERE value >= 100) AS rejected,
-  count(*) FILTER (WHERE value >= 80 AND value < 100) AS undecidable FROM events GROUP BY 1)
-SELECT query_id, CAST(proved AS INTEGER) AS proved, CAST(rejected AS INTEGER) AS rejected, CAST(undecidable AS INTEGER) AS undecidable FROM q WHERE rejected > 0 OR undecidable > 0""")
+@query("ledger_counts", f"""
+WITH c AS (SELECT conv_id || '-' || turn AS query_id, {S.claims('text')} AS cs FROM conversations),
+q AS (SELECT query_id, CAST(len([x FOR x IN cs IF len(x) < 40]) AS INTEGER) AS proved, CAST(len([x FOR x IN cs IF len(x) > 120]) AS INTEGER) AS rejected,
+  CAST(len([x FOR x IN cs IF len(x) BETWEEN 100 AND 120]) AS INTEGER) AS undecidable FROM c)
+SELECT * FROM q WHERE rejected > 0 OR undecidable > 0""")
 def ledger_counts(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("value")
-
-    def ids(condition):
-        return F.collect_set(F.when(condition, F.col("event_id")))
-
-    entries = read_table(spark, sf, "events").groupBy(F.col("user_id").alias("query_id")).agg(
-        ids(v < 10).alias("proved"), ids(v >= 100).alias("rejected"), ids((v >= 80) & (v < 100)).alias("undecidable"))
+    """Turns as ledger entries whose claims are proved, rejected or undecided by their length."""
+    claims = read_texts(spark, sf, "conversations").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"),
+        text.claims(F.col("text")).alias("cs"))
+    entries = claims.select(
+        "query_id", F.filter("cs", lambda c: F.length(c) < 40).alias("proved"),
+        F.filter("cs", lambda c: F.length(c) > 120).alias("rejected"),
+        F.filter("cs", lambda c: F.length(c).between(100, 120)).alias("undecidable"))
     return audit.outcome_counts(entries, ["rejected", "undecidable"])
 
 

@@ -39,6 +39,14 @@ def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     return appended(spark, out, "rate")
 
 
+@query("stream_rate_job", """
+SELECT user_id, event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECOND PRECEDING AND CURRENT ROW) AS BIGINT) AS in_window FROM events""")
+def stream_rate_job(spark: SparkSession, sf: str) -> DataFrame:
+    path = place(spark, "rate-job")
+    jobs.rate_job(stream(spark, sf, "events"), path, f"{path}/checkpoint", "user_id", "event_id", "ts", 3600).awaitTermination()
+    return spark.read.parquet(f"{path}/counts").select("user_id", "event_id", "in_window")
+
+
 @query("stream_trace_window", A.TRACE_SQL + """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, stage, CAST(count(*) AS BIGINT) AS events, round(sum(duration_ms), 6) AS latency_total,
   CAST(count(decision) AS BIGINT) AS decisions, CAST(count(*) FILTER (WHERE decision = 'UNDECIDABLE') AS BIGINT) AS abstentions

@@ -57,7 +57,8 @@ def rate_stream(events: DataFrame, key: str, event_id: str, ts: str, seconds: in
 
     Each request goes to its own time slot and, as context, to the next one. A slot then holds all
     it needs and is counted when the watermark passes it, so one key's load is spread over slots
-    and state lives for two slots only.
+    and state lives for two slots only. A slot of one key must fit a task; ``rate_job`` has no such
+    limit.
     """
     at = F.col(ts).cast("timestamp")
     slots = events.select(
@@ -94,6 +95,30 @@ def shield_stream(messages: DataFrame, column: str, rules: list[guard.Rule] | No
 
 # ---------------------------------------------------------------------------- jobs with earlier results
 
+def rate_job(events: DataFrame, path: str, checkpoint: str, key: str, event_id: str, ts: str, seconds: int = 60,
+             key_type: str = "bigint", id_type: str = "bigint") -> StreamingQuery:
+    """Requests of the key in the last ``seconds``, counted when they arrive.
+
+    A batch is counted together with the stored requests of the window before it, as running sums
+    that are sliced for a hot key. Requests that come late are counted with what is known by then.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ddl = f"{key} {key_type}, {event_id} {id_type}, at timestamp"
+        mine = batch.select(key, event_id, F.col(ts).cast("timestamp").alias("at"))
+        first = mine.agg(F.min("at").alias("at")).first()["at"]
+        if first is None:
+            return
+        since = F.lit(first) - F.expr(f"INTERVAL {seconds} SECOND")
+        before = table_before(spark, f"{path}/seen", ddl, batch_id).filter(F.col("at") > since)
+        both = mine.withColumn("fresh", F.lit(True)).unionByName(before.drop("batch_id").withColumn("fresh", F.lit(False)))
+        counted = ordered.rate_counts(both, key, "at", seconds).filter("fresh")
+        write_batch(counted.select(key, event_id, "in_window"), f"{path}/counts", batch_id)
+        write_batch(mine, f"{path}/seen", batch_id)
+
+    return start(events, each, checkpoint)
+
+
 HEADS = "tenant_id string, next_seq bigint, next_segment bigint, next_anchor string"
 
 
