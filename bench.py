@@ -32,7 +32,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "12g")
-             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+             # rows are few but heavy, so small partitions still deserve a task of their own
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k").getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
     spark.range(1000).selectExpr("sum(id)").collect()  # start the executors before the first timing
     times = {}

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trustframe.functions.session import cut_lineage
 from trustframe.operators.ordered import order_statistic
 
 
@@ -117,7 +118,7 @@ def conformal_coverage(frame: DataFrame) -> DataFrame:
 
 def agreement(frame: DataFrame, a: str, b: str) -> DataFrame:
     """Percent agreement and Cohen's kappa from the confusion counts of two annotators."""
-    cells = frame.groupBy(a, b).agg(F.count("*").alias("n"))
+    cells = cut_lineage(frame.groupBy(a, b).agg(F.count("*").alias("n")))  # one row per pair of labels
     left = cells.groupBy(F.col(a).alias("label")).agg(F.sum("n").alias("na"))
     right = cells.groupBy(F.col(b).alias("label")).agg(F.sum("n").alias("nb"))
     chance = (left.join(right, "label").agg(F.sum(F.col("na") * F.col("nb")).alias("product"))
@@ -192,7 +193,7 @@ def cost_sweep(runs: DataFrame, budget: float, steps: int = 100) -> DataFrame:
     cells = (runs.withColumn("last_cheap", last)
              .groupBy("last_cheap", "lex_label", "heavy_label", "gold_label")
              .agg(F.count("*").alias("n"), F.sum("cost").alias("cost")))
-    # from here on at most steps x labels^3 rows
+    cells = cut_lineage(cells)  # at most steps x labels^3 rows, read for the scores and for the cost
     grid = cells.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
     cheap = F.col("step") <= F.col("last_cheap")
     pred = F.when(cheap, F.col("lex_label")).otherwise(F.col("heavy_label"))
