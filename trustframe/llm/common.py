@@ -7,12 +7,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from trustframe.functions.session import checkpoint_folder
 
 #: Bytes hashed at a time; longer texts are cut between words, so memory stays bounded.
 PIECE = 1 << 20
+#: Bits of the bitmap of ids that spares texts a shuffle.
+FILTER_BITS = 23
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEED = np.random.default_rng(20240229)
 _TABLE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -29,6 +32,30 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id long, text) with a doc_id in the column ``doc_id`` of ``ids``, and maybe a few others.
+
+    The ids are hashed into a bitmap of FILTER_BITS bits, 1 MB whatever their number, that every task can hold. An
+    exact join has to follow; this one spares most other texts its shuffle.
+    """
+    def slot(key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+
+    words = ids.select(slot("doc_id").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch["slot"].to_numpy()
+            yield batch.filter(pa.array((bits.value[at >> 6] >> (at & 63) & 1) == 1)).drop_columns(["slot"])
+
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    return texts.withColumn("slot", slot("doc_id")).mapInArrow(sift, "doc_id long, text string")
+
+
 def byte_set(*spans: tuple[int, int]) -> np.ndarray:
     """Which of the 256 bytes lie in the given closed spans."""
     inside = np.zeros(256, bool)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustframe.llm import language, licenses, mixing, packing, token_counts, toxicity
+from trustframe.llm import language, licenses, mixing, near_copies, packing, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +37,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query("op3_near_copies")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(documents(spark, sf_dir))
+
+
 @query("op5_mix_sources")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))

@@ -21,10 +21,8 @@ from trustframe.llm.characters import (
     word_sums,
     words_of,
 )
-from trustframe.llm.common import stored
+from trustframe.llm.common import only_ids, stored
 
-#: Bits of the filter that spares unlabelled texts the join with the labels: 1 MB, whatever the number of labels.
-FILTER_BITS = 23
 #: Runs of so many classes are counted; those of up to SHARED are shared by both class models.
 ORDER, SHARED = 5, 2
 FEATURES = ("toxic_part", "ordinary_part", "passage")
@@ -33,28 +31,13 @@ FEATURES = ("toxic_part", "ordinary_part", "passage")
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """toxic and text of the documents with a label of 0 or 1.
 
-    A bitmap of hashed ids of fixed size drops most other texts before the shuffle; the join is exact.
+    Most other texts are dropped before the shuffle; the join is exact.
     """
     given = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("key")) \
         .agg(F.max("toxic").cast("int").alias("toxic"))
 
-    def slot(key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
-
-    words = given.groupBy(F.shiftright(slot(F.col("key")), 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(pmod(pmod(xxhash64(key), "
-                        f"{1 << FILTER_BITS}L), 64) AS INT))")).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << FILTER_BITS - 6, np.int64)
-    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch["slot"].to_numpy()
-            yield batch.filter(pa.array((bits.value[at >> 6] >> (at & 63) & 1) == 1)).drop_columns(["slot"])
-
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    sifted = texts.withColumn("slot", slot(F.col("doc_id"))).mapInArrow(sift, "doc_id long, text string")
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    sifted = only_ids(texts, given.select(F.col("key").alias("doc_id")))
     return sifted.join(given, F.col("doc_id") == F.col("key")).select("toxic", "text")
 
 
