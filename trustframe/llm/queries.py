@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustframe.llm import language, licenses, mixing, near_copies, packing, token_counts, toxicity
+from trustframe.llm import fingerprints, language, licenses, mixing, near_copies, packing, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +42,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(documents(spark, sf_dir))
 
 
+@query("op4_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(documents(spark, sf_dir))
+
+
 @query("op5_mix_sources")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
