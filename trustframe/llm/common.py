@@ -14,8 +14,6 @@ from trustframe.functions.session import checkpoint_folder
 
 #: Bytes hashed at a time; longer texts are cut between words, so memory stays bounded.
 PIECE = 1 << 20
-#: Bits of the bitmap of ids that spares texts a shuffle.
-FILTER_BITS = 23
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEED = np.random.default_rng(20240229)
 _TABLE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,28 +30,35 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (doc_id long, text) with a doc_id in the column ``doc_id`` of ``ids``, and maybe a few others.
+class Bitmap:
+    """A set of 64-bit numbers hashed into a fixed number of bits: no member is missed, a few others pass.
 
-    The ids are hashed into a bitmap of FILTER_BITS bits, 1 MB whatever their number, that every task can hold. An
-    exact join has to follow; this one spares most other texts its shuffle.
+    Its size doesn't depend on the number of members. An exact join has to follow; the bitmap spares most other rows
+    its shuffle.
     """
-    def slot(key: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
-
-    words = ids.select(slot("doc_id").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << FILTER_BITS - 6, np.int64)
-    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch["slot"].to_numpy()
-            yield batch.filter(pa.array((bits.value[at >> 6] >> (at & 63) & 1) == 1)).drop_columns(["slot"])
-
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    return texts.withColumn("slot", slot("doc_id")).mapInArrow(sift, "doc_id long, text string")
+
+    def __init__(self, members: DataFrame, bits: int = 23):
+        """``members`` has one column of longs without nulls."""
+        slot = F.pmod(F.xxhash64(members.columns[0]), F.lit(1 << bits))
+        words = members.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+            F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits")).toArrow()
+        bitmap = np.zeros(1 << bits - 6, np.int64)
+        bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+        self.size, self.shared = 1 << bits, members.sparkSession.sparkContext.broadcast(bitmap)
+
+    def rows(self, df: DataFrame, key: str, inside: bool = True) -> DataFrame:
+        """Rows of ``df`` whose ``key`` may be a member, or the other rows; a null key is no member."""
+        shared = self.shared
+
+        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch["bitmap_slot"].to_numpy(zero_copy_only=False)
+                found = (at >= 0) & ((shared.value[at >> 6] >> (at & 63) & 1) == 1)
+                yield batch.filter(pa.array(found == inside)).drop_columns(["bitmap_slot"])
+
+        slot = F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(
+            F.pmod(F.xxhash64(key), F.lit(self.size)))
+        return df.withColumn("bitmap_slot", slot).mapInArrow(sift, df.schema)
 
 
 def byte_set(*spans: tuple[int, int]) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trustframe.llm.automaton import SuffixAutomaton
 from trustframe.llm.common import ALPHANUMERIC, as_bytes, slices, word_hashes
 
 #: Phrases that are counted wherever they stand.
@@ -66,8 +68,8 @@ class State(NamedTuple):
     base: tuple[tuple[int, str], ...]
 
 
-class Automaton:
-    """Suffix automaton of several word sequences; a state knows where in which sequence its words end."""
+class Automaton(SuffixAutomaton):
+    """Suffix automaton of the words of notices and phrases; a state knows where in which sequence its words end."""
 
     def __init__(self, notices: tuple[tuple[str, str], ...], base: tuple[tuple[str, str], ...]):
         texts = [*notices, *base]
@@ -75,62 +77,21 @@ class Automaton:
         self.words, ids = np.unique(hashes, return_inverse=True)
         self.labels = [label for label, _ in texts]
         self.sequences = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        ends: list[set[tuple[int, int]]] = [set()]
+        super().__init__()
+        ends: dict[int, set[tuple[int, int]]] = defaultdict(set)
         for number, sequence in enumerate(self.sequences):
-            last = 0
-            for at, word in enumerate(sequence):
-                last = self._extend(last, word, ends)
-                ends[last].add((number, at))
-        for state in sorted(range(1, len(self.length)), key=lambda s: -self.length[s]):
+            for at, state in enumerate(self.add(sequence)):
+                ends[state].add((number, at))
+        for state in self.longest_first():
             ends[self.link[state]] |= ends[state]
-        self.ends = [tuple(sorted(x)) for x in ends]
+        self.ends = [tuple(sorted(ends[state])) for state in range(len(self.length))]
         marks: list[tuple[tuple[int, str], ...]] = [()] * len(self.length)
-        own = {self._state(self.sequences[len(notices) + k]): (len(self.sequences[len(notices) + k]), label)
+        own = {self.state(self.sequences[len(notices) + k]): (len(self.sequences[len(notices) + k]), label)
                for k, (label, _) in enumerate(base)}
-        for state in sorted(range(1, len(self.length)), key=lambda s: self.length[s]):
+        for state in reversed(self.longest_first()):
             marks[state] = marks[self.link[state]] + ((own[state],) if state in own else ())
         self.states = [State(*x) for x in zip(self.next, self.link, self.length, marks, strict=True)]
 
-    def _new(self, length: int, link: int, following: dict[int, int], ends: list) -> int:
-        self.length.append(length)
-        self.link.append(link)
-        self.next.append(following)
-        ends.append(set())
-        return len(self.length) - 1
-
-    def _extend(self, last: int, word: int, ends: list) -> int:
-        """State of the sequence read so far plus ``word``; sequences share what they have in common."""
-        known = self.next[last].get(word)
-        if known is not None and self.length[known] == self.length[last] + 1:
-            return known
-        if known is not None:
-            return self._split(last, known, word, ends)
-        state, at = self._new(self.length[last] + 1, 0, {}, ends), last
-        while at >= 0 and word not in self.next[at]:
-            self.next[at][word] = state
-            at = self.link[at]
-        if at >= 0:
-            target = self.next[at][word]
-            self.link[state] = target if self.length[target] == self.length[at] + 1 \
-                else self._split(at, target, word, ends)
-        return state
-
-    def _split(self, at: int, target: int, word: int, ends: list) -> int:
-        part = self._new(self.length[at] + 1, self.link[target], dict(self.next[target]), ends)
-        self.link[target] = part
-        while at >= 0 and self.next[at].get(word) == target:
-            self.next[at][word] = part
-            at = self.link[at]
-        return part
-
-    def _state(self, sequence: list[int]) -> int:
-        state = 0
-        for word in sequence:
-            state = self.next[state][word]
-        return state
-
     def read(self, places: list[int], words: list[int], shortest: int) -> tuple[list, list]:
         """Matching statistics of known words at the given places: base phrases (start, label), and the matches
         that cannot be made longer (first place, words, state)."""

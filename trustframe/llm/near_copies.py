@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import SPACED, as_bytes, only_ids, shingles, slices, stored, word_hashes
+from trustframe.llm.common import SPACED, Bitmap, as_bytes, shingles, slices, stored, word_hashes
 from trustframe.llm.components import components
 
 #: Minwise tokens per text, and the odd factors that draw them.
@@ -66,7 +66,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 pa.array(offsets), pa.array(values)).cast(pa.list_(pa.int64()))], names=["node", "shingles"])
 
     named = wanted.withColumnRenamed("doc_id", "wanted_id")
-    texts = only_ids(docs, wanted).join(named, F.col("doc_id") == F.col("wanted_id"))
+    texts = Bitmap(wanted.select("doc_id")).rows(docs, "doc_id").join(named, F.col("doc_id") == F.col("wanted_id"))
     return stored(texts.select("node", "text").mapInArrow(expand, "node long, shingles array<long>")
                   .dropDuplicates(["node"]), "shingle-sets")
 

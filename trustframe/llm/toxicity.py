@@ -21,7 +21,7 @@ from trustframe.llm.characters import (
     word_sums,
     words_of,
 )
-from trustframe.llm.common import only_ids, stored
+from trustframe.llm.common import Bitmap, stored
 
 #: Runs of so many classes are counted; those of up to SHARED are shared by both class models.
 ORDER, SHARED = 5, 2
@@ -37,7 +37,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(F.max("toxic").cast("int").alias("toxic"))
 
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    sifted = only_ids(texts, given.select(F.col("key").alias("doc_id")))
+    sifted = Bitmap(given.select("key")).rows(texts, "doc_id")
     return sifted.join(given, F.col("doc_id") == F.col("key")).select("toxic", "text")
 
 
