@@ -189,11 +189,12 @@ def covered_windows(docs: DataFrame, window: int = 13, shard_pieces: int = 4000,
         F.flatten(F.collect_list("starts")).alias("starts"))
 
 
-CUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
+CUT = ("doc_id", "n_words", "n_removed", "kept_sha256", "text", "carried")
 
 
-def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and the text that is kept, for each row of ``docs``.
+def remove_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, the text that is kept, and the columns named in ``carry``, for each
+    row of ``docs``.
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller doc_id. What
     is kept of a text that loses words is joined by single spaces; other texts stay as they are, null too, while the
@@ -201,8 +202,9 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     repeat a doc_id don't make each other's windows repeated; a null doc_id neither loses words nor takes them from
     others.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    covered = stored(covered_windows(rows, window), "covered")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       F.struct(*[F.col(c) for c in carry]).alias("carried") if carry else F.lit(0).alias("carried"))
+    covered = stored(covered_windows(rows.select("doc_id", "text"), window), "covered")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,12 +225,15 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2]),
-                 pa.array(out[3], pa.binary()).cast(pa.string())], names=[x.split()[0] for x in CUT.split(", ")])
+                 pa.array(out[3], pa.binary()).cast(pa.string()), batch["carried"]], names=list(CUT))
 
+    schema = rows.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add(
+        "kept_sha256", "string").add("text", "string").add("carried", rows.schema["carried"].dataType)
     touched = Bitmap(covered.select("doc_id"))
     ids = covered.select(F.col("doc_id").alias("covered_id"), "starts")
     none = F.lit(None).cast("array<int>").alias("starts")
     some = touched.rows(rows, "doc_id").join(ids, F.col("doc_id") == F.col("covered_id"), "left").select(
-        "doc_id", "text", "starts")
-    return touched.rows(rows, "doc_id", inside=False).select("doc_id", "text", none).mapInArrow(cut, CUT).unionByName(
-        some.mapInArrow(cut, CUT))
+        "doc_id", "text", "starts", "carried")
+    others = touched.rows(rows, "doc_id", inside=False).select("doc_id", "text", none, "carried")
+    both = others.mapInArrow(cut, schema).unionByName(some.mapInArrow(cut, schema))
+    return both.select(*CUT[:-1], *[F.col("carried")[c].alias(c) for c in carry])

@@ -21,7 +21,7 @@ from trustframe.llm.characters import (
     word_sums,
     words_of,
 )
-from trustframe.llm.common import Bitmap, stored
+from trustframe.llm.common import Bitmap
 
 #: Runs of so many classes are counted; those of up to SHARED are shared by both class models.
 ORDER, SHARED = 5, 2
@@ -29,7 +29,7 @@ FEATURES = ("toxic_part", "ordinary_part", "passage")
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """toxic and text of the documents with a label of 0 or 1.
+    """doc_id, toxic and text of the documents with a label of 0 or 1.
 
     Most other texts are dropped before the shuffle; the join is exact.
     """
@@ -38,7 +38,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     sifted = Bitmap(given.select("key")).rows(texts, "doc_id")
-    return sifted.join(given, F.col("doc_id") == F.col("key")).select("toxic", "text")
+    return sifted.join(given, F.col("doc_id") == F.col("key")).select("doc_id", "toxic", "text")
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
@@ -65,7 +65,8 @@ def gram_counts(texts: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    return texts.mapInArrow(count, "code long, t long, o long").groupBy("code").agg(
+    counts = texts.select("toxic", "text").mapInArrow(count, "code long, t long, o long")
+    return counts.groupBy("code").agg(
         F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
@@ -111,7 +112,7 @@ def features(docs: DataFrame, model: Ratios | None, window: int) -> DataFrame:
     """Adds length-normalised log ratios: ``toxic_part`` and ``ordinary_part``, the means per word of the ratios above and
     below 0, and ``passage``, the mean of those above 0 in the window where it is largest."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != "text"]
+    rest = docs.columns
 
     def measure(values: np.ndarray) -> tuple[float, float, float]:
         above = np.concatenate([[0.0], np.cumsum(np.maximum(values, 0), dtype=float)])
@@ -168,9 +169,10 @@ def _fit(x: np.ndarray, y: np.ndarray) -> list[float]:
         used.remove(wrong[1])
 
 
-def score(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, window: int = 16,
-          sample: int = 20_000) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of ``docs``, and the log ratios behind the score.
+def score(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, window: int = 16, sample: int = 20_000,
+          carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of ``docs``, the log ratios behind the score, and the columns
+    named in ``carry``.
 
     Learned are all documents with a label whose crc32(doc_id) mod ``fold`` isn't ``held``: three quarters give the
     models of the letters of words for both classes; of the last quarter at most ``sample`` documents, chosen by a
@@ -182,16 +184,16 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, wind
     def remainder() -> Column:
         return F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary"))
 
-    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),
-                       F.coalesce(F.pmod(remainder(), F.lit(fold)) == held, F.lit(False)).alias("held_out"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       F.coalesce(F.pmod(remainder(), F.lit(fold)) == held, F.lit(False)).alias("held_out"),
+                       F.struct(*[F.col(c) for c in carry]).alias("carried") if carry else F.lit(0).alias("carried"))
     learned = labels.select("doc_id", "toxic").where("toxic IN (0, 1)").where(F.pmod(remainder(), F.lit(fold)) != held)
     tuning = F.pmod(F.floor(remainder() / fold), F.lit(4)) == 0
-    model = train(labelled(base.where("NOT held_out"), learned.where(~tuning)))
-    scored = stored(features(base, model, window), "toxicity")
-    known = scored.where("NOT held_out").join(learned, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
+    model = train(labelled(base, learned.where(~tuning)))
     probability = F.lit(0.0)
-    for rows in (known.where(tuning), known):  # all learned documents, if the last quarter has one class only
-        fit = rows.limit(sample).select(*[c.alias(f"x{k}") for k, c in enumerate(_inputs())], "toxic").toArrow()
+    for chosen in (learned.where(tuning), learned):  # all learned documents, if the last quarter has one class only
+        known = features(labelled(base, chosen), model, window).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        fit = known.select(*[c.alias(f"x{k}") for k, c in enumerate(_inputs())], "toxic").toArrow()
         y = fit["toxic"].to_numpy().astype(float)
         if len(np.unique(y)) == 2:
             *weights, start = _fit(np.column_stack([fit[f"x{k}"].to_numpy() for k in range(len(_inputs()))]), y)
@@ -200,5 +202,6 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, wind
                 total = total + F.lit(weight) * column
             probability = 1 / (1 + F.exp(-total))
             break
-    return scored.select("doc_id", "held_out", probability.alias("score"),
-                         (probability >= 0.5).cast("int").alias("predicted"), *FEATURES)
+    return features(base, model, window).select(
+        "doc_id", "held_out", probability.alias("score"), (probability >= 0.5).cast("int").alias("predicted"), *FEATURES,
+        *[F.col("carried")[c].alias(c) for c in carry])
