@@ -106,59 +106,59 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, width: int,
     return stored(both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"), "links")
 
 
-def links(docs: DataFrame, signed: DataFrame, width: int, percent: int, trees: int, leaf: int, depth: int) -> DataFrame:
+def links(docs: DataFrame, signed: DataFrame, width: int, percent: int, trees: int, leaf: int, cross: int,
+          depth: int) -> DataFrame:
     """Confirmed links (a, b) between texts, one row per node in ``signed``: enough of them to join all that belong
     together, though not every pair of a large group.
 
     All texts start at the root of each of ``trees`` trees, which chooses two places of the signature. In nodes of
-    at most ``leaf`` texts all pairs are compared. In larger ones all are compared with one pivot, and unless that
-    makes them one component they are branched further; texts of one component need no more links. After ``depth``
-    levels what is left is compared exhaustively between components.
+    at most ``leaf`` texts all pairs are compared. In larger ones all are compared with one pivot. Texts of one
+    component need no more links; if at most ``cross`` pairs of different components are left in a node they are
+    compared too, otherwise the node is branched further. After ``depth`` levels all that is left is compared.
     """
     roots = [F.xxhash64(F.lit(t), F.lit(place), F.element_at("tokens", place + 1))
              for t in range(trees) for place in (2 * t % TOKENS, (2 * t + 1) % TOKENS)]
-    members = signed.select("node", F.explode(F.array(*roots)).alias("key"))
-    found = joined = None
+    members = stored(signed.select("node", F.explode(F.array(*roots)).alias("key")), "members")
+    found = joined = rest = None
     for level in range(depth + 1):
-        members = stored(members.distinct(), "members")
         sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min(
             F.struct(F.xxhash64("key", "node").alias("order"), "node"))["node"].alias("pivot")).where("size > 1")
         inside = stored(members.join(sizes, "key"), "sized-members")
-        small = inside.where(F.col("size") <= leaf)
+        small, large = inside.where(F.col("size") <= leaf), inside.where(F.col("size") > leaf)
         pairs = small.select("key", F.col("node").alias("a")).join(
             small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-        large = inside.where(F.col("size") > leaf)
-        if level == depth and joined is not None:
-            last = _mixed(large.select("key", "node"), joined)
-            pairs = pairs.unionByName(last.select("key", F.col("node").alias("a"), F.col("root").alias("root_a")).join(
-                last.select("key", F.col("node").alias("b"), F.col("root").alias("root_b")), "key").where(
+        pairs = pairs.unionByName(large.where("node <> pivot").select(
+            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
+        if rest is not None:
+            pairs = pairs.unionByName(rest.toDF("key", "a", "root_a").join(rest.toDF("key", "b", "root_b"), "key").where(
                 "a < b AND root_a <> root_b").select("a", "b"))
-        else:
-            pairs = pairs.unionByName(large.where("node <> pivot").select(
-                F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
         pairs = pairs.distinct()
         if joined is not None:
             pairs = pairs.join(joined.toDF("a", "root_a"), "a", "left").join(
                 joined.toDF("b", "root_b"), "b", "left").where(
                 "coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
         now = _confirmed(pairs, signed, docs, width, percent)
-        found = now if found is None else stored(found.unionByName(now), "links")
-        if level == depth or large.isEmpty():
+        found = now if found is None else found.unionByName(now)
+        if large.isEmpty():
             break
         joined = components(found)
-        members = _children(_mixed(large.select("key", "node"), joined).select("key", "node"), signed, level)
+        rooted = stored(large.select("key", "node").join(joined, "node", "left").select(
+            "key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+        counts = rooted.groupBy("key", "root").count().groupBy("key").agg(
+            F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
+        left = rooted.join(counts.select("key", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("left")), "key")
+        last = level >= depth - 1
+        rest = stored(left.where("left > 0" if last else f"left > 0 AND left <= {cross}").select(
+            "key", "node", "root"), "rest")
+        members = stored(_children(left.where(F.lit(not last) & (F.col("left") > cross)).select("key", "node"), signed,
+                                   level).distinct(), "members")
+        if rest.isEmpty() and members.isEmpty():
+            break
     return found
 
 
-def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members, with their root, of the nodes that hold several components."""
-    rooted = stored(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return rooted.join(mixed.select("key"), "key", "left_semi")
-
-
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 75, trees: int = 8, leaf: int = 48,
-                depth: int = 8) -> DataFrame:
+                cross: int = 5000, depth: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
     Texts are linked if their sets of ``width``-word shingles share at least ``percent`` percent of their union.
@@ -173,7 +173,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 75, trees: int =
     texts = ids.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     one = ids.select("node", "doc_id", "n_shingles", "tokens")
     signed = stored(one.join(texts, ["node", "doc_id"]).dropDuplicates(["node"]), "signed")
-    found = links(rows, signed, width, percent, trees, leaf, depth)
+    found = links(rows, signed, width, percent, trees, leaf, cross, depth)
     names = signed.select("node", "doc_id")
     joined = found.join(names.toDF("a", "first"), "a").join(names.toDF("b", "second"), "b").select(
         F.col("first").alias("a"), F.col("second").alias("b"))

@@ -100,6 +100,8 @@ def hash_bytes(data: bytes) -> int:
 
 def _single_windows(pieces: DataFrame, window: int) -> DataFrame:
     """Pieces cut into their windows, each with its own hash as the anchor."""
+    names = ["anchor", "piece", "doc_id", "start", "words"]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], []]
@@ -110,9 +112,9 @@ def _single_windows(pieces: DataFrame, window: int) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip([rows[0], *rows], (*[pa.int64()] * 3, pa.int32(), pa.binary()),
-                                                strict=True)], names=pieces.columns)
+                                                strict=True)], names=names)
 
-    return pieces.mapInArrow(cut, pieces.schema)
+    return pieces.select(names).mapInArrow(cut, pieces.select(names).schema)
 
 
 def first_documents(references: list[tuple[int, list[int]]], window: int) -> list[list[int]]:
