@@ -5,7 +5,9 @@ A fact row has tenant_id, subject, relation, object, state (TRUE, FALSE, UNDECID
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,8 +74,12 @@ def split_valid(facts: DataFrame, tenant: str, ontology: str | None = None) -> t
 # ---------------------------------------------------------------------------- look-ups
 
 def find(facts: DataFrame, subject: str | None = None, relation: str | None = None,
-         obj: str | None = None, state: str | None = None) -> DataFrame:
-    """Facts that fit a pattern. A ``?name`` term becomes a column; a repeated name an equality."""
+         obj: str | None = None, state: str | None = None, fact_type: str | None = None,
+         tenant: str | None = None) -> DataFrame:
+    """Facts that fit a pattern, of a type and a tenant if given.
+
+    A ``?name`` term becomes a column; a repeated name an equality.
+    """
     out, bound = facts, {}
     for column, term in (("subject", subject), ("relation", relation), ("object", obj)):
         if term is None:
@@ -84,8 +90,9 @@ def find(facts: DataFrame, subject: str | None = None, relation: str | None = No
             out = out.filter(F.col(column) == F.col(bound[term]))
         else:
             bound[term] = column
-    if state is not None:
-        out = out.filter(F.col("state") == state)
+    for column, value in (("state", state), ("fact_type", fact_type), ("tenant_id", tenant)):
+        if value is not None:
+            out = out.filter(F.col(column) == value)
     return out.select("*", *[F.col(c).alias(v[1:]) for v, c in bound.items()]) if bound else out
 
 
@@ -120,6 +127,22 @@ def statistics(facts: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------------- claims against facts
 
+def scope_of(left: DataFrame, right: DataFrame) -> list[str]:
+    """Columns that two tables must agree on: the tenant, and the ontology where both name one.
+
+    If only one of them names its tenants, a join could cross tenants, so that is an error.
+    """
+    if ("tenant_id" in left.columns) != ("tenant_id" in right.columns):
+        raise ValueError("both tables or neither must have a tenant_id")
+    return [c for c in ("tenant_id", "ontology_id") if c in left.columns and c in right.columns]
+
+
+def scoped(words: Column, scope: list[str]) -> Column:
+    """Words marked with their scope, so that equal words of different scopes never meet."""
+    marks = [F.coalesce(F.col(c), F.lit("\x00")) for c in scope]
+    return F.transform(words, lambda w: F.concat_ws("\x1f", *marks, w)) if scope else words
+
+
 def fact_words(facts: DataFrame) -> Column:
     parts = [*TRIPLE] + (["aliases"] if "aliases" in facts.columns else [])
     joined = [F.array_join(c, " ") if c == "aliases" else F.col(c) for c in parts]
@@ -129,10 +152,13 @@ def fact_words(facts: DataFrame) -> Column:
 def relevant_facts(claims: DataFrame, facts: DataFrame, share: float = 0.35) -> DataFrame:
     """Verdict of the facts that cover at least ``share`` of a claim's words, per ``claim_key``.
 
-    ``claims`` has claim_key and words; facts are reduced to distinct word sets first, each with
-    what its copies say, so copies neither multiply pairs nor lose a verdict.
+    ``claims`` has claim_key and words; only facts of the claim's tenant and ontology count. Facts are
+    reduced to distinct word sets first, each with what its copies say, so copies neither multiply
+    pairs nor lose a verdict.
     """
-    sides = facts.withColumn("words", fact_words(facts)).withColumn("key", matching.set_key(F.col("words")))
+    scope = scope_of(claims, facts)
+    claims = claims.withColumn("words", scoped(F.col("words"), scope))
+    sides = facts.withColumn("words", scoped(fact_words(facts), scope)).withColumn("key", matching.set_key(F.col("words")))
     says = sides.groupBy("key").agg(
         F.any_value("words").alias("words"),
         F.max(F.when(F.col("state") == "FALSE", F.col("confidence"))).alias("against"),
@@ -160,21 +186,23 @@ def ontology_check(claims: DataFrame, entries: DataFrame) -> DataFrame:
     """Verdict of the ontology on each claim that names one of its concepts.
 
     ``claims`` has claim_key and claim (distinct texts); ``entries`` has concept, synonyms, facts,
-    constraints. Claims without a concept have no row: they are UNDECIDABLE with confidence 0.
+    constraints. Claims without a concept have no row: they are UNDECIDABLE with confidence 0. Only
+    entries of the claim's tenant and ontology count.
     """
-    texts = claims.select(F.col("claim_key").alias("text_key"), F.lower("claim").alias("body"))
-    terms = entries.select("concept", F.explode(F.array_distinct(F.transform(
+    scope = scope_of(claims, entries)
+    texts = claims.select(F.col("claim_key").alias("text_key"), F.lower("claim").alias("body"), *scope)
+    terms = entries.select("concept", *scope, F.explode(F.array_distinct(F.transform(
         F.concat(F.array("concept"), F.coalesce("synonyms", F.array().cast("array<string>"))),
         lambda t: F.lower(t)))).alias("term"))
     named = (matching.contained_terms(texts, terms).join(terms, "term")
-             .select("text_key", "concept").distinct())
+             .join(texts.select("text_key", *scope), ["text_key", *scope]).select("text_key", "concept", *scope).distinct())
     # the word sets of an entry are made once, not once per pair
     prepared = entries.select(
-        "concept", F.transform("facts", lambda f: text.space_word_set(f, fixed.SIMILARITY_STOPWORDS)).alias("fact_words"),
+        "concept", *scope, F.transform("facts", lambda f: text.space_word_set(f, fixed.SIMILARITY_STOPWORDS)).alias("fact_words"),
         F.transform("constraints", lambda c: text.record(
             negated=text.contains_any(F.lower(c), fixed.CONSTRAINT_NEGATIONS),
             words=text.space_word_set(c, fixed.CONSTRAINT_NEGATIONS))).alias("rules"))
-    pairs = (named.join(texts, "text_key").join(prepared, "concept")
+    pairs = (named.join(texts, ["text_key", *scope]).join(prepared, ["concept", *scope])
              .withColumn("negated", text.contains_any(F.col("body"), fixed.CONSTRAINT_NEGATIONS))
              .withColumn("words", text.space_word_set(F.col("body"), fixed.SIMILARITY_STOPWORDS))
              .withColumn("plain", text.space_word_set(F.col("body"), fixed.CONSTRAINT_NEGATIONS)))
@@ -200,8 +228,9 @@ def action_check(actions: DataFrame, policies: DataFrame) -> DataFrame:
     """Decide actor/action/resource(/purpose) requests: denied beats allowed beats missing.
 
     A policy field that is empty or ``*`` accepts any word of the policy's own text. The distinct
-    requests are decided once, by an equi-join on actor and action, and joined back.
+    requests are decided once, by an equi-join on tenant, actor and action, and joined back.
     """
+    scope = scope_of(actions, policies)
     own = text.token_set(F.concat_ws(" ", *TRIPLE), fixed.OVERLAP_STOPWORDS)
 
     def accepted(field: str) -> Column:
@@ -209,20 +238,19 @@ def action_check(actions: DataFrame, policies: DataFrame) -> DataFrame:
         return F.when(open_field, own).otherwise(F.array(F.lower(field)))
 
     rules = (policies.select(
-        "state", "confidence", F.explode(accepted("actor")).alias("k_actor"), accepted("action").alias("actions"),
+        *scope, "state", "confidence", F.explode(accepted("actor")).alias("k_actor"), accepted("action").alias("actions"),
         accepted("resource").alias("resources"), F.lower("purpose").alias("p_purpose"))
         .select("*", F.explode("actions").alias("k_action")).drop("actions"))
-    fields = ["actor", "action", "resource", "purpose"]
+    fields = [*scope, "actor", "action", "resource", "purpose"]
     asked = actions.select(*fields).distinct()
     keyed = asked.select("*", F.lower("actor").alias("k_actor"), F.lower("action").alias("k_action"))
     fits = F.array_contains("resources", F.lower("resource")) & (
         F.coalesce("p_purpose", F.lit("")).isin("", "*") | (F.coalesce("purpose", F.lit("")) == "")
         | (F.lower("purpose") == F.col("p_purpose")))
-    met = (keyed.join(rules, ["k_actor", "k_action"]).filter(fits).groupBy(*fields).agg(
+    met = (keyed.join(rules, [*scope, "k_actor", "k_action"]).filter(fits).groupBy(*fields).agg(
         F.max(F.when(F.col("state") == "FALSE", F.col("confidence"))).alias("denied"),
         F.max(F.when(F.col("state") == "TRUE", F.col("confidence"))).alias("allowed")))
-    same = [F.col(f"a.{f}").eqNullSafe(F.col(f"m.{f}")) for f in fields]
-    condition = same[0] & same[1] & same[2] & same[3]
+    condition = reduce(operator.and_, [F.col(f"a.{f}").eqNullSafe(F.col(f"m.{f}")) for f in fields])
     out = actions.alias("a").join(met.alias("m"), condition, "left").select("a.*", "m.denied", "m.allowed")
     denied, allowed = F.col("denied").isNotNull(), F.col("allowed").isNotNull()
 
@@ -283,8 +311,9 @@ def policy_check(frame: DataFrame, column: str, policies: list[TextPolicy], rule
 
 def symbolic_contradictions(hypotheses: DataFrame, facts: DataFrame) -> DataFrame:
     """Hypotheses whose triple is stored as FALSE, with the first such fact."""
-    false = facts.filter("state = 'FALSE'").groupBy(*TRIPLE).agg(F.min("fact_id").alias("fact_id"))
-    return hypotheses.join(false, TRIPLE)
+    keys = [*scope_of(hypotheses, facts), *TRIPLE]
+    false = facts.filter("state = 'FALSE'").groupBy(*keys).agg(F.min("fact_id").alias("fact_id"))
+    return hypotheses.join(false, keys)
 
 
 def non_monotonic(hypotheses: DataFrame, order: list[str], time: str, row_limit: int = ROW_LIMIT) -> DataFrame:

@@ -103,12 +103,20 @@ def _runs(column: str, size: int) -> Column:
     return F.regexp_extract_all(F.col(column), F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
-def keyword_search(queries: DataFrame, facts: DataFrame, k: int = 5, min_score: float = 0.3) -> DataFrame:
+def keyword_search(queries: DataFrame, facts: DataFrame, k: int = 5, min_score: float = 0.3,
+                   scope: tuple[str, ...] = ()) -> DataFrame:
     """Top ``k`` facts per query by shared words over the larger set, or 0.9 for a keyword hit.
 
     ``queries`` has query_id, words, body (lowercase); ``facts`` has fact_id, words and may have
-    keywords (array). Scores below ``min_score`` are not results.
+    keywords (array). Columns in ``scope`` (the tenant, say) must agree. Scores below ``min_score``
+    are not results.
     """
+    if scope:
+        def mark(frame: DataFrame) -> DataFrame:
+            marks = [F.coalesce(F.col(c), F.lit("\x00")) for c in scope]
+            return frame.withColumn("words", F.transform("words", lambda w: F.concat_ws("\x1f", *marks, w)))
+
+        queries, facts = mark(queries), mark(facts)
     q = queries.withColumn("key", set_key(F.col("words")))
     f = facts.withColumn("key", set_key(F.col("words")))
     scored = (match_sets(q, f, share_needed(min_score))
@@ -118,9 +126,10 @@ def keyword_search(queries: DataFrame, facts: DataFrame, k: int = 5, min_score:
                 .join(f.select("fact_id", F.col("key").alias("right_key")), "right_key")
                 .select("query_id", "fact_id", "score"))
     if "keywords" in facts.columns:
-        words = facts.select("fact_id", F.explode("keywords").alias("term")).withColumn("term", F.lower("term"))
-        texts = queries.select(F.md5("body").alias("text_key"), "body", "query_id")
-        hits = contained_terms(texts, words).join(words, "term").join(texts.select("text_key", "query_id"), "text_key")
+        words = facts.select("fact_id", *scope, F.explode("keywords").alias("term")).withColumn("term", F.lower("term"))
+        texts = queries.select(F.md5("body").alias("text_key"), "body", "query_id", *scope)
+        hits = contained_terms(texts, words).join(words, "term").join(
+            texts.select("text_key", "query_id", *scope), ["text_key", *scope])
         by_words = (by_words.unionByName(hits.select("query_id", "fact_id", F.lit(0.9).alias("score")))
                     .groupBy("query_id", "fact_id").agg(F.max("score").alias("score")))
     return top_facts(by_words, k)

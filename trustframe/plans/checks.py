@@ -16,19 +16,21 @@ def claim_check(claims: DataFrame, rules: list[guard.Rule], facts: DataFrame | N
     """Decide claims; the first source with a verdict wins.
 
     The order is compliance, search, facts, ontology entries, given evidence, none. ``claims`` has
-    claim and claim_key (the same for equal texts). ``searched`` is the best (claim_key, score) of a
+    claim and claim_key (the same for equal texts of one tenant) and, like the sources, tenant_id and
+    ontology_id if there are several. ``searched`` is the best (claim_key, score) of a
     search; with a search every claim gets its verdict. ``evidence`` names a column with the mean
     score of evidence given with the claim. Each source is asked about distinct claims only, and
     only about those that the sources before it left open.
     """
-    distinct = claims.select("claim_key", "claim").distinct()
+    scope = [c for c in ("tenant_id", "ontology_id") if c in claims.columns]
+    distinct = claims.select("claim_key", "claim", *scope).distinct()
     scanned = guard.scan(distinct, "claim", rules).select(
-        "claim_key", "claim", guard.blocking(F.col("violations")).alias("blocked"))
+        "claim_key", "claim", *scope, guard.blocking(F.col("violations")).alias("blocked"))
     scanned = cut_lineage(scanned)  # scanned once, read by every source below
     blocked = F.col("blocked")
     verdicts = scanned.filter(blocked).select(
         "claim_key", F.lit("compliance").alias("source"), F.lit("FALSE").alias("decision"), F.lit(1.0).alias("confidence"))
-    still_open = scanned.filter(~blocked).select("claim_key", "claim")
+    still_open = scanned.filter(~blocked).select("claim_key", "claim", *scope)
     if searched is not None:
         v = truth.search_verdict(F.col("score"))
         found = still_open.join(searched, "claim_key", "left").withColumn("v", v).select(
@@ -37,7 +39,7 @@ def claim_check(claims: DataFrame, rules: list[guard.Rule], facts: DataFrame | N
             .otherwise(F.lit("UNDECIDABLE")).alias("decision"), F.col("v.confidence").alias("confidence"))
         return _finish(claims, verdicts.unionByName(found), evidence)
     if facts is not None:
-        words = still_open.select("claim_key", text.token_set(F.col("claim"), fixed.OVERLAP_STOPWORDS).alias("words"))
+        words = still_open.select("claim_key", *scope, text.token_set(F.col("claim"), fixed.OVERLAP_STOPWORDS).alias("words"))
         met = knowledge.relevant_facts(words, facts).filter("decision <> 'UNDECIDABLE'")
         verdicts = verdicts.unionByName(met.select("claim_key", F.lit("ontology").alias("source"), "decision", "confidence"))
         if entries is not None:

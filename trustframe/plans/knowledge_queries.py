@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustframe.functions import fixed, text, truth
@@ -22,7 +22,13 @@ MIN_SENTENCE = 10
 def document_sentences(spark: SparkSession, sf: str) -> DataFrame:
     docs = text.each(read_texts(spark, sf, "documents"), ["doc_id"],
                      text.sentences_at_points(F.col("text"), MIN_SENTENCE), "claim", "pos")
-    return docs.withColumn("claim_key", F.md5("claim"))
+    docs = docs.withColumn("tenant_id", tenant("doc_id"))
+    return docs.withColumn("claim_key", F.md5(F.concat("tenant_id", F.lit("|"), "claim")))
+
+
+def tenant(number: str) -> Column:
+    """Rows belong to two tenants by their number."""
+    return F.concat(F.lit("t"), F.col(number) % 2)
 
 
 def passage_sentences(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,37 +40,37 @@ def passage_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark sentences as facts; their state follows the length of the sentence."""
     n = F.length("sentence")
     return passage_sentences(spark, sf).select(
-        F.lit("tenant").alias("tenant_id"), F.concat(F.lit("item"), "item_id").alias("subject"),
+        tenant("item_id").alias("tenant_id"), F.concat(F.lit("item"), "item_id").alias("subject"),
         F.lit("has_fact").alias("relation"), F.col("sentence").alias("object"),
         F.when(n % 3 == 0, F.lit("FALSE")).otherwise(F.lit("TRUE")).alias("state"),
         F.round(0.5 + (n % 50) / 100.0, 2).alias("confidence"))
 
 
 SENTENCES_SQL = f"""
-sents AS (SELECT doc_id, unnest(l) AS claim, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos
+sents AS (SELECT doc_id, 't' || doc_id % 2 AS tenant, unnest(l) AS claim, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos
   FROM (SELECT doc_id, {S.points('text', MIN_SENTENCE)} AS l FROM documents)),
-passages AS (SELECT item_id, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS spos
+passages AS (SELECT item_id, 't' || item_id % 2 AS tenant, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS spos
   FROM (SELECT item_id, {S.points('text', MIN_SENTENCE)} AS l FROM benchmark)),
 """
 RELEVANT_SQL = f"""WITH {SENTENCES_SQL}
-cw AS (SELECT claim, {S.token_set('claim', fixed.OVERLAP_STOPWORDS)} AS words FROM (SELECT DISTINCT claim FROM sents)),
-ct AS (SELECT claim, len(words) AS n, unnest(words) AS word FROM cw),
-fw AS (SELECT item_id, spos, CASE WHEN len(sentence) % 3 = 0 THEN 'FALSE' ELSE 'TRUE' END AS state,
+cw AS (SELECT tenant, claim, {S.token_set('claim', fixed.OVERLAP_STOPWORDS)} AS words FROM (SELECT DISTINCT tenant, claim FROM sents)),
+ct AS (SELECT tenant, claim, len(words) AS n, unnest(words) AS word FROM cw),
+fw AS (SELECT tenant, item_id, spos, CASE WHEN len(sentence) % 3 = 0 THEN 'FALSE' ELSE 'TRUE' END AS state,
     round(0.5 + (len(sentence) % 50) / 100.0, 2)::DOUBLE AS confidence,
     {S.token_set("'item' || item_id || ' has_fact ' || sentence", fixed.OVERLAP_STOPWORDS)} AS words FROM passages),
-ft AS (SELECT item_id, spos, state, confidence, unnest(words) AS word FROM fw),
-pairs AS (SELECT claim, n, item_id, spos, state, confidence, count(*) AS overlap FROM ct JOIN ft USING (word) GROUP BY ALL),
-verdicts AS (SELECT claim, max(CASE WHEN state = 'FALSE' THEN confidence END) AS against,
-    max(CASE WHEN state = 'TRUE' THEN confidence END) AS supports FROM pairs WHERE overlap / n >= 0.35 GROUP BY 1),
-relevant AS (SELECT claim, CASE WHEN against IS NOT NULL THEN 'FALSE' ELSE 'TRUE' END AS decision, coalesce(against, supports) AS confidence FROM verdicts)
+ft AS (SELECT tenant, item_id, spos, state, confidence, unnest(words) AS word FROM fw),
+pairs AS (SELECT tenant, claim, n, item_id, spos, state, confidence, count(*) AS overlap FROM ct JOIN ft USING (tenant, word) GROUP BY ALL),
+verdicts AS (SELECT tenant, claim, max(CASE WHEN state = 'FALSE' THEN confidence END) AS against,
+    max(CASE WHEN state = 'TRUE' THEN confidence END) AS supports FROM pairs WHERE overlap / n >= 0.35 GROUP BY 1, 2),
+relevant AS (SELECT tenant, claim, CASE WHEN against IS NOT NULL THEN 'FALSE' ELSE 'TRUE' END AS decision, coalesce(against, supports) AS confidence FROM verdicts)
 """
 
 
 @query("fact_relevance", RELEVANT_SQL + """
-SELECT s.doc_id, s.pos, r.decision, r.confidence FROM sents s JOIN relevant r USING (claim)""")
+SELECT s.doc_id, s.pos, r.decision, r.confidence FROM sents s JOIN relevant r USING (tenant, claim)""")
 def fact_relevance(spark: SparkSession, sf: str) -> DataFrame:
     claims = document_sentences(spark, sf).select(
-        F.struct("doc_id", "pos").alias("claim_key"), text.token_set(F.col("claim"), fixed.OVERLAP_STOPWORDS).alias("words"))
+        "tenant_id", F.struct("doc_id", "pos").alias("claim_key"), text.token_set(F.col("claim"), fixed.OVERLAP_STOPWORDS).alias("words"))
     verdict = knowledge.relevant_facts(claims, passage_facts(spark, sf))
     return verdict.select("claim_key.doc_id", "claim_key.pos", "decision", "confidence")
 
@@ -99,33 +105,33 @@ def similar_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SEARCH_SQL = f"""WITH {SENTENCES_SQL}
-cw AS (SELECT claim, {S.space_word_set('claim')} AS words FROM (SELECT DISTINCT claim FROM sents)),
-ct AS (SELECT claim, len(words) AS n, unnest(words) AS word FROM cw),
-fw AS (SELECT item_id * 1000 + spos AS fact_id, {S.space_word_set('sentence')} AS words FROM passages),
-ft AS (SELECT fact_id, len(words) AS m, unnest(words) AS word FROM fw),
-pairs AS (SELECT claim, n, fact_id, m, count(*) AS overlap FROM ct JOIN ft USING (word) GROUP BY ALL),
-scored AS (SELECT claim, fact_id, round(overlap / greatest(n, m), 9) AS score FROM pairs WHERE round(overlap / greatest(n, m), 9) >= 0.3),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY claim ORDER BY score DESC, fact_id) AS INTEGER) AS rank FROM scored)
+cw AS (SELECT tenant, claim, {S.space_word_set('claim')} AS words FROM (SELECT DISTINCT tenant, claim FROM sents)),
+ct AS (SELECT tenant, claim, len(words) AS n, unnest(words) AS word FROM cw),
+fw AS (SELECT tenant, item_id * 1000 + spos AS fact_id, {S.space_word_set('sentence')} AS words FROM passages),
+ft AS (SELECT tenant, fact_id, len(words) AS m, unnest(words) AS word FROM fw),
+pairs AS (SELECT tenant, claim, n, fact_id, m, count(*) AS overlap FROM ct JOIN ft USING (tenant, word) GROUP BY ALL),
+scored AS (SELECT tenant, claim, fact_id, round(overlap / greatest(n, m), 9) AS score FROM pairs WHERE round(overlap / greatest(n, m), 9) >= 0.3),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY tenant, claim ORDER BY score DESC, fact_id) AS INTEGER) AS rank FROM scored)
 """
 
 
 def search(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    """Top passages for every distinct document sentence."""
-    sentences = document_sentences(spark, sf).select("claim_key", "claim").distinct()
-    queries = sentences.select(F.col("claim_key").alias("query_id"), F.lower("claim").alias("body"),
+    """Top passages of the same tenant for every distinct document sentence."""
+    sentences = document_sentences(spark, sf).select("claim_key", "claim", "tenant_id").distinct()
+    queries = sentences.select("tenant_id", F.col("claim_key").alias("query_id"), F.lower("claim").alias("body"),
                                text.space_word_set(F.col("claim")).alias("words"))
     facts = passage_sentences(spark, sf).select(
-        (F.col("item_id") * 1000 + F.col("pos")).alias("fact_id"), text.space_word_set(F.col("sentence")).alias("words"))
-    return matching.keyword_search(queries, facts, k)
+        tenant("item_id").alias("tenant_id"), (F.col("item_id") * 1000 + F.col("pos")).alias("fact_id"), text.space_word_set(F.col("sentence")).alias("words"))
+    return matching.keyword_search(queries, facts, k, scope=("tenant_id",))
 
 
-@query("keyword_search", SEARCH_SQL + "SELECT md5(claim) AS query_id, fact_id, score, rank FROM ranked WHERE rank <= 5")
+@query("keyword_search", SEARCH_SQL + "SELECT md5(tenant || '|' || claim) AS query_id, fact_id, score, rank FROM ranked WHERE rank <= 5")
 def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
     return search(spark, sf, 5)
 
 
 @query("search_verdicts", SEARCH_SQL + """,
-v AS (SELECT s.doc_id, s.pos, r.score AS s FROM sents s LEFT JOIN ranked r ON r.claim = s.claim AND r.rank = 1)
+v AS (SELECT s.doc_id, s.pos, r.score AS s FROM sents s LEFT JOIN ranked r ON r.tenant = s.tenant AND r.claim = s.claim AND r.rank = 1)
 SELECT CASE WHEN s IS NULL THEN 'uncertain' WHEN s >= 0.6 THEN 'verified' WHEN s >= 0.4 THEN 'uncertain' ELSE 'contradicted' END AS status,
   coalesce(s >= 0.6, false) AS supported, CAST(count(*) AS BIGINT) AS claims,
   round(avg(CASE WHEN s IS NULL THEN 0 WHEN s >= 0.85 THEN s WHEN s >= 0.6 THEN s * 0.9 WHEN s >= 0.4 THEN 0.5 ELSE 1 - s END), 6) AS mean_confidence
@@ -142,6 +148,7 @@ def ontology_entries(spark: SparkSession, sf: str) -> DataFrame:
     items = read_table(spark, sf, "benchmark").withColumn("s", text.sentences_at_points(F.col("text"), MIN_SENTENCE))
     first = F.get("s", 0)
     return items.select(
+        tenant("item_id").alias("tenant_id"),
         F.concat_ws(" ", F.slice(F.split(text.squeeze(F.lower("text")), " "), 1, 2)).alias("concept"),
         F.col("text").alias("definition"), F.array().cast("array<string>").alias("synonyms"), F.col("s").alias("facts"),
         F.when((F.length("text") % 2 == 0) & first.isNotNull(), F.array(F.concat(F.lit("never "), first)))
@@ -149,35 +156,35 @@ def ontology_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ONTOLOGY_SQL = f"""WITH {SENTENCES_SQL}
-entries AS (SELECT array_to_string(list_slice(string_split({S.squeeze('lower(text)')}, ' '), 1, 2), ' ') AS concept,
+entries AS (SELECT 't' || item_id % 2 AS tenant, array_to_string(list_slice(string_split({S.squeeze('lower(text)')}, ' '), 1, 2), ' ') AS concept,
     {S.points('text', MIN_SENTENCE)} AS facts, len(text) % 2 = 0 AS strict FROM benchmark),
-claims AS (SELECT DISTINCT claim FROM sents),
-named AS (SELECT c.claim, lower(c.claim) AS body, e.concept, e.facts, CASE WHEN e.strict AND len(e.facts) > 0 THEN lower('never ' || e.facts[1]) END AS rule,
+claims AS (SELECT DISTINCT tenant, claim FROM sents),
+named AS (SELECT c.tenant, c.claim, lower(c.claim) AS body, e.concept, e.facts, CASE WHEN e.strict AND len(e.facts) > 0 THEN lower('never ' || e.facts[1]) END AS rule,
     {S.space_word_set('c.claim', fixed.SIMILARITY_STOPWORDS)} AS words, {S.space_word_set('c.claim', fixed.CONSTRAINT_NEGATIONS)} AS plain
-  FROM claims c JOIN entries e ON contains(lower(c.claim), e.concept)),
-sims AS (SELECT claim, concept, sim FROM (SELECT claim, concept, words, {S.space_word_set('f', fixed.SIMILARITY_STOPWORDS)} AS fw
-    FROM (SELECT claim, concept, words, unnest(facts) AS f FROM named)), LATERAL (SELECT
+  FROM claims c JOIN entries e ON c.tenant = e.tenant AND contains(lower(c.claim), e.concept)),
+sims AS (SELECT tenant, claim, concept, sim FROM (SELECT tenant, claim, concept, words, {S.space_word_set('f', fixed.SIMILARITY_STOPWORDS)} AS fw
+    FROM (SELECT tenant, claim, concept, words, unnest(facts) AS f FROM named)), LATERAL (SELECT
     CASE WHEN len(words) = 0 OR len(fw) = 0 THEN 0 ELSE len(list_intersect(words, fw)) / len(list_distinct(list_concat(words, fw))) END AS sim)),
-supports AS (SELECT claim, count(*) AS supporting, sum(sim) AS total FROM sims WHERE sim > 0.5 GROUP BY 1),
-sides AS (SELECT claim, count(*) AS concepts, count(*) FILTER (WHERE rule IS NOT NULL
+supports AS (SELECT tenant, claim, count(*) AS supporting, sum(sim) AS total FROM sims WHERE sim > 0.5 GROUP BY 1, 2),
+sides AS (SELECT tenant, claim, count(*) AS concepts, count(*) FILTER (WHERE rule IS NOT NULL
     AND len(list_intersect(plain, {S.space_word_set("coalesce(rule, '')", fixed.CONSTRAINT_NEGATIONS)})) >= 2
     AND {S.contains_any('body', fixed.CONSTRAINT_NEGATIONS)} <> {S.contains_any("coalesce(rule, '')", fixed.CONSTRAINT_NEGATIONS)}) AS contradicting
-  FROM named GROUP BY 1),
-verdicts AS (SELECT s.claim, concepts, coalesce(supporting, 0) AS supporting, contradicting,
+  FROM named GROUP BY 1, 2),
+verdicts AS (SELECT s.tenant, s.claim, concepts, coalesce(supporting, 0) AS supporting, contradicting,
     CASE WHEN contradicting > 0 THEN 'FALSE' WHEN supporting > 0 THEN 'TRUE' ELSE 'UNDECIDABLE' END AS decision,
     CASE WHEN contradicting > 0 THEN 0.8 WHEN supporting > 0 THEN least(0.9, total / supporting + 0.2) ELSE 0.3 END AS confidence
-  FROM sides s LEFT JOIN supports USING (claim))
+  FROM sides s LEFT JOIN supports USING (tenant, claim))
 """
 
 
 def ontology_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    claims = document_sentences(spark, sf).select("claim_key", "claim").distinct()
+    claims = document_sentences(spark, sf).select("claim_key", "claim", "tenant_id").distinct()
     return knowledge.ontology_check(claims, ontology_entries(spark, sf))
 
 
 @query("ontology_claim_check", ONTOLOGY_SQL + """
 SELECT s.doc_id, s.pos, CAST(concepts AS BIGINT) AS concepts, CAST(supporting AS BIGINT) AS supporting,
-  CAST(contradicting AS BIGINT) AS contradicting, decision, round(confidence, 9)::DOUBLE AS confidence FROM sents s JOIN verdicts USING (claim)""")
+  CAST(contradicting AS BIGINT) AS contradicting, decision, round(confidence, 9)::DOUBLE AS confidence FROM sents s JOIN verdicts USING (tenant, claim)""")
 def ontology_claim_check(spark: SparkSession, sf: str) -> DataFrame:
     out = document_sentences(spark, sf).join(ontology_verdicts(spark, sf), "claim_key")
     return out.select("doc_id", "pos", "concepts", "supporting", "contradicting", "decision",
@@ -186,7 +193,7 @@ def ontology_claim_check(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("hallucination_counts", ONTOLOGY_SQL + """
 SELECT s.doc_id, CAST(count(*) AS BIGINT) AS claims, CAST(count(*) FILTER (WHERE coalesce(decision, 'UNDECIDABLE') <> 'TRUE') AS BIGINT) AS hallucinations
-FROM sents s LEFT JOIN verdicts USING (claim) GROUP BY 1""")
+FROM sents s LEFT JOIN verdicts USING (tenant, claim) GROUP BY 1""")
 def hallucination_counts(spark: SparkSession, sf: str) -> DataFrame:
     out = document_sentences(spark, sf).join(ontology_verdicts(spark, sf), "claim_key", "left")
     return out.groupBy("doc_id").agg(
@@ -204,7 +211,7 @@ UNION ALL SELECT concept, 'constrained_by', 'never ' || facts[1], 'constraint',
 def entry_expand(spark: SparkSession, sf: str) -> DataFrame:
     entries = ontology_entries(spark, sf)
     frame = entries.select(
-        F.lit("tenant").alias("tenant_id"), F.lit("passages").alias("ontology_id"), "concept", "definition", "synonyms",
+        "tenant_id", F.lit("passages").alias("ontology_id"), "concept", "definition", "synonyms",
         F.array().cast("array<string>").alias("related_concepts"), "facts", "constraints",
         F.lit("benchmark").alias("source"), F.lit("probable").alias("confidence"))
     return knowledge.facts_from_entries(frame).select("subject", "relation", "object", "fact_type", "confidence")
@@ -218,7 +225,7 @@ checked AS (
   SELECT s.doc_id, s.pos, s.claim, CASE WHEN v.claim IS NOT NULL THEN 'FALSE' ELSE coalesce(r.decision, 'UNDECIDABLE') END AS decision,
     CASE WHEN v.claim IS NOT NULL THEN 'compliance' WHEN r.claim IS NOT NULL THEN 'ontology' ELSE 'none' END AS source,
     CASE WHEN v.claim IS NOT NULL THEN 1.0 ELSE coalesce(r.confidence, 0.0) END AS confidence
-  FROM sents s LEFT JOIN viol v USING (claim) LEFT JOIN relevant r USING (claim))
+  FROM sents s LEFT JOIN viol v USING (claim) LEFT JOIN relevant r USING (tenant, claim))
 """
 
 def checked_claims(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,25 +268,27 @@ POLICIES = [
     ("p4", "household", "blocked", "urgent p", "FALSE", 0.95, "HOUSEHOLD", "*", "P", "asia"),
     ("p5", "anyone", "places", "medium", "TRUE", 0.6, "AUTOMOBILE", "MEDIUM", "F", "*"),
 ]
-POLICY_DDL = ("policy_id string, subject string, relation string, object string, state string, confidence double, "
+#: One tenant has all policies, the other all but the last.
+TENANT_POLICIES = [("t0", *p) for p in POLICIES] + [("t1", *p) for p in POLICIES[:-1]]
+POLICY_DDL = ("tenant_id string, policy_id string, subject string, relation string, object string, state string, confidence double, "
               "actor string, action string, resource string, purpose string")
 
 
 def policy_sql_rows() -> str:
     rows = []
-    for pid, s, r, o, state, conf, actor, action, resource, purpose in POLICIES:
+    for owner, pid, s, r, o, state, conf, actor, action, resource, purpose in TENANT_POLICIES:
         words = [w for w in f"{s} {r} {o}".lower().split() if w not in fixed.OVERLAP_STOPWORDS]
         fields = [S.word_list(words if f in ("", "*") else [f.lower()]) for f in (actor, action, resource)]
-        rows.append(f"({S.q(pid)}, {S.q(state)}, {conf}::DOUBLE, {fields[0]}, {fields[1]}, {fields[2]}, {S.q(purpose.lower())})")
+        rows.append(f"({S.q(owner)}, {S.q(pid)}, {S.q(state)}, {conf}::DOUBLE, {fields[0]}, {fields[1]}, {fields[2]}, {S.q(purpose.lower())})")
     return ", ".join(rows)
 
 
 @query("action_authorisation", f"""
-WITH p(policy_id, state, confidence, actors, acts, resources, purpose) AS (VALUES {policy_sql_rows()}),
-a AS (SELECT o_orderkey, lower(c_mktsegment) AS actor, lower(regexp_replace(o_orderpriority, '^[^A-Z]*', '')) AS act,
+WITH p(tenant, policy_id, state, confidence, actors, acts, resources, purpose) AS (VALUES {policy_sql_rows()}),
+a AS (SELECT o_orderkey, 't' || c_custkey % 2 AS tenant, lower(c_mktsegment) AS actor, lower(regexp_replace(o_orderpriority, '^[^A-Z]*', '')) AS act,
     lower(o_orderstatus) AS res, CASE WHEN c_nationkey < 10 THEN 'asia' ELSE '' END AS purpose FROM orders JOIN customer ON c_custkey = o_custkey),
 m AS (SELECT a.*, max(CASE WHEN p.state = 'FALSE' THEN p.confidence END) AS denied, max(CASE WHEN p.state = 'TRUE' THEN p.confidence END) AS allowed
-  FROM a LEFT JOIN p ON list_contains(p.actors, actor) AND list_contains(p.acts, act) AND list_contains(p.resources, res)
+  FROM a LEFT JOIN p ON p.tenant = a.tenant AND list_contains(p.actors, actor) AND list_contains(p.acts, act) AND list_contains(p.resources, res)
     AND (p.purpose IN ('', '*') OR a.purpose = '' OR a.purpose = p.purpose) GROUP BY ALL)
 SELECT o_orderkey, CASE WHEN denied IS NOT NULL THEN 'FALSE' WHEN allowed IS NOT NULL THEN 'TRUE' ELSE 'UNDECIDABLE' END AS decision,
   CASE WHEN denied IS NOT NULL THEN 'policy_denied' WHEN allowed IS NOT NULL THEN 'policy_allowed' ELSE 'policy_missing' END AS status,
@@ -288,10 +297,10 @@ def action_authorisation(spark: SparkSession, sf: str) -> DataFrame:
     orders, customer = read_table(spark, sf, "orders"), read_table(spark, sf, "customer")
     joined = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
     actions = joined.select(
-        "o_orderkey", F.col("c_mktsegment").alias("actor"),
+        "o_orderkey", tenant("c_custkey").alias("tenant_id"), F.col("c_mktsegment").alias("actor"),
         F.regexp_replace("o_orderpriority", "^[^A-Z]*", "").alias("action"), F.col("o_orderstatus").alias("resource"),
         F.when(F.col("c_nationkey") < 10, F.lit("asia")).otherwise(F.lit("")).alias("purpose"))
-    policies = spark.createDataFrame(POLICIES, POLICY_DDL)
+    policies = spark.createDataFrame(TENANT_POLICIES, POLICY_DDL)
     return knowledge.action_check(actions, policies).select("o_orderkey", "decision", "status", "confidence")
 
 
