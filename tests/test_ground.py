@@ -79,6 +79,27 @@ def test_propagation_over_edges_with_a_cycle(spark):
         assert r["confidence"] == pytest.approx(want_confs[i], abs=1e-3)
 
 
+def test_a_long_chain_is_followed_to_its_end(spark):
+    rows = [("s", i, "contradicted" if i == 0 else "supported", 0.0 if i % 3 else 1.0) for i in range(1000)]
+    claims = spark.createDataFrame(rows, "id string, claim_id int, label string, confidence double")
+    edges = spark.createDataFrame([("s", i - 1, i) for i in range(1, 1000)] + [("s", 999, 500)],
+                                  "id string, parent int, child int")
+    got = ground.propagate_edges(claims, edges, ["id"])
+    assert got.filter("label = 'contradicted'").count() == 1000
+    other = ground.propagate_edges(claims.filter("claim_id > 0"), edges, ["id"])
+    assert other.filter("label = 'supported'").count() == 999
+
+
+def test_answers_without_claims_keep_a_row(spark):
+    rows = [("a", "", [("d", "the sky is blue today")]), ("b", "The sky is blue today.", [("d", "the sky is blue today")]),
+            ("c", None, [])]
+    samples = spark.createDataFrame(rows, "id string, answer string, contexts array<struct<doc_id:string,text:string>>")
+    got = {r["id"]: r for r in ground.evaluate(samples, ["id"]).collect()}
+    assert got["b"]["claims"] == 1 and not got["b"]["recommend_abstention"]
+    for k in ("a", "c"):
+        assert got[k]["claims"] == 0 and got[k]["risk"] == pytest.approx(0.7) and got[k]["recommend_abstention"]
+
+
 def test_chain_equals_edges(spark):
     rng = random.Random(2)
     rows = [("s", i, f"claim {i}", rng.choice(["supported", "unsupported", "contradicted"]), round(rng.random(), 3), i > 0 and rng.random() < 0.6)
@@ -86,7 +107,7 @@ def test_chain_equals_edges(spark):
     df = spark.createDataFrame(rows, "id string, pos int, claim string, label string, confidence double, depends boolean")
     chain = {r["pos"]: (r["label"], round(r["confidence"], 4)) for r in ground.propagate_chain(df, ["id"]).collect()}
     edges = df.filter("depends").select("id", (F.col("pos") - 1).alias("parent"), F.col("pos").alias("child"))
-    loop = ground.propagate_edges(df.select("id", F.col("pos").alias("claim_id"), "label", "confidence"), edges, ["id"], 1e-9)
+    loop = ground.propagate_edges(df.select("id", F.col("pos").alias("claim_id"), "label", "confidence"), edges, ["id"])
     assert chain == {r["claim_id"]: (r["label"], round(r["confidence"], 4)) for r in loop.collect()}
 
 

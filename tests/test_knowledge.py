@@ -172,3 +172,32 @@ def test_snapshots(spark):
     assert versions.find_snapshot(table, "snap").count() == 1
     facts, log = versions.rollback(a, table, "snap_1", 5)
     assert facts.first()["version"] == 5 and log.first()["facts_before"] == 1
+
+
+def test_states_of_one_triple_survive(spark):
+    kind = "subject string, relation string, object string, state struct<p_true:double,p_false:double,p_und:double>"
+    facts = spark.createDataFrame([("a", "in", "b", (0.2, 0.8, 0.0)), ("a", "in", "b", (0.6, 0.3, 0.1)),
+                                   ("b", "in", "c", (1.0, 0.0, 0.0))], kind)
+    every, steps = infer.forward_chain(facts, [infer.transitivity("in")])
+    states = {(r["subject"], r["object"]): set() for r in every.collect()}
+    for r in every.collect():
+        states[r["subject"], r["object"]].add(round(r["state"]["p_true"], 6))
+    assert states[("a", "b")] == {0.2, 0.6} and ("a", "c") in states and steps.count() == 1
+
+
+def test_circular_derivations_are_explained_once(spark):
+    kind = ("subject string, relation string, object string, rule string, "
+            "premises array<struct<subject:string,relation:string,object:string>>")
+    steps = spark.createDataFrame([("a", "r", "b", "x", [("b", "r", "a")]), ("b", "r", "a", "x", [("a", "r", "b")])], kind)
+    target = spark.createDataFrame([("a", "r", "b")], "subject string, relation string, object string")
+    assert sorted(r["level"] for r in infer.explain(target, steps).collect()) == [0, 1]
+
+
+def test_diff_compares_sets_of_rows(spark):
+    kind = "k int, state string"
+    left = spark.createDataFrame([(1, "TRUE"), (1, "FALSE"), (2, "TRUE"), (3, "TRUE"), (5, "A"), (5, "B")], kind)
+    right = spark.createDataFrame([(1, "TRUE"), (2, "FALSE"), (4, "TRUE"), (5, "C"), (5, "D")], kind)
+    got = sorted(tuple(r) for r in versions.diff(left, right, ["k"], ["state"]).na.fill("-").collect())
+    assert got == [(1, "removed", "FALSE", "-"), (2, "updated", "TRUE", "FALSE"), (3, "removed", "TRUE", "-"),
+                   (4, "added", "-", "TRUE"), (5, "added", "-", "C"), (5, "added", "-", "D"), (5, "removed", "A", "-"),
+                   (5, "removed", "B", "-")]

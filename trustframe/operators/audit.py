@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from trustframe.functions import text
 from trustframe.functions.session import cut_lineage
-from trustframe.operators.ordered import ROW_LIMIT, Running, running
+from trustframe.operators.ordered import Running, running
 
 SEGMENT = 1024
 CONTENT = ["proof_id", "proof_type", "tenant_id", "ts_micros", "input_hash", "context_hash", "decision",
@@ -96,14 +96,13 @@ def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def append(decisions: DataFrame, heads: DataFrame | None = None, segment: int = SEGMENT,
-           row_limit: int = ROW_LIMIT) -> DataFrame:
+def append(decisions: DataFrame, heads: DataFrame | None = None, segment: int = SEGMENT) -> DataFrame:
     """Decisions as ledger rows with seq, segment, content_hash, previous_hash and entry_hash.
 
     ``decisions`` has tenant_id, proof_id, ts, decision, confidence and any further content fields.
     ``heads`` is (tenant_id, next_seq, next_segment, next_anchor) of the ledger so far.
     """
-    counted = running(decisions, ["tenant_id"], ["ts", "proof_id"], {"_row": Running("sum")}, row_limit)
+    counted = running(decisions, ["tenant_id"], ["ts", "proof_id"], {"_row": Running("sum")})
     if heads is None:
         counted = counted.withColumn("next_seq", F.lit(0)).withColumn("next_segment", F.lit(0))
     else:

@@ -127,40 +127,61 @@ def propagate_chain(scored: DataFrame, keys: list[str], extra: list[str] | None
         F.col("x.out.l").alias("label"), F.col("x.out.c").alias("confidence"))
 
 
-def propagate_edges(claims: DataFrame, edges: DataFrame, keys: list[str], tolerance: float = 1e-5,
-                    max_rounds: int = 200) -> DataFrame:
-    """Propagation over any dependency edges (keys, parent, child), cycles included.
-
-    Every round joins children to the current state of their parents on the full key and stops when
-    nothing moves. A child of several parents takes the worst label and, as its confidence, the
-    value given by its last parent.
+def propagate_edges(claims: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Propagation over any dependency edges (keys, parent, child), cycles included, to the fixpoint.
+
+    A child of several parents takes the worst label and, as its confidence, the value given by its
+    last parent. Along last parents confidence is a chain of linear functions, so it is solved by
+    doubling: each round joins a claim to what it depends on twice as far up, and the number of rounds
+    grows with the logarithm of the depth. The worst label travels with it; other parents push theirs
+    in between, until nothing changes.
     """
     rank = F.create_map(F.lit("supported"), F.lit(0), F.lit("unsupported"), F.lit(1),
                         F.lit("contradicted"), F.lit(2))
     words = F.array(F.lit("supported"), F.lit("unsupported"), F.lit("contradicted"))
-    now = claims.select(*keys, "claim_id", F.element_at(rank, F.col("label")).alias("rank"),
-                        F.col("confidence"), F.col("confidence").alias("own"))
-    now = cut_lineage(now)
-    for _ in range(max_rounds):
-        parents = now.select(*keys, F.col("claim_id").alias("parent"), F.col("rank").alias("p_rank"),
-                             F.col("confidence").alias("p_conf"))
-        pushed = (edges.join(parents, [*keys, "parent"]).groupBy(*keys, F.col("child").alias("claim_id"))
-                  .agg(F.max("p_rank").alias("p_rank"), F.max_by("p_conf", "parent").alias("p_conf")))
-        after = now.join(pushed, [*keys, "claim_id"], "left").select(
-            *keys, "claim_id", "own",
-            F.greatest("rank", F.coalesce("p_rank", F.lit(0))).alias("rank"),
-            F.when(F.col("p_conf").isNull(), F.col("own"))
-            .otherwise(F.col("own") * (DAMPING + (1 - DAMPING) * F.col("p_conf"))).alias("confidence"),
-            ((F.coalesce("p_rank", F.lit(0)) > F.col("rank")) | (F.abs(
-                F.when(F.col("p_conf").isNull(), F.col("own"))
-                .otherwise(F.col("own") * (DAMPING + (1 - DAMPING) * F.col("p_conf")))
-                - F.col("confidence")) > tolerance)).alias("moved"))
-        after = cut_lineage(after)
-        moved = not after.filter("moved").isEmpty()
-        now = after.drop("moved")
-        if not moved:
-            break
-    return now.select(*keys, "claim_id", F.get(words, F.col("rank")).alias("label"), "confidence")
+    last = edges.groupBy(*keys, F.col("child").alias("claim_id")).agg(F.max("parent").alias("up"))
+    own = claims.select(*keys, "claim_id", F.element_at(rank, F.col("label")).alias("rank"), "confidence")
+    known = own.select(*keys, F.col("claim_id").alias("up"), F.lit(True).alias("there"))
+    base = cut_lineage(own.join(last, [*keys, "claim_id"], "left").join(known, [*keys, "up"], "left").select(
+        *keys, "claim_id", "rank", "confidence", F.when(F.col("there"), F.col("up")).alias("up")))
+    far = _double(base.select(
+        *keys, "claim_id", "rank", "up",
+        F.when(F.col("up").isNull(), F.col("confidence")).otherwise(F.col("confidence") * DAMPING).alias("plus"),
+        F.when(F.col("up").isNull(), F.lit(0.0)).otherwise(F.col("confidence") * (1 - DAMPING)).alias("times")), keys)
+    confidence = far.select(*keys, "claim_id", F.col("plus").alias("confidence"))
+    while True:
+        worst = far.select(*keys, F.col("claim_id").alias("parent"), F.col("rank").alias("p_rank"))
+        pushed = edges.join(worst, [*keys, "parent"]).groupBy(*keys, F.col("child").alias("claim_id")).agg(
+            F.max("p_rank").alias("p_rank"))
+        after = cut_lineage(far.select(*keys, "claim_id", "rank").join(pushed, [*keys, "claim_id"], "left").join(
+            base.select(*keys, "claim_id", "up"), [*keys, "claim_id"]).select(
+            *keys, "claim_id", "up", F.greatest("rank", F.coalesce("p_rank", F.lit(0))).alias("rank"),
+            (F.coalesce("p_rank", F.lit(0)) > F.col("rank")).alias("moved")))
+        if after.filter("moved").isEmpty():
+            return after.join(confidence, [*keys, "claim_id"]).select(
+                *keys, "claim_id", F.get(words, F.col("rank")).alias("label"), "confidence")
+        far = _double(after.select(*keys, "claim_id", "rank", "up", F.lit(0.0).alias("plus"), F.lit(0.0).alias("times")), keys)
+
+
+def _double(state: DataFrame, keys: list[str]) -> DataFrame:
+    """Follows ``up`` to its end: the greatest rank on the way and the composed function of the confidence.
+
+    On a cycle ``times`` shrinks with every round. It ends when all ends are reached, or when no rank
+    changed in a whole round, after which none can, and no value changes any more.
+    """
+    while True:
+        above = state.select(*keys, F.col("claim_id").alias("up"), F.col("up").alias("next"), F.col("rank").alias("a_rank"),
+                             F.col("plus").alias("a_plus"), F.col("times").alias("a_times"))
+        rank, plus = F.greatest("rank", F.coalesce("a_rank", F.lit(0))), F.col("plus") + F.col("times") * F.coalesce(
+            "a_plus", F.lit(0.0))
+        state = cut_lineage(state.join(above, [*keys, "up"], "left").select(
+            *keys, "claim_id", rank.alias("rank"), plus.alias("plus"),
+            (F.col("times") * F.coalesce("a_times", F.lit(0.0))).alias("times"), F.col("next").alias("up"),
+            (rank > F.col("rank")).alias("changed"), (F.col("next").isNotNull() & (F.col("times") > 1e-12)).alias("open")))
+        left = state.agg(F.bool_or("changed").alias("changed"), F.bool_or("open").alias("open"),
+                         F.bool_or(F.col("up").isNotNull()).alias("far")).first()
+        if not (left["far"] and (left["changed"] or left["open"])):
+            return state.drop("changed", "open")
 
 
 def link_orphans(claims: DataFrame, keys: list[str], least: float = 0.72) -> DataFrame:
@@ -320,11 +341,19 @@ def evaluate(samples: DataFrame, keys: list[str], q_hat: float = 0.70) -> DataFr
         conflicts.alias("conflicting_claims"), of("arbitrary_unilateral_choice").alias("penalized_claims"),
         F.avg("set_size").alias("mean_set_size"), F.min("confidence").alias("least_confidence"),
         F.collect_list(F.struct("claim", "label")).alias("items"))
-    spans = unsupported_intervals(F.col("answer"), F.col("items"))
+    # an answer without any claim is a row too: nothing in it is supported
+    none = F.lit(0).cast("bigint")
+    per = samples.select(*keys, F.col("answer").alias("whole")).join(per, keys, "left").select(
+        *keys, *[F.coalesce(c, none).alias(c) for c in ("claims", "contradicted", "conflicting_claims", "penalized_claims")],
+        F.col("whole").alias("answer"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in (
+            "support_rate_raw", "support_rate_propagated", "mean_set_size", "least_confidence")],
+        F.coalesce("items", F.array().cast(per.schema["items"].dataType)).alias("items"))
+    spans = unsupported_intervals(F.coalesce("answer", F.lit("")), F.col("items"))
     return (per.withColumn("spans", spans)
             .withColumn("unsupported_chars", interval_length(F.col("spans")))
             .withColumn("total_chars", F.length(text.squeeze(F.col("answer"))))
-            .withColumn("unsupported_rate", F.col("unsupported_chars") / F.col("total_chars"))
+            .withColumn("unsupported_rate", F.when(F.col("total_chars") > 0, F.col("unsupported_chars") / F.col("total_chars"))
+                        .otherwise(F.lit(0.0)))
             .withColumn("risk", abstention_risk(F.col("support_rate_raw"), F.col("contradicted"),
                                                 F.col("unsupported_rate")))
             .withColumn("recommend_abstention", F.col("risk") >= RISK_AT)

@@ -7,6 +7,7 @@ written to the checkpoint folder, so the plan stays short and a lost executor co
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 from functools import reduce
 
@@ -88,20 +89,25 @@ def _derive(rule: Rule, old: DataFrame, fresh: DataFrame, every: DataFrame) -> D
     return reduce(DataFrame.unionByName, parts)
 
 
-def forward_chain(facts: DataFrame, rules: list[Rule], max_rounds: int = 100, least: float = 0.1,
+def forward_chain(facts: DataFrame, rules: list[Rule], least: float = 0.1,
                   constraints: list[Constraint] | None = None) -> tuple[DataFrame, DataFrame]:
     """(all facts, derivations) at the fixpoint.
 
     In a round all derivations of a triple are OR-ed together, and into the fact if it is known
     already, once each. A new fact needs a TRUE or UNDECIDABLE probability of ``least`` and must
     not break a blocking constraint. ``steps`` is the fewest base facts a fact rests on. Facts that
-    are FALSE are no premises.
+    are FALSE are no premises. Of the states that a given triple has, the greatest is the premise;
+    the others stay among the facts as they are. New facts are built from the terms of old ones, so
+    the rounds end by themselves.
     """
     base = facts.groupBy(*TRIPLE).agg(F.max_by("state", F.struct("state")).alias("state"))
+    others = facts.select(*TRIPLE, "state").distinct().join(
+        base.withColumnRenamed("state", "best"), TRIPLE).filter("state <> best").select(
+        *TRIPLE, "state", F.lit(1).cast("bigint").alias("steps"))
     every = cut_lineage(base.withColumn("steps", F.lit(1).cast("bigint")))
     fresh, old = every, every.limit(0)
     history: list[DataFrame] = []
-    for number in range(1, max_rounds + 1):
+    for number in itertools.count(1):
         usable = [f.filter(truth.collapse(F.col("state")) != "FALSE") for f in (old, fresh, every)]
         derived = cut_lineage(reduce(DataFrame.unionByName, [_derive(r, *usable) for r in rules]))
         if derived.isEmpty():
@@ -127,7 +133,7 @@ def forward_chain(facts: DataFrame, rules: list[Rule], max_rounds: int = 100, le
     empty = every.sparkSession.createDataFrame(
         [], "subject string, relation string, object string, rule string, premises array<struct<subject:string,"
         "relation:string,object:string>>, steps bigint, state struct<p_true:double,p_false:double,p_und:double>, round int")
-    return every, reduce(DataFrame.unionByName, history) if history else empty
+    return every.unionByName(others), reduce(DataFrame.unionByName, history) if history else empty
 
 
 def prove(goals: DataFrame, facts: DataFrame) -> DataFrame:
@@ -142,17 +148,22 @@ def prove(goals: DataFrame, facts: DataFrame) -> DataFrame:
                       F.when(proved, 1.0 / (1 + F.col("steps"))).otherwise(F.lit(0.0)).alias("score"))
 
 
-def explain(targets: DataFrame, derivations: DataFrame, depth: int = 10) -> DataFrame:
-    """Derivations below each target triple: (target, level, fact, rule, premises)."""
+def explain(targets: DataFrame, derivations: DataFrame) -> DataFrame:
+    """Derivations below each target triple: (target, level, fact, rule, premises).
+
+    A fact is explained where it is first met below its target, so circular derivations end.
+    """
     heads = derivations.select(F.struct(*TRIPLE).alias("fact"), "rule", "premises")
     front = targets.select(F.struct(*TRIPLE).alias("target"), F.struct(*TRIPLE).alias("fact")).distinct()
-    levels = []
-    for level in range(depth):
+    seen, levels = front, []
+    for level in itertools.count():
         found = cut_lineage(front.join(heads, "fact").withColumn("level", F.lit(level)))
         if found.isEmpty():
             break
         levels.append(found)
-        front = found.select("target", F.explode("premises").alias("fact")).distinct()
+        below = found.select("target", F.explode("premises").alias("fact")).distinct()
+        front = cut_lineage(below.join(seen, ["target", "fact"], "left_anti"))
+        seen = seen.unionByName(front)
     if not levels:
         return front.join(heads, "fact").withColumn("level", F.lit(0)).limit(0)
     return reduce(DataFrame.unionByName, levels)

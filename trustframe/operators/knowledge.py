@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trustframe.functions import fixed, text, truth
 from trustframe.operators import guard, matching
-from trustframe.operators.ordered import ROW_LIMIT, Running, running
+from trustframe.operators.ordered import Running, running
 
 TRIPLE = ["subject", "relation", "object"]
 
@@ -316,9 +316,9 @@ def symbolic_contradictions(hypotheses: DataFrame, facts: DataFrame) -> DataFram
     return hypotheses.join(false, keys)
 
 
-def non_monotonic(hypotheses: DataFrame, order: list[str], time: str, row_limit: int = ROW_LIMIT) -> DataFrame:
+def non_monotonic(hypotheses: DataFrame, order: list[str], time: str) -> DataFrame:
     """(subject, relation) series whose time steps back, in input order, with the number of steps."""
-    ordered = running(hypotheses, ["subject", "relation"], order, {"earlier": Running("previous", F.col(time))}, row_limit)
+    ordered = running(hypotheses, ["subject", "relation"], order, {"earlier": Running("previous", F.col(time))})
     return (ordered.groupBy("subject", "relation")
             .agg(F.count_if(F.col("earlier") > F.col(time)).alias("back_steps"), F.count("*").alias("points"))
             .filter("back_steps > 0"))

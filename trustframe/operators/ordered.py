@@ -1,9 +1,8 @@
 """Ordered computations that survive a hot key.
 
-A plain window puts each key into one task. When the largest key has more rows than
-``row_limit``, the rows are range-partitioned on (keys, order) instead, so one key spreads over
-many slices; each slice is computed on its own and the carry from earlier slices, one row per
-(key, slice), is added by an equi-join. Both ways give the same rows.
+A plain window puts each key into one task. Here the rows are range-partitioned on (keys, order), so
+one key spreads over many slices; each slice is computed on its own, and the carry from earlier
+slices, one row per (key, slice), is added by an equi-join.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 
 from trustframe.functions.session import cut_lineage
 
-ROW_LIMIT = 2_000_000
 SLICE = "_slice"
 
 
@@ -28,23 +26,14 @@ class Running:
     before: bool = False
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    if not keys:
-        return df.count()
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return row["n"] or 0
-
-
 def running(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Running],
-            row_limit: int = ROW_LIMIT, slices: int | None = None) -> DataFrame:
-    """Add running columns over ``order`` within ``keys``. ``order`` must be unique per key."""
+            slices: int | None = None) -> DataFrame:
+    """Add running columns over ``order`` within ``keys``. ``order`` must be unique per key.
+
+    ``slices`` defaults to the session's number of shuffle partitions.
+    """
     values = {n: (F.lit(1) if r.value is None else r.value) for n, r in columns.items()}
     df = df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
-    if largest_group(df, keys) <= row_limit:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        out = df.select("*", *[_local(n, r, window).alias(n) for n, r in columns.items()])
-        return out.drop(*[f"_v_{n}" for n in columns])
-
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn(SLICE, F.spark_partition_id()))
     within = [*keys, SLICE]
@@ -87,21 +76,19 @@ def _combine(name: str, item: Running) -> Column:
     return F.coalesce(own + carried, own, carried)
 
 
-def order_statistic(df: DataFrame, column: str, position: Column | int,
-                    row_limit: int = ROW_LIMIT) -> DataFrame:
+def order_statistic(df: DataFrame, column: str, position: Column | int) -> DataFrame:
     """One row: the value at 1-based ``position`` of the sorted column. Exact.
 
     Equal values are counted first, so ties never pile up, and the cumulative count is a running
-    sum that is sliced when there are many distinct values.
+    sum over the distinct values.
     """
     counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    cumulative = running(counts, [], [column], {"_upto": Running("sum", F.col("_n"))}, row_limit)
+    cumulative = running(counts, [], [column], {"_upto": Running("sum", F.col("_n"))})
     place = F.lit(position) if isinstance(position, int) else position
     return cumulative.filter(F.col("_upto") >= place).agg(F.min(column).alias(column))
 
 
-def rate_counts(df: DataFrame, key: str, ts: str, seconds: int = 60,
-                row_limit: int = ROW_LIMIT) -> DataFrame:
+def rate_counts(df: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
     """Add ``in_window``: rows of the key in the last ``seconds``, a row that old being out.
 
     Every row counts +1 when it comes and -1 when it leaves; the running sum of these changes is
@@ -112,5 +99,5 @@ def rate_counts(df: DataFrame, key: str, ts: str, seconds: int = 60,
         F.struct(F.col(ts).alias("at"), F.lit(1).alias("change")),
         F.struct(leaves.alias("at"), F.lit(-1).alias("change")))).alias("c"))
         .groupBy(key, F.col("c.at").alias("at")).agg(F.sum("c.change").alias("change")))
-    sizes = running(changes, [key], ["at"], {"in_window": Running("sum", F.col("change"))}, row_limit)
+    sizes = running(changes, [key], ["at"], {"in_window": Running("sum", F.col("change"))})
     return df.join(sizes.select(key, F.col("at").alias(ts), "in_window"), [key, ts])

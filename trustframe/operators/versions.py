@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustframe.operators.ordered import ROW_LIMIT, Running, running
+from trustframe.operators.ordered import Running, running
 
 
 def diff(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Added, removed and updated rows between two versions, with the columns before and after.
 
-    Both versions are tagged and grouped by key: one shuffle with partial aggregation instead of a
-    full outer join of two shuffled sides.
+    A key may have several rows in a version, such as conflicting facts; the sets of rows are
+    compared. A key that lost one row and got one is updated; otherwise each row that came or went
+    is listed. Both versions are tagged and grouped: no outer join of two shuffled sides.
     """
-    row = F.struct(*columns)
-    tagged = left.select(*keys, row.alias("before"), F.lit(None).cast(left.select(row.alias("r")).schema["r"].dataType).alias("after"))
-    tagged = tagged.unionByName(right.select(*keys, F.lit(None).cast(tagged.schema["before"].dataType).alias("before"), row.alias("after")))
-    per = tagged.groupBy(*keys).agg(F.max("before").alias("before"), F.max("after").alias("after"))
-    change = (F.when(F.col("before").isNull(), F.lit("added")).when(F.col("after").isNull(), F.lit("removed"))
-              .when(~F.col("before").eqNullSafe(F.col("after")), F.lit("updated")))
-    out = per.withColumn("change", change).filter(F.col("change").isNotNull())
-    return out.select(*keys, "change", *[F.col(f"before.{c}").alias(f"from_{c}") for c in columns],
-                      *[F.col(f"after.{c}").alias(f"to_{c}") for c in columns])
+    def tagged(frame: DataFrame, side: int) -> DataFrame:
+        return frame.select(*keys, F.struct(*columns).alias("row"), F.lit(side).alias("side"))
+
+    rows = tagged(left, 0).unionByName(tagged(right, 1)).groupBy(*keys, "row").agg(
+        F.min("side").alias("side"), F.max("side").alias("last")).filter("side = last")
+    per_key = Window.partitionBy(*keys)
+    counted = rows.select(*keys, "row", "side", F.count_if(F.col("side") == 0).over(per_key).alias("gone"),
+                          F.count_if(F.col("side") == 1).over(per_key).alias("came"))
+    one_each = (F.col("gone") == 1) & (F.col("came") == 1)
+    before, after = F.when(F.col("side") == 0, F.col("row")), F.when(F.col("side") == 1, F.col("row"))
+    updated = counted.filter(one_each).groupBy(*keys).agg(
+        F.max(before).alias("before"), F.max(after).alias("after")).withColumn("change", F.lit("updated"))
+    single = counted.filter(~one_each).select(
+        *keys, before.alias("before"), after.alias("after"),
+        F.when(F.col("side") == 0, F.lit("removed")).otherwise(F.lit("added")).alias("change"))
+    return updated.unionByName(single).select(
+        *keys, "change", *[F.col(f"before.{c}").alias(f"from_{c}") for c in columns],
+        *[F.col(f"after.{c}").alias(f"to_{c}") for c in columns])
 
 
 def diff_summary(changes: DataFrame) -> DataFrame:
@@ -56,9 +66,9 @@ def entry_counts(entries: DataFrame, keys: list[str]) -> DataFrame:
     return entries.groupBy(*keys).agg(F.count("*").alias("entries"))
 
 
-def number_versions(adds: DataFrame, ontology: str, order: list[str], start: int = 1, row_limit: int = ROW_LIMIT) -> DataFrame:
+def number_versions(adds: DataFrame, ontology: str, order: list[str], start: int = 1) -> DataFrame:
     """Add ``from_version`` and ``to_version``: each accepted add raises its ontology's version by one."""
-    out = running(adds, [ontology], order, {"_done": Running("sum", F.col("accepted").cast("bigint"))}, row_limit)
+    out = running(adds, [ontology], order, {"_done": Running("sum", F.col("accepted").cast("bigint"))})
     after = F.lit(start) + F.col("_done")
     return (out.withColumn("to_version", after)
             .withColumn("from_version", after - F.col("accepted").cast("bigint")).drop("_done"))
