@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -33,6 +34,8 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "12g")
              .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
+             .config("spark.trustframe.textPartitions", cpus)
              # rows are few but heavy, so small partitions still deserve a task of their own
              .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k").getOrCreate())
     spark.sparkContext.setLogLevel("OFF")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -25,6 +26,8 @@ def session() -> SparkSession:
     spark = (SparkSession.builder.master("local[8]").appName("check")
              .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
              .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="check-"))
+             .config("spark.trustframe.textPartitions", "8")
              .getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
     return spark

@@ -12,14 +12,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table for work that is heavy per row.
+    """A table for work that is heavy per row, in ``spark.trustframe.textPartitions`` partitions if set.
 
-    A few files cannot keep all cores busy, so then the rows are spread first. A table with as many
-    files as cores is read as it is, without a shuffle.
+    A table in few files cannot keep all cores busy, so a session over small tables sets the number;
+    without it the table is read as its files are split, without a shuffle.
     """
     df = read_table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    partitions = spark.conf.get("spark.trustframe.textPartitions", None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
