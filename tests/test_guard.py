@@ -107,3 +107,27 @@ def test_parse_decision(spark):
              '{broken} {"answer": "w", "decision": "UNDECIDABLE"}': ("w", "UNDECIDABLE", "valid")}
     rows = texts(spark, *cases).select("text", text.parse_decision(F.col("text")).alias("p")).collect()
     assert {r["text"]: tuple(r["p"]) for r in rows} == cases
+
+
+def test_a_match_is_where_its_context_is(spark):
+    rule = guard.Rule("R1", "custom", "high", True, [r"(?<=pin )\d{4}"])
+    df = spark.createDataFrame([("code 1234 pin 1234",)], "body string")
+    found = guard.scan(df, "body", [rule]).first()["violations"]
+    assert [(v["matched"], v["position"]) for v in found] == [("1234", 14)]
+
+
+def test_secrets_in_objects_and_arrays_are_redacted(spark):
+    rows = [('{"api_key": {"a": ["x", {"b": "}"}]}, "n": 1}', '{"api_key":"[REDACTED]", "n": 1}'),
+            ('{"password": ["x", "y]"], "n": {"token": "t"}}', '{"password":"[REDACTED]", "n": {"token":"[REDACTED]"}}')]
+    df = spark.createDataFrame(rows, "given string, wanted string")
+    for r in df.select(text.redact_json(F.col("given")).alias("got"), "wanted").collect():
+        assert r["got"] == r["wanted"]
+
+
+def test_decisions_in_nested_and_wrongly_typed_json(spark):
+    rows = [('see {"x": 1} and {"answer": "yes", "decision": "TRUE", "why": {"n": [1, {"m": 2}]}}', "valid", "TRUE"),
+            ('{"answer": 5, "decision": "TRUE"}', "malformed", "UNDECIDABLE"),
+            ('{"answer": "a", "decision": "false"}', "valid", "FALSE"), ("nothing", "malformed", "UNDECIDABLE")]
+    df = spark.createDataFrame(rows, "given string, status string, decision string")
+    for r in df.select(text.parse_decision(F.col("given")).alias("got"), "status", "decision").collect():
+        assert (r["got"]["parse_status"], r["got"]["decision"]) == (r["status"], r["decision"])

@@ -80,6 +80,9 @@ def scan(frame: DataFrame, column: str, rules: list[Rule], context_keys: str | N
     matches = F.array(*[allowed(r, F.regexp_extract(body, "(?i)" + p, 0)) for r, p in regexes]) if regexes else (
         F.array().cast("array<string>"))
     frame = frame.withColumn("_positions", positions).withColumn("_matches", matches)
+    # where the match stands, which for a pattern with context isn't where its text stands first
+    places = F.array(*[F.when(F.get("_matches", F.lit(i)) != "", F.regexp_instr(body, F.lit("(?i)" + p)))
+                       for i, (_, p) in enumerate(regexes)])
 
     def meta(items: list[tuple[Rule, str]]) -> Column:
         return F.array(*[text.record(
@@ -101,11 +104,12 @@ def scan(frame: DataFrame, column: str, rules: list[Rule], context_keys: str | N
         found.append(F.transform(hits, lambda h: text.let(F.get(meta(words), h["i"]), lambda m: violation(
             m, F.substring(body, h["p"], m["size"]), h["p"] - 1))))
     if regexes:
-        hits = F.filter(F.transform("_matches", lambda p, i: text.record(p=p, i=i)), lambda h: h["p"] != "")
-        found.append(F.transform(hits, lambda h: violation(
-            F.get(meta(regexes), h["i"]), h["p"], F.position(h["p"], body) - 1)))
+        frame = frame.withColumn("_places", places)
+        hits = F.filter(F.transform("_matches", lambda p, i: text.record(p=p, i=i, at=F.get("_places", i))),
+                        lambda h: h["p"] != "")
+        found.append(F.transform(hits, lambda h: violation(F.get(meta(regexes), h["i"]), h["p"], h["at"] - 1)))
     none = F.array().cast(f"array<{VIOLATION}>")
-    return frame.withColumn(out, F.concat(*found) if found else none).drop("_positions", "_matches", lower)
+    return frame.withColumn(out, F.concat(*found) if found else none).drop("_positions", "_matches", "_places", lower)
 
 
 def violation_rows(scanned: DataFrame, keys: list[str], column: str = "violations") -> DataFrame:
