@@ -166,7 +166,8 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
         return ranged.withColumn("halo", F.lit(False))
     heads = docs.sparkSession.createDataFrame(
         [(*first, firsts[k - 1][0]) for k, first in enumerate(firsts)], "head int, first long, goes_to int")
-    halo = ranged.join(heads, (F.col("range") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("first"))) \
+    # one row per range, so never more than a few thousand
+    halo = ranged.join(F.broadcast(heads), (F.col("range") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("first"))) \
         .groupBy("range", "doc_id", "goes_to").agg(F.min("text").alias("text")).select(
             "doc_id", "text", F.col("goes_to").alias("range"), F.lit(True).alias("halo"))
     return ranged.withColumn("halo", F.lit(False)).unionByName(halo)
