@@ -16,7 +16,7 @@ from trustframe.llm.common import mix, stored
 #: Bits of a fingerprint, and of the character classes and steps that the shared walk is drawn for.
 BITS = 256
 CLASSES, PERIOD = 256, 4096
-#: Code points walked at a time.
+#: Code points walked at a time, or one text if it is longer.
 BATCH = 2 << 20
 PRINTED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
            "near_edited double, near_next double")
@@ -38,34 +38,52 @@ def _pauses() -> np.ndarray:
 
 @functools.cache
 def _records(bit: int) -> np.ndarray:
-    """Steps with a smaller hash than all steps before them: the sampled step of a walk of n steps is the last of
-    these below n. Two walks thus mostly sample the same step, also if they differ in length."""
-    steps, least, size = [0], np.uint64(2**64 - 1), 1 << 16
-    for begin in range(0, 1 << 22, size):
-        values = mix(np.arange(begin, begin + size, dtype=np.uint64) * np.uint64(BITS) + np.uint64(bit))
-        lows = np.minimum.accumulate(np.minimum(values, least))
-        steps.extend((np.flatnonzero(values < np.concatenate([[least], lows[:-1]])) + begin).tolist())
-        least = lows[-1]
-    return np.unique(steps)
-
-
-def walk(classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Steps whose random number is smaller than those of all steps before them, drawn from record to record: the
+    sampled step of a walk of n steps is the last of these below n. Two walks thus mostly sample the same step, also
+    if they differ in length."""
+    draw = np.random.default_rng([4, bit])
+    steps, least = [0], draw.random()
+    while steps[-1] < 1 << 31:
+        steps.append(steps[-1] + 1 + int(np.log(draw.random()) / np.log1p(-least)))
+        least *= draw.random()
+    return np.array(steps)
+
+
+@functools.cache
+def _pause_list() -> list[int]:
+    return _pauses().tolist()
+
+
+#: With fewer texts left a walk goes on text by text, where a step costs less than an array operation.
+FEW = 48
+
+
+def walk(classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, steps: np.ndarray | None = None) -> np.ndarray:
     """The step at which the walk of each text reaches each of its characters, and for each text the step after its
-    last (texts are stored one after another with one free slot behind each)."""
-    pauses = _pauses()
-    reached = np.zeros(len(classes), np.int64)
+    last (texts are stored one after another with one free slot behind each). ``steps`` are where the walks begin."""
+    pauses, reached = _pauses(), np.zeros(len(classes), np.int32)
     order = np.argsort(-sizes, kind="stable")
     at, length = starts[order], sizes[order]
-    step = np.zeros(len(order), np.int64)
-    alive = len(order)
-    for _ in range(int(length[0]) if alive else 0):
-        while length[alive - 1] <= _:
+    step = np.zeros(len(order), np.int64) if steps is None else steps[order].astype(np.int64)
+    alive, done = len(order), 0
+    while True:
+        while alive and length[alive - 1] <= done:
             alive -= 1
-        here = at[:alive] + _
-        now = step[:alive]
+        if alive <= FEW:
+            break
+        here, now = at[:alive] + done, step[:alive]
         reached[here] = now
-        now += pauses[classes[here] * PERIOD + (now & (PERIOD - 1))]
-    reached[starts + sizes] = step[np.argsort(order)]
+        now += pauses[classes[here] * np.int64(PERIOD) + (now & (PERIOD - 1))]
+        done += 1
+    lookup, mask = _pause_list(), PERIOD - 1
+    for row in range(alive):
+        now, line = int(step[row]), []
+        for base in (classes[at[row] + done:at[row] + length[row]] * np.int64(PERIOD)).tolist():
+            line.append(now)
+            now += lookup[base + (now & mask)]
+        reached[at[row] + done:at[row] + length[row]] = line
+        step[row] = now
+    reached[at + length] = step
     return reached
 
 
@@ -90,29 +108,41 @@ def bits_of(points: np.ndarray, reached: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(BITS, bool)
     steps = _sampled(int(reached[n]))
-    place = np.searchsorted(reached[:n], steps, "right") - 1
+    place = np.searchsorted(reached[:n], steps.astype(np.int32), "right") - 1
     padded = np.append(points.astype(np.uint64), np.zeros(3, np.uint64))
     gram = padded[place] | padded[place + 1] << np.uint64(21) | padded[place + 2] << np.uint64(42)
     gram = mix(gram) ^ padded[place + 3] ^ (steps.astype(np.uint64) << np.uint64(24))
     return (mix(gram + np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(bool)
 
 
-def fingerprints(texts: list[str]) -> np.ndarray:
-    """Fingerprints of the texts, one row of truth values each."""
-    out = np.zeros((len(texts), BITS), bool)
-    begin = size = 0
-    for k, text in enumerate(texts):
-        size += len(text) + 1
-        if size > BATCH or k == len(texts) - 1:
-            part = texts[begin:k + 1]
-            sizes = np.array([len(x) for x in part], np.int64)
-            points = np.frombuffer("\0".join([*part, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-            starts = np.cumsum(sizes + 1) - sizes - 1
-            reached = walk((points * np.uint32(2654435761) >> np.uint32(24)).astype(np.int64), starts, sizes)
-            for row, (a, n) in enumerate(zip(starts, sizes, strict=True), begin):
-                out[row] = bits_of(points[a:a + n], reached[a:a + n + 1])
-            begin, size = k + 1, 0
-    return out
+def _laid_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points and classes of the texts with one free slot behind each, where each begins, and its length."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points, (points * np.uint32(2654435761) >> np.uint32(24)).astype(np.uint8), np.cumsum(sizes + 1) - sizes - 1, sizes
+
+
+def fingerprints(texts: list[str], tails: list[str] | None = None) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the texts, one row of truth values each.
+
+    With ``tails`` also those of the texts whose last characters are replaced: the last quarter goes and the tail
+    comes. Their walks go on from where the quarter begins.
+    """
+    points, classes, starts, sizes = _laid_out(texts)
+    reached = walk(classes, starts, sizes)
+    own = np.zeros((len(texts), BITS), bool)
+    for row, (a, n) in enumerate(zip(starts, sizes, strict=True)):
+        own[row] = bits_of(points[a:a + n], reached[a:a + n + 1])
+    if tails is None:
+        return own
+    kept = sizes - sizes // 4
+    more, more_classes, begins, lengths = _laid_out(tails)
+    after = walk(more_classes, begins, lengths, reached[starts + kept])
+    changed = np.zeros((len(texts), BITS), bool)
+    for row, (a, k, b, n) in enumerate(zip(starts, kept, begins, lengths, strict=True)):
+        changed[row] = bits_of(np.concatenate([points[a:a + k], more[b:b + n]]),
+                               np.concatenate([reached[a:a + k], after[b:b + n + 1]]))
+    return own, changed
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,11 +154,6 @@ def _hex(bits: np.ndarray) -> list[str]:
     return [x.tobytes().hex() for x in np.packbits(bits, axis=1)]
 
 
-def _edited(text: str, after: str) -> str:
-    n = len(text) // 4
-    return text[:len(text) - n] + after[:n] if n else text
-
-
 def _follow(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, bool, int | None]]:
     for batch in rows:
         yield from zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["halo"].to_pylist(),
@@ -138,9 +163,10 @@ def _follow(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, b
 def _compare(group: list[tuple[int | None, str]], after: str) -> pa.RecordBatch:
     ids, texts = [x[0] for x in group], [x[1] for x in group]
     following = [*texts[1:], after]
-    edited = [_edited(x, y) for x, y in zip(texts, following, strict=True)]
-    own = fingerprints([*texts, after])
-    changed = fingerprints(edited)
+    tails = [y[:len(x) // 4] for x, y in zip(texts, following, strict=True)]
+    edited = [x[:len(x) - len(x) // 4] + y for x, y in zip(texts, tails, strict=True)]
+    own, changed = fingerprints([*texts, after], [*tails, after[:len(after) // 4]])
+    changed = changed[:-1]
     return pa.RecordBatch.from_arrays([
         pa.array(ids, pa.int64()), pa.array([len(x) for x in texts], pa.int64()),
         pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited]),
