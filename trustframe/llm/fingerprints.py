@@ -241,7 +241,7 @@ def fingerprint(docs: DataFrame, rows_per_range: int = 8000) -> DataFrame:
     return dealt.mapInArrow(run, PRINTED)
 
 
-def similar_pairs(printed: DataFrame, texts: DataFrame, bands: int = 40, band_bits: int = 12, least: float = 0.5,
+def similar_pairs(printed: DataFrame, texts: DataFrame, bands: int = 40, band_bits: int = 12, least: float = 0.3,
                   distance: int = 200, seed: int = 9) -> DataFrame:
     """Pairs of different texts (a, b, distance) with an edit distance of at most ``distance``.
 
