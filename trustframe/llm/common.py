@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,6 +169,11 @@ def slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         yield begin, at + 1
 
 
+def text_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of a column of texts with about ``limit`` bytes each, found without making Python texts."""
+    return slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), limit)
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     """Texts of an Arrow column as UTF-8 bytes, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

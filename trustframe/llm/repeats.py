@@ -6,13 +6,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustframe.llm.automaton import SuffixAutomaton
-from trustframe.llm.common import SPACED, Bitmap, as_bytes, shingles, slices, stored, word_hashes
+from trustframe.llm.common import SPACED, Bitmap, as_bytes, shingles, stored, text_slices, word_hashes
 
 #: Words of an anchor; every window of at least this many words has one.
 ANCHOR = 5
@@ -21,44 +21,42 @@ ANCHOR_BITS = 26
 NO_DOC = np.iinfo(np.int64).max
 
 
-def _runs(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows with the same anchor: anchor, first window, number of windows.
+def _runs(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring windows of one text with the same anchor: text, anchor, first window, number of windows.
 
-    The anchor of a window is the least hash of its runs of ANCHOR words, so equal windows have equal anchors,
-    wherever they stand.
+    ``words`` are those of all texts, ``bounds`` where each begins. The anchor of a window is the least hash of its
+    runs of ANCHOR words, so equal windows have equal anchors, wherever they stand.
     """
-    grams = shingles(words, ANCHOR)
-    windows = len(words) - window + 1
+    grams, windows = shingles(words, ANCHOR), len(words) - window + 1
     if windows <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = grams[:windows]
+        none = np.zeros(0, np.int64)
+        return none, none.view(np.uint64), none, none
+    least = grams[:windows].copy()
     for k in range(1, window - ANCHOR + 1):
-        least = np.minimum(least, grams[k:k + windows])
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return least[first], first, np.diff(np.append(first, windows))
+        np.minimum(least, grams[k:k + windows], out=least)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    inside = np.flatnonzero(text[:windows] == text[window - 1:])
+    least, text = least[inside], text[inside]
+    first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])]))[:len(inside)]
+    count = np.diff(np.append(first, len(inside)))
+    return text[first], least[first], inside[first] - bounds[:-1][text[first]], count
 
 
-def _each_text(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """Number and word hashes of each text of a batch."""
-    texts = as_bytes(batch["text"])
-    for a, b in slices((len(x or b"") for x in texts), 1 << 20):
-        words, bounds = word_hashes(texts[a:b], SPACED, False)
-        for k, (begin, end) in enumerate(zip(bounds, bounds[1:], strict=False), a):
-            yield k, words[begin:end]
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Some texts of a batch at a time: number of the first, word hashes, and where each text's words begin."""
+    for a, b in text_slices(batch["text"], 1 << 20):
+        yield a, *word_hashes(as_bytes(batch["text"].slice(a, b - a)), SPACED, False)
 
 
 def anchors(docs: DataFrame, window: int, sift: Bitmap | None = None) -> DataFrame:
-    """anchor, doc_id: the different anchors of each text, only those in ``sift`` if given."""
+    """anchor, doc_id: the anchors of each text, only those in ``sift`` if given."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             doc_ids = batch["doc_id"].to_numpy()
-            for k, words in _each_text(batch):
-                own = np.unique(_runs(words, window)[0])
-                found.append(own)
-                ids.append(np.full(len(own), doc_ids[k]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)),
-                                              pa.array(np.concatenate(ids))], names=["anchor", "doc_id"])
+            for at, words, bounds in _chunks(batch):
+                text, anchor, _, _ = _runs(words, bounds, window)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc_ids[at + text])],
+                                                 names=["anchor", "doc_id"])
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(find, "anchor long, doc_id long")
     return sift.rows(rows, "anchor") if sift else rows
@@ -71,22 +69,21 @@ def _pieces(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids, wanted = batch["doc_id"].to_numpy(), batch["anchors"]
-            rows: list[list] = [[], [], [], [], []]
-            for k, words in _each_text(batch):
-                repeated = np.unique(wanted[k].values.to_numpy().view(np.uint64))
-                anchor, first, count = _runs(words, window)
-                at = np.minimum(np.searchsorted(repeated, anchor), len(repeated) - 1)
-                short = (words >> np.uint64(32)).astype("<u4")
-                for run in np.flatnonzero(repeated[at] == anchor):
-                    begin = int(first[run])
-                    own = short[begin:begin + int(count[run]) + window - 1].tobytes()
-                    for column, value in zip(rows, (anchor[run].view(np.int64), hash_bytes(own), doc_ids[k], begin, own),
-                                             strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(rows, (*[pa.int64()] * 3, pa.int32(), pa.binary()), strict=True)],
-                names=["anchor", "piece", "doc_id", "start", "words"])
+            doc_ids = batch["doc_id"].to_numpy()
+            for at, words, bounds in _chunks(batch):
+                text, anchor, first, count = _runs(words, bounds, window)
+                wanted = batch["anchors"].slice(at, len(bounds) - 1)
+                repeated = np.unique(wanted.flatten().to_numpy().view(np.uint64))
+                # an anchor that is repeated for one of the texts at hand is repeated for all that have it
+                found = np.flatnonzero(np.isin(anchor, repeated))
+                short = (words >> np.uint64(32)).astype("<u4").tobytes()
+                text, first, count = text[found], first[found], count[found]
+                begin = bounds[text] + first
+                own = [short[4 * x:4 * y] for x, y in zip(begin.tolist(), (begin + count + window - 1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor[found].view(np.int64)), pa.array(map(hash_bytes, own), pa.int64()),
+                     pa.array(doc_ids[at + text]), pa.array(first.astype(np.int32)), pa.array(own, pa.binary())],
+                    names=["anchor", "piece", "doc_id", "start", "words"])
 
     ids = hits.select(F.col("doc_id").alias("hit_id"), "anchors")
     texts = Bitmap(hits.select("doc_id")).rows(docs.select("doc_id", "text"), "doc_id")
@@ -95,7 +92,7 @@ def _pieces(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
 
 
 def hash_bytes(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(xxhash.xxh3_64_digest(data), "little", signed=True)
 
 
 def _single_windows(pieces: DataFrame, window: int) -> DataFrame:
@@ -152,14 +149,14 @@ def first_documents(references: list[tuple[int, list[int]]], window: int) -> lis
     return answers
 
 
-def covered_windows(docs: DataFrame, window: int = 13, shard_pieces: int = 4000, anchor_pieces: int = 1000) -> DataFrame:
+def covered_windows(docs: DataFrame, window: int = 13, shard_pieces: int = 3000, anchor_pieces: int = 1000) -> DataFrame:
     """doc_id, starts: the first words of all windows that also start in a document with a smaller doc_id.
 
     Anchors that stand in several documents are found first; only the words around them go on. Equal windows have
     equal anchors, so pieces dealt to shards by their anchor meet all that can match them, and each shard's automaton
     has a bounded number of different pieces. An anchor with more than ``anchor_pieces`` different surroundings is
     split: its pieces are cut into single windows, which are dealt by their own hash. Equal pieces are merged first,
-    so copies cost one.
+    so copies cost one, and a piece that is alone with its anchor has nothing to be streamed against.
     """
     spread = anchors(docs, window).groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     repeated = stored(spread.where("low < high").select("anchor"), "repeated-anchors")
@@ -177,13 +174,19 @@ def covered_windows(docs: DataFrame, window: int = 13, shard_pieces: int = 4000,
         F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("words").alias("words")), "references")
     shards = max(1, -(-references.count() // shard_pieces))
 
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        words = [np.frombuffer(x, "<u4").tolist() for x in frame["words"]]
-        found = first_documents(list(zip(frame["doc_id"].tolist(), words, strict=True)), window)
-        return pd.DataFrame({"piece": frame["piece"], "firsts": found})
+    def search(table: pa.Table) -> pa.Table:
+        anchor, doc_ids = table["anchor"].to_numpy(), table["doc_id"].to_pylist()
+        words = [np.frombuffer(x, "<u4") for x in table["words"].to_pylist()]
+        _, which, mates = np.unique(anchor, return_inverse=True, return_counts=True)
+        together = np.flatnonzero(mates[which] > 1)
+        found = [[doc_id] * (len(own) - window + 1) for doc_id, own in zip(doc_ids, words, strict=True)]
+        met = first_documents([(doc_ids[k], words[k].tolist()) for k in together], window)
+        for k, firsts in zip(together, met, strict=True):
+            found[k] = firsts
+        return pa.table({"piece": table["piece"], "firsts": pa.array(found, pa.list_(pa.int64()))})
 
     sharded = references.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    firsts = stored(sharded.groupBy("shard").applyInPandas(search, "piece long, firsts array<long>"), "firsts")
+    firsts = stored(sharded.groupBy("shard").applyInArrow(search, "piece long, firsts array<long>"), "firsts")
     places = pieces.select("piece", "doc_id", "start").join(firsts, "piece")
     starts = F.filter(F.transform("firsts", lambda first, k: F.when(first < F.col("doc_id"), k + F.col("start"))),
                       lambda x: x.isNotNull())
@@ -211,7 +214,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = (
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, starts in zip(as_bytes(batch["text"]), batch["starts"], strict=True):
+            for text, starts in zip(batch["text"].cast(pa.binary()), batch["starts"], strict=True):
+                text = text.as_py()
                 words = (text or b"").split()
                 kept = words
                 if starts.is_valid:
