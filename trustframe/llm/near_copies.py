@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import SPACED, Bitmap, as_bytes, shingles, slices, stored, word_hashes
+from trustframe.llm.common import SPACED, Bitmap, as_bytes, shingles, stored, text_slices, word_hashes
 from trustframe.llm.components import components
 
 #: Minwise tokens per text, and the odd factors that draw them.
@@ -19,10 +19,10 @@ FACTORS = np.random.default_rng(64).integers(1, 1 << 62, TOKENS, dtype=np.uint64
 SIGNED = "doc_id long, node long, n_shingles long, tokens array<int>"
 
 
-def _sets(texts: list[bytes | None], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Number, words and distinct shingles of each text; fewer words than ``width`` make one shingle."""
-    for a, b in slices((len(x or b"") for x in texts), 1 << 20):
-        words, bounds = word_hashes(texts[a:b], SPACED, True)
+    for a, b in text_slices(texts, 1 << 20):
+        words, bounds = word_hashes(as_bytes(texts.slice(a, b - a)), SPACED, True)
         for k, (begin, end) in enumerate(zip(bounds, bounds[1:], strict=False), a):
             own = words[begin:end]
             yield k, own, np.unique(shingles(own, min(width, len(own)))) if len(own) else own
@@ -35,7 +35,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     """
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch["text"])
+            texts = batch["text"]
             nodes, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             tokens = np.zeros((len(texts), TOKENS), np.int32)
             for k, words, own in _sets(texts, width):
@@ -58,8 +58,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """node and its whole set of shingles for ``wanted`` (node, doc_id)."""
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch["text"])
-            found = [own.view(np.int64) for _, _, own in _sets(texts, width)]
+            found = [own.view(np.int64) for _, _, own in _sets(batch["text"], width)]
             offsets = np.cumsum([0, *map(len, found)])
             values = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch["node"], pa.LargeListArray.from_arrays(
@@ -83,22 +82,59 @@ def _children(members: DataFrame, signed: DataFrame, seed: int) -> DataFrame:
         "node", F.explode(F.when(two, F.array(child(0), child(1))).otherwise(F.array(child(0)))).alias("key"))
 
 
-def _alike(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by key as tables of whole keys, some keys at a time."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None and len(held) else table
+        keys = table["key"].to_numpy()
+        end = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        yield table.slice(0, end)
+        held = table.slice(end)
+    if held is not None:
+        yield held
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets are similar enough.
+def _likely(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of texts of one node and different components that may be similar enough, with their set sizes.
 
-    Pairs are first judged by their signatures, five standard deviations below the wanted similarity, which passes
-    all but one in three million links. The rest are decided on the whole sets.
+    ``members`` has key, node, root, n_shingles, tokens; the rows of a node are few, or few pairs of components. Pairs
+    are judged by set sizes and by how many minwise tokens agree, five standard deviations below the wanted
+    similarity, which passes all but one in three million links.
     """
     wanted = percent / 100
     least = int(TOKENS * wanted - 5 * (TOKENS * wanted * (1 - wanted)) ** 0.5)
-    side = signed.select("node", "tokens", "n_shingles")
-    likely = pairs.join(side.toDF("a", "tokens_a", "n_a"), "a").join(side.toDF("b", "tokens_b", "n_b"), "b").where(
-        (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_alike("tokens_a", "tokens_b") >= least))
-    likely = stored(likely.select("a", "b", "n_a", "n_b"), "likely-pairs")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            if not len(table):
+                continue
+            node, root, size = (table[c].to_numpy() for c in ("node", "root", "n_shingles"))
+            tokens = table["tokens"].combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
+            first = np.flatnonzero(np.diff(table["key"].to_numpy(), prepend=table["key"][0].as_py() ^ 1))
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for begin, end in zip(first, [*first[1:], len(table)], strict=True):
+                for at in range(begin, end - 1):
+                    rest = slice(at + 1, end)
+                    fits = (root[rest] != root[at]) & (100 * np.minimum(size[rest], size[at])
+                                                       >= percent * np.maximum(size[rest], size[at]))
+                    other = at + 1 + np.flatnonzero(fits)
+                    other = other[(tokens[other] == tokens[at]).sum(1) >= least]
+                    left.append(np.full(len(other), at))
+                    right.append(other)
+            x, y = np.concatenate(left), np.concatenate(right)
+            x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[x], node[y], size[x], size[y])],
+                                             names=["a", "b", "n_a", "n_b"])
+
+    return members.repartition("key").sortWithinPartitions("key").mapInArrow(
+        compare, "a long, b long, n_a long, n_b long").distinct()
+
+
+def _confirmed(likely: DataFrame, signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose whole sets are similar enough."""
+    likely = stored(likely, "likely-pairs")
     nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = _full_sets(docs, nodes.join(signed.select("node", "doc_id"), "node"), width)
     both = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
@@ -119,25 +155,23 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int, trees: i
     roots = [F.xxhash64(F.lit(t), F.lit(place), F.element_at("tokens", place + 1))
              for t in range(trees) for place in (2 * t % TOKENS, (2 * t + 1) % TOKENS)]
     members = stored(signed.select("node", F.explode(F.array(*roots)).alias("key")), "members")
+    side = signed.select("node", "n_shingles", "tokens")
     found = joined = rest = None
     for level in range(depth + 1):
         sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min(
             F.struct(F.xxhash64("key", "node").alias("order"), "node"))["node"].alias("pivot")).where("size > 1")
         inside = stored(members.join(sizes, "key"), "sized-members")
         small, large = inside.where(F.col("size") <= leaf), inside.where(F.col("size") > leaf)
-        pairs = small.select("key", F.col("node").alias("a")).join(
-            small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-        pairs = pairs.unionByName(large.where("node <> pivot").select(
-            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
+        near = small.select("key", "node")
+        near = near.withColumn("root", F.col("node")) if joined is None else near.join(joined, "node", "left").select(
+            "key", "node", F.coalesce("root", "node").alias("root"))
         if rest is not None:
-            pairs = pairs.unionByName(rest.toDF("key", "a", "root_a").join(rest.toDF("key", "b", "root_b"), "key").where(
-                "a < b AND root_a <> root_b").select("a", "b"))
-        pairs = pairs.distinct()
-        if joined is not None:
-            pairs = pairs.join(joined.toDF("a", "root_a"), "a", "left").join(
-                joined.toDF("b", "root_b"), "b", "left").where(
-                "coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-        now = _confirmed(pairs, signed, docs, width, percent)
+            near = near.unionByName(rest)
+        # a star is dealt by its pairs, each a node of its own, so a hot pivot is spread
+        stars = large.where("node <> pivot").select(F.xxhash64("key", "node").alias("key"), F.explode(
+            F.array("node", "pivot")).alias("node")).withColumn("root", F.col("node"))
+        likely = _likely(near.unionByName(stars).join(side, "node"), percent)
+        now = _confirmed(likely, signed, docs, width, percent)
         found = now if found is None else found.unionByName(now)
         if large.isEmpty():
             break
@@ -158,7 +192,7 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int, trees: i
 
 
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 75, trees: int = 8, leaf: int = 48,
-                cross: int = 5000, depth: int = 8) -> DataFrame:
+                cross: int = 200_000, depth: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
     Texts are linked if their sets of ``width``-word shingles share at least ``percent`` percent of their union.
