@@ -14,14 +14,13 @@ from trustframe.llm.characters import (
     BITS,
     WORDS_HELD,
     WordScores,
-    chunks,
     kneser_ney,
     probability,
     word_grams,
     word_sums,
     words_of,
 )
-from trustframe.llm.common import Bitmap
+from trustframe.llm.common import Bitmap, text_slices
 
 #: Runs of so many classes are counted; those of up to SHARED are shared by both class models.
 ORDER, SHARED = 5, 2
@@ -123,10 +122,10 @@ def features(docs: DataFrame, model: Ratios | None, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(shared.value.words, 1) if shared.value is not None else None
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            out = np.zeros((len(texts), len(FEATURES)))
-            for a, b in chunks(texts) if scores is not None else ():
-                for k, rows in enumerate(scores.rows([words_of(x) for x in texts[a:b]]), a):
+            out = np.zeros((len(batch), len(FEATURES)))
+            for a, b in text_slices(batch["text"], 2 << 20) if scores is not None else ():
+                texts = batch["text"].slice(a, b - a).to_pylist()
+                for k, rows in enumerate(scores.rows([words_of(x) for x in texts]), a):
                     if len(rows):
                         out[k] = measure(scores.matrix[rows, 0])
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), *map(pa.array, out.T.copy())],
@@ -186,7 +185,7 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, wind
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.coalesce(F.pmod(remainder(), F.lit(fold)) == held, F.lit(False)).alias("held_out"),
-                       F.struct(*[F.col(c) for c in carry]).alias("carried") if carry else F.lit(0).alias("carried"))
+                       F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry if c != "text"]).alias("carried"))
     learned = labels.select("doc_id", "toxic").where("toxic IN (0, 1)").where(F.pmod(remainder(), F.lit(fold)) != held)
     tuning = F.pmod(F.floor(remainder() / fold), F.lit(4)) == 0
     model = train(labelled(base, learned.where(~tuning)))
@@ -204,4 +203,4 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, wind
             break
     return features(base, model, window).select(
         "doc_id", "held_out", probability.alias("score"), (probability >= 0.5).cast("int").alias("predicted"), *FEATURES,
-        *[F.col("carried")[c].alias(c) for c in carry])
+        *[F.col(c) if c == "text" else F.col("carried")[c].alias(c) for c in carry])
