@@ -64,8 +64,11 @@ class Forest(NamedTuple):
 
 
 def plant(sample: np.ndarray, trees: int, depth: int, reach: float, seed: int = 7) -> Forest:
-    """Trees over a sample, of at most ``depth`` levels and with at least eight vectors a leaf: each node projects on the widest of three differences of random pairs of its vectors and
-    splits at the median. Nodes without two different vectors get a random projection."""
+    """Trees over a sample, of at most ``depth`` levels and with at least eight vectors a leaf.
+
+    Each node projects on the widest of three differences of random pairs of its vectors and splits at the median.
+    Nodes without two different vectors get a random projection.
+    """
     depth = min(depth, max(1, len(sample) // 8).bit_length() - 1)
     draw = np.random.default_rng(seed)
     inner, width = 2 ** depth - 1, sample.shape[1] + 1
