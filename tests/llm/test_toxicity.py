@@ -1,6 +1,7 @@
+import numpy as np
 from pyspark.sql import functions as F
 
-from trustframe.llm import toxicity
+from trustframe.llm import characters, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -27,3 +28,52 @@ def test_odd_tables(spark, make_docs, odd_rows):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.score(make_docs(odd_rows), none).collect()} == {0.0}
     assert toxicity.score(make_docs([]), labels).count() == 0
+
+
+def _texts(spark, rows):
+    return spark.createDataFrame(rows, "toxic int, text string")
+
+
+def _plain(rows, least=4.0):
+    """Codes and log ratios of the runs that differ, from all counts in plain arrays."""
+    grams = [characters.word_grams([w for t, text in rows if t == own for w in characters.words_of(text)], 5)[0]
+             for own in (1, 0)]
+    codes = np.unique(np.concatenate(grams))
+    t, o = (np.bincount(np.searchsorted(codes, x), minlength=len(codes)) for x in grams)
+    both, logs = characters.kneser_ney(codes, t + o, 5), []
+    for own in (t, o):
+        orders = characters.kneser_ney(codes[own > 0], own[own > 0], 5)
+        logs.append(np.log(characters.probability({n: both[n] if n <= 2 else orders[n] for n in both}, codes)))
+    _, first, context = np.unique(codes >> np.uint64(6), return_index=True, return_inverse=True)
+    n, prior = t + o, t.sum() / (t + o).sum()
+    usual = ((np.add.reduceat(t, first) + prior / 2) / (np.add.reduceat(n, first) + 0.5))[context]
+    differs = np.abs(t - n * usual) >= least * np.sqrt(n * usual * (1 - usual))
+    return codes[differs], (logs[0] - logs[1])[differs]
+
+
+def test_ratios_come_from_all_counts(spark):
+    draw = np.random.default_rng(3)
+    words = ["".join(draw.choice(list("abcdeéя"), draw.integers(1, 9))) for _ in range(400)]
+    rows = [(k % 3 % 2, " ".join(draw.choice(words[:300] if k % 3 % 2 else words[100:], 60))) for k in range(90)]
+    codes, logs = _plain(rows)
+    texts = _texts(spark, rows)
+    whole, parts = toxicity.train(texts), toxicity.train(texts, entries=4)
+    assert len(codes) > 10 and len(whole.ranges) == 1 and len(parts.ranges) > 3
+    assert np.array_equal(whole.part(0).value.codes, codes)
+    assert np.allclose(whole.part(0).value.logs, logs, atol=1e-4)
+    assert np.array_equal(np.concatenate([parts.part(k).value.codes for k in range(len(parts.ranges))]), codes)
+    docs = texts.unionByName(_texts(spark, [(0, None), (0, " "), (1, "unseen")]))
+    once, pieces = (toxicity.features(docs, model, 16).toPandas().sort_values(["text", "toxic"], ignore_index=True)
+                    for model in (whole, parts))
+    assert once.columns.equals(pieces.columns) and once["text"].equals(pieces["text"])
+    assert np.allclose(once[list(toxicity.FEATURES)], pieces[list(toxicity.FEATURES)], atol=1e-5)
+
+
+def test_rare_runs_count_beside_a_million_frequent_ones(spark):
+    letters = np.random.default_rng(8).integers(97, 123, (20_000, 70), dtype=np.uint8)
+    filler = " ".join(bytes(x).decode() for x in letters)
+    assert len(np.unique(characters.word_grams(filler.split(), 5)[0])) > 1 << 20
+    rows = [(0, filler)] * 4 + [(0, "éaéaéb " * 2000), (1, "éaéaéc " * 3)]
+    asked = _texts(spark, [(0, "éaéaéb"), (1, "éaéaéc")])
+    found = {r["toxic"]: r["toxic_part"] for r in toxicity.features(asked, toxicity.train(_texts(spark, rows)), 16).collect()}
+    assert found[1] > found[0] + 0.5

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from trustframe.llm.characters import (
     BITS,
@@ -20,7 +22,7 @@ from trustframe.llm.characters import (
     word_sums,
     words_of,
 )
-from trustframe.llm.common import Bitmap, text_slices
+from trustframe.llm.common import Bitmap, slices, stored, text_slices
 
 #: Runs of so many classes are counted; those of up to SHARED are shared by both class models.
 ORDER, SHARED = 5, 2
@@ -70,23 +72,10 @@ def gram_counts(texts: DataFrame) -> DataFrame:
 
 
 class Ratios:
-    """Log ratio of toxic to ordinary probability of runs of classes, in sorted arrays of codes.
+    """Log ratio of toxic to ordinary probability of runs of classes, in sorted arrays of codes; 0 for all other runs."""
 
-    Runs longer than SHARED are counted by class, shorter ones over both. A run whose classes differ by less than
-    ``least`` standard deviations from what is usual in its context backs off to what both share, so its ratio is 1
-    and it isn't kept; so does a run that was never seen.
-    """
-
-    def __init__(self, codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, least: float):
-        both, logs, total = kneser_ney(codes, toxic + ordinary, ORDER), [], toxic + ordinary
-        for counts in (toxic, ordinary):
-            own = kneser_ney(codes[counts > 0], counts[counts > 0], ORDER)
-            logs.append(np.log(probability({n: both[n] if n <= SHARED else own[n] for n in both}, codes)))
-        _, first, context = np.unique(codes >> np.uint64(BITS), return_index=True, return_inverse=True)
-        prior = toxic.sum() / total.sum()
-        usual = ((np.add.reduceat(toxic, first) + prior / 2) / (np.add.reduceat(total, first) + 0.5))[context]
-        differs = np.abs(toxic - total * usual) >= least * np.sqrt(total * usual * (1 - usual))
-        self.codes, self.logs = codes[differs], (logs[0] - logs[1])[differs].astype(np.float32)
+    def __init__(self, codes: np.ndarray, logs: np.ndarray):
+        self.codes, self.logs = codes, logs
 
     def words(self, words: list[str]) -> np.ndarray:
         codes, owner = word_grams(words, ORDER)
@@ -97,21 +86,142 @@ class Ratios:
         return word_sums(logs[:, None], owner, len(words))
 
 
-def train(texts: DataFrame, least: float = 4.0, entries: int = 1 << 20) -> Ratios | None:
-    """Ratios from all given (toxic, text), of the ``entries`` most frequent runs; None without both classes."""
-    counts = gram_counts(texts).orderBy(F.desc(F.col("t") + F.col("o")), "code").limit(entries).toArrow()
-    codes, toxic, ordinary = (counts[x].to_numpy() for x in ("code", "t", "o"))
-    if not toxic.any() or not ordinary.any():
+class Model:
+    """All runs with a ratio (code, log), broadcast in parts by ranges of codes of about ``entries`` runs.
+
+    Ranges are joined from 2^12 spans of 2^18 codes each, so with the given ``entries`` no part is larger. A model of one part
+    is broadcast once.
+    """
+
+    def __init__(self, runs: DataFrame, entries: int):
+        self.runs, self.shared, self.ranges = runs, None, []
+        spans = runs.groupBy(F.shiftright("code", 18).alias("span")).count().orderBy("span").collect()
+        for begin, end in slices((x["count"] for x in spans), entries):
+            held = spans[begin:end]
+            if held:
+                self.ranges.append((held[0]["span"] << 18, held[-1]["span"] + 1 << 18))
+
+    def part(self, k: int) -> Broadcast:
+        if self.shared is None or len(self.ranges) > 1:
+            low, high = self.ranges[k] if self.ranges else (0, 0)
+            found = self.runs.where((F.col("code") >= low) & (F.col("code") < high)).toArrow()
+            codes, logs = (found[x].to_numpy() for x in ("code", "log"))
+            order = np.argsort(codes)
+            self.shared = self.runs.sparkSession.sparkContext.broadcast(
+                Ratios(codes[order].astype(np.uint64), logs[order]))
+        return self.shared
+
+
+def _suffix(n: int) -> Column:
+    return F.col("code").bitwiseAND(F.lit((1 << BITS * n) - 1))
+
+
+def _discounts(level: DataFrame) -> tuple[Row, dict[str, float]]:
+    """Sums of both counts, and the Kneser-Ney discounts of both."""
+    row = level.agg(*[F.sum(x).alias(x) for x in "to"],
+                    *[F.count_if(F.col(x) == n).alias(f"{x}{n}") for x in "to" for n in (1, 2)]).first()
+    return row, {x: min(0.9, max(0.1, row[f"{x}1"] / max(1, row[f"{x}1"] + 2 * row[f"{x}2"]))) for x in "to"}
+
+
+def _in_context(level: DataFrame) -> DataFrame:
+    """Adds sums and kinds of both counts in the context of each run, which has at most 2^BITS runs."""
+    context = Window.partitionBy(F.shiftrightunsigned("code", BITS))
+    return level.withColumns({f"all_{x}": F.sum(x).over(context) for x in "to"} | {
+        f"kinds_{x}": F.sum((F.col(x) > 0).cast("long")).over(context) for x in "to"})
+
+
+def _interpolated(level: DataFrame, discounts: dict[str, float], below: DataFrame, n: int) -> DataFrame:
+    """code, p_t, p_o: probabilities of order n from a level with its contexts and from those of order n - 1."""
+    def value(x: str) -> Column:
+        count, total, d = F.col(x), F.col(f"all_{x}"), discounts[x]
+        seen = F.when(count > 0, (count - d) / total).otherwise(0.0)
+        weight = F.when(total > 0, d * F.col(f"kinds_{x}") / total).otherwise(1.0)
+        return (seen + weight * F.col(f"below_{x}")).alias(f"p_{x}")
+
+    lower = below.toDF("suffix", "below_t", "below_o")
+    return level.join(lower, _suffix(n - 1) == F.col("suffix")).select("code", *map(value, "to"))
+
+
+def train(texts: DataFrame, least: float = 4.0, entries: int = 1 << 22) -> Model | None:
+    """Log ratios from all runs of all given (toxic, text); None without both classes.
+
+    Runs longer than SHARED are counted by class, shorter ones over both. A run whose classes differ by less than
+    ``least`` standard deviations from what is usual in its context backs off to what both share, so its ratio is 1
+    and it isn't kept; so does a run that was never seen. Counts, discounts and contexts of all orders above SHARED
+    are tables, so nothing is left out at any size; ``entries`` only says how many ratios are broadcast at a time.
+    """
+    levels = {ORDER: stored(gram_counts(texts), "runs")}
+    sums, discounts = _discounts(levels[ORDER])
+    if not sums["t"] or not sums["o"]:
         return None
-    order = np.argsort(codes)
-    return Ratios(codes[order].astype(np.uint64), toxic[order], ordinary[order], least)
+    discounts = {ORDER: discounts}
+    for n in range(ORDER - 1, SHARED, -1):  # a class is counted by the different contexts it follows
+        levels[n] = stored(levels[n + 1].groupBy(_suffix(n).alias("code")).agg(
+            *[F.count_if(F.col(x) > 0).alias(x) for x in "to"]), "runs")
+        discounts[n] = _discounts(levels[n])[1]
+    shared = levels[SHARED + 1].groupBy(_suffix(SHARED).alias("code")).count().orderBy("code").toArrow()
+    codes = shared["code"].to_numpy().astype(np.uint64)  # at most 2^12
+    both = probability(kneser_ney(codes, shared["count"].to_numpy(), SHARED), codes).tolist()
+    values = texts.sparkSession.createDataFrame([(int(c), p, p) for c, p in zip(codes, both, strict=True)],
+                                                "code long, p_t double, p_o double")
+    for n in range(SHARED + 1, ORDER):
+        values = _interpolated(_in_context(levels[n]), discounts[n], values, n)
+    n, prior = F.col("t") + F.col("o"), sums["t"] / (sums["t"] + sums["o"])
+    usual = (F.col("all_t") + prior / 2) / (F.col("all_t") + F.col("all_o") + 0.5)
+    differs = F.abs(F.col("t") - n * usual) >= least * F.sqrt(n * usual * (1 - usual))
+    kept = _interpolated(_in_context(levels[ORDER]).where(differs), discounts[ORDER], values, ORDER)
+    return Model(stored(kept.select("code", (F.log("p_t") - F.log("p_o")).cast("float").alias("log")), "ratios"), entries)
+
+
+def _word_logs(shared: Broadcast) -> Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]:
+    """For a batch with texts: each row's number and the log ratios of its words, if it has any, from one part of a
+    model and from the parts before it, which stand in ``word_logs``."""
+    scores = WordScores(shared.value.words, 1)
+
+    def logs(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        before = batch["word_logs"] if "word_logs" in batch.schema.names else None
+        for a, b in text_slices(batch["text"], 2 << 20):
+            texts = batch["text"].slice(a, b - a).to_pylist()
+            for k, rows in enumerate(scores.rows([words_of(x) for x in texts]), a):
+                if len(rows):
+                    own = scores.matrix[rows, 0]
+                    yield k, own if before is None else own + before[k].values.to_numpy()
+
+    return logs
+
+
+def _add_part(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """Adds one part of a model to ``word_logs``."""
+    rest = [c for c in docs.columns if c != "word_logs"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = _word_logs(shared)
+        for batch in batches:
+            sizes, values = np.zeros(len(batch), np.int32), [np.zeros(0, np.float32)]
+            for k, found in logs(batch):
+                sizes[k] = len(found)
+                values.append(found)
+            ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), held], names=[*rest, "word_logs"])
+
+    return docs.mapInArrow(run, docs.select(rest).schema.add("word_logs", ArrayType(FloatType())))
 
-def features(docs: DataFrame, model: Ratios | None, window: int) -> DataFrame:
+
+def features(docs: DataFrame, model: Model | None, window: int) -> DataFrame:
     """Adds length-normalised log ratios: ``toxic_part`` and ``ordinary_part``, the means per word of the ratios above and
-    below 0, and ``passage``, the mean of those above 0 in the window where it is largest."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    below 0, and ``passage``, the mean of those above 0 in the window where it is largest.
+
+    A model of several parts is looked up part by part, and what is found for the words is written in between, so that
+    a task holds one part at a time.
+    """
     rest = docs.columns
+    schema = docs.select(rest).schema
+    for k in range(len(model.ranges) - 1 if model is not None else 0):
+        shared = model.part(k)
+        docs = stored(_add_part(docs, shared), "word-logs")
+        shared.destroy()
+    shared = model.part(-1) if model is not None else None
 
     def measure(values: np.ndarray) -> tuple[float, float, float]:
         above = np.concatenate([[0.0], np.cumsum(np.maximum(values, 0), dtype=float)])
@@ -120,18 +230,14 @@ def features(docs: DataFrame, model: Ratios | None, window: int) -> DataFrame:
                 (above[width:] - above[:-width]).max() / width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(shared.value.words, 1) if shared.value is not None else None
+        logs = _word_logs(shared) if shared is not None else None
         for batch in batches:
             out = np.zeros((len(batch), len(FEATURES)))
-            for a, b in text_slices(batch["text"], 2 << 20) if scores is not None else ():
-                texts = batch["text"].slice(a, b - a).to_pylist()
-                for k, rows in enumerate(scores.rows([words_of(x) for x in texts]), a):
-                    if len(rows):
-                        out[k] = measure(scores.matrix[rows, 0])
+            for k, found in logs(batch) if logs is not None else ():
+                out[k] = measure(found)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), *map(pa.array, out.T.copy())],
                                              names=[*rest, *FEATURES])
 
-    schema = docs.select(rest).schema
     for name in FEATURES:
         schema = schema.add(name, "double")
     return docs.mapInArrow(run, schema)
