@@ -76,3 +76,15 @@ def test_banding_finds_small_edits(make_docs):
     pairs = fingerprints.similar_pairs(fingerprints.fingerprint(docs), docs).collect()
     found, wanted = {(r["a"], r["b"], r["distance"]) for r in pairs}, {(k, 30 + k, 1) for k in range(10)}
     assert found <= wanted and len(found) >= 7  # a walk may fail to meet again after an edit
+
+
+def test_different_texts_of_one_fingerprint_are_paired(make_docs):
+    draw = np.random.default_rng(6)
+    text = "".join(draw.choice(list("abcdefghij "), 3000))
+    edited = next(x for x in (text[:k] + "X" + text[k + 1:] for k in range(2999, 0, -1))
+                  if np.array_equal(*fingerprints.fingerprints([text, x])))
+    docs = make_docs([(1, text), (2, edited), (3, text), (4, edited), (5, None), (6, "")], clash=False)
+    found = fingerprints.similar_pairs(fingerprints.fingerprint(docs), docs).collect()
+    assert [(r["a"], r["b"], r["distance"]) for r in found] == [(1, 2, 1)]
+    assert sorted((r["doc_id"], r["stands"]) for r in fingerprints.members(docs).collect()) == [
+        (1, 1), (2, 2), (3, 1), (4, 2), (5, 5), (6, 5)]

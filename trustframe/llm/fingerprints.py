@@ -241,29 +241,48 @@ def fingerprint(docs: DataFrame, rows_per_range: int = 8000) -> DataFrame:
     return dealt.mapInArrow(run, PRINTED)
 
 
+def members(texts: DataFrame) -> DataFrame:
+    """doc_id, stands: for each row the least doc_id with the same text, by a hash of the whole text; null counts as empty."""
+    keyed = texts.select("doc_id", _text_key().alias("key"))
+    return keyed.join(keyed.groupBy("key").agg(F.min("doc_id").alias("stands")), "key").select("doc_id", "stands")
+
+
+def _text_key() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
 def similar_pairs(printed: DataFrame, texts: DataFrame, bands: int = 40, band_bits: int = 12, least: float = 0.3,
                   distance: int = 200, seed: int = 9) -> DataFrame:
     """Pairs of different texts (a, b, distance) with an edit distance of at most ``distance``.
 
     Bit-sampled banding: each of ``bands`` bands takes ``band_bits`` random bits; texts that agree in a band and whose
-    whole fingerprints have a likeness of at least ``least`` are verified by their edit distance. Of each fingerprint
-    one document stands for all its copies. A band shared by many is compared in full, in a join that can be split.
+    whole fingerprints have a likeness of at least ``least`` are verified by their edit distance, and so are all
+    different texts of one fingerprint. Of each text the least doc_id stands for all its copies, see ``members``; a and b
+    are equal if one doc_id has both texts. A band shared by many is compared in full, in a join that can be split. A
+    pair is missed if it agrees in no band or is less like, mostly because one walk did not meet the other again.
     """
     draw = np.random.default_rng(seed)
     byte = [F.conv(F.substring("fingerprint", 2 * k + 1, 2), 16, 10).cast("int") for k in range(BITS // 8)]
-    ones = printed.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).withColumn("bytes", F.array(*byte))
+    named = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _text_key().alias("key"))
+    held = stored(printed.select("doc_id", "fingerprint").distinct().join(named.select("doc_id", "key"), "doc_id").select(
+        "fingerprint", "key").distinct(), "keys")
+    ones = held.select("fingerprint").distinct().withColumn("bytes", F.array(*byte))
 
     def bit(at: int) -> Column:
         return F.shiftright(F.element_at("bytes", at // 8 + 1), 7 - at % 8).bitwiseAND(F.lit(1)).cast("string")
 
     keys = F.array(*[F.concat(F.lit(f"{k}:"), *[bit(int(x)) for x in draw.choice(BITS, band_bits, replace=False)])
                      for k in range(bands)])
-    banded = stored(ones.select("doc_id", "bytes", F.explode(keys).alias("band")), "bands")
-    pairs = banded.toDF("a", "bytes_a", "band").join(banded.toDF("b", "bytes_b", "band"), "band").where("a < b")
-    differing = F.aggregate(F.zip_with("bytes_a", "bytes_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
+    banded = stored(ones.select("fingerprint", "bytes", F.explode(keys).alias("band")), "bands")
+    pairs = banded.toDF("f", "bytes_f", "band").join(banded.toDF("g", "bytes_g", "band"), "band").where("f < g")
+    differing = F.aggregate(F.zip_with("bytes_f", "bytes_g", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
                             lambda s, x: s + x)
-    close = pairs.where(1 - 2 * differing / BITS >= least).select("a", "b").distinct()
-    named = texts.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"])
-    both = close.join(named.toDF("a", "text_a"), "a").join(named.toDF("b", "text_b"), "b")
-    return both.withColumn("distance", F.levenshtein("text_a", "text_b", distance)).where("distance >= 0").select(
-        "a", "b", "distance")
+    close = pairs.where(1 - 2 * differing / BITS >= least).select("f", "g").distinct()
+    met = close.join(held.toDF("f", "key_f"), "f").join(held.toDF("g", "key_g"), "g").select("key_f", "key_g").unionByName(
+        held.toDF("f", "key_f").join(held.toDF("f", "key_g"), "f").select("key_f", "key_g"))
+    ordered = met.where("key_f != key_g").select(F.least("key_f", "key_g").alias("key_f"),
+                                                 F.greatest("key_f", "key_g").alias("key_g")).distinct()
+    one = named.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    both = ordered.join(one.toDF("key_f", "id_f", "text_f"), "key_f").join(one.toDF("key_g", "id_g", "text_g"), "key_g")
+    return both.withColumn("distance", F.levenshtein("text_f", "text_g", distance)).where("distance >= 0").select(
+        F.least("id_f", "id_g").alias("a"), F.greatest("id_f", "id_g").alias("b"), "distance")
