@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustframe.llm import fingerprints, language, licenses, mixing, near_copies, neighbours, packing, repeats, token_counts, toxicity
+from trustframe.llm import (fingerprints, language, licenses, manifest, mixing, near_copies, neighbours, packing, repeats,
+                            rules, sqltext, token_counts, toxicity, trie)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,3 +77,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
+
+
+@query("op11_manifest", sqltext.MANIFEST)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify(documents(spark, sf_dir), manifest.with_lower_case(F.col("text"), F.col("doc_id")))
+
+
+@query("op12_conversation_trie", sqltext.TRIE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op13_quality_rules", sqltext.quality(rules.RULES, rules.POLICIES[-1]))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(documents(spark, sf_dir))
