@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustframe.functions import fixed
+from trustframe.functions.modeljson import parse_decision, redact_json  # noqa: F401
 
 WORD_CLASS = r"\p{L}\p{N}_"
 WORD = f"[{WORD_CLASS}]+"
@@ -197,25 +198,6 @@ def redact_map(attributes: Column) -> Column:
         attributes, lambda k, v: F.when(is_secret_key(k), F.lit("[REDACTED]")).otherwise(v))
 
 
-def balanced(opening: str = r"[\[{]", depth: int = 8) -> str:
-    """Pattern of a JSON object or array with at most ``depth`` levels below it; strings may hold any brackets."""
-    plain = r'[^{}\[\]"]|"(?:[^"\\]|\\.)*+"'
-    inside = f"(?:{plain})*+"
-    for _ in range(depth):
-        inside = rf"(?:{plain}|[\[{{]{inside}[\]}}])*+"
-    return rf"{opening}{inside}[\]}}]"
-
-
-def redact_json(text: Column) -> Column:
-    """Replace values of secret keys at any depth of a JSON text, objects and arrays as a whole."""
-    keys = "|".join(fixed.SECRET_KEY_PARTS)
-    counters = "|".join(fixed.TOKEN_COUNT_KEYS)
-    return F.regexp_replace(
-        text,
-        rf'(?i)"((?!(?:{counters})")[^"]*(?:{keys})[^"]*)"\s*:\s*("(?:[^"\\]|\\.)*"|{balanced()}|[^,}}\]\s\[{{]+)',
-        '"$1":"[REDACTED]"')
-
-
 def replace_literal(col: Column, secrets: list[str]) -> Column:
     """Replace known secret strings wherever they stand."""
     return reduce(lambda acc, s: F.replace(acc, F.lit(s), F.lit("[REDACTED]")), secrets, col)
@@ -223,39 +205,6 @@ def replace_literal(col: Column, secrets: list[str]) -> Column:
 
 # ---------------------------------------------------------------------------- model output
 
-def json_candidates(text: Column) -> Column:
-    """Fenced blocks, then the whole text, the first-to-last brace part, and every object, nested ones too."""
-    fenced = F.regexp_extract_all(text, F.lit(r"(?is)```(?:json)?\s*(.*?)\s*```"), F.lit(1))
-    braces = F.regexp_extract_all(text, F.lit(r"(?s)\{.*\}"), F.lit(0))
-    objects = F.regexp_extract_all(text, F.lit(balanced(r"\{")), F.lit(0))
-    flat = F.regexp_extract_all(text, F.lit(r"\{[^{}]*\}"), F.lit(0))
-    return F.concat(fenced, F.array(text), braces, objects, flat)
-
-
-def parse_decision(text: Column) -> Column:
-    """Struct (answer, decision, parse_status) of a model's text.
-
-    The first candidate that is a JSON object, with nothing after it, a non-empty text as its answer
-    and a known decision wins; anything else is malformed and UNDECIDABLE.
-    """
-    def words(parsed: Column, path: str) -> Column:
-        value = F.try_variant_get(parsed, path, "variant")
-        return F.when(F.schema_of_variant(value) == "STRING", F.trim(F.try_variant_get(parsed, path, "string")))
-
-    def fields(candidate: Column) -> Column:
-        parsed = F.try_parse_json(candidate)
-        return record(answer=words(parsed, "$.answer"), decision=F.upper(words(parsed, "$.decision")))
-
-    known = F.filter(
-        F.transform(json_candidates(text), fields),
-        lambda s: (F.length(s["answer"]) > 0) & s["decision"].isin("TRUE", "FALSE", "UNDECIDABLE"))
-    first = F.get(known, 0)
-    return F.struct(
-        F.coalesce(first["answer"], F.lit("")).alias("answer"),
-        F.coalesce(first["decision"], F.lit("UNDECIDABLE")).alias("decision"),
-        F.when(first.isNull(), F.lit("malformed")).otherwise(F.lit("valid")).alias("parse_status"))
-
-
 FACT_LIST = "array<struct<content:string,type:string,confidence:double,entities:array<string>>>"
 
 

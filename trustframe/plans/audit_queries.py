@@ -218,6 +218,21 @@ def trace_redact(spark: SparkSession, sf: str) -> DataFrame:
         a["status"].alias("status"))
 
 
+@query("trace_redact_json", """
+WITH t AS (SELECT event_id, props, '{"run":{"total_tokens":' || user_id || ',"deep":' || repeat('[{"x":', 30) AS head, repeat('}]', 30) || ',"note":"the \\"token\\": stays"}' AS tail FROM events)
+SELECT event_id, head || '{"user_password":"[REDACTED]"}' || tail || ',"Authorization":"[REDACTED]"' || CASE WHEN event_id % 4 > 0 THEN '}' ELSE '' END AS attributes FROM t""")
+def trace_redact_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Attributes as JSON text with secrets sixty levels deep and up to 2,400 characters long, some cut off."""
+    event = F.col("event_id")
+    secret = F.repeat(F.lit('y\\"'), (event % 3 * 400 + 1).cast("int"))
+    attributes = F.concat(
+        F.lit('{"run":{"total_tokens":'), F.col("user_id"), F.lit(',"deep":'), F.repeat(F.lit('[{"x":'), 30),
+        F.lit('{"user_password":'), F.col("props"), F.lit("}"), F.repeat(F.lit("}]"), 30),
+        F.lit(',"note":"the \\"token\\": stays"},"Authorization": "'), secret,
+        F.when(event % 4 > 0, F.lit('"}')).otherwise(F.lit("")))
+    return read_table(spark, sf, "events").select("event_id", text.redact_json(attributes).alias("attributes"))
+
+
 @query("trace_spans", TRACE_SQL + """
 SELECT trace_id AS "traceId", span_id AS "spanId", stage || '.' || event AS name, (epoch_us(ts) * 1000)::VARCHAR AS "startTimeUnixNano",
   (epoch_us(ts) * 1000 + floor(coalesce(duration_ms, 0) * 1000000)::BIGINT)::VARCHAR AS "endTimeUnixNano" FROM t""")

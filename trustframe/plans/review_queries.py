@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustframe.functions import fixed, text, truth
+from trustframe.functions import fixed, modeljson, text, truth
 from trustframe.functions.session import read_table
 from trustframe.operators import generate, ground, review
 from trustframe.plans import sqltext as S
@@ -386,6 +386,38 @@ def model_output_parse(spark: SparkSession, sf: str) -> DataFrame:
     return parsed(spark, sf).select("conv_id", "turn", "answer", "decision", "parse_status")
 
 
+HYPOTHESES_SQL = """
+WITH raw AS (SELECT conv_id, turn, len(text) % 9 AS form, len(text) AS n, regexp_extract(text, '[\\p{L}]+') AS word FROM conversations),
+outcome AS (SELECT *, CASE WHEN form = 3 THEN 'multiple_blocks' WHEN form IN (4, 5, 8) THEN 'invalid_schema' WHEN form = 6 THEN 'no_sentinels' END AS error_type,
+  CASE form WHEN 3 THEN '2 blocks' WHEN 4 THEN 'missing meta' WHEN 5 THEN 'facts 1 lacks object' WHEN 6 THEN 'no JSON found' WHEN 8 THEN 'rules is no list' END AS error_message FROM raw)
+SELECT conv_id, turn, error_type, error_message, CASE WHEN error_type IS NULL THEN 1 END AS n_facts, CASE WHEN error_type IS NULL THEN word END AS subject,
+  CASE WHEN error_type IS NULL THEN CASE WHEN form = 7 THEN repeat('[', 50) || n || repeat(']', 50) ELSE '{"a":"}","n":' || n || '}' END END AS object,
+  CASE WHEN error_type IS NULL THEN '{"turn":' || turn || '}' END AS meta FROM outcome"""
+
+
+@query("hypothesis_parse", HYPOTHESES_SQL)
+def hypothesis_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Hypotheses in marked, fenced, bare, repeated and faulty blocks made from the turns."""
+    n = F.length("text")
+    form, word = n % 9, F.regexp_extract("text", r"[\p{L}]+", 0)
+    value = F.when(form == 7, F.concat(F.repeat(F.lit("["), 50), n, F.repeat(F.lit("]"), 50))).otherwise(
+        F.concat(F.lit('{"n": '), n, F.lit(', "a": "}"}')))
+    fact = F.concat(F.lit('{"relation": "r", "subject": "'), word, F.lit('", "object": '), value, F.lit("}"))
+    facts = F.when(form == 5, F.concat(fact, F.lit(', {"subject": "s", "relation": "r"}'))).otherwise(fact)
+    rules = F.when(form == 8, F.lit("{}")).otherwise(F.lit('[{"head": "h", "body": ["b", {"c": 1}]}]'))
+    meta = F.when(form == 4, F.lit("")).otherwise(F.concat(F.lit(', "meta": {"turn": '), F.col("turn"), F.lit("}")))
+    body = F.concat(F.lit('{"facts": ['), facts, F.lit('], "rules": '), rules, meta, F.lit("}"))
+    fenced = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
+    output = (F.when(form == 0, F.concat(F.lit("so {x} begin_hypotheses_json\n"), body, F.lit("\nEND_HYPOTHESES_JSON {}")))
+              .when(form.isin(1, 4), fenced).when(form == 3, F.concat(fenced, F.lit(" and "), fenced))
+              .when(form == 6, word).otherwise(F.concat(F.lit("we say {that} "), body, F.lit(' and {"more": 1}'))))
+    parsed_rows = read_table(spark, sf, "conversations").withColumn("p", modeljson.parse_hypotheses(output))
+    fact0 = F.get("p.facts", F.lit(0))
+    return parsed_rows.select("conv_id", "turn", "p.error_type", "p.error_message", F.when(
+        F.col("p.facts").isNotNull(), F.size("p.facts")).alias("n_facts"), fact0["subject"].alias("subject"),
+        fact0["object"].alias("object"), "p.meta")
+
+
 @query("model_run_report", OUTPUT_SQL + f""",
 guarded AS (SELECT *, 'what about the premium plan and retention' AS q, lower(text) || CASE WHEN len(text) % 2 = 0 THEN ' must not premium retention' ELSE ' premium' END AS ev FROM parsed),
 g AS (SELECT *, CASE WHEN parse_status <> 'valid' THEN 'UNDECIDABLE' WHEN decision <> 'TRUE' THEN decision
