@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustframe.functions.session import checkpoint_folder
+from trustframe.functions.session import checkpoint_folder, read_table
 from trustframe.plans import audit_queries as A
 from trustframe.plans.guard_queries import shield_sql
 from trustframe.plans.registry import query
@@ -24,6 +24,16 @@ def stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf}/{table}.parquet*")
 
 
+def in_batches(spark: SparkSession, frame: DataFrame, order: str, parts: int) -> DataFrame:
+    """A table as a stream of ``parts`` micro-batches, cut by ranges of a column."""
+    path = place(spark, "replay")
+    marks = frame.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10000).alias("m")).first()["m"]
+    part = F.aggregate(F.array(*map(F.lit, marks)), F.lit(0), lambda n, m: n + (F.col(order) > m).cast("int"))
+    for k in range(parts):  # one after the other, so that files are in order of time
+        frame.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def appended(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     path = place(spark, name)
     jobs.start_append(frame, f"{path}/out", f"{path}/checkpoint").awaitTermination()
@@ -47,6 +57,14 @@ def stream_rate_job(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/counts").select("user_id", "event_id", "in_window")
 
 
+@query("stream_rate_on_arrival", """
+SELECT user_id, event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECOND PRECEDING AND CURRENT ROW) AS BIGINT) AS in_window FROM events""")
+def stream_rate_on_arrival(spark: SparkSession, sf: str) -> DataFrame:
+    """Four batches in order of time, so a request's window is complete when it comes."""
+    events = in_batches(spark, read_table(spark, sf, "events"), "ts", 4)
+    return appended(spark, jobs.rate_on_arrival(events, "user_id", "event_id", "ts", 3600, "2 hours"), "arrival")
+
+
 @query("stream_trace_window", A.TRACE_SQL + """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, stage, CAST(count(*) AS BIGINT) AS events, round(sum(duration_ms), 6) AS latency_total,
   CAST(count(decision) AS BIGINT) AS decisions, CAST(count(*) FILTER (WHERE decision = 'UNDECIDABLE') AS BIGINT) AS abstentions
@@ -75,8 +93,12 @@ def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_doc_sync", A.FACTS_SQL + "SELECT * FROM facts")
 def stream_doc_sync(spark: SparkSession, sf: str) -> DataFrame:
-    path = place(spark, "sync")
-    jobs.sync_job(stream(spark, sf, "documents"), path, f"{path}/checkpoint", "doc_id").awaitTermination()
+    """Three batches; a fifth of the documents come again in the batch after theirs."""
+    path, docs = place(spark, "sync"), read_table(spark, sf, "documents")
+    step = docs.agg(F.ceil(F.max("doc_id") / 3)).first()[0]
+    again = docs.where("doc_id % 5 = 0").withColumn("comes", F.col("doc_id") + step)
+    replay = in_batches(spark, docs.withColumn("comes", F.col("doc_id")).unionByName(again), "comes", 3)
+    jobs.sync_job(replay, path, f"{path}/checkpoint", "doc_id").awaitTermination()
     return spark.read.parquet(f"{path}/facts").select("doc_id", "pos", "content", "fact_type", "confidence")
 
 
@@ -85,6 +107,7 @@ WITH c AS (SELECT event_id, user_id, coalesce(sum(round(value * 100)::BIGINT) OV
 SELECT event_id, user_id, spent::DOUBLE AS spent_before FROM c WHERE spent <= 50000""")
 def stream_budget(spark: SparkSession, sf: str) -> DataFrame:
     path = place(spark, "budget")
-    costs = stream(spark, sf, "events").select("event_id", "user_id", F.round(F.col("value") * 100).alias("cents"))
+    costs = in_batches(spark, read_table(spark, sf, "events"), "event_id", 3).select(
+        "event_id", "user_id", F.round(F.col("value") * 100).alias("cents"))
     jobs.budget_job(costs, path, f"{path}/checkpoint", "user_id", ["event_id"], "cents", 50000.0, "bigint").awaitTermination()
     return spark.read.parquet(f"{path}/kept").select("event_id", "user_id", "spent_before")

@@ -1,20 +1,24 @@
 """Structured Streaming jobs: sliding rate, trace windows, ledger, document sync, scan and budget.
 
-Jobs that need earlier results keep them in tables with one partition per micro-batch. A batch that
-is run again overwrites its own partition and reads only the partitions before it, so a restart
-neither loses nor repeats anything.
+What jobs remember lies in keyed state (documents seen, requests of a slot, money spent) or, where a
+whole batch is computed with it, in tables with one partition per micro-batch. A batch that is run
+again overwrites its own partition. Either way a batch costs what it holds and what it touches, not
+what came before: state is looked up by key, requests are pruned to the window's slots, and heads
+are read from the batch before only. Rows of a hot key are sliced inside their batch, and only the
+slices' totals meet the state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from trustframe.operators import audit, extract, guard, ordered
 
@@ -22,23 +26,45 @@ from trustframe.operators import audit, extract, guard, ordered
 # ---------------------------------------------------------------------------- tables by batch
 
 def table_before(spark: SparkSession, path: str, ddl: str, batch_id: int) -> DataFrame:
-    """Rows that the batches before ``batch_id`` wrote; an empty table at first."""
-    spark.createDataFrame([], ddl).write.mode("ignore").parquet(f"{path}/batch_id=-1")
+    """Rows that the batches before ``batch_id`` wrote; every batch writes, if only an empty table."""
+    if batch_id == 0:
+        return spark.createDataFrame([], f"{ddl}, batch_id bigint")
     return spark.read.schema(f"{ddl}, batch_id bigint").parquet(path).filter(F.col("batch_id") < batch_id)
 
 
+def batch_before(spark: SparkSession, path: str, ddl: str, batch_id: int) -> DataFrame:
+    """Rows that the batch right before ``batch_id`` wrote; batches of one checkpoint are numbered without gaps."""
+    if batch_id == 0:
+        return spark.createDataFrame([], ddl)
+    return spark.read.schema(ddl).parquet(f"{path}/batch_id={batch_id - 1}")
+
+
 def write_batch(frame: DataFrame, path: str, batch_id: int) -> None:
     frame.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, so it isn't bounded by an executor's memory."""
+    name, kind = "spark.sql.streaming.stateStore.providerClass", "state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, f"org.apache.spark.sql.execution.streaming.{kind}")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def start(frame: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return (frame.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    with state_on_disk(frame.sparkSession):
+        return (frame.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start())
 
 
 def start_append(frame: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return (frame.writeStream.format("parquet").outputMode("append").option("path", path)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    with state_on_disk(frame.sparkSession):
+        return (frame.writeStream.format("parquet").outputMode("append").option("path", path)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 # ---------------------------------------------------------------------------- windows
@@ -75,6 +101,61 @@ def rate_stream(events: DataFrame, key: str, event_id: str, ts: str, seconds: in
     return rows.select(key, F.col(f"x.mine.{event_id}").alias(event_id), F.col("x.in_window").alias("in_window"))
 
 
+class Recent(StatefulProcessor):
+    """Counts requests of one key and slot as they come; a list has the times of those that came before.
+
+    A timer clears the list once the watermark has passed the slot.
+    """
+
+    def __init__(self, micros: int):
+        self.micros = micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = pd.concat(list(rows))
+        fresh = frame["micros"].to_numpy(np.int64)
+        known = [x[0] for x in self.times.get()] if self.times.exists() else []
+        every = np.sort(np.concatenate([np.array(known, np.int64), fresh]))
+        self.times.appendList([(int(x),) for x in fresh])
+        self.handle.registerTimer((int(key[1]) + 1) * self.micros // 1000)
+        own = frame[frame["own"]]
+        at = own["micros"].to_numpy(np.int64)
+        counts = np.searchsorted(every, at, "right") - np.searchsorted(every, at - self.micros, "right")
+        yield pd.DataFrame({"key": key[0], "id": own["id"].to_numpy(), "in_window": counts})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.times.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def rate_on_arrival(events: DataFrame, key: str, event_id: str, ts: str, seconds: int = 60,
+                    delay: str = "10 minutes") -> DataFrame:
+    """Requests of the key in the last ``seconds`` at every request, counted in the batch in which it comes.
+
+    State is kept per key and slot of ``seconds``; each request goes to its slot and, as context, to the next one, so
+    a key's load is spread over its slots and a batch reads only the slots it touches. Slots are dropped when the
+    watermark passes them; requests that come after that start from an empty slot. A request counts those of its own
+    batch and of earlier ones, as ``rate_job`` does. Rows without key or time aren't counted.
+    """
+    types = dict(events.dtypes)
+    at, micros = F.col(ts).cast("timestamp"), seconds * 1_000_000
+    place = F.floor(F.unix_micros(at) / micros)
+    slots = events.where(at.isNotNull() & F.col(key).isNotNull()).select(
+        F.col(key).alias("key"), F.col(event_id).alias("id"), F.unix_micros(at).alias("micros"), at.alias("at"),
+        F.explode(F.array(F.struct(place.alias("slot"), F.lit(True).alias("own")),
+                          F.struct((place + 1).alias("slot"), F.lit(False).alias("own")))).alias("s"))
+    counted = slots.select("key", "id", "micros", "at", "s.*").withWatermark("at", delay).groupBy(
+        "key", "slot").transformWithStateInPandas(
+        Recent(micros), f"key {types[key]}, id {types[event_id]}, in_window bigint", "Append", "EventTime")
+    return counted.select(F.col("key").alias(key), F.col("id").alias(event_id), "in_window")
+
+
 def trace_windows(events: DataFrame, length: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Event counts, latency and abstentions per stage in tumbling windows."""
     decision = F.col("attributes")["decision"]
@@ -100,21 +181,26 @@ def rate_job(events: DataFrame, path: str, checkpoint: str, key: str, event_id:
     """Requests of the key in the last ``seconds``, counted when they arrive.
 
     A batch is counted together with the stored requests of the window before it, as running sums
-    that are sliced for a hot key. Requests that come late are counted with what is known by then.
+    that are sliced for a hot key. Stored requests are partitioned by slots of ``seconds``, and only
+    the slots that the batch's window reaches are read. Requests that come late are counted with what
+    is known by then.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ddl = f"{key} {key_type}, {event_id} {id_type}, at timestamp"
-        mine = batch.select(key, event_id, F.col(ts).cast("timestamp").alias("at"))
+        ddl = f"{key} {key_type}, {event_id} {id_type}, at timestamp, slot bigint"
+        at = F.col(ts).cast("timestamp")
+        mine = batch.select(key, event_id, at.alias("at"), F.floor(F.unix_micros(at) / (seconds * 1_000_000)).alias("slot"))
         first = mine.agg(F.min("at").alias("at")).first()["at"]
         if first is None:
+            mine.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/seen/batch_id={batch_id}")
             return
         since = F.lit(first) - F.expr(f"INTERVAL {seconds} SECOND")
-        before = table_before(spark, f"{path}/seen", ddl, batch_id).filter(F.col("at") > since)
+        slot = F.floor(F.unix_micros(since) / (seconds * 1_000_000))
+        before = table_before(spark, f"{path}/seen", ddl, batch_id).filter((F.col("slot") >= slot) & (F.col("at") > since))
         both = mine.withColumn("fresh", F.lit(True)).unionByName(before.drop("batch_id").withColumn("fresh", F.lit(False)))
         counted = ordered.rate_counts(both, key, "at", seconds).filter("fresh")
         write_batch(counted.select(key, event_id, "in_window"), f"{path}/counts", batch_id)
-        write_batch(mine, f"{path}/seen", batch_id)
+        mine.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/seen/batch_id={batch_id}")
 
     return start(events, each, checkpoint)
 
@@ -123,47 +209,94 @@ HEADS = "tenant_id string, next_seq bigint, next_segment bigint, next_anchor str
 
 
 def ledger_job(decisions: DataFrame, path: str, checkpoint: str, segment: int = audit.SEGMENT) -> StreamingQuery:
-    """Append decisions to each tenant's chain; ``path`` holds the tables rows and heads."""
+    """Append decisions to each tenant's chain; ``path`` holds the tables rows and heads.
+
+    Heads are written for all tenants with every batch, so a batch reads those of the one before it only.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = table_before(spark, f"{path}/heads", HEADS, batch_id)
-        names = ["next_seq", "next_segment", "next_anchor"]
-        last = before.groupBy("tenant_id").agg(F.max_by(F.struct(*names), "batch_id").alias("h")).select("tenant_id", "h.*")
+        last = batch_before(spark, f"{path}/heads", HEADS, batch_id)
         rows = audit.append(batch, last, segment)
         write_batch(rows, f"{path}/rows", batch_id)
         written = spark.read.parquet(f"{path}/rows/batch_id={batch_id}")
         slim = written.select("tenant_id", "segment", "seq", "content_hash")
         ends = written.groupBy("tenant_id").agg((F.max("seq") + 1).alias("next_seq"), (F.max("segment") + 1).alias("next_segment"))
         anchors = audit.segment_anchors(slim, last).groupBy("tenant_id").agg(F.max_by("next_anchor", "segment").alias("next_anchor"))
-        write_batch(ends.join(anchors, "tenant_id"), f"{path}/heads", batch_id)
+        moved = ends.join(anchors, "tenant_id")
+        write_batch(moved.unionByName(last.join(moved, "tenant_id", "left_anti")), f"{path}/heads", batch_id)
 
     return start(decisions, each, checkpoint)
 
 
 def sync_job(documents: DataFrame, path: str, checkpoint: str, key: str, key_type: str = "bigint",
-             column: str = "text") -> StreamingQuery:
-    """Extract facts of documents not seen before; tables facts and processed below ``path``."""
+             column: str = "text", seen_at: str | None = None, delay: str = "7 days") -> StreamingQuery:
+    """Extract facts of documents not seen before into the table facts below ``path``.
+
+    The keys seen are state, looked up by key. With ``seen_at``, a time column, a key is forgotten when the watermark
+    is ``delay`` past it, which bounds the state; without it every key is kept. ``key_type`` is no longer needed.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        processed = table_before(spark, f"{path}/processed", f"{key} {key_type}", batch_id)
-        todo = extract.unprocessed(batch.dropDuplicates([key]), processed, key)
-        write_batch(extract.pattern_facts(todo, [key], column), f"{path}/facts", batch_id)
-        write_batch(todo.select(key), f"{path}/processed", batch_id)
+        write_batch(extract.pattern_facts(batch, [key], column), f"{path}/facts", batch_id)
 
-    return start(documents, each, checkpoint)
+    if seen_at is None:
+        return start(documents.dropDuplicates([key]), each, checkpoint)
+    return start(documents.withWatermark(seen_at, delay).dropDuplicatesWithinWatermark([key]), each, checkpoint)
+
+
+class Carry(StatefulProcessor):
+    """What a run had spent before each of its batches: one value, advanced in the order of batches.
+
+    Totals of a batch that was written again are passed over.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("spent", "amount double, batch_id bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        spent, last = self.state.get() if self.state.exists() else (0.0, -1)
+        out = []
+        for batch_id, amount in sorted(pd.concat(list(rows))[["of_batch", "amount"]].itertuples(index=False)):
+            if batch_id > last:
+                out.append((key[0], batch_id, spent))
+                spent, last = spent + amount, batch_id
+        self.state.update((float(spent), int(last)))
+        yield pd.DataFrame(out, columns=["run", "of_batch", "earlier"])
+
+    def close(self) -> None:
+        pass
 
 
 def budget_job(costs: DataFrame, path: str, checkpoint: str, run: str, order: list[str], cost: str, budget: float,
                run_type: str = "string") -> StreamingQuery:
-    """Keep results of a run while what was spent before them is within budget."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        spent = table_before(spark, f"{path}/spent", f"{run} {run_type}, amount double", batch_id)
-        earlier = spent.groupBy(run).agg(F.sum("amount").alias("_earlier"))
-        rows = ordered.running(batch, [run], order, {"_before": ordered.Running("sum", F.col(cost), before=True)})
-        total = F.coalesce("_earlier", F.lit(0.0)) + F.coalesce("_before", F.lit(0.0))
-        kept = rows.join(earlier, run, "left").withColumn("spent_before", total).filter(F.col("spent_before") <= budget)
-        write_batch(kept.drop("_earlier", "_before"), f"{path}/kept", batch_id)
-        write_batch(batch.groupBy(run).agg(F.sum(cost).alias("amount")), f"{path}/spent", batch_id)
+    """Keep results of a run while what was spent before them is within budget.
+
+    A first query adds up costs inside each batch, in slices that a hot run is spread over, and writes one total per
+    run. A second one turns the totals into what was spent before each batch, one value of state per run, and keeps
+    rows. It is started when the first has read all that is there; both go on from their checkpoints.
+    """
+    spark = costs.sparkSession
 
-    return start(costs, each, checkpoint)
+    def add_up(batch: DataFrame, batch_id: int) -> None:
+        rows = ordered.running(batch, [run], order, {"_before": ordered.Running("sum", F.col(cost), before=True)})
+        write_batch(rows, f"{path}/rows", batch_id)
+        totals = batch.groupBy(F.col(run).alias("run")).agg(F.sum(F.col(cost).cast("double")).alias("amount"))
+        # under another folder name than batch_id, which would make it a partition column of the stream
+        totals.withColumn("of_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
+            f"{path}/totals/{batch_id}")
+
+    def keep(carries: DataFrame, batch_id: int) -> None:
+        reach = carries.agg(F.min("of_batch"), F.max("of_batch")).first()
+        if reach[0] is None:
+            return
+        rows = spark.read.parquet(f"{path}/rows").where(F.col("batch_id").between(*reach))
+        joined = rows.join(carries.select(F.col("run").alias(run), F.col("of_batch").alias("batch_id"), "earlier"),
+                           [run, "batch_id"])
+        total = F.col("earlier") + F.coalesce("_before", F.lit(0.0))
+        kept = joined.withColumn("spent_before", total).filter(F.col("spent_before") <= budget)
+        write_batch(kept.drop("earlier", "_before", "batch_id"), f"{path}/kept", batch_id)
+
+    start(costs, add_up, f"{checkpoint}/rows").awaitTermination()
+    totals = spark.readStream.schema(f"run {run_type}, amount double, of_batch bigint").parquet(f"{path}/totals/*")
+    carries = totals.groupBy("run").transformWithStateInPandas(
+        Carry(), f"run {run_type}, of_batch bigint, earlier double", "Append", "None")
+    return start(carries, keep, f"{checkpoint}/kept")
