@@ -70,13 +70,20 @@ def case_results(cases: DataFrame, scored: DataFrame, k: int = 3, policy: str =
     expected_decision and observed_decision; the latter may come from any column or Arrow function
     that judges the answer. ``scored`` has case_id, document_id, score, relevant.
     """
+    return searched_results(cases, top_documents(scored, max(k, 1)), first_relevant_rank(scored), k, policy,
+                            min_similarity, relative)
+
+
+def searched_results(cases: DataFrame, top: DataFrame, first: DataFrame, k: int = 3, policy: str = "declared",
+                     min_similarity: float = 0.40, relative: float = 0.85) -> DataFrame:
+    """``case_results`` from the best documents and first relevant ranks that a search has found."""
     if policy not in ("declared", "adaptive"):
         raise ValueError("policy must be 'declared' or 'adaptive'")
     if k < 1 or not 0.0 <= relative <= 1.0 or min_similarity < -1.0:
         raise ValueError("k, relative or min_similarity out of range")
-    ranked = (top_documents(scored, k).groupBy("case_id")
+    ranked = (top.groupBy("case_id")
               .agg(F.array_sort(F.collect_list(F.struct("rank", "document_id", "score"))).alias("top")))
-    frame = (cases.join(ranked, "case_id", "left").join(first_relevant_rank(scored), "case_id", "left")
+    frame = (cases.join(ranked, "case_id", "left").join(first, "case_id", "left")
              .withColumn("top", F.coalesce("top", F.array().cast(ranked.schema["top"].dataType))))
     for name in ("expected_decision", "observed_decision"):
         if name not in frame.columns:

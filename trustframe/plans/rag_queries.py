@@ -1,13 +1,17 @@
-"""Retrieval queries: every vector is a query whose declared documents are the eight after it."""
+"""Retrieval queries: every fiftieth vector is a case that is searched in all vectors.
+
+Of its eight followers, those of its label are relevant, and the first two are its declared documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustframe.functions.session import cut_lineage, read_table
-from trustframe.functions.vectors import norm
-from trustframe.operators import rag
+from trustframe.functions.session import cut_lineage, read_table, read_texts
+from trustframe.functions.vectors import hash_embedding_entries
+from trustframe.operators import rag, search
+from trustframe.plans import sqltext as S
 from trustframe.plans.registry import query
 
 NEIGHBOURS = 8
@@ -15,46 +19,41 @@ TOP_K = 3
 RELATIVE = 0.85
 
 
-def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """(case, document) pairs with their cosine and whether the labels agree."""
-    vectors = read_table(spark, sf, "embeddings").withColumn("norm", norm(F.col("embedding")))
-    documents = vectors.select(
-        F.col("vec_id").alias("document_id"), F.col("embedding").alias("document_vector"),
-        F.col("norm").alias("document_norm"), F.col("label").alias("document_label"),
-        F.explode(F.sequence(F.col("vec_id") - NEIGHBOURS, F.col("vec_id") - 1)).alias("case_id"))
-    cases = vectors.select(F.col("vec_id").alias("case_id"), F.col("embedding").alias("query_vector"),
-                           F.col("norm").alias("query_norm"), F.col("label").alias("case_label"))
-    pairs = cases.join(documents, "case_id")
-    return rag.score_pairs(pairs).select(
-        "case_id", "document_id", "score", (F.col("case_label") == F.col("document_label")).alias("relevant"))
-
-
-def case_frame(spark: SparkSession, sf: str, scored: DataFrame) -> DataFrame:
-    """Cases with their relevant ids and a declared candidate list: the first two documents, one twice."""
-    gold = (scored.filter("relevant").groupBy("case_id")
-            .agg(F.array_sort(F.collect_list("document_id")).alias("relevant")))
-    empty = F.array().cast("array<bigint>")
-    last = read_table(spark, sf, "embeddings").agg(F.max("vec_id").alias("last"), F.lit(1).alias("one"))
-    cases = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("case_id"), F.lit(1).alias("one"))
-    declared = F.filter(F.array(F.col("case_id") + 1, F.col("case_id") + 1, F.col("case_id") + 2),
-                        lambda d: d <= F.col("last"))
-    return (cases.join(last, "one").join(gold, "case_id", "left")
-            .select("case_id", F.coalesce("relevant", empty).alias("relevant"), declared.alias("retrieved")))
+def found(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cases, top, first): every fiftieth vector asks for its nearest among all others."""
+    vectors = read_table(spark, sf, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0")
+    near = asked.select(F.col("vec_id").alias("case_id"), F.col("label").alias("case_label"),
+                        F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + NEIGHBOURS)).alias("document_id"))
+    judged = cut_lineage(near.join(vectors.select(F.col("vec_id").alias("document_id"), "label"), "document_id")
+                         .where("label = case_label").select("case_id", "document_id"))
+    gold = judged.groupBy("case_id").agg(F.array_sort(F.collect_list("document_id")).alias("relevant"))
+    last = vectors.agg(F.max("vec_id")).first()[0]
+    declared = F.filter(F.array(F.col("vec_id") + 1, F.col("vec_id") + 1, F.col("vec_id") + 2), lambda d: d <= last)
+    cases = asked.select(
+        F.col("vec_id").alias("case_id"), declared.alias("retrieved"),
+        F.when(F.col("label") % 2 == 0, "TRUE").otherwise("FALSE").alias("expected_decision"),
+        F.when(F.col("vec_id") % 100 == 0, "TRUE").when(F.col("label") % 5 > 0, "FALSE").alias("observed_decision")
+    ).join(gold, "case_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
+    top, first = search.search(
+        asked.select(F.col("vec_id").alias("case_id"), F.col("vec_id").alias("own_id"), F.col("embedding").alias("vector")),
+        vectors.select(F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector")), TOP_K, judged)
+    return cases, top, first
 
 
 def results(spark: SparkSession, sf: str, policy: str) -> DataFrame:
-    # scored once, then read by the ranking, the first relevant rank and the gold lists
-    scored = cut_lineage(scored_pairs(spark, sf))
-    return rag.case_results(case_frame(spark, sf, scored), scored, TOP_K, policy, 0.10, RELATIVE)
+    cases, top, first = found(spark, sf)
+    return rag.searched_results(cases, top, first, TOP_K, policy, 0.10, RELATIVE)
 
 
 PAIRS_SQL = f"""
 pairs AS (
-  SELECT c.vec_id AS case_id, d.vec_id AS document_id, c.label = d.label AS relevant,
+  SELECT c.vec_id AS case_id, d.vec_id AS document_id,
+         c.label = d.label AND d.vec_id BETWEEN c.vec_id + 1 AND c.vec_id + {NEIGHBOURS} AS relevant,
          round(list_dot_product(c.embedding::DOUBLE[], d.embedding::DOUBLE[])
                / (sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[]))
                   * sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[]))), 9) AS score
-  FROM embeddings c JOIN embeddings d ON d.vec_id BETWEEN c.vec_id + 1 AND c.vec_id + {NEIGHBOURS}),
+  FROM embeddings c JOIN embeddings d ON d.vec_id <> c.vec_id WHERE c.vec_id % 50 = 0),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, document_id) AS rank FROM pairs),
 base AS (
@@ -62,7 +61,9 @@ base AS (
          count(*) FILTER (WHERE r.relevant) AS n_gold, min(CASE WHEN r.relevant THEN r.rank END) AS first_rank,
          coalesce(max(r.score), 0) AS top1,
          coalesce(max(CASE WHEN r.relevant AND r.rank <= {TOP_K} THEN 1.0 END), 0.0) AS hit
-  FROM embeddings e LEFT JOIN ranked r ON r.case_id = e.vec_id GROUP BY 1)
+  FROM embeddings e LEFT JOIN ranked r ON r.case_id = e.vec_id WHERE e.vec_id % 50 = 0 GROUP BY 1),
+judged AS (SELECT vec_id AS case_id, CASE WHEN label % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS expected,
+  CASE WHEN vec_id % 100 = 0 THEN 'TRUE' WHEN label % 5 > 0 THEN 'FALSE' END AS observed FROM embeddings WHERE vec_id % 50 = 0)
 """
 
 
@@ -71,7 +72,7 @@ WITH {PAIRS_SQL}
 SELECT case_id, document_id, score, relevant, CAST(rank AS INTEGER) AS rank
 FROM ranked WHERE rank <= {TOP_K}""")
 def rag_rank_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return rag.top_documents(scored_pairs(spark, sf), TOP_K)
+    return found(spark, sf)[1]
 
 
 def stage_sql(policy: str) -> str:
@@ -109,7 +110,7 @@ SELECT CAST(count(*) AS BIGINT) AS sample_count,
   round(avg(size), 9) AS context_size,
   round(avg(CASE WHEN size = 0 THEN 1.0 ELSE 0.0 END), 9) AS context_abstention_rate,
   CAST(count(*) FILTER (WHERE size > 0) AS BIGINT) AS context_evaluable_cases,
-  0.0::DOUBLE AS decision_accuracy
+  (SELECT round(coalesce(avg((expected = observed)::INT), 0), 9) FROM judged) AS decision_accuracy
 FROM measure"""
 
 
@@ -171,3 +172,39 @@ SELECT threshold, context_f1, context_precision, harmful_abstention_rate FROM cu
 ORDER BY context_f1 DESC, context_precision DESC, harmful_abstention_rate, threshold DESC LIMIT 1""")
 def rag_threshold_recommendation(spark: SparkSession, sf: str) -> DataFrame:
     return rag.recommend_threshold(curve(spark, sf))
+
+
+def text_entries_sql(source: str, text: str) -> str:
+    return f"""(WITH w AS (SELECT doc_id, unnest({S.space_words(text)}) AS word FROM {source}),
+  h AS (SELECT doc_id, CAST(CAST('0x' || substr(sha256(word), 1, 8) AS BIGINT) % 128 AS INTEGER) AS dim, count(*) AS n FROM w GROUP BY 1, 2)
+  SELECT doc_id, dim, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS weight FROM h)"""
+
+
+@query("rag_text_search", f"""
+WITH docs AS {text_entries_sql("documents", "text")},
+asked AS (SELECT doc_id, split_part(text, chr(10), 1) AS question FROM documents WHERE doc_id % 50 = 0),
+questions AS {text_entries_sql("asked", "question")},
+norms AS (SELECT doc_id, sqrt(sum(weight * weight)) AS n FROM docs GROUP BY 1),
+asked_norms AS (SELECT doc_id, sqrt(sum(weight * weight)) AS n FROM questions GROUP BY 1),
+products AS (SELECT q.doc_id AS case_id, d.doc_id AS document_id, sum(q.weight * d.weight) AS p
+  FROM questions q JOIN docs d ON d.dim = q.dim GROUP BY 1, 2),
+scored AS (SELECT a.doc_id AS case_id, d.doc_id AS document_id, coalesce(round(p.p / (a.n * d.n), 9), 0) AS score
+  FROM asked_norms a CROSS JOIN norms d LEFT JOIN products p ON p.case_id = a.doc_id AND p.document_id = d.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, document_id) AS rank FROM scored),
+base AS (SELECT a.doc_id AS case_id, coalesce(max(r.score), 0) AS top1, min(r.rank) FILTER (r.document_id = r.case_id) AS own
+  FROM asked a LEFT JOIN ranked r ON r.case_id = a.doc_id GROUP BY 1)
+SELECT CAST(count(*) AS BIGINT) AS sample_count, round(avg(CASE WHEN own <= {TOP_K} THEN 1.0 ELSE 0.0 END), 9) AS hit_at_k,
+  round(avg(coalesce(1.0 / own, 0)), 9) AS mrr, round(avg(top1), 9) AS top1_similarity FROM base""")
+def rag_text_search(spark: SparkSession, sf: str) -> DataFrame:
+    """First lines of every fiftieth document, searched in all documents by their words."""
+    docs = read_texts(spark, sf, "documents").select("doc_id", "text")
+    asked = cut_lineage(docs.where("doc_id % 50 = 0").select("doc_id", F.split_part(
+        "text", F.lit("\n"), F.lit(1)).alias("question")))
+    corpus = search.dense(hash_embedding_entries(docs, "doc_id", "text"), "doc_id")
+    questions = search.dense(hash_embedding_entries(asked, "doc_id", "question"), "doc_id")
+    own = asked.select(F.col("doc_id").alias("case_id"), F.col("doc_id").alias("document_id"))
+    top, first = search.search(questions.withColumnRenamed("doc_id", "case_id"),
+                               corpus.withColumnRenamed("doc_id", "document_id"), TOP_K, own)
+    cases = own.select("case_id", F.array("document_id").alias("relevant"), F.lit(None).cast("array<bigint>").alias("retrieved"))
+    metrics = rag.stage_metrics(rag.searched_results(cases, top, first, TOP_K, "adaptive", 0.0, RELATIVE))
+    return rounded(metrics.select("sample_count", "hit_at_k", "mrr", "top1_similarity"))
