@@ -8,6 +8,7 @@ from trustframe.plans import (  # noqa: F401
     rag_queries,
     review_queries,
     stream_queries,
+    tenant_queries,
 )
 from trustframe.plans.registry import CHECK_SQL, QUERIES
 
