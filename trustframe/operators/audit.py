@@ -21,30 +21,45 @@ from trustframe.functions.session import cut_lineage
 from trustframe.operators.ordered import Running, running
 
 SEGMENT = 1024
-CONTENT = ["proof_id", "proof_type", "tenant_id", "ts_micros", "input_hash", "context_hash", "decision",
-           "confidence_e4", "threats", "issues", "ontology_id", "ontology_version", "policy_id",
-           "policy_version", "ruleset_version", "adapter_source", "evidence_ids", "policy_ids",
-           "decision_path", "proof_status", "related_proof_id", "metadata"]
+CONTENT = ["proof_id", "proof_type", "tenant_id", "ts", "input_hash", "context_hash", "decision", "confidence", "threats",
+           "issues", "ontology_id", "ontology_version", "policy_id", "policy_version", "ruleset_version", "adapter_source",
+           "evidence_ids", "policy_ids", "decision_path", "proof_status", "related_proof_id", "metadata"]
+
+
+def _marked(value: Column) -> Column:
+    """A text that can't be mistaken: its number of bytes, a colon and itself, or ``-`` for null."""
+    value = value.cast("string")
+    return F.coalesce(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+
+def _listed(values: Column) -> Column:
+    items = F.concat(F.lit("["), F.size(values).cast("string"), F.lit(":"), F.array_join(F.transform(values, _marked), ""))
+    return F.coalesce(items, F.lit("-"))
 
 
 def content_hash(frame: DataFrame) -> Column:
-    """Hash over every field but the links, in a fixed order and text form."""
+    """Hash over every field but the links, in a fixed order.
+
+    Fields, items of lists and entries of maps carry their length, and null is marked, so no edit can move a border.
+    Times count in microseconds, a confidence between 0 and 1 in full precision, as a whole number of 2^-62.
+    """
     def part(name: str) -> Column:
-        if name == "ts_micros":
-            return F.unix_micros(F.col("ts").cast("timestamp")).cast("string")
-        if name == "confidence_e4":
-            return F.round(F.col("confidence") * 10000).cast("bigint").cast("string")
         if name not in frame.columns:
-            return F.lit("")
-        kind = frame.schema[name].dataType.simpleString()
+            return F.lit("-")
+        column, kind = F.col(name), frame.schema[name].dataType.simpleString()
+        if name == "ts":
+            return _marked(F.unix_micros(column.cast("timestamp")))
+        if name == "confidence":
+            units = F.when(column.between(0, 1), (column.cast("double") * 2.0 ** 62).cast("bigint").cast("string"))
+            return _marked(F.coalesce(units, column.cast("string")))
         if kind.startswith("array"):
-            return F.coalesce(F.array_join(name, ","), F.lit(""))
+            return _listed(column)
         if kind.startswith("map"):
-            pairs = F.array_sort(F.transform(F.map_entries(name), lambda e: F.concat_ws("=", e["key"], e["value"])))
-            return F.coalesce(F.array_join(pairs, ","), F.lit(""))
-        return F.coalesce(F.col(name).cast("string"), F.lit(""))
+            return _listed(F.array_sort(F.transform(F.map_entries(column), lambda e: F.concat(
+                _marked(e["key"]), _marked(e["value"])))))
+        return _marked(column)
 
-    return F.sha2(F.concat_ws("|", *[part(c) for c in CONTENT]), 256)
+    return F.sha2(F.concat(*[part(c) for c in CONTENT]), 256)
 
 
 def _sha(value: str) -> str:
@@ -158,7 +173,8 @@ def verify(ledger: DataFrame) -> DataFrame:
 
 def search(ledger: DataFrame, tenant: str, start: str | None = None, end: str | None = None,
            proof_type: str | None = None, ontology: str | None = None, limit: int = 200) -> DataFrame:
-    """Newest proofs of a tenant; tenant and date are partition columns of the stored ledger."""
+    """Newest proofs of a tenant; tenant and date are partition columns of the stored ledger.
+    """
     out = ledger.filter(F.col("tenant_id") == tenant)
     if start:
         out = out.filter(F.col("date") >= F.lit(start).cast("date"))
@@ -171,6 +187,11 @@ def search(ledger: DataFrame, tenant: str, start: str | None = None, end: str |
     return out.orderBy(F.desc("date"), F.desc("ts"), "proof_id").limit(limit)
 
 
+def search_days(ledger: DataFrame, days: DataFrame) -> DataFrame:
+    """Proofs of the (tenant_id, date) pairs in ``days``, a small table; its values prune the stored partitions."""
+    return ledger.join(days.select("tenant_id", "date").distinct(), ["tenant_id", "date"])
+
+
 def lookup(ledger: DataFrame, proof_id: str) -> DataFrame:
     """One proof with a flag whether its hash still fits its content."""
     found = ledger.filter(F.col("proof_id") == proof_id)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustframe.functions import fixed, text, vectors
-from trustframe.functions.session import read_table, read_texts
-from trustframe.operators import audit, extract, ordered
+from trustframe.functions.session import checkpoint_folder, read_table, read_texts
+from trustframe.operators import audit, extract, ordered, seals
 from trustframe.plans import sqltext as S
 from trustframe.plans.rag_queries import rounded
 from trustframe.plans.registry import query
+from trustframe.sources import writers
 
 # ---------------------------------------------------------------------------- windows
 
@@ -70,9 +73,18 @@ d AS (SELECT event_type AS tenant_id, printf('P%010d', event_id) AS proof_id,
 
 
 def content_sql(decision: str) -> str:
-    return (f"sha256(concat_ws('|', proof_id, proof_type, tenant_id, epoch_us(ts)::VARCHAR, input_hash, '', {decision}, "
-            f"round(confidence * 10000)::BIGINT::VARCHAR, CASE WHEN n_threats > 0 THEN 'pii_exposure' ELSE '' END, "
-            f"CASE WHEN n_issues > 0 THEN 'low_relevance,off_topic' ELSE '' END, ontology_id, '', '', '', '', adapter_source, '', '', '', '', '', ''))")
+    def marked(e: str) -> str:
+        return f"coalesce(strlen({e}) || ':' || {e}, '-')"
+
+    def listed(*items: str) -> str:
+        return S.q(f"[{len(items)}:" + "".join(f"{len(i)}:{i}" for i in items))
+
+    fields = [*map(marked, ("proof_id", "proof_type", "tenant_id", "(epoch_us(ts)::VARCHAR)", "input_hash")), "'-'", marked(decision),
+              marked("(trunc(confidence * 4611686018427387904)::BIGINT::VARCHAR)"),
+              f"CASE WHEN n_threats > 0 THEN {listed('pii_exposure')} ELSE {listed()} END",
+              f"CASE WHEN n_issues > 0 THEN {listed('low_relevance', 'off_topic')} ELSE {listed()} END", marked("ontology_id"),
+              *["'-'"] * 4, marked("adapter_source"), *["'-'"] * 6]
+    return f"sha256({' || '.join(fields)})"
 
 
 LEDGER_SQL = f"""
@@ -113,6 +125,50 @@ def ledger_verify(spark: SparkSession, sf: str) -> DataFrame:
     return audit.verify(ledger.withColumn("decision", changed))
 
 
+SEAL_SQL = f"""
+WITH RECURSIVE {DECISIONS_SQL},
+leaves AS MATERIALIZED (SELECT tenant_id, date, proof_id, digest, row_number() OVER (PARTITION BY tenant_id, date ORDER BY proof_id) - 1 AS place,
+  count(*) OVER (PARTITION BY tenant_id, date) AS n FROM (SELECT *, {content_sql('decision')} AS digest FROM d)),
+tree AS (
+  SELECT tenant_id, date, 0 AS level, place, digest, n, n AS total FROM leaves
+  UNION ALL
+  SELECT tenant_id, date, level + 1, place // 16, sha256(string_agg(digest, '' ORDER BY place)), (max(n) + 15) // 16, max(total)
+  FROM tree WHERE n > 1 GROUP BY tenant_id, date, level, place // 16)
+"""
+
+
+@query("ledger_seal", SEAL_SQL + """
+SELECT tenant_id, strftime(date, '%Y-%m-%d') AS date, CAST(total AS BIGINT) AS n, digest AS root FROM tree WHERE n = 1""")
+def ledger_seal(spark: SparkSession, sf: str) -> DataFrame:
+    """Root over the decisions of each tenant and day."""
+    rows = decisions(spark, sf)
+    sealed = seals.seal(rows.withColumn("content_hash", audit.content_hash(rows)), ["tenant_id", "date"], ["proof_id"])
+    return sealed.withColumn("date", F.col("date").cast("string"))
+
+
+@query("ledger_inclusion", SEAL_SQL + """,
+sides AS MATERIALIZED (
+  SELECT a.tenant_id, a.date, a.level, a.place, coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS before,
+    coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS after
+  FROM tree a JOIN tree b ON a.tenant_id = b.tenant_id AND a.date = b.date AND a.level = b.level AND a.place // 16 = b.place // 16
+  WHERE a.n > 1 GROUP BY 1, 2, 3, 4),
+walk AS (
+  SELECT tenant_id, date, proof_id, 0 AS level, place, digest AS folded, '' AS siblings FROM leaves
+  UNION ALL
+  SELECT w.tenant_id, w.date, w.proof_id, w.level + 1, w.place // 16, sha256(s.before || w.folded || s.after), w.siblings || s.before || s.after
+  FROM walk w JOIN sides s ON s.tenant_id = w.tenant_id AND s.date = w.date AND s.level = w.level AND s.place = w.place)
+SELECT w.proof_id, sha256(max_by(w.siblings, w.level)) AS path_hash, max_by(w.folded, w.level) = any_value(t.digest) AS holds
+FROM walk w JOIN tree t ON t.tenant_id = w.tenant_id AND t.date = w.date AND t.n = 1 GROUP BY 1""")
+def ledger_inclusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Every decision's way up to its day's root."""
+    rows = decisions(spark, sf)
+    hashed = rows.withColumn("content_hash", audit.content_hash(rows))
+    found = seals.proofs(hashed, F.lit(True), ["tenant_id", "date"], ["proof_id"])
+    joined = F.array_join(F.transform("path", lambda s: F.concat(s["before"], s["after"])), "")
+    return found.select("proof_id", F.sha2(joined, 256).alias("path_hash"),
+                        (seals.fold(F.col("path"), F.col("content_hash")) == F.col("root")).alias("holds"))
+
+
 @query("ledger_stats", f"""
 WITH {DECISIONS_SQL}
 SELECT tenant_id, CASE WHEN proof_type IS NOT NULL THEN 'proof_type' WHEN decision IS NOT NULL THEN 'decision' WHEN ontology_id IS NOT NULL THEN 'ontology_id'
@@ -128,7 +184,10 @@ WITH {DECISIONS_SQL}
 SELECT proof_id, decision, strftime(date, '%Y-%m-%d') AS date FROM d WHERE tenant_id = 'click' AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
   AND proof_type = 'claim_check' AND ontology_id = 'onto_b' ORDER BY date DESC, ts DESC, proof_id LIMIT 50""")
 def ledger_search(spark: SparkSession, sf: str) -> DataFrame:
-    found = audit.search(decisions(spark, sf), "click", "2024-01-05", "2024-01-20", "claim_check", "onto_b", 50)
+    """Search in a written ledger; only the tenant's days asked for are read."""
+    path = f"{checkpoint_folder(spark)}/ledgers/{uuid.uuid4().hex}"
+    writers.append_ledger(decisions(spark, sf), path)
+    found = audit.search(writers.read_ledger(spark, path), "click", "2024-01-05", "2024-01-20", "claim_check", "onto_b", 50)
     return found.select("proof_id", "decision", F.col("date").cast("string").alias("date"))
 
 
