@@ -150,3 +150,53 @@ def test_default_quantile(spark):
     from trustframe.functions import fixed
     df = spark.createDataFrame([(s,) for s in fixed.DEFAULT_NONCONFORMITY], "score double")
     assert review.conformal_quantile(df, "score", 0.1).first()["q_hat"] == 0.70
+
+
+def test_other_splitters_and_extractors(spark):
+    from trustframe.functions import splitters, text
+    from trustframe.operators import extract
+    rows = [(1, "- first claim\n2) second one; no\nthird line here"), (2, None), (3, "Policy: keep it\nfree text\n definition :  a thing ")]
+    df = spark.createDataFrame(rows, "id int, answer string").withColumn("contexts", F.array(F.struct(
+        F.lit("d").alias("doc_id"), F.lit("first claim is here").alias("text"))))
+    by_line = ground.split_answers(df, ["id"], splitters.LineSplitter).collect()
+    assert [(r["id"], r["pos"], r["claim"]) for r in sorted(by_line)][:3] == [
+        (1, 0, "first claim"), (1, 1, "second one"), (1, 2, "third line here")]
+    scored = {(r["id"], r["pos"]): r["label"] for r in ground.evidence(
+        ground.claim_rows(df, ["id"], splitters.LineSplitter)).collect()}
+    assert scored[1, 0] == "supported" and scored[1, 1] == "unsupported"
+    by_column = ground.claim_rows(df, ["id"], lambda a: F.split(a, "\n"))
+    assert by_column.count() == 6
+    own = ground.claim_rows(df, ["id"]).select("id", "claim").collect()
+    assert own == ground.claim_rows(df, ["id"], text.claims).select("id", "claim").collect()
+    facts = extract.facts_by(df, ["id"], splitters.MarkedFacts, "answer").collect()
+    assert sorted(map(tuple, facts)) == [(3, "a thing", "definition", 1.0), (3, "keep it", "policy", 1.0)]
+
+
+def test_conflicting_numbers_equal_brute_force(spark):
+    import random
+    draw = random.Random(5)
+    rows = []
+    for k in range(60):
+        parts = [f"keep {draw.choice([30, 60, 90])} days" for _ in range(draw.randint(0, 3))] + [
+            f"pay {draw.choice([5, 7])} euros" for _ in range(draw.randint(0, 1))]
+        rows.append((k, draw.choice(["a", "b", None]), " and ".join(parts)))
+    rows += [(60, "a", None), (61, "b", "no numbers 5")]
+    df = spark.createDataFrame(rows, "id int, source string, text string")
+    got = {(r["id"], r["unit"], r["value"]): (r["n_same"], r["n_other"], r["low"], r["high"])
+           for r in ground.conflicting_numbers(df, "id", "text", ["source"]).collect()}
+    mentions = {}
+    for r in df.select("id", "source", text_numbers().alias("n")).collect():
+        for n in r["n"] or []:
+            mentions.setdefault((r["source"] or "", n["unit"]), {}).setdefault(r["id"], set()).add(n["value"])
+    wanted = {}
+    for (_, unit), docs in mentions.items():
+        every = {int(v) for vs in docs.values() for v in vs}
+        for doc, values in docs.items():
+            for v in values:
+                wanted[doc, unit, v] = (sum(v in x for x in docs.values()), sum(x != {v} for x in docs.values()), min(every), max(every))
+    assert got == wanted and any(o for _, o, _, _ in got.values())
+
+
+def text_numbers():
+    from trustframe.functions import text
+    return text.numbers_with_units(F.col("text"))

@@ -107,6 +107,13 @@ def pattern_facts(documents: DataFrame, keys: list[str], column: str = "text",
         F.round("f.confidence", 6).alias("confidence"))
 
 
+def facts_by(documents: DataFrame, keys: list[str], extractor, column: str = "text") -> DataFrame:
+    """Facts that a Python table function yields for each text: the keys, content, fact_type, confidence."""
+    frame = documents.withColumn("_text", F.col(column))
+    return frame.lateralJoin(extractor(F.col("_text").outer())).where(F.col("content").isNotNull()).select(
+        *keys, "content", "fact_type", "confidence")
+
+
 def merge_extractors(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     """Union of several extractors' facts; of equal texts in a document the surest stays."""
     rows = reduce(DataFrame.unionByName, parts)

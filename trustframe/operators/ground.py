@@ -30,16 +30,30 @@ def word_runs(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) >= 3, runs).otherwise(words))
 
 
-def claim_rows(samples: DataFrame, keys: list[str]) -> DataFrame:
+def split_answers(samples: DataFrame, keep: list[str], splitter=None) -> DataFrame:
+    """One row per claim: the columns of ``keep``, ``pos`` and ``claim``.
+
+    ``splitter`` is None for the library's own, a function from the column of answers to an array of claims, or a
+    Python table function that yields (pos, claim), which is joined laterally.
+    """
+    if splitter is None or not hasattr(splitter, "returnType"):
+        return text.each(samples, keep, (splitter or text.claims)(F.col("answer")), "claim", "pos")
+    frame = samples.withColumn("_answer", F.col("answer"))
+    return frame.lateralJoin(splitter(F.col("_answer").outer())).where(F.col("claim").isNotNull()).select(
+        *keep, "pos", "claim")
+
+
+def claim_rows(samples: DataFrame, keys: list[str], splitter=None) -> DataFrame:
     """One row per claim with its position; contexts are prepared once per sample.
 
-    ``samples`` has the keys, ``answer`` and ``contexts`` (array of doc_id, text).
+    ``samples`` has the keys, ``answer`` and ``contexts`` (array of doc_id, text); ``splitter`` is that of
+    ``split_answers``.
     """
     prepared = F.transform("contexts", lambda c: text.let(text.tokens(c["text"]), lambda w: text.record(
         doc_id=c["doc_id"], body=F.lower(c["text"]), runs=word_runs(w), words=F.array_distinct(w),
         numbers=text.numbers_with_units(c["text"]))))
     frame = samples.select(*keys, "answer", prepared.alias("prepared"))
-    return text.each(frame, [*keys, "answer", "prepared"], text.claims(F.col("answer")), "claim", "pos")
+    return split_answers(frame, [*keys, "answer", "prepared"], splitter)
 
 
 def _scored_contexts(claim: Column, words: Column, runs: Column, prepared: Column) -> Column:
@@ -95,6 +109,36 @@ def evidence(claims: DataFrame) -> DataFrame:
             .drop("claim_words", "claim_runs", "scored", "best", "prepared"))
 
 
+# ---------------------------------------------------------------------------- numbers across texts
+
+def conflicting_numbers(texts: DataFrame, key: str, column: str, scope: list[str]) -> DataFrame:
+    """Numbers of each text against those of all other texts of its scope.
+
+    One row per (text, unit, value): ``n_same`` texts give that value for the unit, the text itself included,
+    ``n_other`` give another one as well or instead, and ``low`` and ``high`` bound all values of the unit in the scope.
+    Units must be equal after stop words are taken out. ``key`` names a text; null scopes count as one.
+
+    No pairs are built: texts are counted per unit and per (unit, value), and the counts meet each mention by joins on
+    these keys, which adaptive execution splits where a unit is very common.
+    """
+    numbers = texts.select(key, *scope, text.numbers_with_units(F.col(column)).alias("_numbers"))
+    mentions = text.each(numbers, [key, *scope], F.array_distinct("_numbers"), "_n").select(
+        key, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in scope], F.col("_n.unit").alias("unit"),
+        F.col("_n.value").alias("value"))
+    mentions = cut_lineage(mentions.distinct())
+    size = F.expr("try_cast(value AS decimal(38, 0))")
+    per_text = mentions.groupBy(*scope, "unit", key).agg(
+        F.count("*").alias("values"), F.min("value").alias("only"), F.min(size).alias("low"), F.max(size).alias("high"))
+    per_unit = per_text.groupBy(*scope, "unit").agg(F.count("*").alias("n_texts"), F.min("low").alias("low"),
+                                                    F.max("high").alias("high"))
+    alone = per_text.where("values = 1").groupBy(*scope, "unit", F.col("only").alias("value")).agg(F.count("*").alias("n_only"))
+    per_value = mentions.groupBy(*scope, "unit", "value").agg(F.count("*").alias("n_same")).join(
+        alone, [*scope, "unit", "value"], "left").join(per_unit, [*scope, "unit"])
+    counts = per_value.withColumn("n_other", F.col("n_texts") - F.coalesce("n_only", F.lit(0)))
+    return mentions.join(counts.drop("n_only", "n_texts"), [*scope, "unit", "value"]).select(
+        key, *scope, "unit", "value", "n_same", "n_other", "low", "high")
+
+
 # ---------------------------------------------------------------------------- propagation
 
 def propagate_chain(scored: DataFrame, keys: list[str], extra: list[str] | None = None) -> DataFrame:

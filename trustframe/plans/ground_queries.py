@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustframe.functions import costs, text
+from trustframe.functions import costs, splitters, text
 from trustframe.functions.session import read_texts
 from trustframe.operators import generate, ground
 from trustframe.plans import sqltext as S
@@ -80,6 +80,29 @@ def claims_split(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("n_chars", F.length("claim").cast("bigint"))
 
 
+@query("claims_by_line", """
+WITH l AS (SELECT conv_id, turn, unnest(string_split_regex(text, '[\\n;]')) AS line, generate_subscripts(string_split_regex(text, '[\\n;]'), 1) AS k FROM conversations WHERE role = 'assistant'),
+c AS (SELECT conv_id, turn, k, trim(regexp_replace(line, '^[ \\t]*([-*]|[0-9]+[.)])[ \\t]+', ''), E' \\t\\r') AS claim FROM l)
+SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS INTEGER) AS pos, claim FROM c WHERE len(claim) >= 5""")
+def claims_by_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims by another splitter than the library's own, as a table function."""
+    turns = read_texts(spark, sf, "conversations").where("role = 'assistant'").withColumn("answer", F.col("text"))
+    return ground.split_answers(turns, KEYS, splitters.LineSplitter)
+
+
+@query("numeric_conflicts", f"""
+WITH m AS (SELECT DISTINCT doc_id, coalesce(source, '') AS source, n[2] AS unit, n[1] AS value FROM (SELECT doc_id, source, unnest({S.numbers('text')}) AS n FROM documents)),
+t AS (SELECT source, unit, doc_id, count(*) AS c, min(value) AS only FROM m GROUP BY 1, 2, 3)
+SELECT m.doc_id, m.source, m.unit, m.value, (SELECT count(*) FROM m x WHERE x.source = m.source AND x.unit = m.unit AND x.value = m.value) AS n_same,
+  (SELECT count(*) FROM t WHERE t.source = m.source AND t.unit = m.unit AND NOT (t.c = 1 AND t.only = m.value)) AS n_other,
+  (SELECT min(x.value::HUGEINT)::VARCHAR FROM m x WHERE x.source = m.source AND x.unit = m.unit) AS low,
+  (SELECT max(x.value::HUGEINT)::VARCHAR FROM m x WHERE x.source = m.source AND x.unit = m.unit) AS high FROM m""")
+def numeric_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers of every document against all documents of its source."""
+    found = ground.conflicting_numbers(read_texts(spark, sf, "documents"), "doc_id", "text", ["source"])
+    return found.withColumns({c: F.col(c).cast("string") for c in ("low", "high")})
+
+
 DOC_CLAIMS_SQL = f"""
 WITH lists AS (SELECT doc_id, lang, {S.claims('text')} AS cs FROM documents)
 SELECT lang, CAST(count(*) AS BIGINT) AS documents, CAST(sum(len(cs)) AS BIGINT) AS claims,
