@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from trustframe.llm import near_copies
 
 
@@ -29,10 +33,59 @@ def test_components_by_brute_force(make_docs, prose):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == wanted
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     # small limits: nodes are branched, compared with pivots and across components
-    small = near_copies.near_copies(make_docs(prose), leaf=4, cross=20, depth=3).collect()
+    small = near_copies.near_copies(make_docs(prose), leaf=4, cross=20, depth=3, block=8).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in small} == wanted
 
 
+def families(n, words=120, seed=9):
+    """Large families of near copies, some at the limit, and texts that share half with a family."""
+    draw = random.Random(seed)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{k}" for k in range(words)]
+        for _ in range(n // 4):
+            text = list(base)
+            for _ in range(draw.choice([1, 1, 2, 3, 6])):
+                text[draw.randrange(words)] = f"x{draw.randrange(10**9)}"
+            rows.append(" ".join(text))
+    base = [f"h{k}" for k in range(words)]
+    for k in range(n - len(rows)):  # alike by half: many unlikely and likely pairs, none linked
+        rows.append(" ".join(base[:80] + [f"own{k}v{j}" for j in range(40)]))
+    draw.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_large_families_by_brute_force(make_docs):
+    rows = families(2000)
+    wanted = by_hand(rows)
+    got = near_copies.near_copies(make_docs(rows, clash=False)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == wanted
+
+
+@pytest.mark.parametrize("options", [{"leaf": 4, "cross": 20, "depth": 0, "block": 16}, {"leaf": 8, "cross": 50, "depth": 2, "block": 10}])
+def test_small_limits_branch_and_deal_in_blocks(make_docs, options):
+    rows = families(260)
+    got = near_copies.near_copies(make_docs(rows, clash=False), **options).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == by_hand(rows)
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_one_id_with_two_texts(make_docs, swap):
+    long = " ".join(f"w{k}" for k in range(40))
+    other = " ".join(f"v{k}" for k in range(60 if swap else 20))
+    rows = [(1, long), (5, other), (5, long + " end"), (7, other + " end"), (5, other), (9, "alone in here with words")]
+    got = near_copies.near_copies(make_docs(rows[::-1] if swap else rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 5: 1, 7: 1, 9: 9} and len(got) == 6
+
+
+def test_roots_follow_the_recall_wanted():
+    for depth in (0, 2, 3):
+        for missed in (1e-3, 1e-6):
+            n = near_copies.roots_needed(75, missed, depth)
+            meet = 0.75 * 0.9375 ** depth
+            assert (1 - meet) ** n <= missed < (1 - meet) ** (n - 1)
+
+
 def test_odd_rows(make_docs, odd_rows):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"])
                   for r in near_copies.near_copies(make_docs(odd_rows)).collect()), key=str)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             for k, words, own in _sets(texts, width):
                 sizes[k] = len(own)
                 if len(own):
-                    nodes[k] = np.uint64(xxhash.xxh3_64_intdigest(words.tobytes())).astype(np.int64)
+                    nodes[k] = _node(words)
                     for at in range(0, len(own), 1 << 14):
                         part = (own[at:at + (1 << 14), None] * FACTORS).min(0) >> np.uint64(32)
                         part = part.astype(np.uint32)
@@ -54,32 +55,57 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, SIGNED)
 
 
+def _node(words: np.ndarray) -> int:
+    """Hash of a sequence of words."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(words.tobytes())).astype(np.int64))
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node and its whole set of shingles for ``wanted`` (node, doc_id)."""
+    """node and its whole set of shingles for ``wanted`` (node, doc_id, repeated).
+
+    Of the rows with a wanted doc_id only those with the wanted words count; where such a row is repeated
+    (``repeated``), one of the equal sets stays.
+    """
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [own.view(np.int64) for _, _, own in _sets(batch["text"], width)]
+            nodes, found, kept = batch["node"].to_numpy(), [], []
+            for k, words, own in _sets(batch["text"], width):
+                if len(words) and _node(words) == nodes[k]:
+                    kept.append(k)
+                    found.append(own.view(np.int64))
             offsets = np.cumsum([0, *map(len, found)])
             values = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.LargeListArray.from_arrays(
-                pa.array(offsets), pa.array(values)).cast(pa.list_(pa.int64()))], names=["node", "shingles"])
+            picked = batch.select(["node", "repeated"]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.LargeListArray.from_arrays(
+                pa.array(offsets), pa.array(values)).cast(pa.list_(pa.int64()))], names=["node", "repeated", "shingles"])
 
     named = wanted.withColumnRenamed("doc_id", "wanted_id")
     texts = Bitmap(wanted.select("doc_id")).rows(docs, "doc_id").join(named, F.col("doc_id") == F.col("wanted_id"))
-    return stored(texts.select("node", "text").mapInArrow(expand, "node long, shingles array<long>")
-                  .dropDuplicates(["node"]), "shingle-sets")
+    sets = stored(texts.select("node", "repeated", "text").mapInArrow(
+        expand, "node long, repeated boolean, shingles array<long>"), "shingle-sets")
+    once = sets.where("NOT repeated").select("node", "shingles")
+    return once.unionByName(sets.where("repeated").select("node", "shingles").dropDuplicates(["node"]))
+
+
+def roots_needed(percent: int, missed: float, depth: int) -> int:
+    """Roots at which texts start, so that a link at the limit misses all common nodes with at most that probability.
+
+    Two texts share a root if they agree at its place, and a node below if they agree at one of the two places that
+    their common node chooses. A link that is closer than the limit is missed less often.
+    """
+    alike = percent / 100
+    return -int(-math.log(missed) // math.log(1 - alike * (1 - (1 - alike) ** 2) ** depth))
 
 
 def _children(members: DataFrame, signed: DataFrame, seed: int) -> DataFrame:
-    """Members of the nodes one level below: each node chooses one place of the signature, every third one two,
-    and its members part by the token they have there."""
+    """Members of the nodes one level below: each node chooses two places of the signature, and its members part by
+    the token they have there."""
     def child(number: int) -> Column:
-        place = F.pmod(F.xxhash64("key", F.lit(seed), F.lit(number)), F.lit(TOKENS))
+        place = F.pmod(F.xxhash64("key", F.lit(seed)) + F.lit(number * (TOKENS // 2 - 1)), F.lit(TOKENS))
         return F.xxhash64("key", place, F.element_at("tokens", (place + 1).cast("int")))
 
-    two = F.pmod(F.xxhash64("key", F.lit(seed), F.lit(-1)), F.lit(3)) == 0
     return members.join(signed.select("node", "tokens"), "node").select(
-        "node", F.explode(F.when(two, F.array(child(0), child(1))).otherwise(F.array(child(0)))).alias("key"))
+        "node", F.explode(F.array(child(0), child(1))).alias("key"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -96,12 +122,34 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
+def _spanning(x: np.ndarray, y: np.ndarray, agree: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Of the pairs (x, y) those that join components (``root``), the most alike first, as few as do it."""
+    above: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while r in above:
+            r = above[r]
+        return r
+
+    order = np.argsort(-agree, kind="stable")
+    left, kept = len(np.unique(root[np.concatenate([x, y])])) - 1, []
+    for k, a, b in zip(order.tolist(), root[x[order]].tolist(), root[y[order]].tolist(), strict=True):
+        a, b = top(a), top(b)
+        if a != b:
+            above[a] = b
+            kept.append(k)
+            if len(kept) == left:
+                break
+    return np.array(kept, np.int64)
+
+
 def _likely(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of texts of one node and different components that may be similar enough, with their set sizes.
+    """Pairs (a, b) of texts of one node and different components that may be similar enough: key, a, b, n_a, n_b.
 
-    ``members`` has key, node, root, n_shingles, tokens; the rows of a node are few, or few pairs of components. Pairs
-    are judged by set sizes and by how many minwise tokens agree, five standard deviations below the wanted
-    similarity, which passes all but one in three million links.
+    ``members`` has key, node, root, n_shingles, tokens and ``every``; the rows of a node are few, or few pairs of
+    components. Pairs are judged by set sizes and by how many minwise tokens agree, five standard deviations below the
+    wanted similarity, which passes all but one in three million links. Where ``every`` isn't set, only as many pairs
+    come out as can join the node's components.
     """
     wanted = percent / 100
     least = int(TOKENS * wanted - 5 * (TOKENS * wanted * (1 - wanted)) ** 0.5)
@@ -110,110 +158,165 @@ def _likely(members: DataFrame, percent: int) -> DataFrame:
         for table in _groups(batches):
             if not len(table):
                 continue
-            node, root, size = (table[c].to_numpy() for c in ("node", "root", "n_shingles"))
+            key, node, root, size = (table[c].to_numpy() for c in ("key", "node", "root", "n_shingles"))
+            every = table["every"].to_numpy(zero_copy_only=False)
             tokens = table["tokens"].combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
-            first = np.flatnonzero(np.diff(table["key"].to_numpy(), prepend=table["key"][0].as_py() ^ 1))
+            first = np.flatnonzero(np.diff(key, prepend=key[0] ^ 1))
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for begin, end in zip(first, [*first[1:], len(table)], strict=True):
-                for at in range(begin, end - 1):
-                    rest = slice(at + 1, end)
-                    fits = (root[rest] != root[at]) & (100 * np.minimum(size[rest], size[at])
-                                                       >= percent * np.maximum(size[rest], size[at]))
-                    other = at + 1 + np.flatnonzero(fits)
-                    other = other[(tokens[other] == tokens[at]).sum(1) >= least]
-                    left.append(np.full(len(other), at))
-                    right.append(other)
+                x, y, agree = _alike(root[begin:end], size[begin:end], tokens[begin:end], percent, least)
+                if len(x) and not every[begin]:
+                    kept = _spanning(x, y, agree, root[begin:end])
+                    x, y = x[kept], y[kept]
+                left.append(begin + x)
+                right.append(begin + y)
             x, y = np.concatenate(left), np.concatenate(right)
             x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[x], node[y], size[x], size[y])],
-                                             names=["a", "b", "n_a", "n_b"])
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[x], node[x], node[y], size[x], size[y])],
+                                             names=["key", "a", "b", "n_a", "n_b"])
 
     return members.repartition("key").sortWithinPartitions("key").mapInArrow(
-        compare, "a long, b long, n_a long, n_b long").distinct()
+        compare, "key long, a long, b long, n_a long, n_b long")
+
+
+def _alike(root: np.ndarray, size: np.ndarray, tokens: np.ndarray, percent: int, least: int) -> tuple[np.ndarray, ...]:
+    """Pairs of rows of different components that may be similar enough, and how many tokens agree.
+
+    Every such pair has a row outside of the largest component, so only those are gone through.
+    """
+    none = np.zeros(0, np.int64)
+    left, right, agreeing = [none], [none], [none]
+    roots, which, counts = np.unique(root, return_inverse=True, return_counts=True)
+    if len(roots) > 1:
+        outside = which != counts.argmax()
+        for at in np.flatnonzero(outside):
+            fits = (root != root[at]) & (100 * np.minimum(size, size[at]) >= percent * np.maximum(size, size[at]))
+            fits[:at] &= ~outside[:at]  # seen from the other row
+            other = np.flatnonzero(fits)
+            agree = (tokens[other] == tokens[at]).sum(1)
+            other, agree = other[agree >= least], agree[agree >= least]
+            left.append(np.full(len(other), at))
+            right.append(other)
+            agreeing.append(agree)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(agreeing)
 
 
 def _confirmed(likely: DataFrame, signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose whole sets are similar enough."""
-    likely = stored(likely, "likely-pairs")
-    nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = _full_sets(docs, nodes.join(signed.select("node", "doc_id"), "node"), width)
-    both = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    pairs = stored(likely.select("a", "b", "n_a", "n_b").distinct(), "likely-pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _full_sets(docs, nodes.join(signed.select("node", "doc_id", "repeated"), "node"), width)
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return stored(both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"), "links")
 
 
-def links(docs: DataFrame, signed: DataFrame, width: int, percent: int, trees: int, leaf: int, cross: int,
-          depth: int) -> DataFrame:
-    """Confirmed links (a, b) between texts, one row per node in ``signed``: enough of them to join all that belong
-    together, though not every pair of a large group.
+def _rooted(members: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """Members with the component each belongs to by now; a text that isn't linked is its own."""
+    if joined is None:
+        return members.select("key", "node", F.col("node").alias("root"))
+    return members.join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+
+
+def _in_blocks(members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """Members of a node dealt to pairs of blocks of about ``block`` texts, each a node of its own."""
+    parts = F.ceil(F.col("size") / block)
+    own = members.join(sizes.select("key", parts.alias("parts")), "key").withColumn(
+        "own", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return own.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "root")
+
+
+def links(docs: DataFrame, signed: DataFrame, width: int, percent: int, roots: int, leaf: int, cross: int,
+          depth: int, block: int) -> DataFrame | None:
+    """node, root of the texts in ``signed`` that are linked with others: the components of all links.
 
-    All texts start at the root of each of ``trees`` trees, which chooses two places of the signature. In nodes of
-    at most ``leaf`` texts all pairs are compared. In larger ones all are compared with one pivot. Texts of one
-    component need no more links; if at most ``cross`` pairs of different components are left in a node they are
-    compared too, otherwise the node is branched further. After ``depth`` levels all that is left is compared.
+    Each text starts at ``roots`` roots, by the tokens at as many places; those of the first tree go first, and what
+    they join needs no more links. A node of at most ``leaf`` texts is compared as a whole, and the pairs most alike
+    that can join it are confirmed; of a larger one all are confirmed with one pivot. Nodes in which a pair was
+    refused, and larger ones with at most ``cross`` pairs between different components left, are then compared for all
+    such pairs; others are branched further. After ``depth`` levels what is left is compared in blocks of texts.
+    Every proposal is confirmed on the whole sets.
     """
-    roots = [F.xxhash64(F.lit(t), F.lit(place), F.element_at("tokens", place + 1))
-             for t in range(trees) for place in (2 * t % TOKENS, (2 * t + 1) % TOKENS)]
-    members = stored(signed.select("node", F.explode(F.array(*roots)).alias("key")), "members")
     side = signed.select("node", "n_shingles", "tokens")
-    found = joined = rest = None
-    for level in range(depth + 1):
-        sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min(
-            F.struct(F.xxhash64("key", "node").alias("order"), "node"))["node"].alias("pivot")).where("size > 1")
-        inside = stored(members.join(sizes, "key"), "sized-members")
-        small, large = inside.where(F.col("size") <= leaf), inside.where(F.col("size") > leaf)
-        near = small.select("key", "node")
-        near = near.withColumn("root", F.col("node")) if joined is None else near.join(joined, "node", "left").select(
-            "key", "node", F.coalesce("root", "node").alias("root"))
-        if rest is not None:
-            near = near.unionByName(rest)
-        # a star is dealt by its pairs, each a node of its own, so a hot pivot is spread
-        stars = large.where("node <> pivot").select(F.xxhash64("key", "node").alias("key"), F.explode(
-            F.array("node", "pivot")).alias("node")).withColumn("root", F.col("node"))
-        likely = _likely(near.unionByName(stars).join(side, "node"), percent)
-        now = _confirmed(likely, signed, docs, width, percent)
-        found = now if found is None else found.unionByName(now)
-        if large.isEmpty():
-            break
-        joined = components(found)
-        rooted = stored(large.select("key", "node").join(joined, "node", "left").select(
-            "key", "node", F.coalesce("root", "node").alias("root")), "rooted")
-        counts = rooted.groupBy("key", "root").count().groupBy("key").agg(
-            F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
-        left = rooted.join(counts.select("key", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("left")), "key")
-        last = level >= depth - 1
-        rest = stored(left.where("left > 0" if last else f"left > 0 AND left <= {cross}").select(
-            "key", "node", "root"), "rest")
-        members = stored(_children(left.where(F.lit(not last) & (F.col("left") > cross)).select("key", "node"), signed,
-                                   level).distinct(), "members")
-        if rest.isEmpty() and members.isEmpty():
-            break
-    return found
-
-
-def near_copies(docs: DataFrame, width: int = 5, percent: int = 75, trees: int = 8, leaf: int = 48,
-                cross: int = 200_000, depth: int = 8) -> DataFrame:
+    joined = None
+    for places in (range(min(2, roots)), range(min(2, roots), roots)):
+        if not len(places):
+            continue
+        starts = [F.xxhash64(F.lit(p), F.element_at("tokens", p % TOKENS + 1)) for p in places]
+        members = signed.select("node", F.explode(F.array(*starts)).alias("key"))
+        for level in range(depth + 1):
+            rooted = stored(_rooted(members, joined), "members")
+            sizes = rooted.groupBy("key").agg(
+                F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(
+                    F.struct(F.xxhash64("key", "node").alias("order"), "node", "root")).alias("pivot")).where("low <> high")
+            inside = stored(rooted.join(sizes, "key").drop("low", "high"), "sized-members")
+            small, large = inside.where(F.col("size") <= leaf), inside.where(F.col("size") > leaf)
+            # a star is dealt by its pairs, each a node of its own, so a hot pivot is spread
+            ends = F.array(F.struct("node", "root"), F.struct(F.col("pivot.node"), F.col("pivot.root")))
+            stars = large.where("root <> pivot.root").select(
+                F.xxhash64("key", "node").alias("key"), F.explode(ends).alias("end")).select("key", "end.*")
+            likely = stored(_likely(small.select("key", "node", "root").unionByName(stars).join(side, "node")
+                                    .withColumn("every", F.lit(False)), percent), "proposed")
+            now = _confirmed(likely, signed, docs, width, percent)
+            joined = _joined_by(joined, now)
+            refused = likely.join(now, ["a", "b"], "left_anti").select("key").distinct()
+            left = stored(_rooted(inside.select("key", "node"), joined), "rooted")
+            counts = left.groupBy("key", "root").count().groupBy("key").agg(
+                F.sum("count").alias("size"), F.sum(F.col("count") * F.col("count")).alias("same"))
+            counts = stored(counts.withColumn("pairs", (F.col("size") * F.col("size") - F.col("same")) / 2)
+                            .where("pairs > 0"), "counts")
+            fit = F.col("pairs") <= cross
+            again = counts.where((F.col("size") <= leaf)).join(refused, "key", "left_semi").unionByName(
+                counts.where((F.col("size") > leaf) & fit))
+            rest = left.join(again.select("key"), "key", "left_semi")
+            wide = counts.where((F.col("size") > leaf) & ~fit)
+            open_ = left.join(wide.select("key"), "key", "left_semi")
+            if level == depth:
+                rest = rest.unionByName(_in_blocks(open_, wide, block))
+            every = _likely(rest.join(side, "node").withColumn("every", F.lit(True)), percent)
+            more = _confirmed(every.join(likely.select("a", "b"), ["a", "b"], "left_anti"), signed, docs, width, percent)
+            joined = _joined_by(joined, more)
+            if level == depth or wide.isEmpty():
+                break
+            members = stored(_children(open_.select("key", "node"), signed, level).distinct(), "children")
+    return joined
+
+
+def _joined_by(joined: DataFrame | None, now: DataFrame) -> DataFrame:
+    """Components of what was joined before and the new links."""
+    if joined is None:
+        return components(now)
+    if now.isEmpty():
+        return joined
+    return components(now.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def near_copies(docs: DataFrame, width: int = 5, percent: int = 75, missed: float = 1e-6, leaf: int = 48,
+                cross: int = 200_000, depth: int = 3, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
     Texts are linked if their sets of ``width``-word shingles share at least ``percent`` percent of their union.
-    component_id is the smallest doc_id that can be reached, and that document is kept. Exact copies are one text
-    in the search, so a group of them costs no pairs. Null, empty and blank texts have no shingles and no links.
-    Rows with a null doc_id take no part: their component_id is null and they are kept. Rows that repeat a doc_id
-    belong to one component.
+    component_id is the smallest doc_id that can be reached, and that document is kept. A link at the limit meets in no
+    node with a probability of ``missed`` at most. Exact copies are one text in the search, so a group of them costs
+    no pairs. Null, empty and blank texts have no shingles and no links. Rows with a null doc_id take no part: their
+    component_id is null and they are kept. Rows that repeat a doc_id belong to one component, whatever their texts.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     each = stored(signatures(rows, width), "signatures")
     ids = each.where("node IS NOT NULL AND doc_id IS NOT NULL")
-    texts = ids.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    one = ids.select("node", "doc_id", "n_shingles", "tokens")
-    signed = stored(one.join(texts, ["node", "doc_id"]).dropDuplicates(["node"]), "signed")
-    found = links(rows, signed, width, percent, trees, leaf, cross, depth)
+    counts = ids.groupBy("node", "doc_id").agg(F.count("*").alias("copies"))
+    texts = counts.groupBy("node").agg(F.min(F.struct("doc_id", "copies")).alias("least")).select("node", "least.*")
+    one = ids.select("node", "doc_id", "n_shingles", "tokens").join(texts, ["node", "doc_id"]).withColumn(
+        "repeated", F.col("copies") > 1).drop("copies")
+    single = one.where("NOT repeated").unionByName(one.where("repeated").dropDuplicates(["node"]))
+    signed = stored(single, "signed")
+    roots = roots_needed(percent, missed, depth)
+    joined = links(rows, signed, width, percent, roots, leaf, cross, depth, block)
     names = signed.select("node", "doc_id")
-    joined = found.join(names.toDF("a", "first"), "a").join(names.toDF("b", "second"), "b").select(
-        F.col("first").alias("a"), F.col("second").alias("b"))
+    linked = joined.join(names.toDF("node", "a"), "node").join(names.toDF("root", "b"), "root").select("a", "b")
     copies = ids.select("node", F.col("doc_id").alias("a")).join(names.withColumnRenamed("doc_id", "b"), "node")
-    roots = components(joined.unionByName(copies.select("a", "b")))
-    final = each.select("doc_id", "n_shingles").join(roots, F.col("doc_id") == F.col("node"), "left")
+    roots_of = components(linked.unionByName(copies.select("a", "b")))
+    final = each.select("doc_id", "n_shingles").join(roots_of, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("root", "doc_id")
     return final.select("doc_id", "n_shingles", component.alias("component_id"),
                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
