@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from trustframe.llm import repeats
 
 
@@ -49,3 +51,12 @@ def test_odd_rows(make_docs, odd_rows):
     texts = {r["doc_id"]: r["text"] for r in frame.collect()}
     assert texts[1] is None and texts[3] == " \t\n" and texts[8] == "" and texts[None] in ("no id here", "word " * 40)
     assert repeats.remove_repeats(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_one_id_with_two_texts(make_docs, swap):
+    shared = " ".join(f"s{k}" for k in range(30))
+    rows = [(1, shared), (2, "short one"), (2, "a b " + shared), (2, " ".join(f"clean{k}" for k in range(60))), (2, "a b " + shared)]
+    got = repeats.remove_repeats(make_docs(rows[::-1] if swap else rows)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [
+        (1, 30, 0), (2, 2, 0), (2, 32, 30), (2, 32, 30), (2, 60, 0)]

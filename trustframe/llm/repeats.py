@@ -63,13 +63,13 @@ def anchors(docs: DataFrame, window: int, sift: Bitmap | None = None) -> DataFra
 
 
 def _pieces(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
-    """anchor, piece, doc_id, start, words: the runs of windows with a repeated anchor in each text.
+    """anchor, piece, doc_id, row_key, start, words: the runs of windows with a repeated anchor in each text.
 
     A piece has all words of its windows, as 32-bit hashes; ``piece`` is the hash of them.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids = batch["doc_id"].to_numpy()
+            doc_ids, row_keys = batch["doc_id"].to_numpy(), batch["row_key"].to_numpy()
             for at, words, bounds in _chunks(batch):
                 text, anchor, first, count = _runs(words, bounds, window)
                 wanted = batch["anchors"].slice(at, len(bounds) - 1)
@@ -82,13 +82,13 @@ def _pieces(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
                 own = [short[4 * x:4 * y] for x, y in zip(begin.tolist(), (begin + count + window - 1).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor[found].view(np.int64)), pa.array(map(hash_bytes, own), pa.int64()),
-                     pa.array(doc_ids[at + text]), pa.array(first.astype(np.int32)), pa.array(own, pa.binary())],
-                    names=["anchor", "piece", "doc_id", "start", "words"])
+                     pa.array(doc_ids[at + text]), pa.array(row_keys[at + text]), pa.array(first.astype(np.int32)),
+                     pa.array(own, pa.binary())], names=["anchor", "piece", "doc_id", "row_key", "start", "words"])
 
     ids = hits.select(F.col("doc_id").alias("hit_id"), "anchors")
-    texts = Bitmap(hits.select("doc_id")).rows(docs.select("doc_id", "text"), "doc_id")
-    joined = texts.join(ids, F.col("doc_id") == F.col("hit_id")).select("doc_id", "text", "anchors")
-    return joined.mapInArrow(cut, "anchor long, piece long, doc_id long, start int, words binary")
+    texts = Bitmap(hits.select("doc_id")).rows(docs.select("doc_id", "row_key", "text"), "doc_id")
+    joined = texts.join(ids, F.col("doc_id") == F.col("hit_id")).select("doc_id", "row_key", "text", "anchors")
+    return joined.mapInArrow(cut, "anchor long, piece long, doc_id long, row_key long, start int, words binary")
 
 
 def hash_bytes(data: bytes) -> int:
@@ -97,18 +97,18 @@ def hash_bytes(data: bytes) -> int:
 
 def _single_windows(pieces: DataFrame, window: int) -> DataFrame:
     """Pieces cut into their windows, each with its own hash as the anchor."""
-    names = ["anchor", "piece", "doc_id", "start", "words"]
+    names = ["anchor", "piece", "doc_id", "row_key", "start", "words"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for doc_id, start, words in zip(*(batch[c].to_pylist() for c in ("doc_id", "start", "words")), strict=True):
+            rows: list[list] = [[], [], [], [], []]
+            for doc_id, row_key, start, words in zip(*(batch[c].to_pylist() for c in names[2:]), strict=True):
                 for k in range(len(words) // 4 - window + 1):
                     own = words[4 * k:4 * (k + window)]
-                    for column, value in zip(rows, (hash_bytes(own), doc_id, start + k, own), strict=True):
+                    for column, value in zip(rows, (hash_bytes(own), doc_id, row_key, start + k, own), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip([rows[0], *rows], (*[pa.int64()] * 3, pa.int32(), pa.binary()),
+                [pa.array(x, t) for x, t in zip([rows[0], *rows], (*[pa.int64()] * 4, pa.int32(), pa.binary()),
                                                 strict=True)], names=names)
 
     return pieces.select(names).mapInArrow(cut, pieces.select(names).schema)
@@ -150,8 +150,10 @@ def first_documents(references: list[tuple[int, list[int]]], window: int) -> lis
 
 
 def covered_windows(docs: DataFrame, window: int = 13, shard_pieces: int = 3000, anchor_pieces: int = 1000) -> DataFrame:
-    """doc_id, starts: the first words of all windows that also start in a document with a smaller doc_id.
+    """doc_id, row_key, starts: the first words of all windows that also start in a document with a smaller doc_id.
 
+    ``docs`` has doc_id, text and row_key, a hash of the text, which tells rows of one doc_id apart. Repeated rows give
+    their starts more than once.
     Anchors that stand in several documents are found first; only the words around them go on. Equal windows have
     equal anchors, so pieces dealt to shards by their anchor meet all that can match them, and each shard's automaton
     has a bounded number of different pieces. An anchor with more than ``anchor_pieces`` different surroundings is
@@ -187,11 +189,11 @@ def covered_windows(docs: DataFrame, window: int = 13, shard_pieces: int = 3000,
 
     sharded = references.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     firsts = stored(sharded.groupBy("shard").applyInArrow(search, "piece long, firsts array<long>"), "firsts")
-    places = pieces.select("piece", "doc_id", "start").join(firsts, "piece")
+    places = pieces.select("piece", "doc_id", "row_key", "start").join(firsts, "piece")
     starts = F.filter(F.transform("firsts", lambda first, k: F.when(first < F.col("doc_id"), k + F.col("start"))),
                       lambda x: x.isNotNull())
-    return places.select("doc_id", starts.alias("starts")).where(F.size("starts") > 0).groupBy("doc_id").agg(
-        F.flatten(F.collect_list("starts")).alias("starts"))
+    return places.select("doc_id", "row_key", starts.alias("starts")).where(F.size("starts") > 0).groupBy(
+        "doc_id", "row_key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 CUT = ("doc_id", "n_words", "n_removed", "kept_sha256", "text", "carried")
@@ -204,12 +206,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = (
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller doc_id. What
     is kept of a text that loses words is joined by single spaces; other texts stay as they are, null too, while the
     hash is always that of the words joined by single spaces. Texts shorter than the window lose nothing. Rows that
-    repeat a doc_id don't make each other's windows repeated; a null doc_id neither loses words nor takes them from
-    others.
+    repeat a doc_id don't make each other's windows repeated, and each loses words by its own text; a null doc_id
+    neither loses words nor takes them from others.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.struct(*[F.col(c) for c in carry]).alias("carried") if carry else F.lit(0).alias("carried"))
-    covered = stored(covered_windows(rows.select("doc_id", "text"), window), "covered")
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("row_key"))
+    covered = stored(covered_windows(keyed, window), "covered")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,9 +239,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = (
     schema = rows.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add(
         "kept_sha256", "string").add("text", "string").add("carried", rows.schema["carried"].dataType)
     touched = Bitmap(covered.select("doc_id"))
-    ids = covered.select(F.col("doc_id").alias("covered_id"), "starts")
+    ids = covered.select(F.col("doc_id").alias("covered_id"), "row_key", "starts")
     none = F.lit(None).cast("array<int>").alias("starts")
-    some = touched.rows(rows, "doc_id").join(ids, F.col("doc_id") == F.col("covered_id"), "left").select(
+    same = (F.col("doc_id") == F.col("covered_id")) & (F.xxhash64("text") == F.col("row_key"))
+    some = touched.rows(rows, "doc_id").join(ids, same, "left").select(
         "doc_id", "text", "starts", "carried")
     others = touched.rows(rows, "doc_id", inside=False).select("doc_id", "text", none, "carried")
     both = others.mapInArrow(cut, schema).unionByName(some.mapInArrow(cut, schema))
