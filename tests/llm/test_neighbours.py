@@ -1,6 +1,9 @@
 import random
+from functools import reduce
+from operator import add, mul
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from trustframe.llm import neighbours
@@ -64,3 +67,15 @@ def test_few_or_no_vectors(spark):
     assert neighbours.nearest(spark.createDataFrame([], SCHEMA), ask).count() == 0
     two = spark.createDataFrame([(20, [1.0, 0.0], 1), (21, [0.5, 0.5], 1)], SCHEMA)
     assert [tuple(r) for r in neighbours.nearest(two, ask).collect()] == [(20, 1, 21, 0.5)]
+
+
+@pytest.mark.parametrize("scale", [1e-6, 1e-20, 1e6])
+def test_small_and_large_vectors(spark, scale):
+    draw = np.random.default_rng(3)
+    rows = [(k, [float(x) * scale for x in draw.normal(size=6)], 1) for k in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = found(neighbours.nearest(df, F.col("vec_id") % 20 == 0, depth=3, probes=1000))
+    for query, own in got.items():
+        q = rows[query][1]
+        ranked = sorted((-reduce(add, map(mul, q, v), 0.0), k) for k, v, _ in rows if k != query)[:20]
+        assert own == [(k, -s) for s, k in ranked]

@@ -164,14 +164,17 @@ def _candidates(inside: DataFrame, asked: DataFrame, width: int, most: int) -> D
             vectors = _matrix(near["v"].combine_chunks(), width)
             keys, lows = near["key"].to_numpy(), near["low"].to_numpy()
             asking = queries["key"].to_numpy()
-            wanted = _matrix(queries["v"].combine_chunks(), width)
+            wanted, across = _matrix(queries["v"].combine_chunks(), width), np.ascontiguousarray(vectors.T)
             for begin in range(0, len(wanted), 256):
-                scores = wanted[begin:begin + 256] @ vectors.T
+                # components are added in their order, so these are the doubles that the exact ranking finds
+                scores = np.zeros((len(wanted[begin:begin + 256]), len(vectors)))
+                for k in range(width):
+                    scores += wanted[begin:begin + 256, k, None] * across[k]
                 for row, line in enumerate(scores, begin):
                     best = np.arange(len(line))
                     if len(line) > most:
-                        best = np.flatnonzero(line >= np.partition(line, -most)[-most] - 1e-9)
-                        best = best[np.lexsort((lows[best], -np.round(line[best], 9)))[:most]]
+                        best = np.flatnonzero(line >= np.partition(line, -most)[-most])
+                        best = best[np.lexsort((lows[best], -line[best]))[:most]]
                     for column, values in zip(out, (np.full(len(best), asking[row]), keys[best], lows[best], line[best]),
                                               strict=True):
                         column.append(values)
@@ -192,8 +195,8 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20, trees: int = 8, depth
     defaults find over nine tenths of the true neighbours even of vectors without any structure; vectors that form
     clusters need fewer probes. Equal vectors are one in the index, so a group of copies costs one comparison; of its
     members only the k + 1 smallest ids can be among the nearest. Ties go to the smaller vec_id. A query with fewer
-    candidates than ``k`` gets those it finds. Rows that repeat a vec_id and its vector count once. ``asks`` may use
-    vec_id only.
+    candidates than ``k`` gets those it finds. Rows that repeat a vec_id and its vector count once. Vectors of
+    another length than the most usual one take no part. ``asks`` may use vec_id only.
     """
     rows = stored(valid_vectors(vectors).dropDuplicates(["vec_id", "key"]), "vectors")
     classes = stored(rows.groupBy("key").agg(F.min("vec_id").alias("low"), F.max(asks).alias("asks")).join(
@@ -209,8 +212,8 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20, trees: int = 8, depth
     inside = _dealt(classes, forest, width, None)
     asked = _dealt(classes.where("asks"), forest, width, probes)
     found = _candidates(inside, asked, width, k + 1).groupBy("asking", "key", "low").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("asking").orderBy(F.desc(F.round("score", 9)), "low")
-    top = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 8).select("asking", "key")
+    order = Window.partitionBy("asking").orderBy(F.desc("score"), "low")
+    top = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).select("asking", "key")
     own = classes.select("key", "v")
     exact = F.aggregate(F.zip_with("asking_v", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     scored = top.join(own.toDF("asking", "asking_v"), "asking").join(own, "key").select("asking", "key",
