@@ -16,7 +16,10 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted to be toxic; labels come from the table beside the documents."""
+    """Documents that aren't predicted to be toxic; labels come from the table beside the documents.
+
+    Null and empty texts are scored like any other, repeated rows and rows without a doc_id each on their own.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score(docs, labels, carry=COLUMNS[1:])
     return scored.where("predicted = 0").select(*COLUMNS)
@@ -25,15 +28,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies, once if its row is repeated.
 
-    Rows without a doc_id stay.
+    Rows of one doc_id belong to one group; those with different texts or columns are different documents and stay or
+    go together. Rows without a doc_id stay, empty texts too, and an empty table gives an empty one.
     """
     rows = _documents(docs)
     gone = stored(near_copies.near_copies(docs).where("NOT kept").select("doc_id").distinct(), "gone")
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     marks = Bitmap(gone.unionByName(repeated).select(F.col("doc_id").cast("long")))
     seen = marks.rows(rows, "doc_id").join(gone, "doc_id", "left_anti")
-    once = seen.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    return marks.rows(rows, "doc_id", inside=False).unionByName(once)
+    return marks.rows(rows, "doc_id", inside=False).unionByName(seen.dropDuplicates())
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +50,19 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the proportions of the target weights, some of them twice."""
+    """The documents in the proportions of the target weights, some of them twice.
+
+    A null source is a source of its own; documents without words are kept once; repeated rows are
+    drawn each on their own; an empty table gives an empty one.
+    """
     return mixing.mixed_documents(_documents(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 1024 tokens."""
+    """Pieces of the documents and their places in sequences of 1024 tokens.
+
+    A null or empty text is a piece of its end token; repeated rows are packed each on their own.
+    """
     return packing.pack(docs)
 
 
