@@ -11,13 +11,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import SPACED, Bitmap, as_bytes, shingles, stored, text_slices, word_hashes
+from trustframe.llm.common import SPACED, Bitmap, as_bytes, mix, shingles, stored, text_slices, word_hashes
 from trustframe.llm.components import components
 
 #: Minwise tokens per text, and the odd factors that draw them.
 TOKENS = 64
 FACTORS = np.random.default_rng(64).integers(1, 1 << 62, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SIGNED = "doc_id long, node long, n_shingles long, tokens array<int>"
+#: Bins of a sketch; each holds one byte of the least shingle in its range of hashes, or 0 without any.
+BINS = 512
+STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+SIGNED = "doc_id long, node long, n_shingles long, tokens array<int>, sketch binary"
 
 
 def _sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -29,8 +32,16 @@ def _sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.nda
             yield k, own, np.unique(shingles(own, min(width, len(own)))) if len(own) else own
 
 
+def _sketch(own: np.ndarray) -> bytes:
+    """One byte per bin for a sorted set of hashes."""
+    at = np.searchsorted(own, STARTS)
+    first = own[np.minimum(at, len(own) - 1)]
+    filled = np.append(at[1:], len(own)) > at
+    return np.where(filled, 1 + mix(first) % np.uint64(255), 0).astype(np.uint8).tobytes()
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, node, n_shingles and TOKENS minwise tokens; node is the hash of the word sequence.
+    """doc_id, node, n_shingles, TOKENS minwise tokens and a sketch; node is the hash of the word sequence.
 
     Texts of one node have the same words in the same order, so the same set. Without words, node and tokens are null.
     """
@@ -39,9 +50,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             texts = batch["text"]
             nodes, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             tokens = np.zeros((len(texts), TOKENS), np.int32)
+            sketches: list[bytes | None] = [None] * len(texts)
             for k, words, own in _sets(texts, width):
                 sizes[k] = len(own)
                 if len(own):
+                    sketches[k] = _sketch(own)
                     nodes[k] = _node(words)
                     for at in range(0, len(own), 1 << 14):
                         part = (own[at:at + (1 << 14), None] * FACTORS).min(0) >> np.uint64(32)
@@ -49,8 +62,9 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                         tokens[k] = (part if at == 0 else np.minimum(part, tokens[k].view(np.uint32))).view(np.int32)
             none = sizes == 0
             flat = pa.FixedSizeListArray.from_arrays(pa.array(tokens.ravel()), TOKENS).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(nodes, mask=none), pa.array(sizes), flat],
-                                             names=["doc_id", "node", "n_shingles", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(nodes, mask=none), pa.array(sizes), flat,
+                                              pa.array(sketches, pa.binary())],
+                                             names=["doc_id", "node", "n_shingles", "tokens", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, SIGNED)
 
@@ -146,25 +160,21 @@ def _spanning(x: np.ndarray, y: np.ndarray, agree: np.ndarray, root: np.ndarray)
 def _likely(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of texts of one node and different components that may be similar enough: key, a, b, n_a, n_b.
 
-    ``members`` has key, node, root, n_shingles, tokens and ``every``; the rows of a node are few, or few pairs of
-    components. Pairs are judged by set sizes and by how many minwise tokens agree, five standard deviations below the
-    wanted similarity, which passes all but one in three million links. Where ``every`` isn't set, only as many pairs
-    come out as can join the node's components.
+    ``members`` has key, node, root, n_shingles, sketch and ``every``; the rows of a node are few, or few pairs of
+    components. Pairs are judged by set sizes and sketches, see ``_alike``. Where ``every`` isn't set, only as many
+    pairs come out as can join the node's components.
     """
-    wanted = percent / 100
-    least = int(TOKENS * wanted - 5 * (TOKENS * wanted * (1 - wanted)) ** 0.5)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
             if not len(table):
                 continue
             key, node, root, size = (table[c].to_numpy() for c in ("key", "node", "root", "n_shingles"))
             every = table["every"].to_numpy(zero_copy_only=False)
-            tokens = table["tokens"].combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
+            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
             first = np.flatnonzero(np.diff(key, prepend=key[0] ^ 1))
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for begin, end in zip(first, [*first[1:], len(table)], strict=True):
-                x, y, agree = _alike(root[begin:end], size[begin:end], tokens[begin:end], percent, least)
+                x, y, agree = _alike(root[begin:end], size[begin:end], sketch[begin:end], percent)
                 if len(x) and not every[begin]:
                     kept = _spanning(x, y, agree, root[begin:end])
                     x, y = x[kept], y[kept]
@@ -179,25 +189,35 @@ def _likely(members: DataFrame, percent: int) -> DataFrame:
         compare, "key long, a long, b long, n_a long, n_b long")
 
 
-def _alike(root: np.ndarray, size: np.ndarray, tokens: np.ndarray, percent: int, least: int) -> tuple[np.ndarray, ...]:
-    """Pairs of rows of different components that may be similar enough, and how many tokens agree.
+def _alike(root: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Pairs of rows of different components that may be similar enough, and the share of bins that agree.
 
-    Every such pair has a row outside of the largest component, so only those are gone through.
+    The least shingle of a bin that either text fills is a draw, without returning any, from their united shingles,
+    and the bytes agree if both texts have it. A pair passes unless it is five standard deviations of such draws
+    below the wanted similarity; the spread is never taken as less than a third of that of draws with returning,
+    and two bins are granted besides. All but one in three million links pass.
+    Every pair has a row outside of the largest component, so only those are gone through.
     """
-    none = np.zeros(0, np.int64)
-    left, right, agreeing = [none], [none], [none]
+    none, wanted = np.zeros(0, np.int64), percent / 100
+    left, right, agreeing = [none], [none], [np.zeros(0)]
     roots, which, counts = np.unique(root, return_inverse=True, return_counts=True)
     if len(roots) > 1:
         outside = which != counts.argmax()
         for at in np.flatnonzero(outside):
             fits = (root != root[at]) & (100 * np.minimum(size, size[at]) >= percent * np.maximum(size, size[at]))
             fits[:at] &= ~outside[:at]  # seen from the other row
-            other = np.flatnonzero(fits)
-            agree = (tokens[other] == tokens[at]).sum(1)
-            other, agree = other[agree >= least], agree[agree >= least]
-            left.append(np.full(len(other), at))
-            right.append(other)
-            agreeing.append(agree)
+            every = np.flatnonzero(fits)
+            for begin in range(0, len(every), 1 << 13):
+                other = every[begin:begin + (1 << 13)]
+                near = sketch[other]
+                filled = ((near | sketch[at]) != 0).sum(1)
+                agree = ((near == sketch[at]) & (near != 0)).sum(1)
+                united = (size[other] + size[at]) / (1 + wanted)
+                spread = filled * wanted * (1 - wanted) * np.maximum(1 - filled / united, 1 / 9)
+                passed = agree >= filled * wanted - 5 * np.sqrt(spread) - 2
+                left.append(np.full(passed.sum(), at))
+                right.append(other[passed])
+                agreeing.append(agree[passed] / filled[passed])
     return np.concatenate(left), np.concatenate(right), np.concatenate(agreeing)
 
 
@@ -237,7 +257,7 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int, roots: i
     such pairs; others are branched further. After ``depth`` levels what is left is compared in blocks of texts.
     Every proposal is confirmed on the whole sets.
     """
-    side = signed.select("node", "n_shingles", "tokens")
+    side = signed.select("node", "n_shingles", "sketch")
     joined = None
     for places in (range(min(2, roots)), range(min(2, roots), roots)):
         if not len(places):
@@ -306,7 +326,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 75, missed: floa
     ids = each.where("node IS NOT NULL AND doc_id IS NOT NULL")
     counts = ids.groupBy("node", "doc_id").agg(F.count("*").alias("copies"))
     texts = counts.groupBy("node").agg(F.min(F.struct("doc_id", "copies")).alias("least")).select("node", "least.*")
-    one = ids.select("node", "doc_id", "n_shingles", "tokens").join(texts, ["node", "doc_id"]).withColumn(
+    one = ids.select("node", "doc_id", "n_shingles", "tokens", "sketch").join(texts, ["node", "doc_id"]).withColumn(
         "repeated", F.col("copies") > 1).drop("copies")
     single = one.where("NOT repeated").unionByName(one.where("repeated").dropDuplicates(["node"]))
     signed = stored(single, "signed")
