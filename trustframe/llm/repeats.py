@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = (
     covered = stored(covered_windows(keyed, window), "covered")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(x, y - x) for b in batches for x, y in text_slices(b["text"], 1 << 20)):
             out: list[list] = [[], [], [], []]
             for text, starts in zip(batch["text"].cast(pa.binary()), batch["starts"], strict=True):
                 text = text.as_py()
