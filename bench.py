@@ -24,7 +24,8 @@ HEADLINE = [
     "snapshot_diff", "fact_versions", "rule_upsert", "fact_ingest", "rate_limit_window", "budget_cutoff",
     "ledger_append", "ledger_verify", "ledger_stats", "trace_summary", "fact_extraction", "concept_extraction",
     "chunk_pack", "hash_embedding", "annotator_agreement", "conformal_quantile", "calibration_ece",
-    "stream_rate_limit", "stream_trace_window",
+    "stream_rate_limit", "stream_trace_window", "hypothesis_parse", "tenant_policy_scan", "rag_text_search",
+    "numeric_conflicts", "ledger_seal",
 ]
 
 
