@@ -13,12 +13,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two steps on the links (u, v): each node's larger neighbours, then its smaller ones and itself, are
     tied to the smallest node among them. Every round shortens paths, so the number of rounds grows with the
-    logarithm of the longest path, and it ends only when nothing changes. Each step is an aggregation with partial
-    sums and a join; no neighbourhood is gathered in one place. Null ids are no nodes.
+    logarithm of the longest path. It ends when every node is tied to one node that is tied to no other, which
+    another round would not change. Each step is an aggregation with partial sums and a join; no neighbourhood is
+    gathered in one place. Null ids are no nodes.
     """
     pairs = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
     edges = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
     while True:
         # large step: what is larger than u goes to the smallest node near u
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,9 +30,10 @@ def components(links: DataFrame) -> DataFrame:
         small = edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
                                               .alias("u"), F.col("m").alias("v"))
         edges = stored(small.where("u <> v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("tied"), F.lit(0).alias("root")).unionByName(
+            edges.select(F.col("v").alias("node"), F.lit(0).alias("tied"), F.lit(1).alias("root")))
+        seen = ends.groupBy("node").agg(F.sum("tied").alias("tied"), F.max("root").alias("root"))
+        if not seen.agg(F.count_if((F.col("tied") > 1) | ((F.col("tied") > 0) & (F.col("root") > 0)))).first()[0]:
             break
-        before = now
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -224,6 +224,8 @@ def _alike(root: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int)
 def _confirmed(likely: DataFrame, signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose whole sets are similar enough."""
     pairs = stored(likely.select("a", "b", "n_a", "n_b").distinct(), "likely-pairs")
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = _full_sets(docs, nodes.join(signed.select("node", "doc_id", "repeated"), "node"), width)
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
@@ -247,7 +249,7 @@ def _in_blocks(members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
 
 
 def links(docs: DataFrame, signed: DataFrame, width: int, percent: int, roots: int, leaf: int, cross: int,
-          depth: int, block: int) -> DataFrame | None:
+          depth: int, block: int) -> DataFrame:
     """node, root of the texts in ``signed`` that are linked with others: the components of all links.
 
     Each text starts at ``roots`` roots, by the tokens at as many places; those of the first tree go first, and what
@@ -270,6 +272,8 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int, roots: i
                 F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(
                     F.struct(F.xxhash64("key", "node").alias("order"), "node", "root")).alias("pivot")).where("low <> high")
             inside = stored(rooted.join(sizes, "key").drop("low", "high"), "sized-members")
+            if inside.isEmpty():  # every node lies in one component
+                break
             small, large = inside.where(F.col("size") <= leaf), inside.where(F.col("size") > leaf)
             # a star is dealt by its pairs, each a node of its own, so a hot pivot is spread
             ends = F.array(F.struct("node", "root"), F.struct(F.col("pivot.node"), F.col("pivot.root")))
@@ -285,6 +289,8 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int, roots: i
                 F.sum("count").alias("size"), F.sum(F.col("count") * F.col("count")).alias("same"))
             counts = stored(counts.withColumn("pairs", (F.col("size") * F.col("size") - F.col("same")) / 2)
                             .where("pairs > 0"), "counts")
+            if counts.isEmpty():
+                break
             fit = F.col("pairs") <= cross
             again = counts.where((F.col("size") <= leaf)).join(refused, "key", "left_semi").unionByName(
                 counts.where((F.col("size") > leaf) & fit))
@@ -299,7 +305,7 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int, roots: i
             if level == depth or wide.isEmpty():
                 break
             members = stored(_children(open_.select("key", "node"), signed, level).distinct(), "children")
-    return joined
+    return joined if joined is not None else components(signed.select(F.col("node").alias("a"), F.col("node").alias("b")))
 
 
 def _joined_by(joined: DataFrame | None, now: DataFrame) -> DataFrame:
