@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustframe.functions import text
+from trustframe.functions import alignment, text
 from trustframe.functions.session import cut_lineage
 
 SUPPORT_AT = 75.0
@@ -109,6 +109,25 @@ def evidence(claims: DataFrame) -> DataFrame:
             .drop("claim_words", "claim_runs", "scored", "best", "prepared"))
 
 
+def aligned_evidence(answers: DataFrame, contexts: DataFrame, keys: list[str]) -> DataFrame:
+    """Best partial alignment of each claim: keys, pos, claim, evidence_doc, edits, score, start and end.
+
+    ``answers`` has the keys and ``claims`` (array), ``contexts`` the keys, ``doc_id`` and ``text``. Unlike the word
+    runs of ``evidence``, an alignment bears misspelt and inserted words. Case doesn't count; places are those in the
+    lower-cased text. The score is 100 less the share of the claim's characters that must be edited. Of several
+    contexts the one with the fewest edits counts, of equal ones the smallest doc_id. A claim without any context has
+    score 0 and no place. A context meets all claims of its answer as one row.
+    """
+    lowered = answers.select(*keys, F.transform("claims", F.lower).alias("claims"))
+    pairs = lowered.join(contexts.select(*keys, "doc_id", F.lower("text").alias("text")), keys, "left")
+    met = F.when(F.col("edits").isNotNull(), F.struct("edits", "doc_id", "start", "end"))
+    best = alignment.align(pairs).groupBy(*keys, "pos").agg(F.first("claim").alias("claim"), F.min(met).alias("best"))
+    share = 100.0 * (1 - F.col("best.edits") / F.greatest(F.length("claim"), F.lit(1)))
+    return best.select(*keys, "pos", "claim", F.col("best.doc_id").alias("evidence_doc"), F.col("best.edits").alias("edits"),
+                       F.coalesce(share, F.lit(0.0)).alias("score"), F.col("best.start").alias("start"),
+                       F.col("best.end").alias("end"))
+
+
 # ---------------------------------------------------------------------------- numbers across texts
 
 def conflicting_numbers(texts: DataFrame, key: str, column: str, scope: list[str]) -> DataFrame:

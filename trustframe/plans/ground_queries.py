@@ -144,6 +144,35 @@ def evidence_match(spark: SparkSession, sf: str) -> DataFrame:
         "evidence_start", "evidence_end")
 
 
+#: The table of distances row by row: v is edits * 1000000 - start, so that the least v has the fewest edits and, of
+#: these, the latest start; a running minimum brings in the insertions.
+ALIGNMENT_SQL = f"""
+WITH RECURSIVE {CLAIMS_SQL}
+pairs AS (SELECT row_number() OVER () AS id, c.conv_id, c.turn, c.pos, lower(c.claim) AS claim, t.turn AS doc_id, lower(t.text) AS body
+  FROM claims c JOIN conversations t ON t.conv_id = c.conv_id AND t.turn = c.turn - 1),
+cells AS (SELECT id, claim, 0 AS j, '' AS ch FROM pairs UNION ALL
+  SELECT id, claim, generate_subscripts(string_split(body, ''), 1), unnest(string_split(body, '')) FROM pairs WHERE len(body) > 0),
+grid AS (SELECT id, claim, 0 AS i, j, ch, CAST(-j AS BIGINT) AS v FROM cells
+  UNION ALL
+  SELECT id, claim, i + 1, j, ch, min(t - j * 1000000) OVER (PARTITION BY id ORDER BY j) + j * 1000000 FROM (
+    SELECT *, least(v + 1000000, lag(v) OVER (PARTITION BY id ORDER BY j) + CASE WHEN ch = claim[i + 1] THEN 0 ELSE 1000000 END) AS t
+    FROM grid WHERE i < len(claim))),
+ends AS (SELECT id, j, v, (v + 999999) // 1000000 AS edits FROM grid WHERE i = len(claim)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY (v + 999999) // 1000000, j) = 1)
+SELECT conv_id, turn, pos, doc_id AS evidence_doc, CAST(edits AS INTEGER) AS edits, round(100.0::DOUBLE * (1 - edits / len(claim)), 6) AS score,
+  CAST(edits * 1000000 - v AS INTEGER) AS "start", CAST(j AS INTEGER) AS "end" FROM pairs JOIN ends USING (id)"""
+
+
+@query("evidence_alignment", ALIGNMENT_SQL)
+def evidence_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Every claim of every assistant turn against the turn before it, by edits."""
+    turns = read_texts(spark, sf, "conversations")
+    answers = turns.where("role = 'assistant'").select(*KEYS, text.claims(F.col("text")).alias("claims"))
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("doc_id"), "text")
+    found = ground.aligned_evidence(answers, before, KEYS).where("evidence_doc IS NOT NULL")
+    return found.select(*KEYS, "pos", "evidence_doc", "edits", F.round("score", 6).alias("score"), "start", "end")
+
+
 NUMBERS_SQL = f"""
 WITH d AS (SELECT doc_id, text, {S.numbers('text')} AS ns FROM documents),
 pairs AS (SELECT a.doc_id, b.doc_id AS next_id, a.ns AS an, b.ns AS bn FROM d a JOIN d b ON b.doc_id = a.doc_id + 1)
