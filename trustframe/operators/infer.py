@@ -167,3 +167,144 @@ def explain(targets: DataFrame, derivations: DataFrame) -> DataFrame:
     if not levels:
         return front.join(heads, "fact").withColumn("level", F.lit(0)).limit(0)
     return reduce(DataFrame.unionByName, levels)
+
+
+# ---------------------------------------------------------------------------- goals first
+
+def _ordered(rule: Rule, mask: str) -> list[Triple]:
+    """The body in an order in which each premise shares a variable with the bound head or an earlier premise."""
+    known = {t for t, m in zip(rule.head, mask) if m == "b" and t.startswith("?")}
+    left, out = list(rule.body), []
+    while left:
+        fit = [p for p in left if known & set(p) or _ground(p)] or (left if not known else [])
+        if not fit:
+            raise ValueError(f"rule {rule.name}: a premise shares no variable with the head or other premises")
+        out.append(fit[0])
+        left.remove(fit[0])
+        known |= {t for t in fit[0] if t.startswith("?")}
+    return out
+
+
+def _uses(rules: list[Rule]) -> tuple[list[tuple[Rule, str]], list[str]]:
+    """Rules with the bound terms (b) of the triples they are asked for, starting from whole triples; and all masks."""
+    found: list[tuple[str, str | None]] = [("bbb", None)]
+    uses: list[tuple[Rule, str]] = []
+    for mask, relation in found:  # grows while it is gone through
+        for rule in rules:
+            if relation is not None and not rule.head[1].startswith("?") and rule.head[1] != relation:
+                continue
+            if any(u is rule and m == mask for u, m in uses):
+                continue
+            uses.append((rule, mask))
+            known = {t for t, m in zip(rule.head, mask) if m == "b"}
+            for pattern in _ordered(rule, mask):
+                asked = ("".join("b" if t in known or not t.startswith("?") else "f" for t in pattern),
+                         None if pattern[1].startswith("?") else pattern[1])
+                if asked not in found:
+                    found.append(asked)
+                known |= set(pattern)
+    return uses, sorted({m for m, _ in found})
+
+
+def _asked(demands: DataFrame, mask: str) -> DataFrame:
+    """Demands that bind just the terms of ``mask``."""
+    fits = [F.col(c).isNotNull() if m == "b" else F.col(c).isNull() for c, m in zip(TRIPLE, mask)]
+    return demands.filter(reduce(lambda a, c: a & c, fits))
+
+
+def _answer(rule: Rule, mask: str, demands: DataFrame, facts: DataFrame) -> list[DataFrame]:
+    """What a rule asks of its premises for the demands of ``mask``, and the triples it then derives."""
+    bound: dict[str, str] = {}
+    asked = _asked(demands, mask)
+    for column, term, m in zip(TRIPLE, rule.head, mask):
+        if m == "b" and not term.startswith("?"):
+            asked = asked.filter(F.col(column) == term)
+        elif m == "b" and term in bound:
+            asked = asked.filter(F.col(column) == F.col(bound[term]))
+        elif m == "b":
+            bound[term] = column
+    joined = asked.select(F.lit(rule.name).alias("rule"), *[F.col(c).alias(v) for v, c in bound.items()]).distinct()
+
+    def row(kind: str, terms: Triple) -> DataFrame:
+        parts = [F.lit(t) if not t.startswith("?") else F.col(f"`{t}`") if t in joined.columns else F.lit(None)
+                 for t in terms]
+        return joined.select(F.lit(kind).alias("kind"), *[p.cast("string").alias(c) for p, c in zip(parts, TRIPLE)])
+
+    out = []
+    for pattern in _ordered(rule, mask):
+        out.append(row("demand", pattern))
+        side = _premise(facts, pattern, 0).withColumn("_met", F.lit(1)).drop("s0", "n0", "p0").distinct().drop("_met")
+        shared = [c for c in side.columns if c in joined.columns]
+        if shared:
+            joined = joined.join(side, shared)
+        elif _ground(pattern):
+            joined = joined.join(side.limit(1), F.lit(True), "left_semi")
+        else:  # nothing is bound yet, so any demand asks for all
+            joined = side.join(joined.limit(1), F.lit(True), "left_semi").withColumn("rule", F.lit(rule.name))
+    return [*out, row("fact", rule.head)]
+
+
+def _ground(pattern: Triple) -> bool:
+    """Whether a pattern has no variables."""
+    return not any(t.startswith("?") for t in pattern)
+
+
+def relevant(goals: DataFrame, facts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of ``facts`` that any derivation of a goal may rest on.
+
+    Goals are asked for first; a rule whose head fits what is asked asks for its premises in order, with the terms
+    that the head and the earlier premises bind. Rounds end when nothing new is asked or found. Facts that nobody asks
+    for meet no rule. Goals with a null term ask for nothing.
+    """
+    uses, masks = _uses(rules)
+    base = facts.select(*TRIPLE, "state", F.lit(1).alias("steps"))
+    whole = goals.select(*TRIPLE).dropna().select(F.lit("demand").alias("kind"), *TRIPLE, F.lit(0).alias("round"))
+    known = cut_lineage(whole.distinct())
+    for number in itertools.count(1):
+        demands = known.filter("kind = 'demand'")
+        derived = known.filter("kind = 'fact'").select(
+            *TRIPLE, F.lit(None).cast(facts.schema["state"].dataType).alias("state"), F.lit(1).alias("steps"))
+        every = base.unionByName(derived)
+        parts = [part for rule, mask in uses for part in _answer(rule, mask, demands, every)]
+        found = reduce(DataFrame.unionByName, parts).withColumn("round", F.lit(number))
+        known = cut_lineage(known.unionByName(found).groupBy("kind", *TRIPLE).agg(F.min("round").alias("round")))
+        if known.filter(F.col("round") == number).isEmpty():
+            break
+    demands = known.filter("kind = 'demand'")
+    kept = []
+    for mask in masks:
+        names = [c for c, m in zip(TRIPLE, mask) if m == "b"]
+        asked = _asked(demands, mask)
+        kept.append(facts.join(asked.select(*names), names, "left_semi") if names else
+                    facts.join(asked.limit(1), F.lit(True), "left_semi"))
+    return reduce(DataFrame.unionByName, [k.select(*facts.columns) for k in kept]).distinct()
+
+
+def prove_goals(goals: DataFrame, facts: DataFrame, rules: list[Rule], least: float = 0.1,
+                constraints: list[Constraint] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(verdicts as of ``prove``, proofs), computed from the facts that the goals need alone.
+
+    A proof is a tree of rows: the goal's triple, ``level`` below it, ``fact``, and the ``rule`` and ``premises`` that
+    give the fact; both are null for given facts. Of several derivations of a fact the one of the earliest round counts,
+    then of the fewest base facts, then the least rule and premises. A given fact needs no derivation. States and steps
+    are those of ``forward_chain`` over all facts, since every premise of what is asked for is asked for too.
+    """
+    needed = cut_lineage(relevant(goals, facts, rules))
+    closure, derivations = forward_chain(needed, rules, least, constraints)
+    best_state = closure.groupBy(*TRIPLE).agg(F.max_by(F.struct("state", "steps"), F.struct("state")).alias("best"))
+    verdicts = cut_lineage(prove(goals, best_state.select(*TRIPLE, "best.state", "best.steps")))
+    chosen = derivations.join(needed.select(*TRIPLE).distinct(), TRIPLE, "left_anti").groupBy(
+        F.struct(*TRIPLE).alias("fact")).agg(F.min(F.struct("round", "steps", "rule", "premises")).alias("best"))
+    chosen = cut_lineage(chosen.select("fact", "best.rule", "best.premises"))
+    front = verdicts.filter("verdict = 'proved'").select(
+        F.struct(*TRIPLE).alias("goal"), F.struct(*TRIPLE).alias("fact")).distinct()
+    seen, levels = front, []
+    for level in itertools.count():
+        rows = cut_lineage(front.join(chosen, "fact", "left").withColumn("level", F.lit(level)))
+        levels.append(rows)
+        below = rows.select("goal", F.explode("premises").alias("fact")).distinct()
+        front = cut_lineage(below.join(seen, ["goal", "fact"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return verdicts, reduce(DataFrame.unionByName, levels).select("goal.*", "level", "fact", "rule", "premises")

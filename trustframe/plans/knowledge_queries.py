@@ -546,6 +546,37 @@ def goal_proofs(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts(spark, sf).select("subject", "object", "verdict", "proof_steps", F.round("score", 9).alias("score"))
 
 
+@query("goal_proof_facts", """
+WITH c AS (SELECT 'c' || c_custkey AS s, 'n' || c_nationkey AS n, 'r' || n_regionkey AS r, 'r' || (c_custkey % 5) AS wanted, c_custkey % 3 = 0 AS world
+  FROM customer JOIN nation ON n_nationkey = c_nationkey),
+g AS (SELECT * FROM c WHERE r = wanted), w AS (SELECT * FROM c WHERE world),
+rows AS (
+  SELECT s, 'governed_by' AS goal, 0 AS level, s AS subject, 'governed_by' AS relation, r AS object, 'governed' AS rule, 2 AS premises FROM g
+  UNION ALL SELECT s, 'governed_by', 1, s, 'located_in', r, 'transitivity_located_in', 2 FROM g
+  UNION ALL SELECT s, 'governed_by', 1, r, 'located_in', 'world', NULL, NULL FROM g
+  UNION ALL SELECT s, 'governed_by', 2, s, 'located_in', n, NULL, NULL FROM g
+  UNION ALL SELECT s, 'governed_by', 2, n, 'located_in', r, NULL, NULL FROM g
+  UNION ALL SELECT s, 'located_in', 0, s, 'located_in', 'world', 'transitivity_located_in', 2 FROM w
+  UNION ALL SELECT s, 'located_in', 1, s, 'located_in', n, NULL, NULL FROM w
+  UNION ALL SELECT s, 'located_in', 1, n, 'located_in', 'world', 'transitivity_located_in', 2 FROM w
+  UNION ALL SELECT s, 'located_in', 2, n, 'located_in', r, NULL, NULL FROM w
+  UNION ALL SELECT s, 'located_in', 2, r, 'located_in', 'world', NULL, NULL FROM w)
+SELECT s AS goal_subject, goal AS goal_relation, level, subject, relation, object, rule, premises FROM rows""")
+def goal_proof_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Proofs of what governs each customer and, for every third, that it is in the world; two rules, three levels."""
+    key = F.col("c_custkey")
+    customers = read_table(spark, sf, "customer")
+    subject = F.concat(F.lit("c"), key).alias("subject")
+    goals = customers.select(subject, F.lit("governed_by").alias("relation"), F.concat(F.lit("r"), key % 5).alias("object"))
+    goals = goals.unionByName(customers.where(key % 3 == 0).select(
+        subject, F.lit("located_in").alias("relation"), F.lit("world").alias("object")))
+    rules = [infer.transitivity("located_in", 0.9), infer.Rule(
+        "governed", ("?x", "governed_by", "?z"), [("?x", "located_in", "?z"), ("?z", "located_in", "world")], 0.9)]
+    _, proofs = infer.prove_goals(goals, place_states(spark, sf), rules)
+    return proofs.select(F.col("subject").alias("goal_subject"), F.col("relation").alias("goal_relation"), "level",
+                         "fact.*", "rule", F.when(F.col("rule").isNotNull(), F.size("premises")).alias("premises"))
+
+
 @query("hypothesis_verdicts", GOALS_SQL + """
 SELECT verdict, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN verdict = 'proved' THEN 1.0 / (1 + steps) ELSE 0 END), 9) AS score FROM verdicts GROUP BY 1""")
 def hypothesis_verdicts(spark: SparkSession, sf: str) -> DataFrame:
