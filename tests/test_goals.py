@@ -57,3 +57,16 @@ def test_no_goals(spark):
     goals = spark.createDataFrame([], "subject string, relation string, object string")
     verdicts, proofs = infer.prove_goals(goals, given, RULES[:1])
     assert verdicts.count() == 0 and proofs.count() == 0
+
+
+def test_premises_without_bound_terms(spark):
+    given = facts_of(spark, [("gate", "is", "open", 0.9), ("a", "in", "club", 0.9), ("b", "in", "club", 0.9), ("b", "likes", "club", 0.9),
+                             ("c", "owns", "d", 0.9)])
+    goals = spark.createDataFrame([("a", "member", "club")], "subject string, relation string, object string")
+    whole = infer.Rule("member", ("?x", "member", "club"), [("gate", "is", "open"), ("?x", "in", "club")])
+    kept = {tuple(r)[:3] for r in infer.relevant(goals, given, [whole]).collect()}
+    assert kept == {("gate", "is", "open"), ("a", "in", "club")}
+    busy = infer.Rule("busy", ("club", "is", "busy"), [("?x", "in", "?y"), ("?x", "likes", "?y")])
+    goals = spark.createDataFrame([("club", "is", "busy")], "subject string, relation string, object string")
+    kept = {tuple(r)[:3] for r in infer.relevant(goals, given, [busy]).collect()}
+    assert kept == {("a", "in", "club"), ("b", "in", "club"), ("b", "likes", "club")}
