@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 
 from trustframe.llm import common
 from trustframe.llm.automaton import SuffixAutomaton
-from trustframe.llm.components import components
+from trustframe.llm.components import _least, components
 
 
 def test_word_hashes_follow_the_words():
@@ -49,11 +50,27 @@ def test_automaton_knows_all_runs():
     assert not any(known(run) for run in {r + (x,) for r in runs for x in range(4)} - runs)
 
 
-def test_components_of_chains_stars_and_nothing(spark):
-    edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(8, 30)] + [(3, 3), (200, 7)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {k: 100 for k in range(100, 161)} | {k: 7 for k in [*range(7, 30), 200]}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+@pytest.mark.parametrize("held", [2, 25, 1 << 18])
+def test_components_of_chains_stars_and_nothing(spark, held):
+    edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(8, 30)] + [(3, 3), (200, 7), (None, 4), (-5, 400)]
+    random.Random(held).shuffle(edges)
+    rows = components(spark.createDataFrame(edges + edges[:20], "a long, b long"), held).collect()
+    got = {r["node"]: r["root"] for r in rows}
+    assert got == {k: 100 for k in range(100, 161)} | {k: 7 for k in [*range(7, 30), 200]} | {-5: -5, 400: -5}
+    assert len(rows) == len(got)
+    assert components(spark.createDataFrame([], "a long, b long"), held).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_least_ties_each_node_to_its_smallest(seed):
+    draw = random.Random(seed)
+    links = [(draw.randrange(200), draw.randrange(200)) for _ in range(draw.choice([1, 30, 90, 300]))]
+    root = {x: x for link in links for x in link}
+    for _ in range(200):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    u, v = (x.tolist() for x in _least(*(np.array(x, np.int64) for x in zip(*links, strict=True))))
+    assert dict(zip(u, v, strict=True)) == {x: r for x, r in root.items() if x != r}
 
 
 def test_bitmap_misses_no_member(spark):
