@@ -63,7 +63,8 @@ def test_large_families_by_brute_force(make_docs):
 
 
 @pytest.mark.parametrize("options", [{"leaf": 4, "cross": 20, "depth": 0, "block": 16}, {"leaf": 8, "cross": 50, "depth": 2, "block": 10}])
-def test_small_limits_branch_and_deal_in_blocks(make_docs, options):
+def test_small_limits_branch_and_deal_in_blocks(make_docs, monkeypatch, options):
+    monkeypatch.setattr(near_copies, "BLOCK", 4000)  # whole sets of about forty texts
     rows = families(260)
     got = near_copies.near_copies(make_docs(rows, clash=False), **options).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == by_hand(rows)

@@ -20,6 +20,8 @@ FACTORS = np.random.default_rng(64).integers(1, 1 << 62, TOKENS, dtype=np.uint64
 #: Bins of a sketch; each holds one byte of the least shingle in its range of hashes, or 0 without any.
 BINS = 512
 STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+#: Shingles of a block of texts whose whole sets are compared in one task.
+BLOCK = 1 << 20
 SIGNED = "doc_id long, node long, n_shingles long, tokens array<int>, sketch binary"
 
 
@@ -160,22 +162,20 @@ def _spanning(x: np.ndarray, y: np.ndarray, agree: np.ndarray, root: np.ndarray)
 def _likely(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of texts of one node and different components that may be similar enough: key, a, b, n_a, n_b.
 
-    ``members`` has key, node, root, n_shingles, sketch and ``every``; the rows of a node are few, or few pairs of
-    components. Pairs are judged by set sizes and sketches, see ``_alike``. Where ``every`` isn't set, only as many
-    pairs come out as can join the node's components.
+    ``members`` has key, node, root, n_shingles and sketch; the rows of a node are few. Pairs are judged by set sizes
+    and sketches, see ``_alike``. Only as many pairs come out as can join the node's components.
     """
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
             if not len(table):
                 continue
             key, node, root, size = (table[c].to_numpy() for c in ("key", "node", "root", "n_shingles"))
-            every = table["every"].to_numpy(zero_copy_only=False)
             sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
             first = np.flatnonzero(np.diff(key, prepend=key[0] ^ 1))
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for begin, end in zip(first, [*first[1:], len(table)], strict=True):
                 x, y, agree = _alike(root[begin:end], size[begin:end], sketch[begin:end], percent)
-                if len(x) and not every[begin]:
+                if len(x):
                     kept = _spanning(x, y, agree, root[begin:end])
                     x, y = x[kept], y[kept]
                 left.append(begin + x)
@@ -233,6 +233,80 @@ def _confirmed(likely: DataFrame, signed: DataFrame, docs: DataFrame, width: int
     return stored(both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"), "links")
 
 
+def _linked(members: DataFrame, signed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components which all links inside the nodes of ``members`` would join.
+
+    Of a node go on the texts that are in a likely pair, with their whole sets, in blocks of about BLOCK shingles, and
+    each pair of blocks meets in a task. So rows grow with the texts, not with the pairs. Every likely pair is
+    confirmed on the whole sets unless links found before join its texts already.
+    """
+    def taking_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            picked = [np.zeros(0, np.int64)]
+            for begin, end, root, size, sketch in _nodes(table):
+                x, y, _ = _alike(root, size, sketch, percent)
+                picked.append(begin + np.union1d(x, y))
+            yield from table.take(pa.array(np.concatenate(picked))).combine_chunks().to_batches()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            left, right = [], []
+            for begin, end, root, size, sketch in _nodes(table):
+                x, y, agree = _alike(root, size, sketch, percent)
+                sets, node = table["shingles"].slice(begin, end - begin), table["node"].slice(begin, end - begin).to_numpy()
+                for a, b in _joining(x, y, agree, root, size, sets, percent):
+                    left.append(min(node[a], node[b]))
+                    right.append(max(node[a], node[b]))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    side = signed.select("node", "n_shingles", "sketch")
+    rows = members.select("key", "node", "root").join(side, "node").select("key", "node", "root", "n_shingles", "sketch")
+    part = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(taking_part, rows.schema), "taking-part")
+    if part.isEmpty():
+        return part.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    wanted = part.select("node").distinct().join(signed.select("node", "doc_id", "repeated"), "node")
+    sets = _full_sets(docs, wanted, width)
+    parts = part.groupBy("key").agg(F.ceil(F.sum("n_shingles") / BLOCK).alias("parts"))
+    dealt = _dealt(part.join(parts, "key"), "root", "n_shingles", "sketch").join(sets, "node")
+    return stored(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(confirm, "a long, b long")
+                  .distinct(), "links")
+
+
+def _nodes(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First and last row of each node of a table sorted by key, and its roots, sizes and sketches."""
+    key = table["key"].to_numpy()
+    first = np.flatnonzero(np.diff(key, prepend=key[:1] ^ 1))
+    for begin, end in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=False):
+        own = table.slice(begin, end - begin)
+        sketch = np.frombuffer(b"".join(own["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+        yield begin, end, own["root"].to_numpy(), own["n_shingles"].to_numpy(), sketch
+
+
+def _joining(x: np.ndarray, y: np.ndarray, agree: np.ndarray, root: np.ndarray, size: np.ndarray,
+             sets: pa.ChunkedArray, percent: int) -> Iterator[tuple[int, int]]:
+    """Of the pairs (x, y) the links on whole sets that join components, the most alike tried first."""
+    above: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while r in above:
+            r = above[r]
+        return r
+
+    held: dict[int, np.ndarray] = {}
+    for k in np.argsort(-agree, kind="stable").tolist():
+        a, b = int(x[k]), int(y[k])
+        low, high = top(int(root[a])), top(int(root[b]))
+        if low == high:
+            continue
+        for at in (a, b):
+            if at not in held:
+                held[at] = sets[at].values.to_numpy(zero_copy_only=False)
+        shared = len(np.intersect1d(held[a], held[b], assume_unique=True))
+        if 100 * shared >= percent * (int(size[a]) + int(size[b]) - shared):
+            above[low] = high
+            yield a, b
+
+
 def _rooted(members: DataFrame, joined: DataFrame | None) -> DataFrame:
     """Members with the component each belongs to by now; a text that isn't linked is its own."""
     if joined is None:
@@ -242,10 +316,15 @@ def _rooted(members: DataFrame, joined: DataFrame | None) -> DataFrame:
 
 def _in_blocks(members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
     """Members of a node dealt to pairs of blocks of about ``block`` texts, each a node of its own."""
-    parts = F.ceil(F.col("size") / block)
-    own = members.join(sizes.select("key", parts.alias("parts")), "key").withColumn(
-        "own", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return own.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "root")
+    parts = sizes.select("key", F.ceil(F.col("size") / block).alias("parts"))
+    return _dealt(members.join(parts, "key"), "root")
+
+
+def _dealt(members: DataFrame, *columns: str) -> DataFrame:
+    """Members (key, node, parts) dealt by their node to ``parts`` blocks, and each pair of blocks a node of its own."""
+    own = members.withColumn("own", F.pmod(F.xxhash64("node"), "parts")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return own.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", *columns)
 
 
 def links(docs: DataFrame, signed: DataFrame, width: int, percent: int, roots: int, leaf: int, cross: int,
@@ -279,8 +358,8 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int, roots: i
             ends = F.array(F.struct("node", "root"), F.struct(F.col("pivot.node"), F.col("pivot.root")))
             stars = large.where("root <> pivot.root").select(
                 F.xxhash64("key", "node").alias("key"), F.explode(ends).alias("end")).select("key", "end.*")
-            likely = stored(_likely(small.select("key", "node", "root").unionByName(stars).join(side, "node")
-                                    .withColumn("every", F.lit(False)), percent), "proposed")
+            likely = stored(_likely(small.select("key", "node", "root").unionByName(stars).join(side, "node"),
+                                    percent), "proposed")
             now = _confirmed(likely, signed, docs, width, percent)
             joined = _joined_by(joined, now)
             refused = likely.join(now, ["a", "b"], "left_anti").select("key").distinct()
@@ -299,9 +378,7 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int, roots: i
             open_ = left.join(wide.select("key"), "key", "left_semi")
             if level == depth:
                 rest = rest.unionByName(_in_blocks(open_, wide, block))
-            every = _likely(rest.join(side, "node").withColumn("every", F.lit(True)), percent)
-            more = _confirmed(every.join(likely.select("a", "b"), ["a", "b"], "left_anti"), signed, docs, width, percent)
-            joined = _joined_by(joined, more)
+            joined = _joined_by(joined, _linked(rest, signed, docs, width, percent))
             if level == depth or wide.isEmpty():
                 break
             members = stored(_children(open_.select("key", "node"), signed, level).distinct(), "children")
