@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +35,42 @@ def test_match_sets_brute_force(spark, share):
     assert sorted(r["overlap"] for r in got) == sorted(want.values())
 
 
+@pytest.mark.parametrize("hot", [True, False])
+def test_match_rows_over_several_blocks(spark, monkeypatch, hot):
+    """Right sets in several blocks give each pair once, whether by blocks or by rare words; keys may be any type."""
+    monkeypatch.setattr(matching, "RIGHT_ROWS", 5)
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(12 if hot else 400)]
+    left, right = ([[*rng.sample(pool, rng.randrange(1, 6)), *(["hot"] if hot else [])] for _ in range(n)] for n in (50, 30))
+    left += [[], [None, "hot", "w1"]]
+    lefts = spark.createDataFrame([*enumerate(left), (0, left[0]), (None, left[1])], "key int, words array<string>")
+    rights = spark.createDataFrame([(f"r{i}", s) for i, s in enumerate(right)], "key string, words array<string>")
+    ways = []
+    monkeypatch.setattr(matching, "_by_blocks", lambda *a, own=matching._by_blocks: ways.append("blocks") or own(*a))
+    got = matching.match_rows(lefts, rights, matching.share_needed(0.4)).collect()
+    want = [(i, f"r{j}", len(a), len(b), len(set(a) & set(b))) for i, a in [*enumerate(left), (0, left[0])] if a
+            for j, b in enumerate(right) if len(set(a) & set(b)) >= max(1, 0.4 * len(a) - 1e-9)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert ways == (["blocks"] if hot else [])
+
+
+def test_shared_words_in_small_steps(monkeypatch):
+    monkeypatch.setattr(matching, "CELLS", 7)
+    sets = [["a", "b", "c"], ["b"], ["a", "x", None], ["c", "b"]]
+
+    def rows(asks):
+        n = len(sets)
+        return pa.RecordBatch.from_pydict({
+            "cell": [3] * n, "asks": [asks] * n, "left_key": pa.array(range(n) if asks else [None] * n, pa.int64()),
+            "right_key": pa.array([None] * n if asks else range(n), pa.int64()), "words": sets,
+            "size": pa.array(map(len, sets), pa.int32()), "needed": pa.array([1] * n, pa.int32())})
+
+    got = sorted(x for b in matching.shared_words(iter([rows(False), rows(True)]))
+                 for x in zip(*(b[c].to_pylist() for c in ("left_key", "right_key", "overlap"))))
+    want = [(i, j, len(set(a) & set(b) - {None})) for i, a in enumerate(sets) for j, b in enumerate(sets)]
+    assert got == [x for x in want if x[2]]
+
+
 def test_contained_terms_brute_force(spark):
     rng = random.Random(6)
     texts = ["".join(rng.choice("abc d") for _ in range(30)) for _ in range(60)]

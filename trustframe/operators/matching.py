@@ -1,9 +1,12 @@
 """Exact text matching joins that avoid comparing every pair.
 
-``match_sets`` joins word sets that share enough words. It sorts each left set by how rare its words
-are on the right and joins only on the rarest ones: a pair that shares at least ``t`` of the ``m``
-words that can match at all must share one of the first ``m - t + 1``. Frequent words, which would
-make most pairs meet, end up last and are not joined on. No candidate is capped or dropped.
+``match_sets`` joins word sets that share enough words, in one of two ways that give the same pairs.
+By blocks, a task holds a block of right sets, of bounded size, and counts the words that each left
+set passing by shares with them; only pairs that share enough leave it. By rare words, each left set is sorted by how
+rare its words are on the right and joined only on the rarest ones: a pair that shares at least ``t``
+of the ``m`` words that can match at all must share one of the first ``m - t + 1``. That moves a row
+per candidate, so it is taken only where it moves fewer rows than the blocks do. No candidate is
+capped or dropped.
 
 ``contained_terms`` finds terms inside texts as substrings. A text holding a term also holds the
 term's rarest character run, so that run is the join key.
@@ -13,8 +16,11 @@ Both work on distinct sets and texts, so copies are compared once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +29,9 @@ from trustframe.functions.session import cut_lineage
 
 GRAM = 4
 
+#: Right sets of a block, and numbers that a task holds at a time.
+RIGHT_ROWS, CELLS = 1 << 13, 1 << 21
+
 
 def set_key(words: Column) -> Column:
     """Key of a word set, the same for every order of the words."""
@@ -34,27 +43,145 @@ def match_sets(left: DataFrame, right: DataFrame, need: Callable[[Column], Colum
 
     Both sides have ``key`` and ``words`` (distinct words); ``need`` gives at least one.
     """
-    def distinct_sets(frame: DataFrame, name: str) -> DataFrame:
-        # sorted words, so that equal sets are equal rows and a hash aggregate removes the copies
-        return (frame.select(F.col("key").alias(name), F.array_sort("words").alias("words"))
-                .filter(F.size("words") > 0).distinct())
+    return match_rows(_distinct_sets(left), right, need)
+
+
+def _distinct_sets(frame: DataFrame) -> DataFrame:
+    # sorted words, so that equal sets are equal rows and a hash aggregate removes the copies
+    return frame.select("key", F.array_sort("words").alias("words")).filter(F.size("words") > 0).distinct()
+
+
+def match_rows(left: DataFrame, right: DataFrame, need: Callable[[Column], Column]) -> DataFrame:
+    """``match_sets`` for a left side with a key per row: each row is matched by itself, which saves a shuffle."""
+    rights = cut_lineage(_distinct_sets(right).where("key IS NOT NULL").select(
+        F.col("key").alias("right_key"), "words", F.size("words").alias("n_right")))
+    lefts = left.where("key IS NOT NULL").where(F.size("words") > 0).select(
+        F.col("key").alias("left_key"), "words", F.size("words").alias("n_left")).withColumn(
+        "needed", F.greatest(F.lit(1), need(F.col("n_left")).cast("int")))
+    n_rights = rights.count()
+    blocks = max(1, -(-n_rights // RIGHT_ROWS))
+    if blocks > 1:
+        lefts = cut_lineage(lefts.withColumn("set", set_key(F.col("words"))))
+        right_words = text.each(rights, ["right_key"], F.col("words"), "word")
+        sets = lefts.select(F.col("set").alias("left_key"), F.array_sort("words").alias("words"), "n_left", "needed").distinct()
+        prefix, possible = _rare_words(sets, right_words)
+        if (prefix.agg(F.sum("frequency")).first()[0] or 0) < lefts.count() * blocks + n_rights * _slots(lefts):
+            pairs = _by_rare_words(prefix, possible, rights, right_words).withColumnRenamed("left_key", "set")
+            return lefts.select("left_key", "set", "n_left").join(pairs, ["set", "n_left"]).select(
+                "left_key", "right_key", "n_left", "n_right", "overlap")
+    return _by_blocks(lefts, rights, blocks)
+
+
+def _slots(frame: DataFrame) -> int:
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _by_blocks(lefts: DataFrame, rights: DataFrame, blocks: int) -> DataFrame:
+    """Every left set meets every right block once. The left is dealt into slots, a copy of each block goes to each."""
+    slots = _slots(lefts)
+    types = dict(lefts.dtypes) | dict(rights.dtypes)
+
+    def none(name: str) -> Column:
+        return F.lit(None).cast(types[name]).alias(name)
+
+    asks = lefts.select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("left_key"), F.lit(slots)).alias("slot"),
+        F.lit(True).alias("asks"), "left_key", none("right_key"), "words", F.col("n_left").alias("size"), "needed")
+    held = rights.select(
+        F.pmod(F.xxhash64("right_key"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"),
+        F.lit(False).alias("asks"), none("left_key"), "right_key", "words", F.col("n_right").alias("size"), F.lit(0).alias("needed"))
+    both = held.unionByName(asks).withColumn("cell", F.col("slot") * blocks + F.col("block")).drop("slot", "block")
+    # a block's right sets come before the left ones that ask
+    ordered = both.repartitionById(slots, F.pmod("cell", F.lit(slots)).cast("int")).sortWithinPartitions("cell", "asks")
+    return ordered.mapInArrow(shared_words, f"left_key {types['left_key']}, right_key {types['right_key']}, "
+                                            "n_left int, n_right int, overlap int")
 
-    lefts, rights = distinct_sets(left, "left_key"), cut_lineage(distinct_sets(right, "right_key"))
-    right_words = text.each(rights, ["right_key"], F.col("words"), "word")
+
+def shared_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function of rows that are sorted by cell, right sets first: the pairs that share enough words."""
+    cell, held, block = None, [], None
+    for batch in batches:
+        cells, asks = batch["cell"].to_numpy(), batch["asks"].to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (asks[1:] != asks[:-1])) + 1
+        for first, last in zip([0, *cuts], [*cuts, len(cells)], strict=True):
+            if first == last:
+                continue
+            if cells[first] != cell:
+                cell, held, block = cells[first], [], None
+            part = batch.slice(first, last - first)
+            if not asks[first]:
+                held.append(part)
+            elif held:
+                block = block or Block(pa.Table.from_batches(held).combine_chunks())
+                yield from block.pairs(part)
+
+
+def _flat(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row, word) of all words of the sets."""
+    sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(words)), sizes), pc.list_flatten(words)
+
+
+class Block:
+    """Right sets by their words: for each word the rows that hold it."""
+
+    def __init__(self, table: pa.Table):
+        self.keys, self.sizes = table["right_key"].combine_chunks(), table["size"].combine_chunks()
+        rows, words = _flat(pa.concat_arrays(table["words"].chunks))
+        coded = words.dictionary_encode()
+        codes = coded.indices.fill_null(-1).to_numpy()
+        rows, codes, self.words = rows[codes >= 0], codes[codes >= 0], coded.dictionary
+        self.rows = rows[np.argsort(codes, kind="stable")]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(self.words)))])
+
+    def pairs(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Left sets against the block. At most ``CELLS`` pairs and word hits, or those of one set, are held at a time."""
+        rows, words = _flat(batch["words"])
+        codes = pc.index_in(words, value_set=self.words, skip_nulls=True).fill_null(-1).to_numpy()
+        rows, codes = rows[codes >= 0], codes[codes >= 0]
+        sizes, needed = self.starts[codes + 1] - self.starts[codes], batch["needed"].to_numpy()
+        hits = np.concatenate([[0], np.cumsum(sizes)])
+        width = len(self.keys)
+        step = max(1, CELLS // width)
+        for first in range(0, batch.num_rows, step):
+            last = min(first + step, batch.num_rows)
+            shared = np.zeros((last - first) * width, np.int32)
+            at, end = np.searchsorted(rows, [first, last])
+            while at < end:
+                to = at + max(1, int(np.searchsorted(hits[at + 1:end + 1], hits[at] + CELLS, "right")))
+                size = sizes[at:to]
+                place = np.arange(size.sum()) + np.repeat(self.starts[codes[at:to]] - hits[at:to] + hits[at], size)
+                cells = np.repeat((rows[at:to] - first) * width, size) + self.rows[place]
+                shared += np.bincount(cells, minlength=len(shared)).astype(np.int32)
+                at = to
+            shared = shared.reshape(last - first, width)
+            mine, other = np.nonzero(shared >= needed[first:last, None])
+            if len(mine):
+                overlap, mine, other = pa.array(shared[mine, other]), pa.array(mine + first), pa.array(other)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["left_key"].take(mine), self.keys.take(other), batch["size"].take(mine), self.sizes.take(other),
+                     overlap], names=["left_key", "right_key", "n_left", "n_right", "overlap"])
+
+
+def _rare_words(lefts: DataFrame, right_words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prefix, possible): the words that sets are joined on, with their frequency, and the sets that can match."""
     frequency = right_words.groupBy("word").agg(F.count("*").alias("frequency"))
-    sized = lefts.select("left_key", "words", F.size("words").alias("n_left"))
-    known = (text.each(sized, ["left_key", "n_left"], F.col("words"), "word")
-             .join(frequency, "word").groupBy("left_key", "n_left")
+    sets = ["left_key", "n_left", "needed"]
+    known = (text.each(lefts, sets, F.col("words"), "word")
+             .join(frequency, "word").groupBy(*sets)
              .agg(F.array_sort(F.collect_list(F.struct("frequency", "word"))).alias("known")))
-    needed = F.greatest(F.lit(1), need(F.col("n_left")).cast("int"))
-    # read twice below, for the join and for the check
-    possible = cut_lineage(known.withColumn("needed", needed).filter(F.size("known") >= F.col("needed")))
+    # read again for the join and for the check
+    possible = cut_lineage(known.filter(F.size("known") >= F.col("needed")))
     prefix = text.each(possible, ["left_key"], F.slice("known", 1, F.size("known") - F.col("needed") + 1), "k").select(
-        "left_key", "k.word")
+        "left_key", "k.word", "k.frequency")
+    return prefix, possible
+
+
+def _by_rare_words(prefix: DataFrame, possible: DataFrame, rights: DataFrame, right_words: DataFrame) -> DataFrame:
     candidates = prefix.join(right_words, "word").select("left_key", "right_key").distinct()
     checked = (candidates
                .join(possible.select("left_key", "n_left", "needed", F.transform("known", lambda k: k["word"]).alias("lw")), "left_key")
-               .join(rights.select("right_key", F.size("words").alias("n_right"), F.col("words").alias("rw")), "right_key")
+               .join(rights.select("right_key", "n_right", F.col("words").alias("rw")), "right_key")
                .withColumn("overlap", F.size(F.array_intersect("lw", "rw"))))
     return checked.filter(F.col("overlap") >= F.col("needed")).select(
         "left_key", "right_key", "n_left", "n_right", "overlap")
@@ -117,14 +244,12 @@ def keyword_search(queries: DataFrame, facts: DataFrame, k: int = 5, min_score:
             return frame.withColumn("words", F.transform("words", lambda w: F.concat_ws("\x1f", *marks, w)))
 
         queries, facts = mark(queries), mark(facts)
-    q = queries.withColumn("key", set_key(F.col("words")))
     f = facts.withColumn("key", set_key(F.col("words")))
-    scored = (match_sets(q, f, share_needed(min_score))
+    scored = (match_rows(queries.select(F.col("query_id").alias("key"), "words"), f, share_needed(min_score))
               .withColumn("score", F.round(F.col("overlap") / F.greatest("n_left", "n_right"), 9))
               .filter(F.col("score") >= min_score))
-    by_words = (scored.join(q.select("query_id", F.col("key").alias("left_key")), "left_key")
-                .join(f.select("fact_id", F.col("key").alias("right_key")), "right_key")
-                .select("query_id", "fact_id", "score"))
+    by_words = (scored.join(f.select("fact_id", F.col("key").alias("right_key")), "right_key")
+                .select(F.col("left_key").alias("query_id"), "fact_id", "score"))
     if "keywords" in facts.columns:
         words = facts.select("fact_id", *scope, F.explode("keywords").alias("term")).withColumn("term", F.lower("term"))
         texts = queries.select(F.md5("body").alias("text_key"), "body", "query_id", *scope)

@@ -22,8 +22,16 @@ MIN_SENTENCE = 10
 def document_sentences(spark: SparkSession, sf: str) -> DataFrame:
     docs = text.each(read_texts(spark, sf, "documents"), ["doc_id"],
                      text.sentences_at_points(F.col("text"), MIN_SENTENCE), "claim", "pos")
-    docs = docs.withColumn("tenant_id", tenant("doc_id"))
-    return docs.withColumn("claim_key", F.md5(F.concat("tenant_id", F.lit("|"), "claim")))
+    return with_claim_key(docs.withColumn("tenant_id", tenant("doc_id")))
+
+
+def with_claim_key(claims: DataFrame) -> DataFrame:
+    return claims.withColumn("claim_key", F.md5(F.concat("tenant_id", F.lit("|"), "claim")))
+
+
+def distinct_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Different sentences of each tenant; their keys are made after the shuffle, which they would nearly double."""
+    return with_claim_key(document_sentences(spark, sf).select("tenant_id", "claim").distinct())
 
 
 def tenant(number: str) -> Column:
@@ -94,14 +102,13 @@ def similar_facts(spark: SparkSession, sf: str) -> DataFrame:
 
     sentences = document_sentences(spark, sf)
     claims, facts = sets(sentences, "claim"), sets(passage_sentences(spark, sf), "sentence")
-    pairs = matching.match_sets(claims, facts, matching.jaccard_needed(0.5))
+    pairs = matching.match_rows(claims.select(F.col("claim").alias("key"), "words"), facts, matching.jaccard_needed(0.5))
     union = F.col("n_left") + F.col("n_right") - F.col("overlap")
     close = pairs.withColumn("similarity", F.round(F.col("overlap") / union, 9)).filter(F.col("overlap") / union > 0.5)
     copies = facts.groupBy(F.col("key").alias("right_key")).agg(F.count("*").alias("copies"))
-    per = close.join(copies, "right_key").groupBy("left_key").agg(
+    per = close.join(copies, "right_key").groupBy(F.col("left_key").alias("claim")).agg(
         F.sum("copies").alias("facts"), F.max("similarity").alias("best"))
-    keyed = claims.select("claim", F.col("key").alias("left_key")).join(per, "left_key")
-    return sentences.join(keyed, "claim").select("doc_id", "pos", "facts", "best")
+    return sentences.join(per, "claim").select("doc_id", "pos", "facts", "best")
 
 
 SEARCH_SQL = f"""WITH {SENTENCES_SQL}
@@ -117,7 +124,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY tenant, claim ORDER BY
 
 def search(spark: SparkSession, sf: str, k: int) -> DataFrame:
     """Top passages of the same tenant for every distinct document sentence."""
-    sentences = document_sentences(spark, sf).select("claim_key", "claim", "tenant_id").distinct()
+    sentences = distinct_claims(spark, sf)
     queries = sentences.select("tenant_id", F.col("claim_key").alias("query_id"), F.lower("claim").alias("body"),
                                text.space_word_set(F.col("claim")).alias("words"))
     facts = passage_sentences(spark, sf).select(
@@ -178,7 +185,7 @@ verdicts AS (SELECT s.tenant, s.claim, concepts, coalesce(supporting, 0) AS supp
 
 
 def ontology_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    claims = document_sentences(spark, sf).select("claim_key", "claim", "tenant_id").distinct()
+    claims = distinct_claims(spark, sf)
     return knowledge.ontology_check(claims, ontology_entries(spark, sf))
 
 
