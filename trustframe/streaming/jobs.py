@@ -102,29 +102,32 @@ def rate_stream(events: DataFrame, key: str, event_id: str, ts: str, seconds: in
 
 
 class Recent(StatefulProcessor):
-    """Counts requests of one key and slot as they come; a list has the times of those that came before.
+    """Counts requests of a bucket of keys in a slot as they come; a list has the times of those that came before.
 
     A timer clears the list once the watermark has passed the slot.
     """
 
-    def __init__(self, micros: int):
-        self.micros = micros
+    def __init__(self, micros: int, key_type: str):
+        self.micros, self.key_type = micros, key_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "at bigint")
+        self.times = handle.getListState("times", f"key {self.key_type}, at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows))
-        fresh = frame["micros"].to_numpy(np.int64)
-        known = [x[0] for x in self.times.get()] if self.times.exists() else []
-        every = np.sort(np.concatenate([np.array(known, np.int64), fresh]))
-        self.times.appendList([(int(x),) for x in fresh])
+        frame = pd.concat(list(rows), ignore_index=True)
+        fresh = list(zip(frame["key"].tolist(), frame["micros"].tolist(), strict=True))
+        known = [tuple(x) for x in self.times.get()] if self.times.exists() else []
+        self.times.appendList(fresh)
         self.handle.registerTimer((int(key[1]) + 1) * self.micros // 1000)
-        own = frame[frame["own"]]
-        at = own["micros"].to_numpy(np.int64)
+        # a key's times lie in the two slots that end with this one; each key gets a range of its own for them
+        codes, _ = pd.factorize(pd.Series([x[0] for x in fresh + known]))
+        since = (int(key[1]) - 1) * self.micros
+        places = codes.astype(np.int64) * (2 * self.micros) + (np.array([x[1] for x in fresh + known], np.int64) - since)
+        own = frame["own"].to_numpy(bool)
+        at, every = places[:len(fresh)][own], np.sort(places)
         counts = np.searchsorted(every, at, "right") - np.searchsorted(every, at - self.micros, "right")
-        yield pd.DataFrame({"key": key[0], "id": own["id"].to_numpy(), "in_window": counts})
+        yield pd.DataFrame({"key": frame["key"][own], "id": frame["id"][own], "in_window": counts})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.times.clear()
@@ -135,24 +138,26 @@ class Recent(StatefulProcessor):
 
 
 def rate_on_arrival(events: DataFrame, key: str, event_id: str, ts: str, seconds: int = 60,
-                    delay: str = "10 minutes") -> DataFrame:
+                    delay: str = "10 minutes", buckets: int = 32) -> DataFrame:
     """Requests of the key in the last ``seconds`` at every request, counted in the batch in which it comes.
 
-    State is kept per key and slot of ``seconds``; each request goes to its slot and, as context, to the next one, so
-    a key's load is spread over its slots and a batch reads only the slots it touches. Slots are dropped when the
-    watermark passes them; requests that come after that start from an empty slot. A request counts those of its own
-    batch and of earlier ones, as ``rate_job`` does. Rows without key or time aren't counted.
+    State is kept per slot of ``seconds`` and bucket of keys; each request goes to its slot and, as context, to the next
+    one, so a key's load is spread over its slots and a batch reads only the slots it touches. Keys share ``buckets``
+    per slot, since each state that a batch touches costs calls of its own; a bucket of two slots must fit a task. Slots
+    are dropped when the watermark passes them; requests that come after that start from an empty slot. A request counts
+    those of its own batch and of earlier ones, as ``rate_job`` does. Rows without key or time aren't counted.
     """
     types = dict(events.dtypes)
     at, micros = F.col(ts).cast("timestamp"), seconds * 1_000_000
     place = F.floor(F.unix_micros(at) / micros)
     slots = events.where(at.isNotNull() & F.col(key).isNotNull()).select(
         F.col(key).alias("key"), F.col(event_id).alias("id"), F.unix_micros(at).alias("micros"), at.alias("at"),
+        F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"),
         F.explode(F.array(F.struct(place.alias("slot"), F.lit(True).alias("own")),
                           F.struct((place + 1).alias("slot"), F.lit(False).alias("own")))).alias("s"))
-    counted = slots.select("key", "id", "micros", "at", "s.*").withWatermark("at", delay).groupBy(
-        "key", "slot").transformWithStateInPandas(
-        Recent(micros), f"key {types[key]}, id {types[event_id]}, in_window bigint", "Append", "EventTime")
+    counted = slots.select("key", "id", "micros", "at", "bucket", "s.*").withWatermark("at", delay).groupBy(
+        "bucket", "slot").transformWithStateInPandas(
+        Recent(micros, types[key]), f"key {types[key]}, id {types[event_id]}, in_window bigint", "Append", "EventTime")
     return counted.select(F.col("key").alias(key), F.col("id").alias(event_id), "in_window")
 
 
