@@ -179,3 +179,33 @@ def test_embedding_hooks(spark):
     out = vectors.embed_with(df, "text", lambda texts: [[float(len(t))] for t in texts]).collect()
     assert [r["embedding"] for r in sorted(out)] == [[5.0], [0.0]]
     assert df.select(text.has_divergence_marker(F.lit("Porém, há")).alias("x")).first()["x"]
+
+
+def test_arrival_keys_share_states(spark, tmp_path):
+    """Keys of one bucket are counted apart, with those of earlier batches, in the batch in which they come."""
+    path = str(tmp_path / "in")
+    rows = [(k, i, 1_700_000_000 + t) for i, (k, t) in enumerate(
+        [("a", 0), ("b", 5), ("a", 30), ("c", 61), ("b", 64), ("a", 65), ("a", 65), ("b", 90), (None, 91), ("a", 125)])]
+    for part in (rows[:4], rows[4:]):
+        spark.createDataFrame(part, "k string, id bigint, s bigint").selectExpr(
+            "k", "id", "timestamp_seconds(s) AS ts").coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("k string, id bigint, ts timestamp").parquet(path)
+        out = jobs.rate_on_arrival(stream, "k", "id", "ts", 60, buckets=1)
+        jobs.start_append(out, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = {r["id"]: r["in_window"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {i: sum(k2 == k and t - 60 < t2 <= t for k2, _, t2 in rows) for k, i, t in rows if k}
+    assert got == want
+
+
+def test_replay_takes_a_part_of_many_files_in_one_batch(spark, tmp_path):
+    from trustframe.plans import stream_queries
+
+    frame, seen = spark.range(90).repartition(3), []
+
+    def job(replay):
+        return jobs.start(replay.withColumn("file", F.input_file_name()), lambda batch, n: seen.append(
+            (n, sorted((r["id"], r["file"]) for r in batch.collect()))), str(tmp_path / "checkpoint"))
+
+    stream_queries.in_batches(spark, frame, "id", 2, job)
+    assert [n for n, _ in seen] == [0, 1] and [i for _, rows in seen for i, _ in rows] == list(range(90))
+    assert all(len({file for _, file in rows}) > 1 for _, rows in seen)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from trustframe.functions.session import checkpoint_folder, read_table
 from trustframe.plans import audit_queries as A
@@ -24,14 +26,19 @@ def stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf}/{table}.parquet*")
 
 
-def in_batches(spark: SparkSession, frame: DataFrame, order: str, parts: int) -> DataFrame:
-    """A table as a stream of ``parts`` micro-batches, cut by ranges of a column."""
+def in_batches(spark: SparkSession, frame: DataFrame, order: str, parts: int,
+               job: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Runs a job over a table as a stream of ``parts`` micro-batches, cut by ranges of a column.
+
+    A part may be many files: the job goes on from its checkpoint once the next part has been written, and takes all
+    of it in one batch.
+    """
     path = place(spark, "replay")
     marks = frame.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10000).alias("m")).first()["m"]
     part = F.aggregate(F.array(*map(F.lit, marks)), F.lit(0), lambda n, m: n + (F.col(order) > m).cast("int"))
-    for k in range(parts):  # one after the other, so that files are in order of time
-        frame.where(part == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for k in range(parts):
+        frame.where(part == k).write.mode("append").parquet(path)
+        job(spark.readStream.schema(frame.schema).parquet(path)).awaitTermination()
 
 
 def appended(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
@@ -61,8 +68,11 @@ def stream_rate_job(spark: SparkSession, sf: str) -> DataFrame:
 SELECT user_id, event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECOND PRECEDING AND CURRENT ROW) AS BIGINT) AS in_window FROM events""")
 def stream_rate_on_arrival(spark: SparkSession, sf: str) -> DataFrame:
     """Four batches in order of time, so a request's window is complete when it comes."""
-    events = in_batches(spark, read_table(spark, sf, "events"), "ts", 4)
-    return appended(spark, jobs.rate_on_arrival(events, "user_id", "event_id", "ts", 3600, "2 hours"), "arrival")
+    path, events = place(spark, "arrival"), read_table(spark, sf, "events")
+    in_batches(spark, events, "ts", 4, lambda replay: jobs.start_append(
+        jobs.rate_on_arrival(replay, "user_id", "event_id", "ts", 3600, "2 hours"), f"{path}/out", f"{path}/checkpoint"))
+    kind = events.select("user_id", "event_id", F.lit(0).cast("bigint").alias("in_window")).schema
+    return spark.read.schema(kind).parquet(f"{path}/out")
 
 
 @query("stream_trace_window", A.TRACE_SQL + """
@@ -97,8 +107,8 @@ def stream_doc_sync(spark: SparkSession, sf: str) -> DataFrame:
     path, docs = place(spark, "sync"), read_table(spark, sf, "documents")
     step = docs.agg(F.ceil(F.max("doc_id") / 3)).first()[0]
     again = docs.where("doc_id % 5 = 0").withColumn("comes", F.col("doc_id") + step)
-    replay = in_batches(spark, docs.withColumn("comes", F.col("doc_id")).unionByName(again), "comes", 3)
-    jobs.sync_job(replay, path, f"{path}/checkpoint", "doc_id").awaitTermination()
+    in_batches(spark, docs.withColumn("comes", F.col("doc_id")).unionByName(again), "comes", 3,
+               lambda replay: jobs.sync_job(replay, path, f"{path}/checkpoint", "doc_id"))
     return spark.read.parquet(f"{path}/facts").select("doc_id", "pos", "content", "fact_type", "confidence")
 
 
@@ -107,7 +117,8 @@ WITH c AS (SELECT event_id, user_id, coalesce(sum(round(value * 100)::BIGINT) OV
 SELECT event_id, user_id, spent::DOUBLE AS spent_before FROM c WHERE spent <= 50000""")
 def stream_budget(spark: SparkSession, sf: str) -> DataFrame:
     path = place(spark, "budget")
-    costs = in_batches(spark, read_table(spark, sf, "events"), "event_id", 3).select(
-        "event_id", "user_id", F.round(F.col("value") * 100).alias("cents"))
-    jobs.budget_job(costs, path, f"{path}/checkpoint", "user_id", ["event_id"], "cents", 50000.0, "bigint").awaitTermination()
+    cents = F.round(F.col("value") * 100).alias("cents")
+    in_batches(spark, read_table(spark, sf, "events"), "event_id", 3, lambda replay: jobs.budget_job(
+        replay.select("event_id", "user_id", cents), path, f"{path}/checkpoint", "user_id", ["event_id"], "cents", 50000.0,
+        "bigint"))
     return spark.read.parquet(f"{path}/kept").select("event_id", "user_id", "spent_before")
