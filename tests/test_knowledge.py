@@ -81,6 +81,20 @@ def test_contained_terms_brute_force(spark):
     assert {(r["text_key"], r["term"]) for r in got} == {(i, t) for i, x in enumerate(texts) for t in terms if t in x}
 
 
+def test_found_terms_in_small_pieces(monkeypatch):
+    """Terms that share runs, overlap, repeat or lie across two texts; no row leaves but those of found terms."""
+    monkeypatch.setattr(matching, "CHARACTERS", 5)
+    texts, terms = ["abcabcd", "", "xabc", "d\U0001F600bcd", "ab", "cabc"], ["abc", "abcd", "bcab", "cabc", "\U0001F600b", "d", "dxab"]
+
+    def rows(values, asks):
+        return pa.RecordBatch.from_pydict({"cell": [1] * len(values), "asks": [asks] * len(values), "value": values,
+                                           "text_key": pa.array(range(len(values)) if asks else [None] * len(values), pa.int64())})
+
+    got = [x for b in matching.found_terms(iter([rows(terms, False), rows(texts, True)]))
+           for x in zip(b["text_key"].to_pylist(), b["term"].to_pylist())]
+    assert sorted(got) == sorted((i, t) for i, x in enumerate(texts) for t in terms if t in x)
+
+
 def test_keyword_search(spark):
     queries = spark.createDataFrame([("q1", "price of the gold plan"), ("q2", "nothing alike")], "query_id string, body string").withColumn(
         "words", text.space_word_set(F.col("body")))

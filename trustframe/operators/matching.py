@@ -9,7 +9,8 @@ per candidate, so it is taken only where it moves fewer rows than the blocks do.
 capped or dropped.
 
 ``contained_terms`` finds terms inside texts as substrings. A text holding a term also holds the
-term's rarest character run, so that run is the join key.
+term's rarest character run, so a task that holds a block of terms looks only that run up in the texts
+passing by; runs themselves are not moved.
 
 Both work on distinct sets and texts, so copies are compared once.
 """
@@ -32,6 +33,9 @@ GRAM = 4
 #: Right sets of a block, and numbers that a task holds at a time.
 RIGHT_ROWS, CELLS = 1 << 13, 1 << 21
 
+#: Terms of a block, and characters of texts that a task holds at a time.
+TERM_ROWS, CHARACTERS = 1 << 14, 1 << 20
+
 
 def set_key(words: Column) -> Column:
     """Key of a word set, the same for every order of the words."""
@@ -78,27 +82,35 @@ def _slots(frame: DataFrame) -> int:
 
 def _by_blocks(lefts: DataFrame, rights: DataFrame, blocks: int) -> DataFrame:
     """Every left set meets every right block once. The left is dealt into slots, a copy of each block goes to each."""
-    slots = _slots(lefts)
     types = dict(lefts.dtypes) | dict(rights.dtypes)
 
     def none(name: str) -> Column:
         return F.lit(None).cast(types[name]).alias(name)
 
-    asks = lefts.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("left_key"), F.lit(slots)).alias("slot"),
-        F.lit(True).alias("asks"), "left_key", none("right_key"), "words", F.col("n_left").alias("size"), "needed")
-    held = rights.select(
-        F.pmod(F.xxhash64("right_key"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"),
-        F.lit(False).alias("asks"), none("left_key"), "right_key", "words", F.col("n_right").alias("size"), F.lit(0).alias("needed"))
+    asks = lefts.select("left_key", none("right_key"), "words", F.col("n_left").alias("size"), "needed")
+    held = rights.select(none("left_key"), "right_key", "words", F.col("n_right").alias("size"), F.lit(0).alias("needed"))
+    return _meeting(asks, "left_key", held, "right_key", blocks).mapInArrow(
+        shared_words, f"left_key {types['left_key']}, right_key {types['right_key']}, n_left int, n_right int, overlap int")
+
+
+def _meeting(asks: DataFrame, ask_key: str, held: DataFrame, held_key: str, blocks: int) -> DataFrame:
+    """Rows of both sides by cell, the pair of a slot of asking rows and a block of held ones, which come first."""
+    slots = _slots(asks)
+    asks = asks.select("*", F.lit(True).alias("asks"), F.pmod(F.xxhash64(ask_key), F.lit(slots)).alias("slot"),
+                       F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    held = held.select("*", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"),
+                       F.pmod(F.xxhash64(held_key), F.lit(blocks)).alias("block"))
     both = held.unionByName(asks).withColumn("cell", F.col("slot") * blocks + F.col("block")).drop("slot", "block")
-    # a block's right sets come before the left ones that ask
-    ordered = both.repartitionById(slots, F.pmod("cell", F.lit(slots)).cast("int")).sortWithinPartitions("cell", "asks")
-    return ordered.mapInArrow(shared_words, f"left_key {types['left_key']}, right_key {types['right_key']}, "
-                                            "n_left int, n_right int, overlap int")
+    return both.repartitionById(slots, F.pmod("cell", F.lit(slots)).cast("int")).sortWithinPartitions("cell", "asks")
 
 
 def shared_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow function of rows that are sorted by cell, right sets first: the pairs that share enough words."""
+    return _met(batches, Block)
+
+
+def _met(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[pa.RecordBatch]:
+    """``pairs`` of every run of asking rows with a ``kind`` made of its cell's held rows."""
     cell, held, block = None, [], None
     for batch in batches:
         cells, asks = batch["cell"].to_numpy(), batch["asks"].to_numpy(zero_copy_only=False)
@@ -112,7 +124,7 @@ def shared_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not asks[first]:
                 held.append(part)
             elif held:
-                block = block or Block(pa.Table.from_batches(held).combine_chunks())
+                block = block or kind(pa.Table.from_batches(held).combine_chunks())
                 yield from block.pairs(part)
 
 
@@ -202,32 +214,90 @@ def contained_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
     ``texts`` has text_key, body (lowercase); ``terms`` has term (lowercase, distinct, not empty).
     """
-    terms = terms.select("term").filter(F.length("term") > 0).distinct()
-    sizes = [r["size"] for r in terms.select(F.least(F.lit(GRAM), F.length("term")).alias("size")).distinct().collect()]
-    size = F.least(F.lit(GRAM), F.length("term"))
-    term_runs = terms.select("term", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("term") - size + 1),
-        lambda i: F.substring(F.col("term"), i, size)))).alias("run"))
-    runs = F.array().cast("array<string>")
-    for n in sorted(sizes):
-        runs = F.concat(runs, _runs("body", n))
-    bodies = texts.select("text_key", "body").distinct()
-    body_runs = text.each(bodies, ["text_key"], F.array_distinct(runs), "run")
-    wanted = term_runs.select("run").distinct()
-    # only runs that some term has; read twice below
-    hits = cut_lineage(body_runs.join(wanted, "run"))
-    frequency = hits.groupBy("run").agg(F.count("*").alias("frequency"))
-    chosen = (term_runs.join(frequency, "run", "left")
-              .groupBy("term").agg(F.min_by(F.struct("run", "frequency"), F.struct(
-                  F.coalesce("frequency", F.lit(0)).alias("f"), "run")).alias("c"))
-              .filter(F.col("c.frequency").isNotNull()).select("term", F.col("c.run").alias("run")))
-    pairs = hits.join(chosen, "run").select("text_key", "term")
-    return pairs.join(bodies, "text_key").filter(F.contains("body", F.col("term"))).select("text_key", "term")
-
-
-def _runs(column: str, size: int) -> Column:
-    """All runs of that many characters; a look-ahead lets them overlap."""
-    return F.regexp_extract_all(F.col(column), F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    terms = cut_lineage(terms.select("term").filter(F.length("term") > 0).distinct())
+    bodies = texts.select("text_key", "body").where("text_key IS NOT NULL AND body IS NOT NULL").distinct()
+    kind = dict(bodies.dtypes)["text_key"]
+    asks = bodies.select("text_key", F.col("body").alias("value"))
+    held = terms.select(F.lit(None).cast(kind).alias("text_key"), F.col("term").alias("value"))
+    return _meeting(asks, "text_key", held, "value", max(1, -(-terms.count() // TERM_ROWS))).mapInArrow(
+        found_terms, f"text_key {kind}, term string")
+
+
+def found_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function of rows that are sorted by cell, terms first: the terms that the texts hold."""
+    return _met(batches, Terms)
+
+
+def _runs(points: np.ndarray, size: int) -> np.ndarray:
+    """A number for the run of ``size`` characters from each place on; it may be shared, so finds are checked."""
+    count = max(0, len(points) - size + 1)
+    numbers = np.zeros(count, np.uint64)
+    for k in range(size):
+        numbers = numbers * np.uint64(0x110000) + points[k:k + count]
+    return numbers
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of all texts as numbers, and where each text begins, with the end."""
+    points = np.array(memoryview("".join(texts).encode("utf-32-le", "surrogatepass")).cast("I"), np.uint64)
+    return points, np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+
+
+def _places(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, run) of all runs that lie inside one text."""
+    points, starts = _points(texts)
+    numbers = _runs(points, size)
+    owner = np.repeat(np.arange(len(texts)), np.diff(starts))[:len(numbers)]
+    inside = np.arange(len(numbers)) + size <= starts[1:][owner]
+    return owner[inside], numbers[inside]
+
+
+class Terms:
+    """Terms with the runs of ``GRAM`` characters in them; a shorter term is one run."""
+
+    def __init__(self, table: pa.Table):
+        terms = table["value"].to_pylist()
+        self.groups = []
+        for size in sorted({min(GRAM, len(t)) for t in terms}):
+            own = [t for t in terms if min(GRAM, len(t)) == size]
+            owner, numbers = _places(own, size)
+            kinds, runs = np.unique(numbers, return_inverse=True)
+            self.groups.append((size, own, kinds, owner, runs))
+
+    def pairs(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys, texts = batch["text_key"], batch["value"].to_pylist()
+        ends = np.cumsum([len(x) for x in texts])
+        first = 0
+        while first < len(texts):
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + CHARACTERS, "right")))
+            found = self.found(texts[first:last])
+            if found:
+                places, terms = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.array(places) + first)), pa.array(terms, pa.string())],
+                                                 names=["text_key", "term"])
+            first = last
+
+    def found(self, texts: list[str]) -> list[tuple[int, str]]:
+        out = []
+        for size, terms, kinds, owner, runs in self.groups:
+            text_of, numbers = _places(texts, size)
+            at = np.minimum(np.searchsorted(kinds, numbers), len(kinds) - 1)
+            known = kinds[at] == numbers
+            text_of, at = text_of[known], at[known]
+            often = np.bincount(at, minlength=len(kinds))
+            order = np.lexsort((often[runs], owner))  # each term's rarest run comes first
+            _, where = np.unique(owner[order], return_index=True)
+            rarest = runs[order][where]
+            by_run: dict[int, list[str]] = {}
+            for term, run in zip(terms, rarest.tolist(), strict=True):
+                by_run.setdefault(run, []).append(term)
+            chosen = np.zeros(len(kinds), bool)
+            chosen[rarest] = True
+            hits = np.unique(text_of[chosen[at]] * len(kinds) + at[chosen[at]])
+            for place, run in zip((hits // len(kinds)).tolist(), (hits % len(kinds)).tolist(), strict=True):
+                out += [(place, term) for term in by_run[run] if term in texts[place]]
+        return out
 
 
 def keyword_search(queries: DataFrame, facts: DataFrame, k: int = 5, min_score: float = 0.3,
