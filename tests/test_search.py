@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,30 @@ def test_empty_sides(spark):
 def test_dense_vectors(spark):
     rows = spark.createDataFrame([(1, 0, 0.5), (1, 3, 2.0)], "id long, dim int, weight double")
     assert search.dense(rows, "id", 4).first()["vector"] == [0.5, 0.0, 0.0, 2.0]
+
+
+def test_block_tells_apart_what_only_rounding_joins():
+    """Documents closer than a product can tell are ranked by their rounded cosines, ties by id, and counted so."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6, 16))
+    documents = np.concatenate([base, base * 3.0, base + 1e-10, base + 3e-9, np.zeros((2, 16)), rng.normal(size=(30, 16))])
+    ids, cases = rng.permutation(len(documents)), np.concatenate([base + 0.01, np.zeros((1, 16))])
+
+    def table(vectors, **columns):
+        return pa.table({"vector": pa.array(list(vectors)), "size": pa.array([16] * len(vectors), pa.int32()),
+                         "norm": np.sqrt([sum(x * x for x in v) for v in vectors.tolist()]), **columns})
+
+    def cosine(a, b):
+        length = np.sqrt(sum(x * x for x in a)) * np.sqrt(sum(x * x for x in b))
+        return np.round(sum(x * y for x, y in zip(a, b)) / length, 9) if length else 0.0
+
+    score = np.array([[cosine(a, b) for b in documents.tolist()] for a in cases.tolist()])
+    best = [2, 8, 14, 20, 4, 10, 24]  # the best relevant document of each case
+    got = search.best_in_block(3)(
+        table(cases, case_id=np.arange(len(cases)), own_id=np.full(len(cases), ids[0]),
+              best_score=score[np.arange(len(cases)), best], best_id=ids[best]), table(documents, document_id=ids)).to_pylist()
+    for case in range(len(cases)):
+        line = sorted((-s, i) for s, i in zip(score[case], ids.tolist()) if i != ids[0])
+        assert [(r["score"], r["document_id"]) for r in got if r["case_id"] == case and r["listed"]] == [(-s, i) for s, i in line[:3]]
+        ahead = [r["ahead"] for r in got if r["case_id"] == case and not r["listed"]]
+        assert ahead == [sum(x < (-score[case][best[case]], ids[best[case]]) for x in line)]

@@ -11,9 +11,13 @@ from trustframe.functions import vectors
 from trustframe.functions.session import cut_lineage
 from trustframe.operators import rag
 
-#: Rows of a block on either side, and cells that are scored at a time.
+#: Rows of a block on either side, cells that are scored at a time, and pairs of them that are scored again at a time.
 BLOCK_ROWS = 8192
-CELLS = 1 << 22
+CELLS = 1 << 20
+PAIRS = 1 << 14
+
+#: More than the product and the rounding to ``rag.SCORE_DIGITS`` can be apart.
+NEAR = 1e-8
 
 
 def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
@@ -22,17 +26,24 @@ def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
 
 
 def scores(queries: np.ndarray, query_norms: np.ndarray, documents: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    """Cosines of all pairs, rounded. Components are added in their order, as ``vectors.cosine`` does in a row."""
-    total = np.zeros((len(queries), len(documents)))
+    """Cosines of the rows' pairs, rounded. Components are added in their order, as ``vectors.cosine`` does in a row."""
+    total = np.zeros(len(queries))
     for k in range(queries.shape[1]):
-        total += queries[:, k, None] * documents[None, :, k]
-    length = query_norms[:, None] * norms[None, :]
+        total += queries[:, k] * documents[:, k]
+    length = query_norms * norms
     return np.round(np.divide(total, length, out=np.zeros_like(total), where=length > 0), rag.SCORE_DIGITS)
 
 
+def _unit(vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    return np.divide(vectors, norms[:, None], out=np.zeros_like(vectors), where=norms[:, None] > 0)
+
+
 def best_in_block(k: int):
     """Arrow function of a block of cases and a block of documents: the block's ``k`` best of each case, and how many
-    documents go before the case's best relevant one."""
+    documents go before the case's best relevant one.
+
+    A matrix product gives all cosines up to ``NEAR``; those that it cannot tell from the k-th, or from the best
+    relevant one, are computed as ``scores`` does before they are compared."""
     def run(cases: pa.Table, documents: pa.Table) -> pa.Table:
         if not len(cases) or not len(documents):
             return RESULT.empty_table()
@@ -44,23 +55,40 @@ def best_in_block(k: int):
         own, best_id = (cases[c].to_numpy(zero_copy_only=False) for c in ("own_id", "best_id"))
         case_ids, best = cases["case_id"].to_numpy(), cases["best_score"].to_numpy(zero_copy_only=False)
         query_norms = cases["norm"].to_numpy()
+        units = _unit(matrix, norms).T
         found: list[tuple[np.ndarray, ...]] = []
+
+        def exact(row: np.ndarray, column: np.ndarray) -> np.ndarray:
+            pieces = [slice(x, x + PAIRS) for x in range(0, len(row), PAIRS)]
+            return np.concatenate([scores(wanted[row[x]], query_norms[row[x]], matrix[column[x]], norms[column[x]])
+                                   for x in pieces] or [np.zeros(0)])
+
         step = max(1, CELLS // len(ids))
         for at in range(0, len(case_ids), step):
             part = slice(at, at + step)
-            table = scores(wanted[part], query_norms[part], matrix, norms)
+            table = _unit(wanted[part], query_norms[part]) @ units
             table[ids[None, :] == own[part, None]] = -np.inf
-            ahead = ((table > best[part, None])
-                     | ((table == best[part, None]) & (ids[None, :] < best_id[part, None]))).sum(axis=1)
-            for row, case in enumerate(case_ids[part]):
-                line = table[row]
-                if len(line) > k:  # everything that ties with the k-th stays until the ids are compared
-                    line = np.where(line >= np.partition(line, -k)[-k], line, -np.inf)
-                top = np.flatnonzero(line > -np.inf)
-                top = top[np.argsort(-line[top], kind="stable")][:k]
-                found.append((np.full(len(top) + 1, case), np.append(ids[top], -1), np.append(line[top], 0.0),
-                              np.append(np.zeros(len(top), np.int64), ahead[row]),
-                              np.append(np.ones(len(top), bool), False)))
+            ahead = (table > best[part, None] + NEAR).sum(axis=1)
+            row, column = np.nonzero(np.abs(table - best[part, None]) <= NEAR)
+            score = exact(row + at, column)
+            passed = (score > best[at + row]) | ((score == best[at + row]) & (ids[column] < best_id[at + row]))
+            ahead += np.bincount(row[passed], minlength=len(ahead))
+            if len(ids) > k:  # everything that may tie with the k-th stays until the ids are compared
+                listed = table >= np.partition(table, -k, axis=1)[:, -k, None] - NEAR
+                listed &= table > -np.inf
+            else:
+                listed = table > -np.inf
+            row, column = np.nonzero(listed)
+            score = exact(row + at, column)
+            order = np.lexsort((ids[column], -score, row))
+            row, column, score = row[order], column[order], score[order]
+            first = np.searchsorted(row, row)  # where the case's documents begin
+            top = np.arange(len(row)) - first < k
+            row, column, score = row[top], column[top], score[top]
+            here = len(ahead)
+            found.append((np.append(case_ids[at + row], case_ids[part]), np.append(ids[column], np.full(here, -1)),
+                          np.append(score, np.zeros(here)), np.append(np.zeros(len(row), np.int64), ahead),
+                          np.append(np.ones(len(row), bool), np.zeros(here, bool))))
         return pa.table([np.concatenate(x) for x in zip(*found, strict=True)], schema=RESULT)
 
     return run
