@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from trustframe.llm import language
@@ -38,3 +39,19 @@ def test_number_signs_are_no_letters(make_docs):
                                                                          (52, "½kg of it", "en", "a", 5)]
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(make_docs(rows)).collect()}
     assert got[50] == got[51] == ("und", 0.0) and got[52][0] == "en"
+
+
+def test_calibration_reads_all_learned_rows(spark):
+    """Scale and limits are those of all rows, not of a part of them."""
+    rng = np.random.default_rng(3)
+    rows = [("a" if i % 3 else "b", [float(x) for x in rng.gamma(2.0, 0.5, 2)], int(i % 50)) for i in range(3000)]
+    model = language.Model({})
+    model.langs, model.limits = ["a", "b"], np.full(2, np.inf)
+    frame = spark.createDataFrame([*rows, ("c", [0.0, 0.0], 9)], "lang string, entropy array<double>, letters long")
+    language.calibrate(model, frame, 0.99)
+    own = {k: [v[j] for lang, v, n in rows if lang == k and n] for j, k in enumerate("ab")}
+    assert np.allclose(model.limits, [np.quantile(own[k], 0.99) for k in "ab"], rtol=1e-12)
+    values, place = np.array([v for _, v, n in rows if n]), np.array(["ab".index(k) for k, _, n in rows if n])
+    loss = [np.log(np.exp(-s * (values - values.min(1, keepdims=True))).sum(1)).mean()
+            + (s * (values[np.arange(len(place)), place] - values.min(1))).mean() for s in language.SCALES]
+    assert model.scale == language.SCALES[int(np.argmin(loss))]

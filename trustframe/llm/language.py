@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trustframe.functions.session import cut_lineage
 from trustframe.llm.characters import (
     WORDS_HELD,
     WordScores,
@@ -128,52 +129,66 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, kind)
 
 
-def calibrate(model: Model, sample: list[tuple[str, list[float], int]], kept: float) -> None:
-    """Sets the scale of the scores and the rejection limits from (lang, entropies, letters) of learned texts.
+SCALES = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)
+
+#: Ranks that the first bound of a limit may be off, as a share, and texts of a language that do without a bound.
+OFF, UNBOUND = 1e-5, 1_000_000
+
+
+def calibrate(model: Model, learned: DataFrame, kept: float) -> None:
+    """Sets the scale of the scores and the rejection limits from all learned rows: lang, entropy, letters.
 
     The scale makes the known languages likeliest; a text is rejected when it fits its language worse than all but
-    1 - ``kept`` of that language's own texts.
+    1 - ``kept`` of that language's own texts. Only the few entropies beyond a bound are sorted for that.
     """
-    rows = [(model.langs.index(lang), np.array(values)) for lang, values, size in sample
-            if size and lang in model.langs]
-    if not rows:
-        return
-    own, values = np.array([x[0] for x in rows]), np.stack([x[1] for x in rows])
-    scales = np.array([1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0])
+    place = F.array_position(F.array(*map(F.lit, model.langs)), F.col("lang")).cast("int")
+    rows = learned.where("letters > 0").withColumn("place", place).where("place > 0").select(
+        "lang", "entropy", F.element_at("entropy", F.col("place")).alias("own"))
+    least = F.array_min("entropy")
 
-    def loss(scale: float) -> float:
-        logits = -scale * (values - values.min(1, keepdims=True))
-        return float((np.log(np.exp(logits).sum(1)) - logits[np.arange(len(own)), own]).mean())
+    def loss(scale: float) -> Column:
+        parts = F.aggregate("entropy", F.lit(0.0), lambda s, x: s + F.exp(scale * (least - x)))
+        return F.avg(F.log(parts) + scale * (F.col("own") - least))
 
-    model.scale = float(scales[int(np.argmin([loss(x) for x in scales]))])
-    for k in range(len(model.langs)):
-        if (own == k).any():
-            model.limits[k] = float(np.quantile(values[own == k, k], kept))
+    losses = rows.agg(*[loss(x) for x in SCALES]).first()
+    if losses[0] is None:
+        return
+    model.scale = SCALES[int(np.argmin(list(losses)))]
+    bounds = rows.groupBy("lang").agg(
+        F.count("*").alias("n"), F.percentile_approx("own", max(0.0, kept - 2 * OFF), int(1 / OFF)).alias("bound"))
+    beyond = (F.col("n") <= UNBOUND) | (F.col("own") >= F.col("bound"))
+    # ranks are counted from the top; the limit lies between two of them
+    place = (F.col("n") - 1) * F.lit(kept)
+    tail = rows.join(bounds, "lang").where(beyond).withColumn("at", F.col("n") - F.row_number().over(
+        Window.partitionBy("lang").orderBy(F.desc("own"))))
+    ends = tail.where((F.col("at") == F.floor(place)) | (F.col("at") == F.ceil(place)))
+    found = ends.groupBy("lang").agg(F.min("own").alias("low"), F.max("own").alias("high"),
+                                     F.first(place - F.floor(place)).alias("part")).collect()
+    for x in found:
+        model.limits[model.langs.index(x["lang"])] = x["low"] + (x["high"] - x["low"]) * x["part"]
 
 
 def _hash(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
-def identify(docs: DataFrame, fold: int = 3, held: int = 1, sample: int = 2000, kept: float = 0.999) -> DataFrame:
+def identify(docs: DataFrame, fold: int = 3, held: int = 1, kept: float = 0.999) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for each row of ``docs``.
 
     Models are learned from all texts with a language whose crc32(doc_id) mod ``fold`` isn't ``held``; a null doc_id
     isn't held out. The language with the lowest cross-entropy per class wins, the first in order on a tie. Texts
     that are null or without a letter give ``und`` with score 0, and so do all texts if there is nothing to learn
-    from. The score is the winner's share after calibration on ``sample`` learned documents, chosen by a hash;
-    ``rejected`` marks texts that fit even their best language badly. Repeated rows give repeated results.
+    from. The score is the winner's share after calibration on all learned documents; ``rejected`` marks texts that fit
+    even their best language badly. Repeated rows give repeated results.
     """
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"),
                        F.coalesce(F.pmod(_hash(), F.lit(fold)) == held, F.lit(False)).alias("held_out"))
     learned = base.where("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL")
     model = train(learned.select("lang", "text"))
     if model.langs:
-        ids = [x[0] for x in learned.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(
-            F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-        chosen = learned.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", "text")
-        calibrate(model, [(x["lang"], x["entropy"], x["letters"]) for x in scored(chosen, model).collect()], kept)
-        found = scored(base.select("doc_id", "held_out", "text"), model)
+        # scored once, for the calibration and for the results
+        found = cut_lineage(scored(base, model))
+        calibrate(model, found.where("NOT held_out AND lang IS NOT NULL"), kept)
     else:
         found = base.select("doc_id", "held_out", F.array().cast("array<double>").alias("entropy"),
                             F.lit(0).cast("long").alias("letters"))
