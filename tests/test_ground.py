@@ -200,3 +200,13 @@ def test_conflicting_numbers_equal_brute_force(spark):
 def text_numbers():
     from trustframe.functions import text
     return text.numbers_with_units(F.col("text"))
+
+
+def test_unsupported_spans_read_the_answer_once(spark):
+    rows = [(1, "A  b c. A b!\u00a0D e", [("a b c.", "unsupported"), ("D e", "contradicted"), ("A b!", "supported"), ("z", "unsupported")]),
+            (2, None, [("a", "unsupported")]), (3, "x", []), (4, "x y", [(None, "unsupported"), ("Y", None)])]
+    frame = spark.createDataFrame(rows, "id int, answer string, items array<struct<claim:string,label:string>>")
+    found = frame.select("id", ground.unsupported_intervals(F.col("answer"), F.col("items")).alias("spans"))
+    assert [[tuple(x) for x in r["spans"]] for r in found.orderBy("id").collect()] == [[(0, 6), (12, 15)], [], [], []]
+    # white space is collapsed once per answer, not for both ends of every claim
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_replace(") == 1

@@ -346,11 +346,12 @@ def interval_overlap(left: Column, right: Column) -> Column:
 
 def unsupported_intervals(answer: Column, items: Column) -> Column:
     """Where the claims that are not supported stand in the answer with white space collapsed."""
-    body = F.lower(text.squeeze(answer))
-    found = F.transform(F.filter(items, lambda c: c["label"] != "supported"), lambda c: text.record(
-        start=F.position(F.lower(c["claim"]), body) - 1,
-        end=F.position(F.lower(c["claim"]), body) - 1 + F.length(c["claim"])))
-    return merge_intervals(F.filter(found, lambda s: s["start"] >= 0))
+    def found(body: Column) -> Column:
+        return F.transform(F.filter(items, lambda c: c["label"] != "supported"), lambda c: text.let(
+            F.position(F.lower(c["claim"]), body) - 1, lambda at: text.record(start=at, end=at + F.length(c["claim"]))))
+
+    spans = text.let(F.lower(text.squeeze(answer)), found)  # the answer is read once, not for each claim
+    return merge_intervals(F.filter(spans, lambda s: s["start"] >= 0))
 
 
 def span_f1(predicted: Column, gold: Column) -> Column:
