@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from trustframe.llm import licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -38,3 +40,26 @@ def test_notices_are_chained_into_spans(make_docs):
     assert span["first"] == 1 and span["last"] == base_by_hand(mit)[0] and span["covered"] == 1.0
     assert 0.8 < rows[1]["score"] < 1 and 0 < rows[2]["score"] < 0.8 and rows[5]["score"] == 0
     assert licenses.scan(make_docs([])).count() == 0
+
+
+class Batches:
+    """Stands for a table: a function over batches is run on the given ones at once."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):  # noqa: N802
+        return list(function(iter(self.batches)))
+
+
+def test_a_batch_is_scanned_some_texts_at_a_time(spark):
+    texts = [f"mit license {k} " + "word " * 60_000 for k in range(20)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(21), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    empty = batch.slice(0, 0)
+    got = licenses.scan(Batches(batch, empty))
+    assert [x for part in got for x in part["doc_id"].to_pylist()] == list(range(21))
+    assert [x for part in got for x in part["n_base"].to_pylist()] == [1] * 20 + [0]
+    assert len(got) > 5 and max(map(len, got)) < 10

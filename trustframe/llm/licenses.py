@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustframe.llm.automaton import SuffixAutomaton
-from trustframe.llm.common import ALPHANUMERIC, as_bytes, slices, word_hashes
+from trustframe.llm.common import ALPHANUMERIC, as_bytes, text_slices, word_hashes
 
 #: Phrases that are counted wherever they stand.
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
@@ -157,7 +157,7 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES,
          base: tuple[tuple[str, str], ...] = BASE, shortest: int = 3, gap: int = 6, least: float = 0.8) -> DataFrame:
     """Licence notices in each text: counts and places of the base phrases, labels, score and covered spans.
 
-    All words are streamed through one automaton. Matches of at least ``shortest`` words are chained when they
+    All words are streamed through one automaton, some texts at a time. Matches of at least ``shortest`` words are chained when they
     follow each other in the text and in the notice, at most ``gap`` words apart; a chain that covers ``least`` of a
     notice is a span and gives its label. The score is the largest covered share of any notice, and 1 where a base
     phrase stands. Null and empty texts have no words, no labels and score 0. The automaton's size is that of the
@@ -166,10 +166,9 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(notices, base)
         for batch in batches:
-            texts = as_bytes(batch["text"])
-            out: list[list] = [[] for _ in range(8)]
-            for a, b in slices((len(x or b"") for x in texts), 1 << 20):
-                hashes, bounds = word_hashes(texts[a:b], ALPHANUMERIC, True)
+            for a, b in text_slices(batch["text"], 1 << 20):
+                out: list[list] = [[] for _ in range(8)]
+                hashes, bounds = word_hashes(as_bytes(batch["text"].slice(a, b - a)), ALPHANUMERIC, True)
                 at = np.minimum(np.searchsorted(automaton.words, hashes), len(automaton.words) - 1)
                 known = automaton.words[at] == hashes
                 for begin, end in zip(bounds, bounds[1:], strict=False):
@@ -184,10 +183,10 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES,
                               1.0 if own else min(1.0, max((x[3] for x in spans), default=0.0)), kept)
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
-            out[7] = [[dict(zip(("label", "first", "last", "covered"), x, strict=True)) for x in y] for y in out[7]]
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct(
-                [("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("covered", pa.float64())]))]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, out, kinds)],
-                                             names=[x.split()[0] for x in SCANNED.split(", ")])
+                out[7] = [[dict(zip(("label", "first", "last", "covered"), x, strict=True)) for x in y] for y in out[7]]
+                kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct(
+                    [("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("covered", pa.float64())]))]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), *map(pa.array, out, kinds)],
+                                                 names=[x.split()[0] for x in SCANNED.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCANNED)
