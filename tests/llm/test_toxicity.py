@@ -77,3 +77,17 @@ def test_rare_runs_count_beside_a_million_frequent_ones(spark):
     asked = _texts(spark, [(0, "éaéaéb"), (1, "éaéaéc")])
     found = {r["toxic"]: r["toxic_part"] for r in toxicity.features(asked, toxicity.train(_texts(spark, rows)), 16).collect()}
     assert found[1] > found[0] + 0.5
+
+
+def test_words_are_scored_some_at_a_time():
+    words, sizes = [f"w{k}" for k in range(40_000)], []
+
+    def score(some):
+        sizes.append(len(some))
+        return np.array([[int(word[1:])] for word in some], np.float32)
+
+    scores = characters.WordScores(score, 1)
+    first, second = scores.rows([words, words[:7] + ["w50000"]])
+    assert scores.matrix[first, 0].tolist() == list(range(40_000))
+    assert scores.matrix[second, 0].tolist() == [*range(7), 50_000]
+    assert sum(sizes) == 40_001 and max(sizes) <= 1 << 14

@@ -12,6 +12,8 @@ WORD = re.compile(r"[^\W\d_]+")
 BITS = 6
 #: Distinct words a task keeps at a time, for counting and for scores.
 WORDS_HELD = 200_000
+#: Words whose runs a task makes at a time.
+WORDS_SCORED = 1 << 14
 
 
 def letter_classes(text: str) -> np.ndarray:
@@ -102,7 +104,8 @@ class WordScores(dict):
             self.matrix = self.matrix[:0]
         found = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
         if self.new:
-            self.matrix = np.concatenate([self.matrix, self.score(self.new)])
+            parts = [self.score(self.new[at:at + WORDS_SCORED]) for at in range(0, len(self.new), WORDS_SCORED)]
+            self.matrix = np.concatenate([self.matrix, *parts])
             self.new = []
         return found
 

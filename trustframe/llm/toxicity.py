@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from trustframe.llm.characters import (
     BITS,
     WORDS_HELD,
+    WORDS_SCORED,
     WordScores,
     kneser_ney,
     probability,
@@ -48,8 +49,9 @@ def gram_counts(texts: DataFrame) -> DataFrame:
         held = Counter(), Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            words = list(held[0] | held[1])
-            if words:
+            every = list(held[0] | held[1])
+            for at in range(0, len(every), 4 * WORDS_SCORED):
+                words = every[at:at + 4 * WORDS_SCORED]
                 codes, owner = word_grams(words, ORDER)
                 kinds, inverse = np.unique(codes, return_inverse=True)
                 sums = [np.bincount(inverse, np.array([own[word] for word in words])[owner]).astype(np.int64)
@@ -60,10 +62,11 @@ def gram_counts(texts: DataFrame) -> DataFrame:
                 own.clear()
 
         for batch in batches:
-            for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-                held[toxic].update(words_of(text))
-            if len(held[0]) + len(held[1]) > WORDS_HELD:
-                yield from flush()
+            for a, b in text_slices(batch["text"], 1 << 19):
+                for text, toxic in zip(*(batch[c].slice(a, b - a).to_pylist() for c in ("text", "toxic")), strict=True):
+                    held[toxic].update(words_of(text))
+                if len(held[0]) + len(held[1]) > WORDS_HELD:
+                    yield from flush()
         yield from flush()
 
     counts = texts.select("toxic", "text").mapInArrow(count, "code long, t long, o long")
@@ -180,7 +183,7 @@ def _word_logs(shared: Broadcast) -> Callable[[pa.RecordBatch], Iterator[tuple[i
 
     def logs(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         before = batch["word_logs"] if "word_logs" in batch.schema.names else None
-        for a, b in text_slices(batch["text"], 2 << 20):
+        for a, b in text_slices(batch["text"], 1 << 19):
             texts = batch["text"].slice(a, b - a).to_pylist()
             for k, rows in enumerate(scores.rows([words_of(x) for x in texts]), a):
                 if len(rows):
