@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from trustframe.functions import alignment
@@ -62,3 +63,28 @@ def test_clashing_names_are_refused(spark):
     frame = spark.createDataFrame([(1, ["a"], "a")], "pos int, claims array<string>, text string")
     with pytest.raises(ValueError, match="pos"):
         alignment.align(frame)
+
+
+def test_edits_of_many_pairs_equal_single_ones(monkeypatch):
+    draw = random.Random(4)
+    claims = ["".join(draw.choices("abc ß🙂", k=k)) for k in (0, 1, 63, 64, 65, 128, 129, 200)]
+    texts = ["".join(draw.choices("abc ß🙂", k=k)) for k in (0, 1, 64, 90, 128, 150)]
+    one, other = (x.ravel() for x in np.indices((len(claims), len(texts))))
+    expected = [list(alignment._distances(claims[a], texts[b], True))[-1] if claims[a] and texts[b]
+                else len(claims[a] + texts[b]) for a, b in zip(one, other, strict=True)]
+    for cells in (alignment.CELLS, 300):  # all at once, and a few at a time
+        monkeypatch.setattr(alignment, "CELLS", cells)
+        assert alignment.edit_distances(claims, texts, one, other).tolist() == expected
+
+
+def test_gold_is_aligned_in_blocks_of_pairs(spark):
+    rows = [(1, "the tower is tall", [("the tower is not tall", "a"), None, ("the tower is tall!", "b"), (None, "c")]),
+            (2, "x", [("a much longer text", "a")]), (3, None, [("x", "a")]), (4, "x", None), (5, "x", []), (6, "", [("", "a")]),
+            (7, "same", [("sama", "a"), ("samb", "b")])]
+    claims = spark.createDataFrame(rows, "id long, claim string, gold array<struct<text: string, label: string>>")
+    aligned = ground.align_gold(claims)
+    assert aligned.columns == ["id", "claim", "gold", "gold_label", "gold_similarity"]
+    assert "levenshtein" not in aligned._jdf.queryExecution().toString()
+    found = {r["id"]: (r["gold_label"], r["gold_similarity"]) for r in aligned.collect()}
+    none = (None, None)
+    assert found == {1: ("b", 0.944444444), 2: none, 3: none, 4: none, 5: none, 6: none, 7: ("a", 0.75)}

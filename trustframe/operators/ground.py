@@ -431,20 +431,21 @@ def evaluate(samples: DataFrame, keys: list[str], q_hat: float = 0.70) -> DataFr
 def align_gold(claims: DataFrame, least: float = 0.60) -> DataFrame:
     """Best gold claim of each claim by edit similarity above ``least``; null when there is none.
 
-    ``claims`` has ``claim`` and ``gold`` (array of text, label). Lengths rule pairs out first.
+    ``claims`` has ``claim`` and ``gold`` (array of text, label). Lengths rule pairs out first; the edits of the others
+    are counted in blocks of pairs.
     """
-    def similarity(gold: Column) -> Column:
-        a, b = F.col("claim"), gold
-        longer = F.greatest(F.length(a), F.length(b))
-        possible = F.abs(F.length(a) - F.length(b)) < longer * (1 - least)
-        return F.when(possible, F.round(1 - F.levenshtein(a, b) / longer, 9)).otherwise(F.lit(0.0))
+    def similarity(gold: Column, i: Column) -> Column:
+        longer = F.greatest(F.length("claim"), F.length(gold))
+        return F.coalesce(F.round(1 - F.get(F.col("_edits"), i) / longer, 9), F.lit(0.0))
 
+    claims = claims.withColumn("_edits", alignment.close_edits(
+        F.col("claim"), F.transform("gold", lambda g: g["text"]), least))
     best = F.array_max(F.transform("gold", lambda g, i: text.record(
-        similarity=similarity(g["text"]), order=-i, text=g["text"], label=g["label"])))
+        similarity=similarity(g["text"], i), order=-i, text=g["text"], label=g["label"])))
     frame = claims.withColumn("_best", best)
     hit = F.col("_best.similarity") > least
     return (frame.withColumn("gold_label", F.when(hit, F.col("_best.label")))
-            .withColumn("gold_similarity", F.when(hit, F.col("_best.similarity"))).drop("_best"))
+            .withColumn("gold_similarity", F.when(hit, F.col("_best.similarity"))).drop("_best", "_edits"))
 
 
 def gold_scores(aligned: DataFrame, keys: list[str]) -> DataFrame:
