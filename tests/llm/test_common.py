@@ -79,3 +79,18 @@ def test_bitmap_misses_no_member(spark):
     inside = {r[0] for r in some.rows(rows, "doc_id").collect()}
     outside = {r[0] for r in some.rows(rows, "doc_id", inside=False).collect()}
     assert set(range(0, 1000, 10)) <= inside and None in outside and len(inside) + len(outside) == 1001
+
+
+def test_bitmap_passes_no_rows_through_python(spark):
+    rows = spark.createDataFrame([(1, "a long text"), (2, "b")], "doc_id long, text string")
+    plan = common.Bitmap(spark.range(1, 2)).rows(rows, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+
+
+def test_bitmap_of_hashes_is_asked_inside_tasks(spark):
+    hashes = np.array([-1, 0, 5, 1 << 62, -(1 << 63)])
+    some = common.Bitmap(spark.createDataFrame([(int(x),) for x in hashes], "h long"), 10, hashed=True)
+    assert some.mask()(hashes).all() and some.mask()(hashes.view(np.uint64)).all()
+    assert some.mask()(np.arange(1024)).sum() == 3  # slots 0, 5 and 1023
+    rows = spark.createDataFrame([(int(x),) for x in hashes] + [(7,), (None,)], "h long")
+    assert some.rows(rows, "h").count() == 5 and some.rows(rows, "h", inside=False).count() == 2

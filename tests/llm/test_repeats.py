@@ -3,6 +3,7 @@ import hashlib
 import pytest
 
 from trustframe.llm import repeats
+from trustframe.llm.common import Bitmap
 
 
 def by_hand(rows, window=13):
@@ -60,3 +61,15 @@ def test_one_id_with_two_texts(make_docs, swap):
     got = repeats.remove_repeats(make_docs(rows[::-1] if swap else rows)).collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [
         (1, 30, 0), (2, 2, 0), (2, 32, 30), (2, 32, 30), (2, 60, 0)]
+
+
+def test_anchors_are_sifted_where_they_are_found(make_docs, prose):
+    docs = make_docs(prose, clash=False).select("doc_id", "text")
+    every = repeats.anchors(docs, 13)
+    wanted = every.select("anchor").distinct().limit(50)
+    sifted = repeats.anchors(docs, 13, Bitmap(wanted, 20, hashed=True))
+    assert sifted._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    key = lambda df: sorted(map(tuple, df.select("anchor", "doc_id").collect()))
+    known = {r[0] for r in wanted.collect()}
+    assert [x for x in key(sifted) if x[0] in known] == [x for x in key(every) if x[0] in known]
+    assert sifted.count() < every.count()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,28 +38,42 @@ class Bitmap:
     its shuffle.
     """
 
-    def __init__(self, members: DataFrame, bits: int = 23):
-        """``members`` has one column of longs without nulls."""
-        slot = F.pmod(F.xxhash64(members.columns[0]), F.lit(1 << bits))
-        words = members.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+    def __init__(self, members: DataFrame, bits: int = 23, hashed: bool = False):
+        """``members`` has one column of longs without nulls; if they are hashes already, their low bits are the slot."""
+        self.size, self.hashed = 1 << bits, hashed
+        words = members.select(self._slot(members.columns[0]).alias("slot")).groupBy(
+            F.shiftright("slot", 6).alias("word")).agg(
             F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits")).toArrow()
         bitmap = np.zeros(1 << bits - 6, np.int64)
         bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
-        self.size, self.shared = 1 << bits, members.sparkSession.sparkContext.broadcast(bitmap)
+        self.shared = members.sparkSession.sparkContext.broadcast(bitmap)
+
+    def _slot(self, key: str) -> Column:
+        return F.pmod(F.col(key) if self.hashed else F.xxhash64(key), F.lit(self.size))
+
+    def mask(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Which of an array of hashes may be members, for use inside tasks; only if the members are hashes."""
+        shared, low = self.shared, self.size - 1
+
+        def held(hashes: np.ndarray) -> np.ndarray:
+            at = hashes.view(np.int64) & low
+            return (shared.value[at >> 6] >> (at & 63) & 1) == 1
+
+        return held
 
     def rows(self, df: DataFrame, key: str, inside: bool = True) -> DataFrame:
-        """Rows of ``df`` whose ``key`` may be a member, or the other rows; a null key is no member."""
+        """Rows of ``df`` whose ``key`` may be a member, or the other rows; a null key is no member.
+
+        Only the slots pass through Python; the rows stay where they are.
+        """
         shared = self.shared
 
-        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch["bitmap_slot"].to_numpy(zero_copy_only=False)
-                found = (at >= 0) & ((shared.value[at >> 6] >> (at & 63) & 1) == 1)
-                yield batch.filter(pa.array(found == inside)).drop_columns(["bitmap_slot"])
+        def sift(slots: pa.Array) -> pa.Array:
+            at = slots.to_numpy(zero_copy_only=False)
+            return pa.array(((at >= 0) & ((shared.value[at >> 6] >> (at & 63) & 1) == 1)) == inside)
 
-        slot = F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(
-            F.pmod(F.xxhash64(key), F.lit(self.size)))
-        return df.withColumn("bitmap_slot", slot).mapInArrow(sift, df.schema)
+        slot = F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(self._slot(key))
+        return df.where(F.arrow_udf(sift, "boolean")(slot))
 
 
 def byte_set(*spans: tuple[int, int]) -> np.ndarray:

@@ -49,17 +49,21 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
 
 
 def anchors(docs: DataFrame, window: int, sift: Bitmap | None = None) -> DataFrame:
-    """anchor, doc_id: the anchors of each text, only those in ``sift`` if given."""
+    """anchor, doc_id: the anchors of each text, only those in ``sift`` if given, which are left out where they are found."""
+    held = sift.mask() if sift else None
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids = batch["doc_id"].to_numpy()
             for at, words, bounds in _chunks(batch):
                 text, anchor, _, _ = _runs(words, bounds, window)
+                if held:
+                    kept = held(anchor)
+                    text, anchor = text[kept], anchor[kept]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc_ids[at + text])],
                                                  names=["anchor", "doc_id"])
 
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(find, "anchor long, doc_id long")
-    return sift.rows(rows, "anchor") if sift else rows
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(find, "anchor long, doc_id long")
 
 
 def _pieces(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
@@ -162,7 +166,7 @@ def covered_windows(docs: DataFrame, window: int = 13, shard_pieces: int = 3000,
     """
     spread = anchors(docs, window).groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     repeated = stored(spread.where("low < high").select("anchor"), "repeated-anchors")
-    sift = Bitmap(repeated, ANCHOR_BITS)
+    sift = Bitmap(repeated, ANCHOR_BITS, hashed=True)
     hits = stored(anchors(docs, window, sift).join(repeated, "anchor", "left_semi").groupBy("doc_id").agg(
         F.collect_list("anchor").alias("anchors")), "anchors-of-documents")
     pieces = stored(_pieces(docs, hits, window), "pieces")
