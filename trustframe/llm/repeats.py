@@ -16,8 +16,8 @@ from trustframe.llm.common import SPACED, Bitmap, as_bytes, shingles, stored, te
 
 #: Words of an anchor; every window of at least this many words has one.
 ANCHOR = 5
-#: Bits of the map of repeated anchors that tasks hold: 8 MB.
-ANCHOR_BITS = 26
+#: Least and most bits of a map of anchors that tasks hold: 8 MB and 32 MB.
+ANCHOR_BITS, MOST_BITS = 26, 28
 NO_DOC = np.iinfo(np.int64).max
 
 
@@ -66,33 +66,32 @@ def anchors(docs: DataFrame, window: int, sift: Bitmap | None = None) -> DataFra
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(find, "anchor long, doc_id long")
 
 
-def _pieces(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
-    """anchor, piece, doc_id, row_key, start, words: the runs of windows with a repeated anchor in each text.
+def _pieces(docs: DataFrame, sift: Bitmap, window: int, worded: bool = False) -> DataFrame:
+    """anchor, piece, doc_id, row_key, start, windows: the runs of windows whose anchor may be in ``sift``.
 
-    A piece has all words of its windows, as 32-bit hashes; ``piece`` is the hash of them.
+    ``piece`` is the hash of all words of the windows, as 32-bit hashes; if ``worded``, they are a column too.
     """
+    held = sift.mask()
+    names = ["anchor", "piece", "doc_id", "row_key", "start", "windows", "words"][:7 if worded else 6]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids, row_keys = batch["doc_id"].to_numpy(), batch["row_key"].to_numpy()
             for at, words, bounds in _chunks(batch):
                 text, anchor, first, count = _runs(words, bounds, window)
-                wanted = batch["anchors"].slice(at, len(bounds) - 1)
-                repeated = np.unique(wanted.flatten().to_numpy().view(np.uint64))
-                # an anchor that is repeated for one of the texts at hand is repeated for all that have it
-                found = np.flatnonzero(np.isin(anchor, repeated))
+                found = np.flatnonzero(held(anchor))
                 short = (words >> np.uint64(32)).astype("<u4").tobytes()
                 text, first, count = text[found], first[found], count[found]
                 begin = bounds[text] + first
                 own = [short[4 * x:4 * y] for x, y in zip(begin.tolist(), (begin + count + window - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[found].view(np.int64)), pa.array(map(hash_bytes, own), pa.int64()),
-                     pa.array(doc_ids[at + text]), pa.array(row_keys[at + text]), pa.array(first.astype(np.int32)),
-                     pa.array(own, pa.binary())], names=["anchor", "piece", "doc_id", "row_key", "start", "words"])
+                columns = [pa.array(anchor[found].view(np.int64)), pa.array(map(hash_bytes, own), pa.int64()),
+                           pa.array(doc_ids[at + text]), pa.array(row_keys[at + text]),
+                           pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.binary())][:len(names)], names=names)
 
-    ids = hits.select(F.col("doc_id").alias("hit_id"), "anchors")
-    texts = Bitmap(hits.select("doc_id")).rows(docs.select("doc_id", "row_key", "text"), "doc_id")
-    joined = texts.join(ids, F.col("doc_id") == F.col("hit_id")).select("doc_id", "row_key", "text", "anchors")
-    return joined.mapInArrow(cut, "anchor long, piece long, doc_id long, row_key long, start int, words binary")
+    schema = "anchor long, piece long, doc_id long, row_key long, start int, windows int"
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "row_key", "text").mapInArrow(
+        cut, schema + ", words binary" if worded else schema)
 
 
 def hash_bytes(data: bytes) -> int:
@@ -100,22 +99,24 @@ def hash_bytes(data: bytes) -> int:
 
 
 def _single_windows(pieces: DataFrame, window: int) -> DataFrame:
-    """Pieces cut into their windows, each with its own hash as the anchor."""
-    names = ["anchor", "piece", "doc_id", "row_key", "start", "words"]
+    """Worded pieces cut into their windows, each with its own hash as the anchor; the words are left out."""
+    names = ["anchor", "doc_id", "row_key", "start", "windows"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for doc_id, row_key, start, words in zip(*(batch[c].to_pylist() for c in names[2:]), strict=True):
+            rows: list[list] = [[], [], [], []]
+            for doc_id, row_key, start, words in zip(*(batch[c].to_pylist() for c in ("doc_id", "row_key", "start", "words")),
+                                                     strict=True):
                 for k in range(len(words) // 4 - window + 1):
-                    own = words[4 * k:4 * (k + window)]
-                    for column, value in zip(rows, (hash_bytes(own), doc_id, row_key, start + k, own), strict=True):
+                    own = hash_bytes(words[4 * k:4 * (k + window)])
+                    for column, value in zip(rows, (own, doc_id, row_key, start + k), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip([rows[0], *rows], (*[pa.int64()] * 4, pa.int32(), pa.binary()),
-                                                strict=True)], names=names)
+                [*(pa.array(x, t) for x, t in zip(rows, (*[pa.int64()] * 3, pa.int32()), strict=True)),
+                 pa.array(np.ones(len(rows[0]), np.int32))], names=names)
 
-    return pieces.select(names).mapInArrow(cut, pieces.select(names).schema)
+    return pieces.select("doc_id", "row_key", "start", "words").mapInArrow(
+        cut, "anchor long, doc_id long, row_key long, start int, windows int")
 
 
 def first_documents(references: list[tuple[int, list[int]]], window: int) -> list[list[int]]:
@@ -153,51 +154,76 @@ def first_documents(references: list[tuple[int, list[int]]], window: int) -> lis
     return answers
 
 
+def _after_first(pieces: DataFrame, lows: DataFrame) -> DataFrame:
+    """doc_id, row_key, starts of all windows of the pieces whose document isn't the first (``lows``) with their anchor."""
+    later = pieces.select("anchor", "doc_id", "row_key", "start", "windows").join(
+        lows.select("anchor", "low"), "anchor").where("doc_id > low")
+    return later.select("doc_id", "row_key", F.sequence("start", F.col("start") + F.col("windows") - 1).alias("starts"))
+
+
+def _anchor_map(found: DataFrame) -> Bitmap:
+    """Map of a written column of anchors; it has eight bits per anchor, between 8 MB and 32 MB in all.
+
+    With more anchors others pass more often. They cost rows, but nothing goes by them.
+    """
+    return Bitmap(found, min(max((8 * found.count()).bit_length(), ANCHOR_BITS), MOST_BITS), hashed=True)
+
+
 def covered_windows(docs: DataFrame, window: int = 13, shard_pieces: int = 3000, anchor_pieces: int = 1000) -> DataFrame:
     """doc_id, row_key, starts: the first words of all windows that also start in a document with a smaller doc_id.
 
     ``docs`` has doc_id, text and row_key, a hash of the text, which tells rows of one doc_id apart. Repeated rows give
     their starts more than once.
-    Anchors that stand in several documents are found first; only the words around them go on. Equal windows have
-    equal anchors, so pieces dealt to shards by their anchor meet all that can match them, and each shard's automaton
-    has a bounded number of different pieces. An anchor with more than ``anchor_pieces`` different surroundings is
-    split: its pieces are cut into single windows, which are dealt by their own hash. Equal pieces are merged first,
-    so copies cost one, and a piece that is alone with its anchor has nothing to be streamed against.
+    Anchors that stand in several documents are found first; only the words around them go on, and texts are read where
+    they are, not moved. Equal windows have equal anchors. Where all pieces of an anchor are equal, each of their windows
+    stands first in the smallest document that has the anchor, and no words are moved. The other pieces are dealt to
+    shards by their anchor, so they meet all that can match them, and each shard's automaton has a bounded number of
+    different pieces. An anchor with more than ``anchor_pieces`` different surroundings is split: its pieces are cut into
+    single windows, which are compared by their own hash. Equal pieces are merged first, so copies cost one.
     """
     spread = anchors(docs, window).groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     repeated = stored(spread.where("low < high").select("anchor"), "repeated-anchors")
-    sift = Bitmap(repeated, ANCHOR_BITS, hashed=True)
-    hits = stored(anchors(docs, window, sift).join(repeated, "anchor", "left_semi").groupBy("doc_id").agg(
-        F.collect_list("anchor").alias("anchors")), "anchors-of-documents")
-    pieces = stored(_pieces(docs, hits, window), "pieces")
-    wide = stored(pieces.select("anchor", "piece").distinct().groupBy("anchor").count().where(
+    pieces = stored(_pieces(docs, _anchor_map(repeated), window), "pieces")
+    kinds = stored(pieces.groupBy("anchor").agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.min("piece") == F.max("piece")).alias("alone"))
+        .where("low < high").select("anchor", "low", "alone"), "kinds-of-anchors")
+    found = _after_first(pieces, kinds.where("alone"))
+    several = kinds.where("NOT alone").select("anchor")
+    if several.isEmpty():
+        return _starts(found)
+    worded = stored(_pieces(docs, _anchor_map(several), window, worded=True), "worded-pieces")
+    wide = stored(worded.select("anchor", "piece").distinct().groupBy("anchor").count().where(
         F.col("count") > anchor_pieces).select("anchor"), "wide-anchors")
     if not wide.isEmpty():
-        narrow = pieces.join(wide, "anchor", "left_anti")
-        cut = _single_windows(pieces.join(wide, "anchor", "left_semi").select(pieces.columns), window)
-        pieces = stored(narrow.select(pieces.columns).unionByName(cut), "pieces")
-    references = stored(pieces.groupBy("anchor", "piece").agg(
+        single = stored(_single_windows(worded.join(wide, "anchor", "left_semi"), window), "single-windows")
+        found = found.unionByName(_after_first(single, single.groupBy("anchor").agg(
+            F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")))
+        worded = worded.join(wide, "anchor", "left_anti")
+    references = stored(worded.groupBy("anchor", "piece").agg(
         F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("words").alias("words")), "references")
     shards = max(1, -(-references.count() // shard_pieces))
 
     def search(table: pa.Table) -> pa.Table:
-        anchor, doc_ids = table["anchor"].to_numpy(), table["doc_id"].to_pylist()
-        words = [np.frombuffer(x, "<u4") for x in table["words"].to_pylist()]
-        _, which, mates = np.unique(anchor, return_inverse=True, return_counts=True)
-        together = np.flatnonzero(mates[which] > 1)
-        found = [[doc_id] * (len(own) - window + 1) for doc_id, own in zip(doc_ids, words, strict=True)]
-        met = first_documents([(doc_ids[k], words[k].tolist()) for k in together], window)
-        for k, firsts in zip(together, met, strict=True):
-            found[k] = firsts
-        return pa.table({"piece": table["piece"], "firsts": pa.array(found, pa.list_(pa.int64()))})
+        _, which, mates = np.unique(table["anchor"].to_numpy(), return_inverse=True, return_counts=True)
+        table = table.filter(pa.array(mates[which] > 1))  # the map lets a few others pass
+        doc_ids, last = table["doc_id"].to_pylist(), table["last"].to_pylist()
+        words = [np.frombuffer(x, "<u4").tolist() for x in table["words"].to_pylist()]
+        met = first_documents(list(zip(doc_ids, words, strict=True)), window)
+        later = [k for k, firsts in enumerate(met) if min(firsts) < last[k]]
+        return pa.table({"piece": table["piece"].take(pa.array(later, pa.int64())),
+                         "firsts": pa.array([met[k] for k in later], pa.list_(pa.int64()))})
 
     sharded = references.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     firsts = stored(sharded.groupBy("shard").applyInArrow(search, "piece long, firsts array<long>"), "firsts")
-    places = pieces.select("piece", "doc_id", "row_key", "start").join(firsts, "piece")
+    places = worded.select("piece", "doc_id", "row_key", "start").join(firsts, "piece")
     starts = F.filter(F.transform("firsts", lambda first, k: F.when(first < F.col("doc_id"), k + F.col("start"))),
                       lambda x: x.isNotNull())
-    return places.select("doc_id", "row_key", starts.alias("starts")).where(F.size("starts") > 0).groupBy(
-        "doc_id", "row_key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return _starts(found.unionByName(places.select("doc_id", "row_key", starts.alias("starts")).where(F.size("starts") > 0)))
+
+
+def _starts(found: DataFrame) -> DataFrame:
+    """doc_id, row_key and all starts that were found for them."""
+    return found.groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 CUT = ("doc_id", "n_words", "n_removed", "kept_sha256", "text", "carried")
