@@ -1,6 +1,9 @@
 import random
+import re
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trustframe.llm import common
@@ -94,3 +97,15 @@ def test_bitmap_of_hashes_is_asked_inside_tasks(spark):
     assert some.mask()(np.arange(1024)).sum() == 3  # slots 0, 5 and 1023
     rows = spark.createDataFrame([(int(x),) for x in hashes] + [(7,), (None,)], "h long")
     assert some.rows(rows, "h").count() == 5 and some.rows(rows, "h", inside=False).count() == 2
+
+
+def test_free_memory_of_a_task_goes_back():
+    def held():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    batch = pa.RecordBatch.from_pydict({"a": [1]})
+    before = held()
+    for _ in common.released([batch, batch]):
+        arrays = [np.ones(8000) for _ in range(4000)]  # 256 MB in pieces too small for mappings of their own
+        pin, arrays = arrays[-1], None
+    assert len(pin) and held() < before + 64

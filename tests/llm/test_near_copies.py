@@ -100,3 +100,17 @@ def test_case_and_spacing_make_no_difference(make_docs):
             (8, "short text"), (2, "Short Text")]
     got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(make_docs(rows)).collect()}
     assert got == {5: 3, 3: 3, 9: 9, 8: 2, 2: 2}
+
+
+def test_a_star_makes_one_row_per_text(make_docs, monkeypatch):
+    rows = families(600)
+    seen, plain = [], near_copies._likely_stars
+
+    def spied(stars, side, percent):
+        seen.append((stars.count(), stars.select("key", "node").distinct().count()))
+        return plain(stars, side, percent)
+
+    monkeypatch.setattr(near_copies, "_likely_stars", spied)
+    got = near_copies.near_copies(make_docs(rows), leaf=8, cross=200).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == by_hand(rows)
+    assert seen[0][0] and all(pairs == texts for pairs, texts in seen)

@@ -73,3 +73,22 @@ def test_anchors_are_sifted_where_they_are_found(make_docs, prose):
     known = {r[0] for r in wanted.collect()}
     assert [x for x in key(sifted) if x[0] in known] == [x for x in key(every) if x[0] in known]
     assert sifted.count() < every.count()
+
+
+def test_words_move_only_for_anchors_with_different_surroundings(make_docs, monkeypatch):
+    shared = " ".join(f"s{k}" for k in range(30))
+    rows = [(k, f"{shared} " + " ".join(f"own{k}w{j}" for j in range(12))) for k in range(40)]
+    rows += [(100 + k, " ".join(f"copy{j}" for j in range(30))) for k in range(40)]
+    labels, whole = {}, repeats.stored
+
+    def spied(df, label):
+        labels[label] = whole(df, label)
+        return labels[label]
+
+    monkeypatch.setattr(repeats, "stored", spied)
+    got = repeats.remove_repeats(make_docs(rows)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {
+        **{k: 30 * (k > 0) for k in range(40)}, **{100 + k: 30 * (k > 0) for k in range(40)}}
+    assert "words" not in labels["pieces"].columns
+    worded = labels["worded-pieces"].count() if "worded-pieces" in labels else 0
+    assert worded < labels["pieces"].count() / 2

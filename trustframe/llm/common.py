@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from trustframe.functions.session import checkpoint_folder
 
 #: Bytes hashed at a time; longer texts are cut between words, so memory stays bounded.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEED = np.random.default_rng(20240229)
 _TABLE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -31,6 +32,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task. After each, memory that is free by then goes back to the system.
+
+    Python workers are kept for later tasks; without this each of them keeps the most that it ever held.
+    """
+    for batch in batches:
+        yield batch
+        del batch
+        release()
+
+
+def release() -> None:
+    """Gives free memory of Arrow, and, where the C library can, that of NumPy and Python back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class Bitmap:
     """A set of 64-bit numbers hashed into a fixed number of bits: no member is missed, a few others pass.
 

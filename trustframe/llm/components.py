@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import stored
+from trustframe.llm.common import released, stored
 
 #: Links that a task holds at a time.
 HELD = 1 << 18
@@ -38,7 +38,7 @@ def _contracted(links: DataFrame, held: int) -> DataFrame:
     """
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = v = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in released(batches):
             for part in pa.Table.from_batches([batch]).to_batches(max_chunksize=held):
                 u, v = _least(np.append(u, part["u"].to_numpy()), np.append(v, part["v"].to_numpy()))
                 if len(u) >= held:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import SPACED, Bitmap, as_bytes, mix, shingles, stored, text_slices, word_hashes
+from trustframe.llm.common import SPACED, Bitmap, as_bytes, mix, released, shingles, stored, text_slices, word_hashes
 from trustframe.llm.components import components
 
 #: Minwise tokens per text, and the odd factors that draw them.
@@ -48,7 +48,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     Texts of one node have the same words in the same order, so the same set. Without words, node and tokens are null.
     """
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             texts = batch["text"]
             nodes, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             tokens = np.zeros((len(texts), TOKENS), np.int32)
@@ -58,8 +58,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 if len(own):
                     sketches[k] = _sketch(own)
                     nodes[k] = _node(words)
-                    for at in range(0, len(own), 1 << 14):
-                        part = (own[at:at + (1 << 14), None] * FACTORS).min(0) >> np.uint64(32)
+                    for at in range(0, len(own), 1 << 12):
+                        part = (own[at:at + (1 << 12), None] * FACTORS).min(0) >> np.uint64(32)
                         part = part.astype(np.uint32)
                         tokens[k] = (part if at == 0 else np.minimum(part, tokens[k].view(np.uint32))).view(np.int32)
             none = sizes == 0
@@ -83,7 +83,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     (``repeated``), one of the equal sets stays.
     """
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             nodes, found, kept = batch["node"].to_numpy(), [], []
             for k, words, own in _sets(batch["text"], width):
                 if len(words) and _node(words) == nodes[k]:
@@ -127,7 +127,7 @@ def _children(members: DataFrame, signed: DataFrame, seed: int) -> DataFrame:
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows sorted by key as tables of whole keys, some keys at a time."""
     held: pa.Table | None = None
-    for batch in batches:
+    for batch in released(batches):
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([held, table]) if held is not None and len(held) else table
         keys = table["key"].to_numpy()
@@ -189,6 +189,41 @@ def _likely(members: DataFrame, percent: int) -> DataFrame:
         compare, "key long, a long, b long, n_a long, n_b long")
 
 
+def _likely_stars(stars: DataFrame, side: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a text and the pivot of its node (key, node, pivot) that may be similar enough: key, a, b, n_a, n_b.
+
+    A pair is one row with both sketches, judged in the task where the second join leaves it, so a star needs no group
+    and rows grow with the texts.
+    """
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in released(batches):
+            size, other = batch["n_shingles"].to_numpy(), batch["pivot_shingles"].to_numpy()
+            near, far = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, BINS)
+                         for c in ("sketch", "pivot_sketch"))
+            fits = 100 * np.minimum(size, other) >= percent * np.maximum(size, other)
+            passed = np.flatnonzero(fits & _passes(near, far, size, other, percent)[0])
+            yield batch.select(["key", "node", "pivot", "n_shingles", "pivot_shingles"]).take(pa.array(passed))
+
+    pivots = side.toDF("pivot", "pivot_shingles", "pivot_sketch")
+    both = stars.join(side, "node").join(pivots, "pivot").select(
+        "key", "node", "pivot", "n_shingles", "pivot_shingles", "sketch", "pivot_sketch")
+    found = both.mapInArrow(compare, "key long, node long, pivot long, n_shingles long, pivot_shingles long")
+    first = F.col("node") < F.col("pivot")
+    return found.select("key", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"),
+                        F.when(first, F.col("n_shingles")).otherwise(F.col("pivot_shingles")).alias("n_a"),
+                        F.when(first, F.col("pivot_shingles")).otherwise(F.col("n_shingles")).alias("n_b"))
+
+
+def _passes(near: np.ndarray, far: np.ndarray, size: np.ndarray, other: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Whether sketches of sets of the given sizes may belong to similar sets, see ``_alike``; share of bins that agree."""
+    wanted = percent / 100
+    filled = ((near | far) != 0).sum(1)
+    agree = ((near == far) & (near != 0)).sum(1)
+    united = (size + other) / (1 + wanted)
+    spread = filled * wanted * (1 - wanted) * np.maximum(1 - filled / united, 1 / 9)
+    return agree >= filled * wanted - 5 * np.sqrt(spread) - 2, agree / filled
+
+
 def _alike(root: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
     """Pairs of rows of different components that may be similar enough, and the share of bins that agree.
 
@@ -198,7 +233,7 @@ def _alike(root: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int)
     and two bins are granted besides. All but one in three million links pass.
     Every pair has a row outside of the largest component, so only those are gone through.
     """
-    none, wanted = np.zeros(0, np.int64), percent / 100
+    none = np.zeros(0, np.int64)
     left, right, agreeing = [none], [none], [np.zeros(0)]
     roots, which, counts = np.unique(root, return_inverse=True, return_counts=True)
     if len(roots) > 1:
@@ -209,15 +244,10 @@ def _alike(root: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int)
             every = np.flatnonzero(fits)
             for begin in range(0, len(every), 1 << 13):
                 other = every[begin:begin + (1 << 13)]
-                near = sketch[other]
-                filled = ((near | sketch[at]) != 0).sum(1)
-                agree = ((near == sketch[at]) & (near != 0)).sum(1)
-                united = (size[other] + size[at]) / (1 + wanted)
-                spread = filled * wanted * (1 - wanted) * np.maximum(1 - filled / united, 1 / 9)
-                passed = agree >= filled * wanted - 5 * np.sqrt(spread) - 2
+                passed, agree = _passes(sketch[other], sketch[at], size[other], size[at], percent)
                 left.append(np.full(passed.sum(), at))
                 right.append(other[passed])
-                agreeing.append(agree[passed] / filled[passed])
+                agreeing.append(agree[passed])
     return np.concatenate(left), np.concatenate(right), np.concatenate(agreeing)
 
 
@@ -354,12 +384,9 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int, roots: i
             if inside.isEmpty():  # every node lies in one component
                 break
             small, large = inside.where(F.col("size") <= leaf), inside.where(F.col("size") > leaf)
-            # a star is dealt by its pairs, each a node of its own, so a hot pivot is spread
-            ends = F.array(F.struct("node", "root"), F.struct(F.col("pivot.node"), F.col("pivot.root")))
-            stars = large.where("root <> pivot.root").select(
-                F.xxhash64("key", "node").alias("key"), F.explode(ends).alias("end")).select("key", "end.*")
-            likely = stored(_likely(small.select("key", "node", "root").unionByName(stars).join(side, "node"),
-                                    percent), "proposed")
+            stars = large.where("root <> pivot.root").select("key", "node", F.col("pivot.node").alias("pivot"))
+            likely = stored(_likely(small.select("key", "node", "root").join(side, "node"), percent).unionByName(
+                _likely_stars(stars, side, percent)), "proposed")
             now = _confirmed(likely, signed, docs, width, percent)
             joined = _joined_by(joined, now)
             refused = likely.join(now, ["a", "b"], "left_anti").select("key").distinct()

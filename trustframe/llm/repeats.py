@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustframe.llm.automaton import SuffixAutomaton
-from trustframe.llm.common import SPACED, Bitmap, as_bytes, shingles, stored, text_slices, word_hashes
+from trustframe.llm.common import SPACED, Bitmap, as_bytes, released, shingles, stored, text_slices, word_hashes
 
 #: Words of an anchor; every window of at least this many words has one.
 ANCHOR = 5
@@ -53,7 +53,7 @@ def anchors(docs: DataFrame, window: int, sift: Bitmap | None = None) -> DataFra
     held = sift.mask() if sift else None
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             doc_ids = batch["doc_id"].to_numpy()
             for at, words, bounds in _chunks(batch):
                 text, anchor, _, _ = _runs(words, bounds, window)
@@ -75,7 +75,7 @@ def _pieces(docs: DataFrame, sift: Bitmap, window: int, worded: bool = False) ->
     names = ["anchor", "piece", "doc_id", "row_key", "start", "windows", "words"][:7 if worded else 6]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             doc_ids, row_keys = batch["doc_id"].to_numpy(), batch["row_key"].to_numpy()
             for at, words, bounds in _chunks(batch):
                 text, anchor, first, count = _runs(words, bounds, window)
@@ -103,7 +103,7 @@ def _single_windows(pieces: DataFrame, window: int) -> DataFrame:
     names = ["anchor", "doc_id", "row_key", "start", "windows"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             rows: list[list] = [[], [], [], []]
             for doc_id, row_key, start, words in zip(*(batch[c].to_pylist() for c in ("doc_id", "row_key", "start", "words")),
                                                      strict=True):
@@ -245,7 +245,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = (
     covered = stored(covered_windows(keyed, window), "covered")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(x, y - x) for b in batches for x, y in text_slices(b["text"], 1 << 20)):
+        for batch in (b.slice(x, y - x) for b in released(batches) for x, y in text_slices(b["text"], 1 << 20)):
             out: list[list] = [[], [], [], []]
             for text, starts in zip(batch["text"].cast(pa.binary()), batch["starts"], strict=True):
                 text = text.as_py()

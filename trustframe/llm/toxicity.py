@@ -23,7 +23,7 @@ from trustframe.llm.characters import (
     word_sums,
     words_of,
 )
-from trustframe.llm.common import Bitmap, slices, stored, text_slices
+from trustframe.llm.common import Bitmap, release, released, slices, stored, text_slices
 
 #: Runs of so many classes are counted; those of up to SHARED are shared by both class models.
 ORDER, SHARED = 5, 2
@@ -61,13 +61,14 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             for own in held:
                 own.clear()
 
-        for batch in batches:
+        for batch in released(batches):
             for a, b in text_slices(batch["text"], 1 << 19):
                 for text, toxic in zip(*(batch[c].slice(a, b - a).to_pylist() for c in ("text", "toxic")), strict=True):
                     held[toxic].update(words_of(text))
                 if len(held[0]) + len(held[1]) > WORDS_HELD:
                     yield from flush()
         yield from flush()
+        release()
 
     counts = texts.select("toxic", "text").mapInArrow(count, "code long, t long, o long")
     return counts.groupBy("code").agg(
@@ -199,7 +200,7 @@ def _add_part(docs: DataFrame, shared: Broadcast) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = _word_logs(shared)
-        for batch in batches:
+        for batch in released(batches):
             sizes, values = np.zeros(len(batch), np.int32), [np.zeros(0, np.float32)]
             for k, found in logs(batch):
                 sizes[k] = len(found)
@@ -234,7 +235,7 @@ def features(docs: DataFrame, model: Model | None, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = _word_logs(shared) if shared is not None else None
-        for batch in batches:
+        for batch in released(batches):
             out = np.zeros((len(batch), len(FEATURES)))
             for k, found in logs(batch) if logs is not None else ():
                 out[k] = measure(found)
