@@ -103,7 +103,7 @@ def test_case_and_spacing_make_no_difference(make_docs):
 
 
 def test_a_star_makes_one_row_per_text(make_docs, monkeypatch):
-    rows = families(600)
+    rows = families(160)
     seen, plain = [], near_copies._likely_stars
 
     def spied(stars, side, percent):
@@ -111,6 +111,6 @@ def test_a_star_makes_one_row_per_text(make_docs, monkeypatch):
         return plain(stars, side, percent)
 
     monkeypatch.setattr(near_copies, "_likely_stars", spied)
-    got = near_copies.near_copies(make_docs(rows), leaf=8, cross=200).collect()
+    got = near_copies.near_copies(make_docs(rows), leaf=16, depth=0).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == by_hand(rows)
     assert seen[0][0] and all(pairs == texts for pairs, texts in seen)
