@@ -196,6 +196,42 @@ def test_claim_and_answer_check(spark):
     assert (given["source"], given["decision"], given["confidence"]) == ("evidence", "TRUE", 0.7)
 
 
+def test_claims_are_decided_in_their_rows(spark, monkeypatch):
+    """Rules and facts of one block move and write no claim, and decide as the join on claim keys does."""
+    rows = [(d, i, t, c) for d in range(6) for t in ("t0", "t1", None) for i, c in enumerate(
+        ["The gold plan costs ten euros", "It has lucro certo today", "Silver plan is free", "Unknown matter entirely", "of the"])]
+    claims = spark.createDataFrame(rows, "doc int, pos int, tenant_id string, claim string").withColumn(
+        "claim_key", F.md5(F.concat("tenant_id", F.lit("|"), "claim")))  # null where the tenant is
+    facts = spark.createDataFrame(
+        [("t0", "gold plan", "costs", "ten euros", "TRUE", 0.8), ("t0", "gold plan", "costs", "ten euros", "FALSE", None),
+         ("t0", "gold plan", "costs", "ten dollars", "TRUE", 0.9), ("t1", "gold plan", "costs", "euros", "FALSE", 0.6),
+         ("t1", "gold plan", "costs", "ten", "TRUE", 0.7), ("t1", "silver plan", "is", "free", "UNDECIDABLE", 0.5),
+         (None, "gold plan", "costs", "ten euros", "TRUE", 0.4), ("t0", "the", "of", "a", "TRUE", 0.3)],
+        f"tenant_id string, {TRIPLE}, state string, confidence double")
+
+    def decided(facts):
+        checked = checks.claim_check(claims, guard.default_rules(), facts=facts)
+        return checked, sorted(map(str, checked.collect()))
+
+    with monkeypatch.context() as patch:
+        patch.setattr(matching, "HELD_BYTES", -1)
+        joined = [decided(x) for x in (facts, facts.limit(0), None)]
+    monkeypatch.setattr(checks, "cut_lineage", None)
+    beside = [decided(x) for x in (facts, facts.limit(0), None)]
+    assert [x for _, x in joined] == [x for _, x in beside]
+    assert joined[0][0].schema == beside[0][0].schema
+    checked = beside[0][0]
+    assert "Exchange" in joined[0][0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in checked._jdf.queryExecution().executedPlan().toString()
+    assert {(r["tenant_id"], r["claim"][:8]): (r["source"], r["decision"], r["confidence"]) for r in checked.where("pos < 3").collect()} == {
+        ("t0", "The gold"): ("ontology", "TRUE", 0.9), ("t1", "The gold"): ("ontology", "FALSE", 0.6), (None, "The gold"): ("none", "UNDECIDABLE", 0.0),
+        **{(t, "It has l"): ("compliance", "FALSE", 1.0) for t in ("t0", "t1")}, (None, "It has l"): ("none", "UNDECIDABLE", 0.0),
+        **{(t, "Silver p"): ("none", "UNDECIDABLE", 0.0) for t in ("t0", "t1", None)}}
+    answers = claims.select("doc", "tenant_id").distinct()
+    folded = [sorted(map(str, checks.answer_check(answers, checked, ["doc", "tenant_id"], unique).collect())) for unique in (False, True)]
+    assert folded[0] == folded[1] and len(folded[0]) == 18
+
+
 def test_states(spark):
     row = spark.range(1).select(
         truth.decide_probability(F.lit(0.75)).alias("a"), truth.decide_probability(F.lit(0.2)).alias("b"),

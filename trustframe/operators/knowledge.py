@@ -158,11 +158,7 @@ def relevant_facts(claims: DataFrame, facts: DataFrame, share: float = 0.35) ->
     """
     scope = scope_of(claims, facts)
     claims = claims.withColumn("words", scoped(F.col("words"), scope))
-    sides = facts.withColumn("words", scoped(fact_words(facts), scope)).withColumn("key", matching.set_key(F.col("words")))
-    says = sides.groupBy("key").agg(
-        F.any_value("words").alias("words"),
-        F.max(F.when(F.col("state") == "FALSE", F.col("confidence"))).alias("against"),
-        F.max(F.when(F.col("state") == "TRUE", F.col("confidence"))).alias("supports"))
+    says = _said(facts, scope)
     lefts = claims.select(matching.set_key(F.col("words")).alias("key"), "words")
     pairs = matching.match_sets(lefts, says, matching.share_needed(share))
     met = (pairs.join(says.select(F.col("key").alias("right_key"), "against", "supports"), "right_key")
@@ -177,6 +173,30 @@ def relevant_facts(claims: DataFrame, facts: DataFrame, share: float = 0.35) ->
         F.coalesce("against", "supports", F.lit(0.0)).alias("confidence"))
 
 
+def _said(facts: DataFrame, scope: list[str]) -> DataFrame:
+    """What the copies of each word set of facts say against and for it."""
+    sides = facts.withColumn("words", scoped(fact_words(facts), scope)).withColumn("key", matching.set_key(F.col("words")))
+    return sides.groupBy("key").agg(
+        F.any_value("words").alias("words"),
+        F.max(F.when(F.col("state") == "FALSE", F.col("confidence"))).alias("against"),
+        F.max(F.when(F.col("state") == "TRUE", F.col("confidence"))).alias("supports"))
+
+
+def with_relevant_facts(claims: DataFrame, words: Column, facts: DataFrame, share: float = 0.35) -> DataFrame | None:
+    """``claims`` with the struct ``_met``: what ``relevant_facts`` finds against and for the ``words`` (not null) of each row.
+
+    The facts go to the claims, so no claim is moved, and copies of a claim are decided each by itself. Nothing is
+    returned if the facts make more than one block of ``matching``.
+    """
+    scope = scope_of(claims, facts)
+    said = _said(facts, scope)
+    held = matching.held_rights(said.withColumns({c: F.col(c).cast("double") for c in ("against", "supports")}))
+    if held is None:
+        return None
+    met = matching.greatest_met(F.col("_words"), matching.share_needed(share), held, ["against", "supports"])
+    return claims.withColumn("_words", scoped(words, scope)).withColumn("_met", met).drop("_words")
+
+
 def contradicts(claim_negated: Column, constraint_negated: Column, claim_words: Column, constraint_words: Column) -> Column:
     """Two shared words and opposite polarity."""
     return (F.size(F.array_intersect(claim_words, constraint_words)) >= 2) & (claim_negated != constraint_negated)

@@ -6,7 +6,8 @@ set passing by shares with them; only pairs that share enough leave it. By rare
 rare its words are on the right and joined only on the rarest ones: a pair that shares at least ``t``
 of the ``m`` words that can match at all must share one of the first ``m - t + 1``. That moves a row
 per candidate, so it is taken only where it moves fewer rows than the blocks do. No candidate is
-capped or dropped.
+capped or dropped. Where the right sets make a single block, ``greatest_met`` gives it to the left sets
+instead, which then stay in their rows.
 
 ``contained_terms`` finds terms inside texts as substrings. A text holding a term also holds the
 term's rarest character run, so a task that holds a block of terms looks only that run up in the texts
@@ -33,6 +34,9 @@ GRAM = 4
 #: Right sets of a block, and numbers that a task holds at a time.
 RIGHT_ROWS, CELLS = 1 << 13, 1 << 21
 
+#: Bytes of words in a block that goes to every task.
+HELD_BYTES = 1 << 24
+
 #: Terms of a block, and characters of texts that a task holds at a time.
 TERM_ROWS, CHARACTERS = 1 << 14, 1 << 20
 
@@ -61,7 +65,7 @@ def match_rows(left: DataFrame, right: DataFrame, need: Callable[[Column], Colum
         F.col("key").alias("right_key"), "words", F.size("words").alias("n_right")))
     lefts = left.where("key IS NOT NULL").where(F.size("words") > 0).select(
         F.col("key").alias("left_key"), "words", F.size("words").alias("n_left")).withColumn(
-        "needed", F.greatest(F.lit(1), need(F.col("n_left")).cast("int")))
+        "needed", _needed(F.col("n_left"), need))
     n_rights = rights.count()
     blocks = max(1, -(-n_rights // RIGHT_ROWS))
     if blocks > 1:
@@ -76,6 +80,10 @@ def match_rows(left: DataFrame, right: DataFrame, need: Callable[[Column], Colum
     return _by_blocks(lefts, rights, blocks)
 
 
+def _needed(size: Column, need: Callable[[Column], Column]) -> Column:
+    return F.greatest(F.lit(1), need(size).cast("int"))
+
+
 def _slots(frame: DataFrame) -> int:
     return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -147,16 +155,27 @@ class Block:
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(self.words)))])
 
     def pairs(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Left sets against the block. At most ``CELLS`` pairs and word hits, or those of one set, are held at a time."""
-        rows, words = _flat(batch["words"])
+        """Left sets against the block."""
+        for mine, other, shared in self.meets(batch["words"], batch["needed"].to_numpy()):
+            overlap, mine, other = pa.array(shared), pa.array(mine), pa.array(other)
+            yield pa.RecordBatch.from_arrays(
+                [batch["left_key"].take(mine), self.keys.take(other), batch["size"].take(mine), self.sizes.take(other),
+                 overlap], names=["left_key", "right_key", "n_left", "n_right", "overlap"])
+
+    def meets(self, lefts: pa.Array, needed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(left row, right row, shared words) of the pairs that share enough, those of a left row together and in order.
+
+        At most ``CELLS`` pairs and word hits, or those of one set, are held at a time.
+        """
+        rows, words = _flat(lefts)
         codes = pc.index_in(words, value_set=self.words, skip_nulls=True).fill_null(-1).to_numpy()
         rows, codes = rows[codes >= 0], codes[codes >= 0]
-        sizes, needed = self.starts[codes + 1] - self.starts[codes], batch["needed"].to_numpy()
+        sizes = self.starts[codes + 1] - self.starts[codes]
         hits = np.concatenate([[0], np.cumsum(sizes)])
         width = len(self.keys)
         step = max(1, CELLS // width)
-        for first in range(0, batch.num_rows, step):
-            last = min(first + step, batch.num_rows)
+        for first in range(0, len(lefts), step):
+            last = min(first + step, len(lefts))
             shared = np.zeros((last - first) * width, np.int32)
             at, end = np.searchsorted(rows, [first, last])
             while at < end:
@@ -169,10 +188,42 @@ class Block:
             shared = shared.reshape(last - first, width)
             mine, other = np.nonzero(shared >= needed[first:last, None])
             if len(mine):
-                overlap, mine, other = pa.array(shared[mine, other]), pa.array(mine + first), pa.array(other)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["left_key"].take(mine), self.keys.take(other), batch["size"].take(mine), self.sizes.take(other),
-                     overlap], names=["left_key", "right_key", "n_left", "n_right", "overlap"])
+                yield mine + first, other, shared[mine, other]
+
+
+def held_rights(rights: DataFrame) -> pa.Table | None:
+    """Right sets (key, words, further columns) as a table if they make one block of bounded size, else nothing."""
+    rights = rights.where("key IS NOT NULL").where(F.size("words") > 0)
+    count, size = rights.agg(F.count("*"), F.sum(F.octet_length(F.array_join("words", " ")))).first()
+    if count > RIGHT_ROWS or (size or 0) > HELD_BYTES:
+        return None
+    return rights.withColumnRenamed("key", "right_key").withColumn("size", F.size("words")).toArrow()
+
+
+def greatest_met(words: Column, need: Callable[[Column], Column], held: pa.Table, values: list[str]) -> Column:
+    """Struct of the greatest of each of ``values`` (double) over the ``held`` right sets that share enough of ``words``.
+
+    A value is null where no such set has one. ``words`` must not be null. Nothing is moved: the right sets go to
+    the tasks of the left ones.
+    """
+    names = list(values)
+
+    def greatest(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        block = Block(held) if held.num_rows else None
+        columns = [held[v].combine_chunks() for v in names]
+        sides = [(c.fill_null(-np.inf).to_numpy(), c.is_valid().to_numpy(zero_copy_only=False)) for c in columns]
+        for lefts, needed in parts:
+            best, there = np.full((len(names), len(lefts)), -np.inf), np.zeros((len(names), len(lefts)), bool)
+            for mine, other, _ in block.meets(lefts, needed.to_numpy()) if block else ():
+                starts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+                for i, (value, valid) in enumerate(sides):
+                    best[i, mine[starts]] = np.maximum.reduceat(value[other], starts)
+                    there[i, mine[starts]] = np.logical_or.reduceat(valid[other], starts)
+            yield pa.StructArray.from_arrays(
+                [pa.array(b, pa.float64(), mask=~t, from_pandas=False) for b, t in zip(best, there, strict=True)], names)
+
+    kind = ", ".join(f"{v} double" for v in names)
+    return F.arrow_udf(greatest, kind)(words, _needed(F.size(words), need))
 
 
 def _rare_words(lefts: DataFrame, right_words: DataFrame) -> tuple[DataFrame, DataFrame]:

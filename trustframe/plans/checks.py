@@ -19,9 +19,14 @@ def claim_check(claims: DataFrame, rules: list[guard.Rule], facts: DataFrame | N
     claim and claim_key (the same for equal texts of one tenant) and, like the sources, tenant_id and
     ontology_id if there are several. ``searched`` is the best (claim_key, score) of a
     search; with a search every claim gets its verdict. ``evidence`` names a column with the mean
-    score of evidence given with the claim. Each source is asked about distinct claims only, and
-    only about those that the sources before it left open.
+    score of evidence given with the claim. Each source is asked only about claims that the sources before it
+    left open. Rules, and facts that make one block, are asked in the claim's own row; search, ontology entries
+    and more facts are asked about distinct claims.
     """
+    if searched is None and entries is None:
+        decided = _decided_in_place(claims, rules, facts)
+        if decided is not None:
+            return _finish(decided, evidence)
     scope = [c for c in ("tenant_id", "ontology_id") if c in claims.columns]
     distinct = claims.select("claim_key", "claim", *scope).distinct()
     scanned = guard.scan(distinct, "claim", rules).select(
@@ -37,7 +42,7 @@ def claim_check(claims: DataFrame, rules: list[guard.Rule], facts: DataFrame | N
             "claim_key", F.lit("search").alias("source"),
             F.when(F.col("v.status") == "verified", F.lit("TRUE")).when(F.col("v.status") == "contradicted", F.lit("FALSE"))
             .otherwise(F.lit("UNDECIDABLE")).alias("decision"), F.col("v.confidence").alias("confidence"))
-        return _finish(claims, verdicts.unionByName(found), evidence)
+        return _finish(claims.join(verdicts.unionByName(found), "claim_key", "left"), evidence)
     if facts is not None:
         words = still_open.select("claim_key", *scope, text.token_set(F.col("claim"), fixed.OVERLAP_STOPWORDS).alias("words"))
         met = knowledge.relevant_facts(words, facts).filter("decision <> 'UNDECIDABLE'")
@@ -47,11 +52,37 @@ def claim_check(claims: DataFrame, rules: list[guard.Rule], facts: DataFrame | N
     if entries is not None:
         met = knowledge.ontology_check(still_open, entries)
         verdicts = verdicts.unionByName(met.select("claim_key", F.lit("entries").alias("source"), "decision", "confidence"))
-    return _finish(claims, verdicts, evidence)
+    return _finish(claims.join(verdicts, "claim_key", "left"), evidence)
 
 
-def _finish(claims: DataFrame, verdicts: DataFrame, evidence: str | None) -> DataFrame:
-    out = claims.join(verdicts, "claim_key", "left")
+def _decided_in_place(claims: DataFrame, rules: list[guard.Rule], facts: DataFrame | None) -> DataFrame | None:
+    """Claims with the source, decision and confidence of rules and facts; nothing if the facts are too many.
+
+    No claim is moved or written, so a copy of a claim costs a scan instead of a place in a shuffle.
+    """
+    keyed = F.col("claim_key").isNotNull()  # a claim without a key has no verdict
+    violations, blocked = F.col("_violations"), F.col("_blocked")
+    out = guard.scan(claims, "claim", rules, out="_violations").withColumn(
+        "_blocked", keyed & guard.blocking(violations)).drop("_violations")
+    decision = F.when(blocked, F.lit("FALSE"))
+    confidence = F.when(blocked, F.lit(1.0))
+    source = F.when(blocked, F.lit("compliance"))
+    if facts is not None:
+        none = F.array().cast("array<string>")
+        words = F.when(keyed & ~blocked, text.token_set(F.col("claim"), fixed.OVERLAP_STOPWORDS))
+        out = knowledge.with_relevant_facts(out, F.coalesce(words, none), facts)
+        if out is None:
+            return None
+        against, supports = F.col("_met.against"), F.col("_met.supports")
+        decision = decision.when(against.isNotNull(), F.lit("FALSE")).when(supports.isNotNull(), F.lit("TRUE"))
+        confidence = confidence.otherwise(F.coalesce(against, supports))
+        source = source.when(against.isNotNull() | supports.isNotNull(), F.lit("ontology"))
+    rest = [c for c in claims.columns if c != "claim_key"]
+    return out.select("claim_key", *rest, source.alias("source"), decision.alias("decision"), confidence.alias("confidence"))
+
+
+def _finish(out: DataFrame, evidence: str | None) -> DataFrame:
+    """Claims with the verdict found, if any, and what holds for those without."""
     given = F.col(evidence).isNotNull() if evidence else F.lit(False)
     score = F.col(evidence) if evidence else F.lit(None).cast("double")
     missing = F.col("source").isNull()
@@ -63,10 +94,15 @@ def _finish(claims: DataFrame, verdicts: DataFrame, evidence: str | None) -> Dat
                         .when(F.col("decision") == "FALSE", F.lit("block")).otherwise(F.lit("abstain"))))
 
 
-def answer_check(answers: DataFrame, checked: DataFrame, keys: list[str]) -> DataFrame:
-    """Fold checked claims (keys, pos, claim, decision, confidence) into one decision per answer."""
+def answer_check(answers: DataFrame, checked: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
+    """Fold checked claims (keys, pos, claim, decision, confidence) into one decision per answer.
+
+    Claims of one place in one answer are taken by their text. ``unique`` says that there are none, so that no text
+    is moved.
+    """
+    claim = F.lit(None).cast("string") if unique else F.col("claim")
     labelled = checked.select(
-        *keys, "pos", "claim", truth.decision_label(F.col("decision")).alias("label"), "confidence",
+        *keys, "pos", claim.alias("claim"), truth.decision_label(F.col("decision")).alias("label"), "confidence",
         ((F.col("pos") > 0) & text.depends_on_previous(F.col("claim"))).alias("depends"))
     per = ground.propagate_chain(labelled, keys).groupBy(*keys).agg(
         F.count("*").alias("claims"), F.bool_or(F.col("label") == "contradicted").alias("contradicted"),

@@ -264,7 +264,8 @@ SELECT d.doc_id, CAST(coalesce(claims, 0) AS BIGINT) AS claims,
 @query("answer_decision", ANSWER_SQL)
 def answer_decision(spark: SparkSession, sf: str) -> DataFrame:
     answers = read_table(spark, sf, "documents").select("doc_id")
-    out = checks.answer_check(answers, checked_claims(spark, sf), ["doc_id"])
+    unique = answers.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    out = checks.answer_check(answers, checked_claims(spark, sf), ["doc_id"], unique)
     return out.select("doc_id", "claims", "decision", "recommended_action", F.round("confidence", 6).alias("confidence"))
 
 
